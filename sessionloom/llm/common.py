@@ -93,3 +93,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return written(
         heads.join(edges.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component_id")), name
     )
+
+
+def per_text(documents: DataFrame, id_col: str, text_col: str, fn, fields: str) -> DataFrame:
+    """(id, *fields) for each row: fn takes a list of texts (None for null) and returns a list of tuples.
+
+    The id column passes through as Arrow, so null and large ids stay what they are.
+    """
+    spark = documents.sparkSession
+    workers_find_package(spark)
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, {fields}"
+    kinds = arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = fn(batch.column(1).to_pylist())
+            columns = list(zip(*got, strict=True)) or [()] * (len(kinds) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(kinds)[1:], strict=True))], schema=kinds)
+
+    return rows.mapInArrow(run, schema)
+
+
+def arrow_schema(ddl: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def slices(texts: list, chars: int = 2_000_000):
+    """Runs of texts of about so many characters at most, one text at least."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t or "") > chars:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held

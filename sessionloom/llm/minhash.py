@@ -25,17 +25,15 @@ import hashlib
 from functools import cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import components, workers_find_package, written
+from sessionloom.llm.common import components, per_text, written
 
 WORD_CACHE = 300_000
 SKETCH_BITS = 64
 #: Of SKETCH_BITS one-bit minima, a pair of similarity s differs in (1 - s) / 2 on average: 6.4 at 0.8, with more than 20 less than once in a million.
 MAX_BITS_APART = {0.8: 20}
-SIGNATURE = "id long, n_shingles int, h1 long, h2 long, sketch long, a array<long>, b array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -110,28 +108,23 @@ def signature(hashes: np.ndarray, side: int, rows: int) -> tuple[int, list[int],
     return sketch, x[:side].tolist(), x[side:].tolist()
 
 
-def _signatures(width: int, side: int, rows: int):
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for id_, text in zip(pdf["id"], pdf["text"], strict=True):
-                s = shingle_hashes(text, width)
-                if not len(s):
-                    out.append((id_, 0, 0, 0, 0, [], []))
-                    continue
-                d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                out.append((id_, len(s), int(d[0]), int(d[1]), *signature(s, side, rows)))
-            yield pd.DataFrame(out, columns=["id", "n_shingles", "h1", "h2", "sketch", "a", "b"])
+def _signatures(docs: DataFrame, width: int, side: int, rows: int) -> DataFrame:
+    def run(texts):
+        out = []
+        for text in texts:
+            s = shingle_hashes(text, width)
+            if not len(s):
+                out.append((0, 0, 0, 0, [], []))
+                continue
+            d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+            out.append((len(s), int(d[0]), int(d[1]), *signature(s, side, rows)))
+        return out
 
-    return run
+    return written(per_text(docs, "id", "text", run, "n_shingles int, h1 long, h2 long, sketch long, a array<long>, b array<long>"), "signatures")
 
 
-def _sets(width: int):
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "hashes": [shingle_hashes(t, width).view(np.int64) for t in pdf["text"]]})
-
-    return run
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    return per_text(docs, "id", "text", lambda texts: [(shingle_hashes(t, width).view(np.int64),) for t in texts], "hashes array<long>")
 
 
 def _near(threshold: float) -> str:
@@ -145,7 +138,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float)
     """Of pairs(x, y), distinct, those whose full sets meet the threshold. Texts are read again for the ids in pairs only."""
     pct = round(threshold * 100)
     ids = written(pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct(), "ids")
-    sets = written(docs.join(ids, "id", "left_semi").mapInPandas(_sets(width), "id long, hashes array<long>"), "sets")
+    sets = written(_sets(docs.join(ids, "id", "left_semi"), width), "sets")
     left = pairs.join(sets.select(F.col("id").alias("x"), F.col("hashes").alias("xh")), "x")
     both = left.join(sets.select(F.col("id").alias("y"), F.col("hashes").alias("yh")), "y")
     shared = F.size(F.array_intersect("xh", "yh"))
@@ -165,14 +158,12 @@ def near_duplicates(
 
     A repeated id keeps the row of the smallest text (null first).
     """
-    spark = documents.sparkSession
-    workers_find_package(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = written(docs.mapInPandas(_signatures(width, side, rows), SIGNATURE), "signatures")
+    sigs = _signatures(docs, width, side, rows)
     # Ids that repeat: one row each, the same for every run. min() over the short columns; texts don't move.
     if sigs.groupBy("id").count().where("id IS NOT NULL AND count > 1").limit(1).count():
         docs = docs.where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
-        sigs = written(docs.mapInPandas(_signatures(width, side, rows), SIGNATURE), "signatures")
+        sigs = _signatures(docs, width, side, rows)
     real = sigs.where("id IS NOT NULL AND n_shingles > 0")
 
     # Equal sets: one representative, the smallest id.

@@ -5,18 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import minhash
+from sessionloom.llm import bpe, langid, license_scan, linefreq, minhash, mixing, multihash, tokenfile
+from sessionloom.llm.common import fresh_dir
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on the documents that aren't held out, predict all."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", (langid.bucket("doc_id") == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its domain, tokens and the copies that the mix takes."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "domain", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), "n_tokens", "copies"
+    )
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-word shingles, similarity 0.8, one row per document."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, threshold=0.8)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {"op3_minhash_dedup": op3_minhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    path = fresh_dir(spark, "token-files")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary_path())
+    return tokenfile.read_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; digests of ids and text."""
+    done = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
+    ids = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base places and licence spans."""
+    found = license_scan.scan_licences(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.to_json("spans").alias("spans"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their source's boilerplate lines."""
+    found = linefreq.drop_boilerplate(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
+    return found.select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return multihash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op8_line_dedup, op9_fingerprints)}
+ORACLE_SQL = {"op2_mix_sources": mixing.oracle(), "op8_line_dedup": linefreq.oracle(0.1, 3)}
