@@ -25,8 +25,10 @@ from functools import cache
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from sessionloom.llm.common import arrow_schema, slices, workers_find_package
+from sessionloom.llm.common import slices, workers_find_package
 
 CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 300_000, 400_000, 1_000_000
 #: White space of the library's patterns; str.split() also cuts at 0x1c to 0x1f.
@@ -182,15 +184,15 @@ def tokenizer(spec: str) -> WordBPE:
     return WordBPE(spec)
 
 
-def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>, decoded string), one row for each row of documents. The file at path is read on the driver only."""
+def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decoded: bool = True) -> DataFrame:
+    """(id_col, *keep, ids array<int>, decoded string), one row for each row of documents. The file at path is read on the driver only."""
     spark = documents.sparkSession
     workers_find_package(spark)
     with open(path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string"
-    kinds = arrow_schema(schema)
+    rows = documents.select(F.col(f"`{text_col}`").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in (id_col, *keep)])
+    schema = StructType([*rows.schema.fields[1:], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())][: None if decoded else -1])
+    kinds = to_arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
@@ -198,11 +200,12 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
         bpe = tokenizer(sent.value)
         for batch in batches:
             at = 0
-            for texts in slices(batch.column(1).to_pylist()):
+            for texts in slices(batch.column(0).to_pylist()):
                 got = [bpe.encode_bytes(t) for t in texts]
                 offsets = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([g[0] for g in got]), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids.cast(kinds.field(1).type), pa.array([g[1] for g in got], kinds.field(2).type)], schema=kinds)
+                columns = [*(c.slice(at, len(texts)) for c in batch.columns[1:]), ids, *([pa.array([g[1] for g in got], pa.string())] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
                 at += len(texts)
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, langid, license_scan, linefreq, minhash, mixing, multihash, tokenfile
+from sessionloom.llm import bpe, langid, license_scan, linefreq, minhash, mixing, multi_index, multihash, tokenfile, warc
 from sessionloom.llm.common import fresh_dir
 
 
@@ -59,6 +59,12 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.to_json("spans").alias("spans"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, whatever their labels, linked at cosine 0.9."""
+    found = multi_index.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines."""
     found = linefreq.drop_boilerplate(table(spark, sf_dir, "documents"), counts=("n_lines", "n_dropped"))
@@ -70,5 +76,20 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multihash.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op8_line_dedup, op9_fingerprints)}
-ORACLE_SQL = {"op2_mix_sources": mixing.oracle(), "op8_line_dedup": linefreq.oracle(0.1, 3)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back through the index."""
+    path = fresh_dir(spark, "archives")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(index, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op7_vector_dedup, op8_line_dedup, op9_fingerprints, op10_warc)}
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = d.page_id OR d.payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first = d.page_id OR d.payload_bytes < 100 THEN NULL ELSE f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
+ORACLE_SQL = {"op10_warc": OP10_SQL, "op2_mix_sources": mixing.oracle(), "op8_line_dedup": linefreq.oracle(0.1, 3)}
