@@ -9,10 +9,10 @@ similarity s shares a key with probability (1 - (1 - s^rows)^side)^2, which is
 
 Candidates are never all pairs of a table's group. Equal sets are collapsed
 first. Each group then links its members to its smallest one; links are
-confirmed; only members that are not confirmed with that smallest one are
-compared with the rest of their group, and only with members of other
-components. What is dropped this way is links inside a component that is
-already connected.
+confirmed. Only members that this leaves in another component than the smallest
+one are compared further: with each component of their group, a single one as a pair, a larger one as a
+whole, in blocks of full sets. What is left out this way is links inside a
+component that is already connected.
 
 Empty or null texts have no shingles and link with nothing. A document id that
 repeats is one document whose rows all get the class of the smallest; a null id
@@ -25,12 +25,14 @@ import hashlib
 from functools import cache
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import components, per_text, written
 
 WORD_CACHE = 300_000
+BLOCK, COLUMNS = 256, 4096
 SKETCH_BITS = 64
 #: Of SKETCH_BITS one-bit minima, a pair of similarity s differs in (1 - s) / 2 on average: 6.4 at 0.8, with more than 20 less than once in a million.
 MAX_BITS_APART = {0.8: 20}
@@ -145,6 +147,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float)
     return both.where(100 * shared >= pct * (F.size("xh") + F.size("yh") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _linked_block(threshold: float):
+    """Rows of one block: queries and members, each with its set -> a query's first link, if it has one."""
+    pct = round(threshold * 100)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, m = pdf[pdf["query"]], pdf[~pdf["query"]]
+        shared = np.zeros((len(q), len(m)), np.float32)
+        if len(q) and len(m):
+            both = np.intersect1d(np.concatenate(q["hashes"].tolist()), np.concatenate(m["hashes"].tolist()))
+
+            def cells(sets):
+                sizes = [len(h) for h in sets]
+                row, h = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(list(sets))
+                at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+                ok = both[at] == h if len(both) else np.zeros(len(h), bool)
+                return row[ok], at[ok]
+
+            (qr, qc), (mr, mc) = cells(q["hashes"]), cells(m["hashes"])
+            for lo in range(0, len(both), COLUMNS):
+                a, b = np.zeros((len(q), COLUMNS), np.float32), np.zeros((len(m), COLUMNS), np.float32)
+                use = (qc >= lo) & (qc < lo + COLUMNS)
+                a[qr[use], qc[use] - lo] = 1
+                use = (mc >= lo) & (mc < lo + COLUMNS)
+                b[mr[use], mc[use] - lo] = 1
+                shared += a @ b.T
+        n, k = q["hashes"].map(len).to_numpy(np.int64), m["hashes"].map(len).to_numpy(np.int64)
+        linked = 100 * shared.astype(np.int64) >= pct * (n[:, None] + k[None, :] - shared.astype(np.int64))
+        has = linked.any(axis=1) if len(m) else np.zeros(len(q), bool)
+        first = linked.argmax(axis=1)[has] if has.any() else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": q["id"].to_numpy(np.int64)[has], "b": m["id"].to_numpy(np.int64)[first]})
+
+    return run
+
+
+def _with_components(queries: DataFrame, found: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Of queries(c, id), a link of each id to the members of component c, if it has one.
+
+    Full sets are compared in blocks of BLOCK queries by BLOCK members, so no task holds a component and no pairs are written.
+    """
+    members = found.join(queries.select(F.col("c").alias("component_id")).distinct(), "component_id", "left_semi").select(F.col("component_id").alias("c"), "id")
+    both = written(queries.withColumn("query", F.lit(True)).unionByName(members.withColumn("query", F.lit(False))), "sides")
+    parts = written(both.groupBy("c").agg(F.ceil(F.count_if("query") / BLOCK).cast("int").alias("nq"), F.ceil(F.count_if(~F.col("query")) / BLOCK).cast("int").alias("nm")), "parts")
+    sets = written(_sets(docs.join(written(both.select("id").distinct(), "ids"), "id", "left_semi"), width), "sets")
+    dealt = both.join(parts, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nm"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nm")).otherwise(F.col("nq")) - 1)))
+    dealt = dealt.select("c", "query", "id", F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("bq"), F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("bm"))
+    return dealt.join(sets, "id").groupBy("c", "bq", "bm").applyInPandas(_linked_block(threshold), "a long, b long")
+
+
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -191,25 +242,25 @@ def near_duplicates(
     links = written(_confirmed(stars, docs, width, threshold), "links")
     found = components(links)
 
-    # Members not confirmed with their group's smallest: against the others of the group that are in other components.
-    of = found.select("id", "component_id")
-    own = members.join(of, "id", "left").select("k", "id", "p", F.coalesce("component_id", "id").alias("c"))
-    head = own.join(of.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left")
-    head = head.withColumn("pc", F.coalesce("pc", "p")).withColumn("odd", F.col("c") != F.col("pc"))
-    mixed = written(head.join(short, "id"), "mixed")
-    odd = mixed.where("odd").select("k", F.col("id").alias("y"), F.col("c").alias("yc"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
-    others = mixed.where("id <> p").select("k", F.col("id").alias("x"), F.col("c").alias("xc"), F.col("n").alias("xn"), F.col("sketch").alias("xs"), F.col("odd").alias("xodd"))
-    more = written(
-        others.alias("o")
-        .join(odd.alias("d"), F.expr("o.k = d.k AND xc <> yc AND (NOT xodd OR x < y) AND " + _near(threshold)))
-        .select("x", "y")
-        .distinct(),
-        "more",
-    )
-    if more.limit(1).count():
-        extra = written(_confirmed(more, docs, width, threshold), "links")
-        if extra.limit(1).count():
-            found = components(links.unionByName(extra))
+    # Members not confirmed with their group's smallest: against the other components of the group, each named once.
+    of = written(found.groupBy("component_id").agg(F.count("*").alias("size")), "sizes")
+    of = found.join(of, "component_id").select("id", "component_id", "size")
+    own = members.join(of, "id", "left").select("k", "id", "p", F.coalesce("component_id", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
+    head = own.join(found.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
+    mixed = written(head.join(short, "id").withColumn("odd", F.col("c") != F.col("pc")), "mixed")
+    odd = mixed.where("odd").select("k", F.col("id").alias("y"), F.col("c").alias("yc"), F.col("size").alias("ysize"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    alone = F.col("size") == 1
+    there = mixed.select("k", F.col("c").alias("x"), "size", "odd", F.when(alone, F.col("n")).alias("xn"), F.when(alone, F.col("sketch")).alias("xs"))
+    # A component of one: not the smallest, which was compared; of two such, once. A larger one: as a whole.
+    single = f"size = 1 AND odd AND (ysize > 1 OR x < y) AND {_near(threshold)}"
+    met = there.where("size > 1 OR odd").distinct().alias("o").join(odd.alias("d"), F.expr(f"o.k = d.k AND x <> yc AND (size > 1 OR ({single}))"))
+    met = written(met.select("x", "y", "size").distinct(), "met")
+    extra = written(_confirmed(met.where("size = 1").select("x", "y"), docs, width, threshold), "links")
+    if met.where("size > 1").limit(1).count():
+        extra = extra.unionByName(_with_components(met.where("size > 1").select(F.col("x").alias("c"), F.col("y").alias("id")), found, docs, width, threshold))
+    extra = written(extra, "extra")
+    if extra.limit(1).count():
+        found = components(links.unionByName(extra))
 
     # Copies take the component of their representative.
     of = found.select(F.col("id").alias("rep"), F.col("component_id").alias("rc"))
