@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.bpe import chunks
+from sessionloom.llm.bpe import byte_letters, chunks
 from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, slices, workers_find_package
 
 IDS_A_BLOCK = 400_000
@@ -40,6 +40,8 @@ MAGIC = b"FRSV"
 #: Texts of these letters are lower-cased here before they are cut, which the library would do the same; any others go to it as they are.
 _PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027]|<[|]")
 
+_LATIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
+
 
 class LibraryTokenizer:
     """The tokenizers library over chunks between white space; what a chunk encodes to doesn't depend on its neighbours.
@@ -54,6 +56,7 @@ class LibraryTokenizer:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.letters = self.library.model, byte_letters()
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.held = held
@@ -77,7 +80,13 @@ class LibraryTokenizer:
             self.words = {}
         known, words = self.known, self.words
         new = {c: self.parts(c) for own in cut for c in own if c not in known}
-        fresh = list({p for parts in new.values() for p in parts if p not in words})
+        fresh = []
+        for p in {p for parts in new.values() for p in parts if p not in words}:
+            if _LATIN(p):  # one piece that is normal already: the library's model alone does it
+                spelled = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
+                words[p] = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(spelled)])}I", *ids)
+            else:
+                fresh.append(p)
         for at in range(0, len(fresh), 5000):
             some = fresh[at : at + 5000]
             for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
