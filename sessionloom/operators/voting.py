@@ -219,6 +219,7 @@ def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: Vote
     placed = lists.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("part", "o")) - 1).where(F.col("pos") < spec.top).select("session", "aid", "pos")
     if popular is None:
         return placed
+    placed = placed.cache()
     have = sizes.select("session").join(placed.groupBy("session").agg(F.count("*").alias("have")), "session", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     want = F.lit(spec.top) if spec.pad else F.lit(1)
     pads = have.where(F.col("have") < want).crossJoin(F.broadcast(popular.where(F.col("pos") < spec.top).select(F.col("aid").alias("p_aid"), F.col("pos").alias("p_pos"))))
