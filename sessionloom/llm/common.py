@@ -102,7 +102,7 @@ def per_text(documents: DataFrame, id_col: str, text_col: str, fn, fields: str)
     """
     spark = documents.sparkSession
     workers_find_package(spark)
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, {fields}"
     kinds = arrow_schema(schema)
 

@@ -109,10 +109,10 @@ def mix(
     cut = last.groupBy(*LEVELS, "rest", "before", "key").agg(F.sum("__tokens").alias("t"))
     cut = cut.withColumn("through", F.sum("t").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cut = cut.where(F.col("before") + F.col("through") - F.col("t") < F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("cut"))
-    verdict = written(plan.join(cut, list(LEVELS), "left").select(*LEVELS, "full", "cut"), "mix")
+    verdict = written(plan.join(cut, list(LEVELS), "left").select(*LEVELS, F.col("full").alias("__full"), F.col("cut").alias("__cut")), "mix")
     placed = tagged.join(verdict, list(LEVELS), "left")
-    extra = F.when(_key(q(id_col), seed, F.col("full")) <= F.col("cut"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.coalesce(F.col("full") + extra, F.lit(0)).cast("long")
+    extra = F.when(_key(q(id_col), seed, F.col("__full")) <= F.col("__cut"), F.lit(1)).otherwise(F.lit(0))
+    copies = F.coalesce(F.col("__full") + extra, F.lit(0)).cast("long")
     return placed.select(*[q(c) for c in columns], F.col("__domain").alias(names[0]), F.col("__tokens").alias(names[1]), copies.alias(names[2]))
 
 
