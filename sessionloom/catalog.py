@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom import oracles as o
-
+from sessionloom.functions.hold import checkpointed
 from sessionloom.operators import candidates, evaluation, features, models, sampling, sessions, voting
 from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge
 from sessionloom.plans import recommender
@@ -234,7 +234,7 @@ def vote_parts(spark, d, names):
         one = covisitation(e, VOTE_SINCE[n], T_MIN, T_MAX).select(F.lit(n).alias("matrix"), "aid_x", "aid_y", "rank")
         all_ = one if all_ is None else all_.unionByName(one)
     # Lists are asked for by several sources, so matrices and seeds are kept.
-    return e.cache(), sessions.seed_lists(e).cache(), all_.cache()
+    return e, checkpointed(sessions.seed_lists(e)), checkpointed(all_)
 
 
 def used(spec) -> list[str]:
@@ -245,10 +245,10 @@ def vote(spec):
     def run(spark, d):
         e, seeds, mats = vote_parts(spark, d, sorted({*used(spec), *(used(voting.FAST) if spec is not voting.FAST else [])}))
         top = {k: candidates.popular(e.where(F.col("type") == k)) for k in (0, 2)}
-        fast = voting.suggest(e, seeds, mats, voting.FAST, popular=top[0]).cache()
+        fast = voting.suggest(e, seeds, mats, voting.FAST, popular=top[0])
         if spec is voting.FAST:
             return fast
-        return voting.suggest(e, seeds, mats, spec, fast=fast, popular=top[2] if spec is voting.ORDERS else top[0])
+        return voting.suggest(e, seeds, mats, spec, fast=checkpointed(fast), popular=top[2] if spec is voting.ORDERS else top[0])
 
     return run
 
@@ -372,7 +372,7 @@ query("correlated_features", f"WITH {o.V}, {EW}, {SW}, c AS (SELECT 'w_type_163'
 def feature_table(spark, d):
     """All features of the labelled candidates of cut sessions."""
     pairs, kept, truth = kept_pairs(spark, d)
-    return recommender.feature_table(candidates.labelled(pairs, truth), kept, visits(spark, d), vectors(spark, d), T_MIN, T_MAX, hold=lambda x: x.cache())
+    return recommender.feature_table(candidates.labelled(pairs, truth), kept, visits(spark, d), vectors(spark, d), T_MIN, T_MAX, hold=checkpointed)
 
 
 # Sampling
@@ -470,7 +470,7 @@ query("w2v_train")(lambda s, d: models.item_vectors(visits(s, d)))
 
 def trained(spark, d):
     rows = features.with_weights(lab(spark, d), features.session_weights(kept_and_truth(spark, d)[0]))
-    return sampling.folds(features.count_actions(rows, kept_and_truth(spark, d)[0]), 2).cache()
+    return checkpointed(sampling.folds(features.count_actions(rows, kept_and_truth(spark, d)[0]), 2))
 
 
 RANKER = [*WEIGHTS, "candidate_all_before"]

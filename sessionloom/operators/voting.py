@@ -10,12 +10,14 @@ order; `size` the source's number of votes; `n` the length of the seed list; `po
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import UNIT
+from sessionloom.functions.hold import checkpointed
 
 TYPE_WEIGHT = {0: 1, 1: 6, 2: 3}
 
@@ -174,11 +176,11 @@ def _ranked(votes: DataFrame) -> DataFrame:
     return summed.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("v"), "first")))
 
 
-def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: VoteSpec, fast: DataFrame | None = None, popular: DataFrame | None = None) -> DataFrame:
+def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: VoteSpec, fast: DataFrame | None = None, popular: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """(session, aid, pos): each session's suggestions in order.
 
     seeds as sessions.seed_lists returns them; matrices(matrix, aid_x, aid_y, rank); fast: suggestions of FAST, whose first
-    ten are the list `fast`; popular(aid, pos): what pads a short list.
+    ten are the list `fast`; popular(aid, pos): what pads a short list; hold keeps what is read twice.
     """
     if fast is not None:
         seeds = seeds.unionByName(fast.where("pos < 10").select("session", F.lit("fast").alias("list"), "aid", "pos"))
@@ -203,7 +205,7 @@ def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: Vote
             votes = votes.unionByName(seeds.where((F.col("list") == name) & (F.col("long") == F.lit(long))).select("session", "aid", F.lit(round(w * UNIT)).cast("long").alias("v"), F.lit(src).alias("src"), (F.col("pos") + 1000).alias("i")))
     seen = seeds.where("list = 'all'").select("session", "aid", F.col("pos").alias("seen"))
     if spec.second:
-        votes = votes.cache()
+        votes = hold(votes)
         first = _ranked(votes).where("place = 1").join(seen, ["session", "aid"], "left_anti")
         first = first.join(sizes.where(F.col("n_all") < spec.long_from), "session")
         best = first.select("session", F.lit("best").alias("list"), "aid", F.lit(0).alias("pos"), F.lit(1).cast("long").alias("n"), F.lit(False).alias("long"), F.lit(False).alias("lone"))
@@ -219,7 +221,7 @@ def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: Vote
     placed = lists.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("part", "o")) - 1).where(F.col("pos") < spec.top).select("session", "aid", "pos")
     if popular is None:
         return placed
-    placed = placed.cache()
+    placed = hold(placed)
     have = sizes.select("session").join(placed.groupBy("session").agg(F.count("*").alias("have")), "session", "left").withColumn("have", F.coalesce("have", F.lit(0)))
     want = F.lit(spec.top) if spec.pad else F.lit(1)
     pads = have.where(F.col("have") < want).crossJoin(F.broadcast(popular.where(F.col("pos") < spec.top).select(F.col("aid").alias("p_aid"), F.col("pos").alias("p_pos"))))
