@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import by_type, clip255, dot, ratio, unit
 from sessionloom.operators.candidates import CLASSES
+from sessionloom.operators.sessions import back, whole
 
-BACK = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("eid"))
-WHOLE = Window.partitionBy("session")
 TYPE_163 = {0: 1, 1: 6, 2: 3}
 EVENT_WEIGHTS = ("w_pos_log", "w_type_163", "w_lastday", "w_time", "w_recsys")
 
@@ -19,9 +18,9 @@ def event_weights(events: DataFrame, no_click: bool = False) -> DataFrame:
 
     The running length is position + 1, so w_pos_log is 1 for the most recent event and 2^0.1 - 1 for all others.
     """
-    upto = BACK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = back().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     global_item = Window.partitionBy("aid").orderBy("session", F.desc("ts"), F.desc("eid"))
-    e = events.withColumns({"pos": F.row_number().over(BACK) - 1, "len": F.count("*").over(upto), "last_ts": F.max("ts").over(WHOLE), "nth": F.row_number().over(global_item)})
+    e = events.withColumns({"pos": F.row_number().over(back()) - 1, "len": F.count("*").over(upto), "last_ts": F.max("ts").over(whole()), "nth": F.row_number().over(global_item)})
     apart = F.col("last_ts") - F.col("ts")
     one = F.lit(1.0)
     kind = by_type(F.col("type"), TYPE_163)
@@ -104,7 +103,7 @@ def popularity(pairs: DataFrame, events: DataFrame, t0: int, shift: int = 7200)
 def per_event(pairs: DataFrame, events: DataFrame) -> DataFrame:
     """pairs x the distinct items of their session, with how many events each item has (`cnt`) and the session has (`total`)."""
     items = events.groupBy("session", "aid").agg(F.count("*").alias("cnt"))
-    items = items.withColumn("total", F.sum("cnt").over(WHOLE))
+    items = items.withColumn("total", F.sum("cnt").over(whole()))
     return pairs.select("session", "candidates").join(items, "session")
 
 
@@ -147,7 +146,7 @@ def ranks(features: DataFrame, names: list[str]) -> DataFrame:
     """
     value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
     if len(names) <= 8:
-        return features.withColumns({f"{c}_rank": clip255(F.rank().over(WHOLE.orderBy(value(c).desc_nulls_last()))) for c in names})
+        return features.withColumns({f"{c}_rank": clip255(F.rank().over(whole().orderBy(value(c).desc_nulls_last()))) for c in names})
     long = features.select("session", "candidates", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), value(c).alias("v")) for c in names])).alias("x"))
     r = F.rank().over(Window.partitionBy("session", "x.f").orderBy(F.col("x.v").desc_nulls_last()))
     ranked = long.select("session", "candidates", F.col("x.f").alias("f"), clip255(r).alias("r"))
@@ -189,7 +188,7 @@ def factor_features(pairs: DataFrame, events: DataFrame, vectors: DataFrame, wei
 
 def position_weights(events: DataFrame) -> DataFrame:
     """Events with type_mp, last (1 for the most recent), wgt_1 and wgt_2, which are largest for the oldest events."""
-    e = events.withColumns({"nth": F.row_number().over(BACK), "n": F.count("*").over(WHOLE)})
+    e = events.withColumns({"nth": F.row_number().over(back()), "n": F.count("*").over(whole())})
     kind = by_type(F.col("type"), {0: 0.5, 1: 9, 2: 0.5})
 
     def w(start: float) -> Column:

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import arithmetic_hash
 
 DAY = 86_400
-ALONG = Window.partitionBy("session").orderBy("ts", "eid")
-BACK = Window.partitionBy("session").orderBy(F.desc("ts"), F.desc("eid"))
-WHOLE = Window.partitionBy("session")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("session")
+
+
+def along() -> WindowSpec:
+    return whole().orderBy("ts", "eid")
+
+
+def back() -> WindowSpec:
+    return whole().orderBy(F.desc("ts"), F.desc("eid"))
 
 
 def split_time(events: DataFrame, days: int) -> DataFrame:
@@ -20,7 +29,7 @@ def split_time(events: DataFrame, days: int) -> DataFrame:
 
 def _against_split(events: DataFrame, days: int) -> DataFrame:
     """Events with their session's first and last time and the split time (one row, broadcast)."""
-    seen = events.withColumns({"first_ts": F.min("ts").over(WHOLE), "last_ts": F.max("ts").over(WHOLE)})
+    seen = events.withColumns({"first_ts": F.min("ts").over(whole()), "last_ts": F.max("ts").over(whole())})
     return seen.crossJoin(F.broadcast(split_time(events, days)))
 
 
@@ -37,7 +46,7 @@ def test_part(events: DataFrame, days: int = 7) -> DataFrame:
 def straddling_part(events: DataFrame, days: int = 7) -> DataFrame:
     """What training cuts off: events from the split on of sessions around it, if there are two or more."""
     late = _against_split(events, days).where("first_ts < split_ts AND last_ts > split_ts AND ts >= split_ts")
-    return late.withColumn("n", F.count("*").over(WHOLE)).where("n > 1").select(events.columns)
+    return late.withColumn("n", F.count("*").over(whole())).where("n > 1").select(events.columns)
 
 
 def ground_truth(events: DataFrame, drop_zero_aid: bool = True) -> DataFrame:
@@ -45,14 +54,14 @@ def ground_truth(events: DataFrame, drop_zero_aid: bool = True) -> DataFrame:
 
     With drop_zero_aid a next click on item 0 counts as none, as in the original data preparation.
     """
-    later = ALONG.rowsBetween(1, Window.unboundedFollowing)
+    later = along().rowsBetween(1, Window.unboundedFollowing)
     of = lambda t: F.when(F.col("type") == t, F.col("aid"))
     out = events.withColumns(
         {
             "label_click": F.first(of(0), ignorenulls=True).over(later),
             "label_carts": F.array_sort(F.collect_set(of(1)).over(later)),
             "label_orders": F.array_sort(F.collect_set(of(2)).over(later)),
-            "back": F.row_number().over(BACK),
+            "back": F.row_number().over(back()),
         }
     ).where("back > 1")
     if drop_zero_aid:
@@ -62,8 +71,8 @@ def ground_truth(events: DataFrame, drop_zero_aid: bool = True) -> DataFrame:
 
 def cut_sessions(events: DataFrame, seed: int = 42, drop_zero_aid: bool = True) -> tuple[DataFrame, DataFrame]:
     """(kept events, labels at the cut): each session of two events or more is cut after 1 to n - 1 of them, by a hash of its id."""
-    n = F.count("*").over(WHOLE)
-    placed = events.withColumns({"n": n, "pos": F.row_number().over(ALONG)}).where("n > 1")
+    n = F.count("*").over(whole())
+    placed = events.withColumns({"n": n, "pos": F.row_number().over(along())}).where("n > 1")
     placed = placed.withColumn("cut", 1 + arithmetic_hash(F.col("session"), seed, F.col("n") - 1))
     labels = ground_truth(placed, drop_zero_aid).where("pos = cut").select("session", "label_click", "label_carts", "label_orders")
     return placed.where("pos <= cut").select(events.columns), labels
@@ -84,65 +93,65 @@ def with_buys(rows: DataFrame, events: DataFrame) -> DataFrame:
 
 def subsessions(events: DataFrame, gap: int = 7200) -> DataFrame:
     """`d`: pauses of more than gap seconds so far."""
-    cut = events.withColumn("cut", F.coalesce((F.col("ts") - F.lag("ts").over(ALONG) > gap).cast("long"), F.lit(0)))
-    return cut.withColumn("d", F.sum("cut").over(ALONG)).drop("cut")
+    cut = events.withColumn("cut", F.coalesce((F.col("ts") - F.lag("ts").over(along()) > gap).cast("long"), F.lit(0)))
+    return cut.withColumn("d", F.sum("cut").over(along())).drop("cut")
 
 
 def subsessions_inclusive(events: DataFrame, gap: int = 7200) -> DataFrame:
     """`d` counts pauses of gap seconds or more; the first event's own time counts as its pause, so it opens 1."""
-    step = F.least(F.greatest(F.col("ts") - F.coalesce(F.lag("ts").over(ALONG), F.lit(0)), F.lit(0)), F.lit(DAY))
+    step = F.least(F.greatest(F.col("ts") - F.coalesce(F.lag("ts").over(along()), F.lit(0)), F.lit(0)), F.lit(DAY))
     cut = events.withColumn("cut", (step >= gap).cast("long"))
-    return cut.withColumn("d", F.sum("cut").over(ALONG)).drop("cut")
+    return cut.withColumn("d", F.sum("cut").over(along())).drop("cut")
 
 
 def subsession_flags(events: DataFrame, gap: int = 7200) -> DataFrame:
     """`a`, `b`: first and last of its sub-session; `day` since the first event of all."""
-    along = Window.partitionBy("session", "d").orderBy("ts", "eid")
-    back = Window.partitionBy("session", "d").orderBy(F.desc("ts"), F.desc("eid"))
+    sub = Window.partitionBy("session", "d")
+    first, last = sub.orderBy("ts", "eid"), sub.orderBy(F.desc("ts"), F.desc("eid"))
     start = F.broadcast(events.agg(F.min("ts").alias("t0")))
     out = subsessions(events, gap).crossJoin(start)
-    return out.withColumns({"a": (F.row_number().over(along) == 1).cast("int"), "b": (F.row_number().over(back) == 1).cast("int"), "day": F.floor((F.col("ts") - F.col("t0")) / DAY).cast("long")}).drop("t0")
+    return out.withColumns({"a": (F.row_number().over(first) == 1).cast("int"), "b": (F.row_number().over(last) == 1).cast("int"), "day": F.floor((F.col("ts") - F.col("t0")) / DAY).cast("long")}).drop("t0")
 
 
 def tail(events: DataFrame, n: int = 30) -> DataFrame:
     """The n most recent events of each session."""
-    return events.withColumn("back", F.row_number().over(BACK)).where(F.col("back") <= n).drop("back")
+    return events.withColumn("back", F.row_number().over(back())).where(F.col("back") <= n).drop("back")
 
 
 def started_after(events: DataFrame, since: int) -> DataFrame:
     """Events of sessions that begin after a time."""
-    return events.withColumn("first_ts", F.min("ts").over(WHOLE)).where(F.col("first_ts") > since).drop("first_ts")
+    return events.withColumn("first_ts", F.min("ts").over(whole())).where(F.col("first_ts") > since).drop("first_ts")
 
 
 def last_items(events: DataFrame, n: int = 5, types: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """last_0 .. last_{n-1}: a session's most recent items as columns, -1 where it is shorter."""
-    back = events.where(F.col("type").isin(*types)).withColumn("p", F.row_number().over(BACK) - 1).where(F.col("p") < n)
-    return back.groupBy("session").agg(*[F.coalesce(F.max(F.when(F.col("p") == i, F.col("aid"))), F.lit(-1)).alias(f"last_{i}") for i in range(n)])
+    recent = events.where(F.col("type").isin(*types)).withColumn("p", F.row_number().over(back()) - 1).where(F.col("p") < n)
+    return recent.groupBy("session").agg(*[F.coalesce(F.max(F.when(F.col("p") == i, F.col("aid"))), F.lit(-1)).alias(f"last_{i}") for i in range(n)])
 
 
 def next_pairs(events: DataFrame, steps: tuple[int, ...] = (1,)) -> DataFrame:
     """(aid, aid_next) at the given distances along a session; several distances give distinct pairs."""
     out = None
     for s in steps:
-        one = events.select("session", "aid", F.lead("aid", s).over(ALONG).alias("aid_next")).where("aid_next IS NOT NULL")
+        one = events.select("session", "aid", F.lead("aid", s).over(along()).alias("aid_next")).where("aid_next IS NOT NULL")
         out = one if out is None else out.unionByName(one)
     return out if len(steps) == 1 else out.select("aid", "aid_next").distinct()
 
 
 def lag_frame(events: DataFrame, n: int = 10, gap: int = 7200) -> DataFrame:
     """Clicks with the n items before them in their sub-session (-1 where there is none), and 8-hour slots; the first click is left out."""
-    along = Window.partitionBy("session", "d").orderBy("ts", "eid")
+    sub = Window.partitionBy("session", "d").orderBy("ts", "eid")
     start = F.broadcast(events.agg(F.min("ts").alias("t0")))
-    cols = {f"lag{i}": F.lag("aid", i, -1).over(along) if i else F.col("aid") for i in range(n + 1)}
+    cols = {f"lag{i}": F.lag("aid", i, -1).over(sub) if i else F.col("aid") for i in range(n + 1)}
     out = subsessions_inclusive(events, gap).withColumns(cols).where("type = 0 AND lag1 >= 0").crossJoin(start)
     return out.withColumn("hour", F.floor((F.col("ts") - F.col("t0")) / 28_800).cast("long")).drop("t0", "aid")
 
 
 def running_stats(events: DataFrame) -> DataFrame:
     """Position from 0, running length, and running count of the item, from the most recent on."""
-    upto = BACK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = back().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     item = Window.partitionBy("session", "aid").orderBy(F.desc("ts"), F.desc("eid"))
-    return events.withColumns({"pos": F.row_number().over(BACK) - 1, "len": F.count("*").over(upto), "aid_count": F.row_number().over(item), "max_aid": F.max("aid").over(upto)})
+    return events.withColumns({"pos": F.row_number().over(back()) - 1, "len": F.count("*").over(upto), "aid_count": F.row_number().over(item), "max_aid": F.max("aid").over(upto)})
 
 
 SEEDS = {
@@ -158,7 +167,7 @@ SEEDS = {
 
 def seed_lists(events: DataFrame, gap: int = 7200) -> DataFrame:
     """(session, list, aid, pos): each list's distinct items, the most recent first, from position 0."""
-    flagged = subsession_flags(events, gap).withColumns({"max_d": F.max("d").over(WHOLE), "max_ts": F.max("ts").over(WHOLE)})
+    flagged = subsession_flags(events, gap).withColumns({"max_d": F.max("d").over(whole()), "max_ts": F.max("ts").over(whole())})
     which = F.array_compact(F.array(*[F.when(F.expr(cond), F.lit(name)) for name, cond in SEEDS.items()]))
     rows = flagged.select("session", "aid", "ts", "eid", F.explode(which).alias("list"))
     last = rows.groupBy("session", "list", "aid").agg(F.max(F.struct("ts", "eid")).alias("at"))
