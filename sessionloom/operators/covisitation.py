@@ -52,6 +52,7 @@ def _case(*weights: float) -> str:
     return "CASE y.type " + " ".join(f"WHEN {k} THEN CAST({w} AS DOUBLE)" for k, w in enumerate(weights)) + " END"
 
 
+#: The matrices' filters, pairs, weights and sizes.
 SPECS = {
     s.name: s
     for s in (

@@ -9,6 +9,7 @@ from sessionloom.functions.expr import by_type, clip255, dot, ratio, unit
 from sessionloom.operators.candidates import CLASSES
 from sessionloom.operators.sessions import back, whole
 
+#: Weight by event type.
 TYPE_163 = {0: 1, 1: 6, 2: 3}
 EVENT_WEIGHTS = ("w_pos_log", "w_type_163", "w_lastday", "w_time", "w_recsys")
 

@@ -52,7 +52,7 @@ def straddling_part(events: DataFrame, days: int = 7) -> DataFrame:
 def ground_truth(events: DataFrame, drop_zero_aid: bool = True) -> DataFrame:
     """Labels from strictly later events: the next click, the sets of later carts and orders. The last event has none.
 
-    With drop_zero_aid a next click on item 0 counts as none, as in the original data preparation.
+    With drop_zero_aid a next click on item 0 counts as none.
     """
     later = along().rowsBetween(1, Window.unboundedFollowing)
     of = lambda t: F.when(F.col("type") == t, F.col("aid"))

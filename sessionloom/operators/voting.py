@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions.expr import UNIT
 from sessionloom.functions.hold import checkpointed
 
+#: What an event's own vote is multiplied by.
 TYPE_WEIGHT = {0: 1, 1: 6, 2: 3}
 
 
@@ -58,6 +59,7 @@ def _m(low: str, cap: int) -> str:
     return f"({low} + (1 - {low}) * (n - floor(i / {cap})) / n)"
 
 
+#: The three suggesters' sources, caps and weights.
 FAST = VoteSpec(
     "fast",
     15,
