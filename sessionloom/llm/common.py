@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,3 +136,21 @@ def slices(texts: list, chars: int = 2_000_000):
         size += len(t or "")
     if held:
         yield held
+
+
+def block_roots(linked: np.ndarray, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest id reachable within the block, for queries and for members."""
+    big = np.iinfo(np.int64).max
+    rq, rb = q.copy(), b.copy()
+    rows, cols = np.nonzero(linked)
+    while len(rows):
+        low_q = np.full(len(q), big)
+        np.minimum.at(low_q, rows, rb[cols])
+        nq = np.minimum(rq, low_q)
+        low_b = np.full(len(b), big)
+        np.minimum.at(low_b, cols, nq[rows])
+        nb = np.minimum(rb, low_b)
+        if (nq == rq).all() and (nb == rb).all():
+            break
+        rq, rb = nq, nb
+    return rq, rb

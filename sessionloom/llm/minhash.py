@@ -10,9 +10,11 @@ similarity s shares a key with probability (1 - (1 - s^rows)^side)^2, which is
 Candidates are never all pairs of a table's group. Equal sets are collapsed
 first. Each group then links its members to its smallest one; links are
 confirmed. Only members that this leaves in another component than the smallest
-one are compared further: with each component of their group, a single one as a pair, a larger one as a
-whole, in blocks of full sets. What is left out this way is links inside a
-component that is already connected.
+one are compared further, with the other components of their group: a single one as a
+pair, a larger one as a whole, in blocks of full sets. Groups with CROWD such
+components or more are joined to families by their members, and a family is compared
+in blocks. What is left out this way is links inside a component that is
+already connected.
 
 Empty or null texts have no shingles and link with nothing. A document id that
 repeats is one document whose rows all get the class of the smallest; a null id
@@ -29,10 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import components, per_text, written
+from sessionloom.llm.common import block_roots, components, per_text, written
 
 WORD_CACHE = 300_000
-BLOCK, COLUMNS = 256, 4096
+BLOCK, COLUMNS = 384, 4096
+#: Groups with so many components besides the smallest's are compared in blocks.
+CROWD = 32
 SKETCH_BITS = 64
 #: Of SKETCH_BITS one-bit minima, a pair of similarity s differs in (1 - s) / 2 on average: 6.4 at 0.8, with more than 20 less than once in a million.
 MAX_BITS_APART = {0.8: 20}
@@ -148,46 +152,48 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float)
 
 
 def _linked_block(threshold: float):
-    """Rows of one block: queries and members, each with its set -> a query's first link, if it has one."""
+    """Rows of one block: queries and members, each with its set -> each row that has a link, and the smallest id it is connected to here."""
     pct = round(threshold * 100)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, m = pdf[pdf["query"]], pdf[~pdf["query"]]
+        if not len(q) or not len(m):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
         shared = np.zeros((len(q), len(m)), np.float32)
-        if len(q) and len(m):
-            both = np.intersect1d(np.concatenate(q["hashes"].tolist()), np.concatenate(m["hashes"].tolist()))
-
-            def cells(sets):
-                sizes = [len(h) for h in sets]
-                row, h = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(list(sets))
-                at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
-                ok = both[at] == h if len(both) else np.zeros(len(h), bool)
-                return row[ok], at[ok]
-
-            (qr, qc), (mr, mc) = cells(q["hashes"]), cells(m["hashes"])
-            for lo in range(0, len(both), COLUMNS):
-                a, b = np.zeros((len(q), COLUMNS), np.float32), np.zeros((len(m), COLUMNS), np.float32)
-                use = (qc >= lo) & (qc < lo + COLUMNS)
-                a[qr[use], qc[use] - lo] = 1
-                use = (mc >= lo) & (mc < lo + COLUMNS)
-                b[mr[use], mc[use] - lo] = 1
-                shared += a @ b.T
+        both = np.intersect1d(np.concatenate(q["hashes"].tolist()), np.concatenate(m["hashes"].tolist()))
+
+        def cells(sets):
+            sizes = [len(h) for h in sets]
+            row, h = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(list(sets))
+            at = np.minimum(np.searchsorted(both, h), max(len(both) - 1, 0))
+            ok = both[at] == h if len(both) else np.zeros(len(h), bool)
+            return row[ok], at[ok]
+
+        (qr, qc), (mr, mc) = cells(q["hashes"]), cells(m["hashes"])
+        for lo in range(0, len(both), COLUMNS):
+            a, b = np.zeros((len(q), COLUMNS), np.float32), np.zeros((len(m), COLUMNS), np.float32)
+            use = (qc >= lo) & (qc < lo + COLUMNS)
+            a[qr[use], qc[use] - lo] = 1
+            use = (mc >= lo) & (mc < lo + COLUMNS)
+            b[mr[use], mc[use] - lo] = 1
+            shared += a @ b.T
         n, k = q["hashes"].map(len).to_numpy(np.int64), m["hashes"].map(len).to_numpy(np.int64)
-        linked = 100 * shared.astype(np.int64) >= pct * (n[:, None] + k[None, :] - shared.astype(np.int64))
-        has = linked.any(axis=1) if len(m) else np.zeros(len(q), bool)
-        first = linked.argmax(axis=1)[has] if has.any() else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": q["id"].to_numpy(np.int64)[has], "b": m["id"].to_numpy(np.int64)[first]})
+        shared = shared.astype(np.int64)
+        qi, mi = q["id"].to_numpy(np.int64), m["id"].to_numpy(np.int64)
+        linked = (100 * shared >= pct * (n[:, None] + k[None, :] - shared)) & (qi[:, None] != mi[None, :])
+        rq, rm = block_roots(linked, qi, mi)
+        return pd.DataFrame({"a": np.concatenate([qi[linked.any(1)], mi[linked.any(0)]]), "b": np.concatenate([rq[linked.any(1)], rm[linked.any(0)]])})
 
     return run
 
 
-def _with_components(queries: DataFrame, found: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Of queries(c, id), a link of each id to the members of component c, if it has one.
+def _linked_in_blocks(sides: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Connections between the queries and the members of each c in sides(c, id, query), by their full sets.
 
-    Full sets are compared in blocks of BLOCK queries by BLOCK members, so no task holds a component and no pairs are written.
+    They are compared in blocks of about BLOCK by BLOCK, so no task holds a whole c and no pairs are written; a block returns at
+    most a row for each of its rows.
     """
-    members = found.join(queries.select(F.col("c").alias("component_id")).distinct(), "component_id", "left_semi").select(F.col("component_id").alias("c"), "id")
-    both = written(queries.withColumn("query", F.lit(True)).unionByName(members.withColumn("query", F.lit(False))), "sides")
+    both = written(sides.distinct(), "sides")
     parts = written(both.groupBy("c").agg(F.ceil(F.count_if("query") / BLOCK).cast("int").alias("nq"), F.ceil(F.count_if(~F.col("query")) / BLOCK).cast("int").alias("nm")), "parts")
     sets = written(_sets(docs.join(written(both.select("id").distinct(), "ids"), "id", "left_semi"), width), "sets")
     dealt = both.join(parts, "c").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nm"))).cast("int"))
@@ -249,15 +255,24 @@ def near_duplicates(
     head = own.join(found.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     mixed = written(head.join(short, "id").withColumn("odd", F.col("c") != F.col("pc")), "mixed")
     odd = mixed.where("odd").select("k", F.col("id").alias("y"), F.col("c").alias("yc"), F.col("size").alias("ysize"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    # Groups with many such members are taken together where they share members, and compared in blocks.
+    crowded = written(odd.groupBy("k").agg(F.countDistinct("yc").alias("n")).where(F.col("n") >= CROWD).select("k"), "crowded")
+    full = written(mixed.join(crowded, "k", "left_semi").select("id", "p", "odd"), "full")
+    families = components(full.select(F.col("id").alias("a"), F.col("p").alias("b")))
+    families = families.select("id", F.col("component_id").alias("c"))
+    sides = full.where("odd").select("id").join(families, "id").select("c", "id", F.lit(True).alias("query")).unionByName(families.select("c", "id", F.lit(False).alias("query")))
+    extra = _linked_in_blocks(sides, docs, width, threshold)
+    odd, mixed = odd.join(crowded, "k", "left_anti"), mixed.join(crowded, "k", "left_anti")
     alone = F.col("size") == 1
     there = mixed.select("k", F.col("c").alias("x"), "size", "odd", F.when(alone, F.col("n")).alias("xn"), F.when(alone, F.col("sketch")).alias("xs"))
-    # A component of one: not the smallest, which was compared; of two such, once. A larger one: as a whole.
+    # The others: a component of one as a pair (not the smallest, which was compared; of two such, once), a larger one in blocks as well.
     single = f"size = 1 AND odd AND (ysize > 1 OR x < y) AND {_near(threshold)}"
     met = there.where("size > 1 OR odd").distinct().alias("o").join(odd.alias("d"), F.expr(f"o.k = d.k AND x <> yc AND (size > 1 OR ({single}))"))
     met = written(met.select("x", "y", "size").distinct(), "met")
-    extra = written(_confirmed(met.where("size = 1").select("x", "y"), docs, width, threshold), "links")
-    if met.where("size > 1").limit(1).count():
-        extra = extra.unionByName(_with_components(met.where("size > 1").select(F.col("x").alias("c"), F.col("y").alias("id")), found, docs, width, threshold))
+    large = met.where("size > 1").select(F.col("x").alias("c"), F.col("y").alias("id"), F.lit(True).alias("query"))
+    members = found.join(large.select(F.col("c").alias("component_id")).distinct(), "component_id", "left_semi")
+    sides = large.unionByName(members.select(F.col("component_id").alias("c"), "id", F.lit(False).alias("query")))
+    extra = extra.unionByName(_linked_in_blocks(sides, docs, width, threshold)).unionByName(_confirmed(met.where("size = 1").select("x", "y"), docs, width, threshold))
     extra = written(extra, "extra")
     if extra.limit(1).count():
         found = components(links.unionByName(extra))

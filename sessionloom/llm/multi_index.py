@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import components, workers_find_package, written
+from sessionloom.llm.common import block_roots, components, workers_find_package, written
 
 CELL = 64  # vectors a cell, on average
 MAX_CODES = 256
@@ -113,24 +113,6 @@ def unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _roots(linked: np.ndarray, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest id reachable within the block, for queries and for members."""
-    big = np.iinfo(np.int64).max
-    rq, rb = q.copy(), b.copy()
-    rows, cols = np.nonzero(linked)
-    while len(rows):
-        low_q = np.full(len(q), big)
-        np.minimum.at(low_q, rows, rb[cols])
-        nq = np.minimum(rq, low_q)
-        low_b = np.full(len(b), big)
-        np.minimum.at(low_b, cols, nq[rows])
-        nb = np.minimum(rb, low_b)
-        if (nq == rq).all() and (nb == rb).all():
-            break
-        rq, rb = nq, nb
-    return rq, rb
-
-
 def _verify(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         is_q = pdf["query"].to_numpy()
@@ -141,7 +123,7 @@ def _verify(threshold: float):
         linked = unit(q["vec"]) @ unit(b["vec"]).T >= threshold
         linked &= qi[:, None] != bi[None, :]
         n = linked @ b["mult"].to_numpy(np.int64)
-        rq, rb = _roots(linked, qi, bi)
+        rq, rb = block_roots(linked, qi, bi)
         has_q, has_b = linked.any(1), linked.any(0)
         return pd.DataFrame({"id": np.concatenate([qi[has_q], bi[has_b]]), "n": np.concatenate([n[has_q], np.zeros(int(has_b.sum()), np.int64)]), "root": np.concatenate([rq[has_q], rb[has_b]])})
 
