@@ -32,13 +32,13 @@ from sessionloom.llm.common import slices, workers_find_package
 
 CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 300_000, 400_000, 1_000_000
 #: White space of the library's patterns; str.split() also cuts at 0x1c to 0x1f.
-_ODD_BLANK = re.compile("[\x1c-\x1f]")
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
 def chunks(text: str) -> list[str]:
     """The runs between white space."""
-    if _ODD_BLANK.search(text):
+    if any(c in text for c in _ODD_BLANKS):
         return [x for x in _BLANKS.split(text) if x]
     return text.split()
 

@@ -43,6 +43,13 @@ _PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027]|<[|]")
 _LATIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
 
 
+def plain(text: str) -> bool:
+    """Whether lower-casing the text here is what the library does before it cuts."""
+    if text.isascii():
+        return "<|" not in text
+    return not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text)
+
+
 class LibraryTokenizer:
     """The tokenizers library over chunks between white space; what a chunk encodes to doesn't depend on its neighbours.
 
@@ -65,7 +72,7 @@ class LibraryTokenizer:
     def cut(text: str | None) -> list[str]:
         if not text:
             return []
-        return chunks(text if _PLAIN.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)) else text.lower())
+        return chunks(text.lower() if plain(text) else text)
 
     @staticmethod
     def parts(chunk: str) -> tuple[str, ...]:
@@ -79,7 +86,7 @@ class LibraryTokenizer:
         if len(self.words) > self.held:
             self.words = {}
         known, words = self.known, self.words
-        new = {c: self.parts(c) for own in cut for c in own if c not in known}
+        new = {c: self.parts(c) for c in {c for own in cut for c in own if c not in known}}
         fresh = []
         for p in {p for parts in new.values() for p in parts if p not in words}:
             if _LATIN(p):  # one piece that is normal already: the library's model alone does it
