@@ -8,9 +8,12 @@ powers of two, so units may come in any order, be inserted (`add`) or deleted
 
 * 8 dense lanes modulo 2^32 decide equality;
 * a count modulo 2^32;
-* LEVELS * LANES sparse lanes modulo 2^16, where a unit touches one lane of each
-  level that samples it (level k samples one unit in 4^k). They measure likeness: at the
-  level where units are about as many as lanes, the share of touched lanes that agree.
+* LANES wide lanes modulo 2^32, to each of which a unit adds a Cauchy value of its own, in
+  fixed point. They measure likeness: the difference of two sums is, in every lane, a Cauchy value times
+  the units that stand in one text more often than in the other, so the median over
+  the lanes tells their number, with repeats, however long or repetitive the texts are.
+  With the counts this is the likeness of the multisets, shared units over all units;
+  its standard deviation is about 0.04 at 0.6 and 0.06 at 0, and a few different units are told exactly.
 
 Null and empty texts have no unit: the zero fingerprint, alike (1.0) to each
 other and unlike (0.0) to any other. Documents are ordered by (id, text), nulls first.
@@ -28,9 +31,27 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import workers_find_package
 
-WINDOW, LEVELS, LANES = 24, 6, 32
+WINDOW, LANES = 24, 192
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
 DENSE = 8
+#: Values of a lane: quantiles of the Cauchy distribution, whose median size is ONE. Each 64-bit mix of a unit picks four of them.
+ONE = 256
+_CAUCHY = np.rint(ONE * np.tan(np.pi * ((np.arange(65_536) + 0.5) / 65_536 - 0.5))).astype(np.int64)
+_KEYS = np.random.default_rng(20_240_901).integers(1, 2**63, LANES // 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Units whose lanes are made at once.
+ROWS = 2048
+
+
+def _lanes(h: np.ndarray) -> np.ndarray:
+    """Sums of the units' lane values; h: two 64-bit hashes a unit."""
+    out = np.zeros(LANES, np.int64)
+    for at in range(0, len(h), ROWS):
+        x = h[at : at + ROWS, :1] * _KEYS + h[at : at + ROWS, 1:]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        out += _CAUCHY[x.view(np.uint16)].sum(axis=0)
+    return out
 
 
 def units(text: str | None) -> list[str]:
@@ -49,12 +70,12 @@ def units(text: str | None) -> list[str]:
 class Fingerprint:
     """Sums of unit vectors; supports add, remove and +."""
 
-    __slots__ = ("count", "dense", "sparse")
+    __slots__ = ("count", "dense", "wide")
 
-    def __init__(self, dense=None, count: int = 0, sparse=None):
+    def __init__(self, dense=None, count: int = 0, wide=None):
         self.dense = np.zeros(DENSE, np.uint32) if dense is None else dense
         self.count = count
-        self.sparse = np.zeros(LEVELS * LANES, np.uint16) if sparse is None else sparse
+        self.wide = np.zeros(LANES, np.uint32) if wide is None else wide
 
     @classmethod
     def of(cls, parts: list[str]) -> Fingerprint:
@@ -62,25 +83,18 @@ class Fingerprint:
             return cls()
         raw = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass")).digest() for p in parts])
         h = np.frombuffer(raw, np.uint32).reshape(-1, 16)
-        sparse = np.zeros(LEVELS * LANES, np.uint64)
-        for k in range(LEVELS):
-            in_level = h[:, DENSE] & np.uint32(4**k - 1) == 0
-            if not in_level.any():
-                break
-            lane = (h[in_level, DENSE + 1] >> np.uint32(5 * k)) % np.uint32(LANES) if k < 6 else h[in_level, DENSE + 3] % np.uint32(LANES)
-            value = (h[in_level, DENSE + 2] >> np.uint32(k)) & np.uint32(0xFFFF) | np.uint32(1)
-            sparse[k * LANES : (k + 1) * LANES] = np.bincount(lane, value, LANES).astype(np.uint64)
-        return cls(h[:, :DENSE].sum(axis=0, dtype=np.uint64).astype(np.uint32), len(parts), (sparse & np.uint64(0xFFFF)).astype(np.uint16))
+        wide = _lanes(h[:, DENSE : DENSE + 4].copy().view(np.uint64))
+        return cls(h[:, :DENSE].sum(axis=0, dtype=np.uint64).astype(np.uint32), len(parts), (wide & 0xFFFFFFFF).astype(np.uint32))
 
     @classmethod
     def of_text(cls, text: str | None) -> Fingerprint:
         return cls.of(units(text))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
-        return Fingerprint(self.dense + other.dense, (self.count + other.count) & 0xFFFFFFFF, self.sparse + other.sparse)
+        return Fingerprint(self.dense + other.dense, (self.count + other.count) & 0xFFFFFFFF, self.wide + other.wide)
 
     def __sub__(self, other: Fingerprint) -> Fingerprint:
-        return Fingerprint(self.dense - other.dense, (self.count - other.count) & 0xFFFFFFFF, self.sparse - other.sparse)
+        return Fingerprint(self.dense - other.dense, (self.count - other.count) & 0xFFFFFFFF, self.wide - other.wide)
 
     def add(self, parts: list[str]) -> Fingerprint:
         return self + Fingerprint.of(parts)
@@ -94,23 +108,24 @@ class Fingerprint:
     __hash__ = None
 
     def hex(self) -> str:
-        return self.dense.tobytes().hex() + f"{self.count:08x}" + self.sparse.tobytes().hex()
+        return self.dense.tobytes().hex() + f"{self.count:08x}" + self.wide.tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> Fingerprint:
         at = DENSE * 8
-        return cls(np.frombuffer(bytes.fromhex(text[:at]), np.uint32), int(text[at : at + 8], 16), np.frombuffer(bytes.fromhex(text[at + 8 :]), np.uint16))
+        return cls(np.frombuffer(bytes.fromhex(text[:at]), np.uint32), int(text[at : at + 8], 16), np.frombuffer(bytes.fromhex(text[at + 8 :]), np.uint32))
 
     def likeness(self, other: Fingerprint) -> float:
-        """1.0 for equal multisets; else the share of touched lanes that agree, at the finest level that isn't crowded."""
+        """1.0 for equal multisets; else shared units over all units, repeats counted, from the lanes and the counts."""
         if self == other:
             return 1.0
-        a, b = self.sparse.reshape(LEVELS, LANES), other.sparse.reshape(LEVELS, LANES)
-        k = 0
-        while k < LEVELS - 1 and max(self.count, other.count) > LANES * 4**k:
-            k += 1
-        touched = (a[k] != 0) | (b[k] != 0)
-        return float((touched & (a[k] == b[k])).sum() / touched.sum()) if touched.any() else 0.0
+        both, apart = self.count + other.count, abs(self.count - other.count)
+        size = np.abs((self.wide - other.wide).view(np.int32).astype(np.int64))
+        size.partition([LANES // 2 - 1, LANES // 2])
+        found = float(size[LANES // 2 - 1] + size[LANES // 2]) / (2 * ONE)
+        # Units that differ are as odd in number as all units, no fewer than the counts differ by, no more than all.
+        differ = min(both, max(apart, 2 - both % 2, both % 2 + 2 * round((found - both % 2) / 2)))
+        return (both - differ) / (both + differ)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -214,6 +215,30 @@ def test_fingerprints_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(multihash, "with_following", lambda d, i, t: original(d, i, t, rows_per_range=5))
     check_fingerprints(df, order, None)
     check_fingerprints(df.where("doc_id IS NOT NULL"), [r for r in order if r[0] is not None], None)
+def multiset_likeness(a, b):
+    a, b = Counter(a), Counter(b)
+    return (a & b).total() / (a | b).total() if a or b else 1.0
+
+
+def test_likeness_of_repetitive_and_long_texts():
+    f = multihash.Fingerprint
+    few, menu, long = [f"cell {i % 14}" for i in range(167)], ["menu"] * 5000, [f"line {i % 40_000}" for i in range(100_000)]
+    cases = [(few, few[:150]), (few, few[:125] + [f"new {i}" for i in range(42)]), (menu, menu[:4000] + ["x"] * 1000), (long, long[:75_000] + ["y"] * 25_000), (["a"] * 9, ["a"] * 8), (["a"], ["b"]), (few, menu)]
+    for a, b in cases:
+        assert abs(f.of(a).likeness(f.of(b)) - multiset_likeness(a, b)) < 0.15, (len(a), len(b))
+        assert f.of(a).likeness(f.of(b)) == f.of(b).likeness(f.of(a))
+    assert f.of(few).add(menu).remove(few).hex() == f.of(menu).hex()
+
+
+def test_near_edited_is_the_multiset_likeness(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = [r.text or "" for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text or ""))]
+    got = [r.near_edited for r in sorted(multihash.fingerprints(docs).select("doc_id", "near_edited").collect(), key=lambda r: r.doc_id)]
+    edited = [multihash.edited_text(t, texts[(k + 1) % len(texts)]) for k, t in enumerate(texts)]
+    off = np.abs(np.array(got) - [multiset_likeness(multihash.units(a), multihash.units(b)) for a, b in zip(texts, edited, strict=True)])
+    assert off.mean() < 0.04 and off.max() < 0.25
+
+
     check_fingerprints(df.where("doc_id = 4"), [r for r in order if r[0] == 4], None)
     assert multihash.fingerprints(df.limit(0)).count() == 0
     same = {r.fingerprint for r in multihash.fingerprints(df).collect() if r.doc_id == 3}
