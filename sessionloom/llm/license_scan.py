@@ -6,6 +6,7 @@ of words, ending here, that stands in some template (the matching statistic).
 Runs of at least MIN_RUN words that stand in one template are chained where they
 stand in order, and a template is labelled where its chain covers enough of its words.
 Base phrases are templates too; they are reported wherever all of their words stand consecutively.
+So are the short forms of each licence, one-line declarations and SPDX tags: each place is a span that is covered as a whole.
 
 Null and empty texts have no words and no labels. Words that stand in no template
 break every run, so only runs of known words are walked. Rows that repeat are scanned each.
@@ -40,6 +41,31 @@ TEMPLATES = {
     "cc-by-4.0": "this text is available under cc by 4 0",
     "copyright-notice": "copyright c all rights reserved",
 }
+#: Names by which a one-line declaration calls a licence, and the starts of its SPDX identifiers, by the label of its notice.
+NAMES = {
+    "mit": (("mit license", "mit licence", "expat license"), ("mit",)),
+    "apache-2.0": (("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0", "apache software license version 2 0"), ("apache 2 0",)),
+    "bsd": (
+        ("bsd license", "bsd licence", "bsd 2 clause license", "bsd 3 clause license", "2 clause bsd license", "3 clause bsd license", "new bsd license", "modified bsd license", "simplified bsd license", "revised bsd license"),
+        ("bsd 2 clause", "bsd 3 clause"),
+    ),
+    "isc": (("isc license", "isc licence"), ("isc",)),
+    "gpl-notice": (("gnu general public license", "gnu gpl", "gpl", "gplv2"), ("gpl 2 0",)),
+    "lgpl-notice": (("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl", "lgplv2 1", "lgplv3"), ("lgpl 2 0", "lgpl 2 1", "lgpl 3 0")),
+    "mpl-2.0": (("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"), ("mpl 2 0",)),
+    "unlicense": (("unlicense",), ("unlicense",)),
+    "cc0-1.0": (("cc0 1 0", "cc0 1 0 universal", "creative commons zero v1 0 universal", "creative commons cc0 1 0 universal"), ("cc0 1 0",)),
+    "cc-by-notice": (("creative commons attribution",), ("cc by 1 0", "cc by 2 0", "cc by 2 5", "cc by 3 0")),
+    "gpl-3.0-notice": (("gnu general public license version 3", "gnu general public license v3", "gnu general public license 3 0", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl v3", "gpl 3 0", "gplv3"), ("gpl 3 0",)),
+    "cc-by-4.0": (("cc by 4 0", "creative commons attribution 4 0"), ("cc by 4 0",)),
+}
+_LEADS = ("under", "under the", "under a", "under an", "under the terms of", "under the terms of the")
+#: Short forms and their labels. "license mit" is left to the SPDX tag: "mit" is a German word.
+SHORT = {f"{lead} {name}": label for label, (names, _) in NAMES.items() for name in names for lead in _LEADS}
+SHORT |= {f"spdx license identifier {tag}": label for label, (_, tags) in NAMES.items() for tag in tags}
+SHORT |= {f"{lead} {tag}": label for label, (_, tags) in NAMES.items() for tag in tags if tag != "mit" for lead in ("license", "licence")}
+SHORT |= {f"license {name}": label for label, (names, _) in NAMES.items() for name in names if len(name.split()) > 1}
+SHORT |= {"mit licensed": "mit", "bsd licensed": "bsd", "isc licensed": "isc", "apache 2 0 licensed": "apache-2.0", "the unlicense": "unlicense"}
 MIN_RUN = 3
 MIN_COVER = 0.75
 MAX_GAP = 12
@@ -195,15 +221,26 @@ class Scanner:
             close(t)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
-    def report(self, text: str | None) -> tuple:
-        """(n_words, n_base, first_word, last_word, base_labels, labels, score, spans): score is 1 with a base place, else the best cover."""
+    def longest(self, text: str | None) -> list[tuple[int, int, str]]:
+        """(first word, end word, label) of the base places that no longer one holds."""
+        out, reach = [], 0
+        for start, end, t in sorted(((s, s + self.sizes[t], t) for s, t in self.scan(text)[1]), key=lambda x: (x[0], -x[1])):
+            if end > reach:
+                out.append((start, end, self.labels[t]))
+                reach = end
+        return out
+
+    def report(self, text: str | None, short: Scanner) -> tuple:
+        """(n_words, n_base, first_word, last_word, base_labels, labels, score, spans): score is 1 with a base place or a short form, else the best cover."""
         n, places, runs = self.scan(text)
         spans = self.spans(runs) if runs else []
+        lines = short.longest(text)
         starts = [s for s, _ in places]
         base = {self.labels[t] for _, t in places}
-        own = {self.labels[t] for t, _, _, cover in spans if cover >= MIN_COVER}
-        score = 1.0 if places else min(1.0, max((c for *_, c in spans), default=0.0))
-        return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score, [(self.labels[t], s, e, c) for t, s, e, c in spans if c >= MIN_COVER]
+        found = [(self.labels[t], s, e, c) for t, s, e, c in spans if c >= MIN_COVER]
+        found = sorted(found + [(label, s, e, 1.0) for s, e, label in lines], key=lambda x: x[1])
+        score = 1.0 if places or lines else min(1.0, max((c for *_, c in spans), default=0.0))
+        return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[0] for x in found})), score, found
 
 
 @cache
@@ -211,13 +248,15 @@ def _scanner(base: tuple, templates: tuple) -> Scanner:
     return Scanner(dict(base), dict(templates))
 
 
-def scan_licences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan_licences(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, short: dict[str, str] = SHORT
+) -> DataFrame:
     """One row for each row of documents: (id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)."""
-    key = tuple(base.items()), tuple(templates.items())
+    key, lines = (tuple(base.items()), tuple(templates.items())), (tuple(short.items()), ())
 
     def run(texts):
-        scanner = _scanner(*key)
-        return [scanner.report(t) for t in texts]
+        scanner, forms = _scanner(*key), _scanner(*lines)
+        return [scanner.report(t, forms) for t in texts]
 
     fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, end: long, cover: double>>"
     return per_text(documents, id_col, text_col, run, fields).withColumnRenamed("id", id_col)

@@ -158,6 +158,34 @@ def test_licences_against_brute_force(spark, sf):
     assert license_scan.scan_licences(df.limit(0)).count() == 0
 
 
+ONE_LINE = {
+    "mit": ["Released under the MIT License.", "SPDX-License-Identifier: MIT", "MIT licensed"],
+    "apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "License: Apache-2.0"],
+    "bsd": ["Distributed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "isc": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
+    "gpl-notice": ["Licensed under the GNU General Public License.", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "lgpl-notice": ["Licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "mpl-2.0": ["Licensed under the Mozilla Public License, Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense": ["Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "cc0-1.0": ["Released under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"],
+    "cc-by-notice": ["Available under the Creative Commons Attribution licence", "SPDX-License-Identifier: CC-BY-3.0"],
+    "gpl-3.0-notice": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "cc-by-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
+}
+
+
+def test_each_licence_by_its_notice_and_its_one_line_forms(spark):
+    assert set(ONE_LINE) == set(license_scan.TEMPLATES) - {"copyright-notice"}
+    rows = [(label, t) for label, forms in ONE_LINE.items() for t in [license_scan.TEMPLATES[label], *forms, f"Some text.\n{forms[0]} More of it."]]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in license_scan.scan_licences(df).collect():
+        label, text = rows[r.doc_id]
+        assert label in r.labels.split(",") and label in {s.label for s in r.spans} and r.score >= license_scan.MIN_COVER, text
+    odd = ["Das ist eine Lizenz, license mit Text", "released under the old bridge", "licensed under the GNU GPL, version 3", "Licensed under CC BY-NC 4.0."]
+    got = {r.doc_id: r.labels for r in license_scan.scan_licences(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()}
+    assert got == {0: "", 1: "", 2: "gpl-3.0-notice", 3: "cc-by"}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=20))
 def test_matching_statistics(templates, text):
@@ -187,6 +215,30 @@ def test_fingerprints_algebra():
     assert f.of_text(None) == f.of_text("") == f() and f().likeness(f.of(a)) == 0.0
 
 
+def multiset_likeness(a, b):
+    a, b = Counter(a), Counter(b)
+    return (a & b).total() / (a | b).total() if a or b else 1.0
+
+
+def test_likeness_of_repetitive_and_long_texts():
+    f = multihash.Fingerprint
+    few, menu, long = [f"cell {i % 14}" for i in range(167)], ["menu"] * 5000, [f"line {i % 40_000}" for i in range(100_000)]
+    cases = [(few, few[:150]), (few, few[:125] + [f"new {i}" for i in range(42)]), (menu, menu[:4000] + ["x"] * 1000), (long, long[:75_000] + ["y"] * 25_000), (["a"] * 9, ["a"] * 8), (["a"], ["b"]), (few, menu)]
+    for a, b in cases:
+        assert abs(f.of(a).likeness(f.of(b)) - multiset_likeness(a, b)) < 0.15, (len(a), len(b))
+        assert f.of(a).likeness(f.of(b)) == f.of(b).likeness(f.of(a))
+    assert f.of(few).add(menu).remove(few).hex() == f.of(menu).hex()
+
+
+def test_near_edited_is_the_multiset_likeness(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = [r.text or "" for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text or ""))]
+    got = [r.near_edited for r in sorted(multihash.fingerprints(docs).select("doc_id", "near_edited").collect(), key=lambda r: r.doc_id)]
+    edited = [multihash.edited_text(t, texts[(k + 1) % len(texts)]) for k, t in enumerate(texts)]
+    off = np.abs(np.array(got) - [multiset_likeness(multihash.units(a), multihash.units(b)) for a, b in zip(texts, edited, strict=True)])
+    assert off.mean() < 0.04 and off.max() < 0.25
+
+
 def test_fingerprints_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
@@ -215,30 +267,6 @@ def test_fingerprints_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(multihash, "with_following", lambda d, i, t: original(d, i, t, rows_per_range=5))
     check_fingerprints(df, order, None)
     check_fingerprints(df.where("doc_id IS NOT NULL"), [r for r in order if r[0] is not None], None)
-def multiset_likeness(a, b):
-    a, b = Counter(a), Counter(b)
-    return (a & b).total() / (a | b).total() if a or b else 1.0
-
-
-def test_likeness_of_repetitive_and_long_texts():
-    f = multihash.Fingerprint
-    few, menu, long = [f"cell {i % 14}" for i in range(167)], ["menu"] * 5000, [f"line {i % 40_000}" for i in range(100_000)]
-    cases = [(few, few[:150]), (few, few[:125] + [f"new {i}" for i in range(42)]), (menu, menu[:4000] + ["x"] * 1000), (long, long[:75_000] + ["y"] * 25_000), (["a"] * 9, ["a"] * 8), (["a"], ["b"]), (few, menu)]
-    for a, b in cases:
-        assert abs(f.of(a).likeness(f.of(b)) - multiset_likeness(a, b)) < 0.15, (len(a), len(b))
-        assert f.of(a).likeness(f.of(b)) == f.of(b).likeness(f.of(a))
-    assert f.of(few).add(menu).remove(few).hex() == f.of(menu).hex()
-
-
-def test_near_edited_is_the_multiset_likeness(spark, sf):
-    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
-    texts = [r.text or "" for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text or ""))]
-    got = [r.near_edited for r in sorted(multihash.fingerprints(docs).select("doc_id", "near_edited").collect(), key=lambda r: r.doc_id)]
-    edited = [multihash.edited_text(t, texts[(k + 1) % len(texts)]) for k, t in enumerate(texts)]
-    off = np.abs(np.array(got) - [multiset_likeness(multihash.units(a), multihash.units(b)) for a, b in zip(texts, edited, strict=True)])
-    assert off.mean() < 0.04 and off.max() < 0.25
-
-
     check_fingerprints(df.where("doc_id = 4"), [r for r in order if r[0] == 4], None)
     assert multihash.fingerprints(df.limit(0)).count() == 0
     same = {r.fingerprint for r in multihash.fingerprints(df).collect() if r.doc_id == 3}
