@@ -5,9 +5,11 @@ its own (k-means on a bounded sample of `sample` vectors), and the product of th
 codebooks is a grid of cells. Every vector lives in its nearest cell. As a query, a vector
 visits cells from the nearest on by multi-sequence traversal (a heap over the
 two sorted half distances) until their distance is over that of the nearest by
-`slack`. The slack is measured so that the wanted share of neighbours at
-exactly the threshold is met: sampled vectors are turned by that angle in random
-directions, the hardest neighbours that count. All visited vectors are then
+`slack`. The slack is measured so that the wanted share of neighbours is met, and
+is the largest of what four kinds of neighbours ask for: sampled vectors turned by the
+threshold's angle in random directions of the full space, and in directions drawn with the sample's
+covariance (where vectors have a low rank, neighbours differ along what separates
+the cells); the sample's real neighbours; and those of them near the threshold. All visited vectors are then
 compared in double precision, in blocks of `block` by `block`.
 
 Equal vectors are collapsed first and count by their number. A cell with many
@@ -90,17 +92,37 @@ class MultiIndex:
         a, b = self.scores(x)
         return a.argmin(1) * len(self.c2) + b.argmin(1)
 
-    def _slack(self, x: np.ndarray, threshold: float, recall: float, rng: np.random.Generator) -> float:
-        x = x[rng.choice(len(x), 4000)]
-        turn = rng.standard_normal(x.shape)
-        turn -= (turn * x).sum(1)[:, None] * x
-        norm = np.linalg.norm(turn, axis=1)[:, None]
-        turn = np.where(norm > 1e-9, turn / np.maximum(norm, 1e-9), 0)
-        y = threshold * x + math.sqrt(1 - threshold**2) * turn
+    def _excess(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """How much further than its nearest cell each query at[k], with half distances a and b, must look to visit home[k]."""
+        i, j = np.divmod(home, len(self.c2))
+        return a[at, i] + b[at, j] - a.min(1)[at] - b.min(1)[at]
+
+    def _slack(self, sample: np.ndarray, threshold: float, recall: float, rng: np.random.Generator) -> float:
+        picked = rng.choice(len(sample), 4000)
+        x = sample[picked]
         a, b = self.scores(x)
-        i, j = np.divmod(self.home(y), len(self.c2))
-        at = np.arange(len(x))
-        return float(np.quantile(a[at, i] + b[at, j] - a.min(1) - b.min(1), recall)) + 1e-9
+        every = np.arange(len(x))
+        kinds = []
+        scale, axes = np.linalg.eigh(sample.T @ sample / len(sample))
+        drawn = rng.standard_normal(x.shape)
+        for turn in (drawn, (drawn * np.sqrt(np.maximum(scale, 0))) @ axes.T):
+            turn = turn - (turn * x).sum(1)[:, None] * x
+            norm = np.linalg.norm(turn, axis=1)[:, None]
+            turn = np.where(norm > 1e-9, turn / np.maximum(norm, 1e-9), 0)
+            kinds.append(self._excess(a, b, every, self.home(threshold * x + math.sqrt(1 - threshold**2) * turn)))
+        # Real neighbours: each picked vector once, with all of the sample.
+        home, (picked, first) = self.home(sample), np.unique(picked, return_index=True)
+        real, close = [], []
+        for lo in range(0, len(picked), 250):
+            at = first[lo : lo + 250]
+            cosine = x[at] @ sample.T
+            cosine[np.arange(len(at)), picked[lo : lo + 250]] = -1
+            q, y = np.nonzero(cosine >= threshold)
+            real.append(self._excess(a, b, at[q], home[y]))
+            close.append(cosine[q, y] <= threshold + 0.2 * (1 - threshold))
+        real, close = np.concatenate(real), np.concatenate(close)
+        kinds += [real, real[close]]
+        return max(float(np.quantile(k, recall)) for k in kinds if len(k)) + 1e-9
 
     def visits(self, x: np.ndarray) -> list[list[int]]:
         a, b = self.scores(x)

@@ -111,6 +111,25 @@ def test_vectors_against_brute_force(spark):
     assert np.mean([got["component_id"][i] == comp[i] for i in range(len(x))]) > 0.97
 
 
+@pytest.mark.parametrize("kind", ["rank 4", "rank 8", "spectrum", "clusters"])
+def test_recall_of_anisotropic_vectors(spark, kind):
+    """Neighbours that differ along the directions that separate the cells."""
+    rng = np.random.default_rng(6)
+    n, dim = 4000, 64
+    if kind == "clusters":
+        x = rng.standard_normal((400, dim))[rng.integers(0, 400, n)] + 0.3 * rng.standard_normal((n, dim))
+    elif kind == "spectrum":
+        x = rng.standard_normal((n, dim)) / np.arange(1, dim + 1)
+    else:
+        rank = int(kind.split()[1])
+        x = rng.standard_normal((n, rank)) @ rng.standard_normal((rank, dim))
+    got = multi_index.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).toPandas().set_index("id").sort_index()
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    n_links = (x @ x.T >= 0.9).sum(1) - 1
+    assert n_links.sum() > 5000 and (got["n_links"].to_numpy() <= n_links).all()
+    assert got["n_links"].sum() >= 0.98 * n_links.sum()
+
+
 def test_table_recall(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     pdf = df.toPandas()
