@@ -16,8 +16,8 @@ components or more are joined to families by their members, and a family is comp
 in blocks. What is left out this way is links inside a component that is
 already connected.
 
-Empty or null texts have no shingles and link with nothing. A document id that
-repeats is one document whose rows all get the class of the smallest; a null id
+Empty or null texts have no shingles and link with nothing. Where an id repeats, each distinct (id, text)
+is compared and placed apart; rows that are the same are one. A null id
 gets a null component and links with nothing. Other columns are carried through, whatever their names.
 """
 
@@ -28,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import block_roots, components, per_text, written
@@ -202,25 +202,8 @@ def _linked_in_blocks(sides: DataFrame, docs: DataFrame, width: int, threshold:
     return dealt.join(sets, "id").groupBy("c", "bq", "bm").applyInPandas(_linked_block(threshold), "a long, b long")
 
 
-def near_duplicates(
-    documents: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    threshold: float = 0.8,
-    side: int = 10,
-    rows: int = 2,
-) -> DataFrame:
-    """(id, n_shingles, component_id), one row per distinct id; see the module for the method.
-
-    A repeated id keeps the row of the smallest text (null first).
-    """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sigs = _signatures(docs, width, side, rows)
-    # Ids that repeat: one row each, the same for every run. min() over the short columns; texts don't move.
-    if sigs.groupBy("id").count().where("id IS NOT NULL AND count > 1").limit(1).count():
-        docs = docs.where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
-        sigs = _signatures(docs, width, side, rows)
+def _placed(docs: DataFrame, sigs: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(id, component_id) of the ids in docs(id, text), distinct or null, that have a link; sigs: their signatures."""
     real = sigs.where("id IS NOT NULL AND n_shingles > 0")
 
     # Equal sets: one representative, the smallest id.
@@ -280,14 +263,67 @@ def near_duplicates(
     # Copies take the component of their representative.
     of = found.select(F.col("id").alias("rep"), F.col("component_id").alias("rc"))
     copied = copies.join(of, "rep", "left").select("id", F.coalesce("rc", "rep").alias("component_id"))
-    placed = written(found.unionByName(copied), "placed")
-    return sigs.join(placed, "id", "left").select("id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return written(found.unionByName(copied), "placed")
+
+
+def _named(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def _classes(documents: DataFrame, id_col: str, text_col: str, width: int, threshold: float, side: int, rows: int) -> tuple[DataFrame, bool]:
+    """(id, n_shingles, component_id, first, ...) and whether an id repeats; first: nothing of its group has a smaller (id, text).
+
+    If an id repeats there is a row for each distinct (id, text), with the text's hashes t1 and t2; null ids have a row each time.
+    """
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sigs = _signatures(docs, width, side, rows)
+    if not sigs.groupBy("id").count().where("id IS NOT NULL AND count > 1").limit(1).count():
+        out = sigs.join(_placed(docs, sigs, width, threshold), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+        return out.withColumn("first", F.col("id").isNull() | (F.col("id") == F.col("component_id"))).select("id", "n_shingles", "component_id", "first"), False
+    # Each distinct (id, text) is a node; texts are the smaller the earlier in the alphabet, null first.
+    nodes = docs.where("id IS NOT NULL").distinct().select(F.monotonically_increasing_id().alias("node"), F.col("id").alias("doc"), "text")
+    nodes = written(nodes, "nodes")
+    texts = nodes.select(F.col("node").alias("id"), "text")
+    node_sigs = _signatures(texts, width, side, rows)
+    placed = _placed(texts, node_sigs, width, threshold).select(F.col("id").alias("node"), F.col("component_id").alias("c"))
+    short = node_sigs.select(F.col("id").alias("node"), "n_shingles")
+    every = nodes.join(short, "node").join(placed, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    key = F.struct(F.col("doc"), F.col("text").isNotNull().alias("real"), F.coalesce("text", F.lit("")).alias("text"), F.col("node"))
+    low = written(every.groupBy("c").agg(F.min("doc").alias("component_id")), "lowest")
+    # Only the texts of a group's smallest id are compared.
+    heads = every.join(low, "c").where("doc = component_id").groupBy("c").agg(F.min(key).getField("node").alias("head"))
+    heads = written(heads, "heads")
+    out = every.join(low, "c").join(heads, "c").select(F.col("doc").alias("id"), "n_shingles", "component_id", (F.col("node") == F.col("head")).alias("first"), *_named(F.col("text")))
+    nulls = sigs.where("id IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("first"), F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"))
+    return written(out.unionByName(nulls), "classes"), True
+
+
+def near_duplicates(
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    threshold: float = 0.8,
+    side: int = 10,
+    rows: int = 2,
+) -> DataFrame:
+    """(id, n_shingles, component_id), one row for each distinct id, or, where an id has several texts, for each distinct (id, text);
+
+    rows with a null id have a row each. component_id is the smallest id of the group. See the module for the method.
+    """
+    found, _ = _classes(documents, id_col, text_col, width, threshold, side, rows)
+    return found.select("id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
 
 
-def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """documents with one row for each group of near duplicates: that with the smallest id. Rows with a null id stay.
+def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, side: int = 10, rows: int = 2) -> DataFrame:
+    """documents with one row for each group of near duplicates: that with the smallest id, and of its texts the smallest. Rows with a null id stay.
 
-    Rows that repeat an id stay as often as they come, if that id is kept.
+    Rows that are the same stay as often as they come, if they are kept; rows with one id and different texts are judged apart.
     """
-    gone = near_duplicates(documents, id_col, text_col, **how).where("id <> component_id").select(F.col("id").alias("__gone"))
-    return documents.join(written(gone, "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    found, repeats = _classes(documents, id_col, text_col, width, threshold, side, rows)
+    gone = found.where("NOT first")
+    if not repeats:
+        return documents.join(written(gone.select(F.col("id").alias("__gone")), "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = written(gone.select(F.col("id").alias("__gone"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")), "gone")
+    t1, t2 = _named(F.col(text_col).cast("string"))
+    return documents.join(gone, (F.col(id_col).cast("long") == F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left_anti")
