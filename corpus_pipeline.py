@@ -35,9 +35,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document: (doc_id, lang, source, n_tokens, ids)."""
-    done = bpe.encode_decode(docs, vocabulary_path(), keep=("lang", "source"), decoded=False)
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Token ids of each document and the text that they decode to: (doc_id, lang, source, n_tokens, ids, decoded)."""
+    done = bpe.encode_decode(docs, vocabulary_path(), keep=("lang", "source"))
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("bpe", bpe_ids)]

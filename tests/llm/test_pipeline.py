@@ -115,6 +115,15 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() == odd.count()
 
 
+def test_last_stage_decodes(spark):
+    texts = ["The cat sat on the mat.", "Ünïcödé  and   spaces\n", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect():
+        ids = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
+
+
 def test_registry():
     names = __spark_entry__.queries()
     assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == list(queries.QUERIES)
