@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def item_factors(events: DataFrame, rank: int = 16, rounds: int = 5, seed: int = 42) -> DataFrame:
+def item_factors(events: DataFrame, rank: int = 64, rounds: int = 20, seed: int = 42) -> DataFrame:
     """(aid, vec) by implicit-feedback factorisation of session x item counts."""
     n = events.groupBy(F.col("session").cast("int").alias("u"), F.col("aid").cast("int").alias("i")).agg(F.count("*").cast("float").alias("n"))
     als = ALS(rank=rank, maxIter=rounds, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="n", seed=seed)
     return als.fit(n).itemFactors.select(F.col("id").cast("long").alias("aid"), F.col("features").alias("vec"))
 
 
-def item_vectors(events: DataFrame, size: int = 50, window: int = 3, rounds: int = 1, seed: int = 42) -> DataFrame:
+def item_vectors(events: DataFrame, size: int = 50, window: int = 3, rounds: int = 5, seed: int = 42) -> DataFrame:
     """(aid, vec) by word2vec over sessions as sentences."""
     s = events.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "eid", "aid"))), lambda x: x["aid"].cast("string")).alias("words"))
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=rounds, seed=seed, inputCol="words", outputCol="v").fit(s)

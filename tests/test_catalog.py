@@ -65,3 +65,13 @@ def test_streams(spark, sf, tmp_path):
     q.awaitTermination()
     assert spark.table("live").count() == batch > 0
     assert live.live_subsessions(live.with_time(spark.read.parquet(f"{tmp_path}/in"))).agg({"n": "sum"}).first()[0] == spark.read.parquet(f"{tmp_path}/in").count()
+
+
+def test_registered_models_have_the_reference_settings(spark, sf, monkeypatch):
+    """mf_train: 64 dimensions and 20 rounds; w2v_train: 5 passes."""
+    seen, als, w2v = [], models.ALS, models.Word2Vec
+    monkeypatch.setattr(models, "ALS", lambda **how: seen.append((how["rank"], how["maxIter"])) or als(**how))
+    monkeypatch.setattr(models, "Word2Vec", lambda **how: seen.append(how["maxIter"]) or w2v(**how))
+    assert {len(r.vec) for r in catalog.QUERIES["mf_train"](spark, sf).limit(5).collect()} == {64}
+    assert catalog.QUERIES["w2v_train"](spark, sf).limit(5).count() == 5
+    assert seen == [(64, 20), 5]
