@@ -1,15 +1,17 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
 For each prefix of a word there is exactly one token that ends its encoding.
-The tokens that end at a position come from an automaton over the vocabulary
-(suffix matches); such a token ends the prefix if it goes with the last token of the
+The tokens that end at a position come from a suffix automaton of the vocabulary: the word is
+read once, the state tells the longest string of the vocabulary that ends here, and its suffix links
+lead to the tokens among that string's suffixes, the longest first. Such a token ends the prefix if it goes with the last token of the
 prefix before it: the pair is compatible when undoing both tokens' merges, latest
 first, never shows a merge across their border that would have come earlier. So the table `last`
 is filled from left to right and back-pointers give the exact ids.
 
-Files are those of the tokenizers library with a BPE model, a word-end suffix and the
-normalisation NFC, blanks, lower case. As pieces never span white space, texts are cut
-at white space and each distinct chunk is encoded once for as long as the cache holds it.
+Files are those of the tokenizers library with a BPE model and a word-end suffix, whose normaliser and pre-tokenizer don't look across
+white space. So texts are cut at white space and each distinct chunk is encoded once for as long as the cache holds it. Chunks of
+printable ASCII and letters of Latin-1 are normalised and cut here; all others by the file's own normaliser and pre-tokenizer in the library, whose tables of letters,
+compositions and cases differ from Python's.
 
 Null and empty texts have no ids and decode to the empty text. Special tokens in a text become their ids, as in the library.
 """
@@ -17,9 +19,10 @@ Null and empty texts have no ids and decode to the empty text. Special tokens in
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
-import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -28,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from sessionloom.llm.automaton import Automaton
 from sessionloom.llm.common import slices, workers_find_package
 
 CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 300_000, 400_000, 1_000_000
-#: White space of the library's patterns; str.split() also cuts at 0x1c to 0x1f.
+#: White space as the library knows it; str.split() also cuts at 0x1c to 0x1f.
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
-_BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def chunks(text: str) -> list[str]:
@@ -50,6 +54,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+class Cutter:
+    """A chunk between white space -> its pieces, spelled in byte letters, as the file's normaliser and pre-tokenizer make them."""
+
+    #: Printable ASCII and the letters of Latin-1: composed already, and with the same case and class in any version of Unicode.
+    _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+    _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+
+    def __init__(self, spec: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        j = json.loads(spec)
+        pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        # On plain chunks in lower case the file's classes are these.
+        self._plain = re.compile(pattern.replace("\\p{L}", self._LETTERS).replace("\\p{N}", "0-9")).findall
+        self._word = re.compile(f"([{self._LETTERS}]+)([.,;:!?]*)").fullmatch
+        empty = Tokenizer.from_str(json.dumps({**j, "added_tokens": [], "model": {**j["model"], "vocab": {}, "merges": []}}))
+        self._normal, self._cut = empty.normalizer.normalize_str, empty.pre_tokenizer.pre_tokenize_str
+        self._letters = byte_letters()
+
+    def pieces(self, chunk: str) -> list[str]:
+        if not self._PLAIN(chunk):
+            return [p for p, _ in self._cut(self._normal(chunk))]
+        chunk = chunk.lower()
+        word = self._word(chunk)
+        got = self._plain(chunk) if word is None else [x for x in word.groups() if x]
+        return got if chunk.isascii() else ["".join([self._letters[b] for b in p.encode()]) for p in got]
+
+
 class _Held(dict):
     """A cache that starts anew when it is full."""
 
@@ -65,44 +98,44 @@ class _Held(dict):
 
 
 class WordBPE:
-    END = "\n"  # stands for the word-end suffix; no byte letter
+    END = 256  # stands for the word-end suffix; no byte
 
     def __init__(self, spec: str):
-        import ahocorasick
-        import regex
-
         j = json.loads(spec)
         model, suffix = j["model"], j["model"]["end_of_word_suffix"]
         self.tokens = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self._pieces = regex.compile(pattern)
+        self.cutter = Cutter(spec)
         ids = model["vocab"]
-        own = {}  # internal spelling -> id
-        for t, i in ids.items():
-            own[t.removesuffix(suffix) + self.END if t.endswith(suffix) and t != suffix else t] = i
+        self._code = {letter: b for b, letter in enumerate(byte_letters())}
         self.rank, self.made = {}, {}  # (left, right) -> rank; id -> (rank, left, right)
         for r, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             pair = ids[a], ids[b]
             self.rank.setdefault(pair, r)
             self.made.setdefault(ids[a + b], (r, *pair))
-        self.auto = ahocorasick.Automaton()
-        for t, i in own.items():
-            if self._stable(i, t):
-                self.auto.add_word(t, (i, len(t)))
-        self.auto.make_automaton()
-        self._letters = byte_letters()
+        auto, own = Automaton(), {}
+        for t, i in ids.items():
+            ended = t.endswith(suffix) and t != suffix
+            letters = [self._code.get(c, -1) for c in (t.removesuffix(suffix) if ended else t)]
+            if -1 not in letters and self._stable(i, len(letters)):
+                own[auto.add(letters + [self.END] * ended)] = i
+        self._go = {s << 9 | c: to for s, go in enumerate(auto.go) for c, to in go.items()}
+        self._link, self._length = array("i", [max(0, s) for s in auto.link]), array("i", auto.length)
+        # The token that a state's longest string is (-1: none), and the nearest state on its suffix links, itself included, that has one.
+        self._token, self._near = array("i", [own.get(s, -1) for s in range(len(auto.go))]), array("i", [0] * len(auto.go))
+        for s in sorted(range(1, len(auto.go)), key=auto.length.__getitem__):
+            self._near[s] = s if s in own else self._near[auto.link[s]]
         self.goes = _Held(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS_HELD)
         self.piece = _Held(self._piece, PIECES_HELD)
         self.chunk = _Held(self._chunk, CHUNKS_HELD)
 
-    def _stable(self, token: int, spelling: str) -> bool:
+    def _stable(self, token: int, letters: int) -> bool:
         """Whether the token's own spelling encodes to it: a letter, or made by a merge that nothing comes before."""
         if token not in self.made:
-            return len(spelling) - spelling.endswith(self.END) == 1
+            return letters == 1
         _, a, b = self.made[token]
         return self._compatible(a, b, self.rank[a, b])
 
@@ -122,17 +155,28 @@ class WordBPE:
                 bound, right = b[0] + 1, b[1]
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids as little-endian int32, and decoded text, of one piece of normalised text."""
-        word = "".join([self._letters[b] for b in piece.encode("utf-8", "surrogatepass")]) + self.END
+        """Ids as little-endian int32, and decoded text, of one piece in byte letters."""
+        word = [*piece.encode(), self.END] if piece.isascii() else [*[self._code[c] for c in piece], self.END]
         n = len(word)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        goes = self.goes
-        for end, (token, size) in self.auto.iter(word):
-            end += 1
-            if last[end] < 0:
-                start = end - size
-                if start == 0 or (last[start] >= 0 and goes[last[start] << 32 | token]):
-                    last[end], back[end] = token, start
+        go, link, length, near, token, goes = self._go, self._link, self._length, self._near, self._token, self.goes
+        state = size = 0
+        for end, c in enumerate(word, 1):
+            while (to := go.get(state << 9 | c)) is None and state:
+                state = link[state]
+                size = length[state]
+            if to is None:
+                size = 0
+                continue
+            state, size = to, size + 1
+            # Tokens among the suffixes of what is matched: the state's longest string only if all of it is.
+            at = near[state if length[state] == size else link[state]]
+            while at:
+                start = end - length[at]
+                if start == 0 or (last[start] >= 0 and goes[last[start] << 32 | token[at]]):
+                    last[end], back[end] = token[at], start
+                    break
+                at = near[link[at]]
         out = []
         while n:
             out.append(last[n])
@@ -143,20 +187,9 @@ class WordBPE:
     def _value(self, ids: list[int]) -> tuple[bytes, str]:
         return struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
 
-    def _normal(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return "".join([c.lower() for c in text]) if "Σ" in text else text.lower()  # the library knows no final sigma
-
     def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a normalised run without white space."""
-        if chunk.isalpha():
-            return self.piece[chunk]
-        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            got = self.piece[chunk[:-1]], self.piece[chunk[-1]]
-        else:
-            got = [self.piece[x] for x in self._pieces.findall(chunk)]
+        """Ids and decoded text of a run without white space."""
+        got = [self.piece[x] for x in self.cutter.pieces(chunk)]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
     def decode(self, ids) -> str:
@@ -167,12 +200,13 @@ class WordBPE:
         """Ids as little-endian int32, and decoded text."""
         if not text:
             return b"", ""
-        if self._special and any(x in text for x in self.special):
-            got = []
-            for part in self._special.split(text):
-                got += [self._value([self.special[part]])] if part in self.special else map(self.chunk.__getitem__, chunks(self._normal(part)))
-        else:
-            got = list(map(self.chunk.__getitem__, chunks(self._normal(text))))
+        got = []
+        for part in self._special.split(text) if self._special and any(x in text for x in self.special) else (text,):
+            if part in self.special:
+                got.append(self._value([self.special[part]]))
+            else:
+                got += map(self.chunk.__getitem__, chunks(part.lower() if part.isascii() else part))
+        got = [g for g in got if g[0]]
         return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
 
     def encode(self, text: str | None) -> list[int]:

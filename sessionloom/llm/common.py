@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+import zipfile
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,16 +29,55 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that holds this application's scratch tables."""
+    return f"{shared_dir(spark)}/sessionloom-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what results of this application still read; call it when they are no longer wanted."""
+    delete_path(spark, scratch_dir(spark))
+
+
+@contextmanager
+def scratch():
+    """Tables written inside go when the block ends, but for those that the block passes to keep()."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for spark, path in stack.pop():
+            delete_path(spark, path)
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once. It goes with the scratch() around it."""
+    out, path = _write(df, name)
+    stack = _scopes.__dict__.get("stack")
+    if stack:
+        stack[-1].append((df.sparkSession, path))
+    return out
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """The result of a scratch() block, as a table that outlives it but belongs to the next scratch() around, if there is one."""
+    out, path = _write(df, name)
+    stack = _scopes.__dict__.get("stack") or []
+    if len(stack) > 1:
+        stack[-2].append((df.sparkSession, path))
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -44,11 +87,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package by name, so its root goes on their path."""
-    env = spark.sparkContext.environment
-    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in parts:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    """Python workers import this package by name, so it is sent to them, once for each application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sessionloom_sent", False):
+        return
+    name = os.path.basename(PACKAGE)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sessionloom-")), f"{name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(PACKAGE):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, PACKAGE)))
+    sc.addPyFile(path)
+    sc._sessionloom_sent = True
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names for helper columns, none of which is one of columns (which Spark compares without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -61,39 +124,40 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     written before it is joined back, so adaptive execution sees its size and
     can split a hub's rows. Self loops and repeated edges are allowed; nulls are dropped.
     """
-    edges = written(
-        edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        name,
-    )
-    nodes = edges
-
-    def state(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = state(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
-        edges = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
-        least = written(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+    with scratch():
         edges = written(
-            edges.join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .unionByName(least.select("u", F.col("m").alias("v")))
+            edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+            .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .distinct(),
             name,
         )
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    heads = nodes.select(F.col("u").alias("id")).unionByName(nodes.select(F.col("v").alias("id"))).distinct()
-    return written(
-        heads.join(edges.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component_id")), name
-    )
+        nodes = edges
+
+        def state(e: DataFrame):
+            return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+        before = state(edges)
+        while before[0]:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+            edges = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+            least = written(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+            edges = written(
+                edges.join(least, "u")
+                .select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .where("u <> v")
+                .unionByName(least.select("u", F.col("m").alias("v")))
+                .distinct(),
+                name,
+            )
+            now = state(edges)
+            if now == before:
+                break
+            before = now
+        heads = nodes.select(F.col("u").alias("id")).unionByName(nodes.select(F.col("v").alias("id"))).distinct()
+        return keep(
+            heads.join(edges.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component_id")), name
+        )
 
 
 def per_text(documents: DataFrame, id_col: str, text_col: str, fn, fields: str) -> DataFrame:

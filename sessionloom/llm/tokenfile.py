@@ -7,100 +7,79 @@ id), so most take one byte. A block holds whole documents:
 
 all little-endian. Four ids share a control byte of four two-bit fields: bytes of
 the id less one, lowest bits first; data bytes follow without gaps. `start` is the
-number of ids in all documents before the block. Blocks are rows (shard, block,
-payload) of Parquet files partitioned by shard, so Spark's committer
+number of ids in all documents of the shard before the block; `shards.parquet` has that of all shards before each. Blocks are rows (shard, block,
+n_ids, payload) of Parquet files partitioned by shard, so Spark's committer
 writes them on any file system and lost tasks are simply run again; shards and
-blocks are in ascending order of document id (nulls first, then by text). `ranks.parquet`
+blocks are in ascending order of document id (nulls first; of equal ids by a hash of their token ids). `ranks.parquet`
 beside them tells which id has which rank.
 
-The corpus is tokenised once: a first table holds plain ids by block and each range's counts.
-Null and empty texts hold just the end id. Rows that repeat are written each.
+Texts are tokenised where they are read. What is then sorted by document id are token ids, two bytes each, and a document id with
+many rows spreads over several shards. Null and empty texts hold just the end id. Rows that repeat are written each.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import struct
-import unicodedata
 import zlib
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.bpe import byte_letters, chunks
+from sessionloom.llm.bpe import Cutter, chunks
 from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, slices, workers_find_package
 
 IDS_A_BLOCK = 400_000
 MAGIC = b"FRSV"
 
 
-#: Texts of these letters are lower-cased here before they are cut, which the library would do the same; any others go to it as they are.
-_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f\u2010-\u2027]|<[|]")
-
-_LATIN = re.compile("[a-zà-öø-ÿ]+").fullmatch
-
-
-def plain(text: str) -> bool:
-    """Whether lower-casing the text here is what the library does before it cuts."""
-    if text.isascii():
-        return "<|" not in text
-    return not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text)
-
-
 class LibraryTokenizer:
-    """The tokenizers library over chunks between white space; what a chunk encodes to doesn't depend on its neighbours.
-
-    A word and the mark after it are looked up apart, as the library takes them apart.
+    """The tokenizers library, step by step: added tokens, its normaliser and pre-tokenizer on each distinct chunk between white space
+    (see bpe.Cutter), its model on each distinct piece. None of them looks across white space, so the ids are those of whole texts.
     """
 
     def __init__(self, spec: str, held: int = 500_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.model, self.letters = self.library.model, byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cutter = Cutter(spec)
+        library = Tokenizer.from_str(spec)
+        self.model = library.model
+        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        self.added = {t: struct.pack("<I", i) for t, i in added.items()}
+        self._added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.known: dict[str, bytes] = dict(self.added)
+        self.pieces: dict[str, bytes] = {}
         self.held = held
 
-    @staticmethod
-    def cut(text: str | None) -> list[str]:
+    def cut(self, text: str | None) -> list[str]:
+        """Chunks and added tokens. ASCII texts are lower-cased here, as the library does."""
         if not text:
             return []
-        return chunks(text.lower() if plain(text) else text)
+        if self._added and any(x in text for x in self.added):
+            return [c for part in self._added.split(text) for c in ([part] if part in self.added else chunks(part))]
+        return chunks(text.lower() if text.isascii() else text)
 
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        return (chunk[:-1], chunk[-1]) if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha() else (chunk,)
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian uint32. What is new in these texts goes to the library together."""
-        cut = [self.cut(t) for t in texts]
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian uint32."""
         if len(self.known) > self.held:
-            self.known = {}
-        if len(self.words) > self.held:
-            self.words = {}
-        known, words = self.known, self.words
-        new = {c: self.parts(c) for c in {c for own in cut for c in own if c not in known}}
-        fresh = []
-        for p in {p for parts in new.values() for p in parts if p not in words}:
-            if _LATIN(p):  # one piece that is normal already: the library's model alone does it
-                spelled = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-                words[p] = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(spelled)])}I", *ids)
-            else:
-                fresh.append(p)
-        for at in range(0, len(fresh), 5000):
-            some = fresh[at : at + 5000]
-            for c, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                words[c] = struct.pack(f"<{len(ids := e.ids)}I", *ids)
-        for c, parts in new.items():
-            known[c] = words[c] if len(parts) == 1 else words[parts[0]] + words[parts[1]]
-        return [b"".join([known[c] for c in own]) for own in cut]
+            self.known = dict(self.added)
+        if len(self.pieces) > self.held:
+            self.pieces = {}
+        known, pieces = self.known, self.pieces
+        cut = self.cut(text)
+        for c in set(cut).difference(known):
+            own = self.cutter.pieces(c)
+            for p in own:
+                if p not in pieces:
+                    pieces[p] = self._piece(p)
+            known[c] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+        return b"".join([known[c] for c in cut])
 
 
 @cache
@@ -174,58 +153,43 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     workers_find_package(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = docs.repartitionByRange(shards, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    schema = "shard int, block int, docs array<long>, lengths array<int>, n_ids long, ids binary, counts boolean"
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = "id long, seq long, n int, ids binary, counts boolean"
     kinds = arrow_schema(schema)
 
     def plain(batches):
+        """A row for each document, numbered; at last one row of how often each id came."""
         import pyarrow as pa
         from pyspark import TaskContext
 
-        shard, block = TaskContext.get().partitionId(), 0
         lib, end = library(sent.value), np.array([end_id], "<u4").tobytes()
-        seen = np.zeros(0, np.int64)
-        names: list = []
-        parts: list[bytes] = []
+        seq, seen = TaskContext.get().partitionId() << 33, np.zeros(0, np.int64)
 
-        def row(names, lengths, raw, counts):
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "docs": names, "lengths": lengths, "n_ids": sum(lengths), "ids": raw, "counts": counts}], schema=kinds)
+        def rows(ids, raw, sizes, counts):
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(range(seq, seq + len(raw)), pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array([counts] * len(raw))], schema=kinds)
 
-        def flush():
-            nonlocal seen
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            now = np.bincount(ids)
-            if len(now) > len(seen):
-                seen = np.concatenate([seen, np.zeros(len(now) - len(seen), np.int64)])
-            seen[: len(now)] += now
-            # The first byte tells how wide the ids are.
-            raw = b"\x02" + ids.astype("<u2").tobytes() if ids.max() <= 0xFFFF else b"\x04" + ids.tobytes()
-            return row(list(names), [len(p) // 4 for p in parts], raw, False)
-
-        size = 0
         for batch in batches:
-            id_list, at = batch.column(0).to_pylist(), 0
+            at, id_list = 0, batch.column(0).to_pylist()
             for texts in slices(batch.column(1).to_pylist()):
-                for p in lib.encode_all(texts):
-                    names.append(id_list[at])
-                    parts.append(p + end)
-                    size += len(p) // 4 + 1
-                    at += 1
-                    if size >= IDS_A_BLOCK:
-                        yield flush()
-                        block, size = block + 1, 0
-                        names.clear()
-                        parts.clear()
-        if names:
-            yield flush()
-            block += 1
+                raw = [lib.encode(t) + end for t in texts]
+                ids = np.frombuffer(b"".join(raw), "<u4")
+                now = np.bincount(ids, minlength=len(seen))
+                now[: len(seen)] += seen
+                seen = now
+                sizes = [len(x) // 4 for x in raw]
+                if ids.max() <= 0xFFFF:  # the first byte tells how wide a document's ids are
+                    short, ends = ids.astype("<u2").tobytes(), np.cumsum(sizes).tolist()
+                    raw = [b"\x02" + short[2 * (e - n) : 2 * e] for e, n in zip(ends, sizes, strict=True)]
+                else:
+                    raw = [b"\x04" + x for x in raw]
+                yield rows(id_list[at : at + len(texts)], raw, sizes, False)
+                at += len(texts)
+                seq += len(texts)
         if len(seen):
-            yield row([], [], seen.astype("<i8").tobytes(), True)
+            yield rows([None], [seen.astype("<i8").tobytes()], [0], True)
 
     staged_path = fresh_dir(spark, "plain-ids")
-    ranged.mapInArrow(plain, schema).write.option("compression", "zstd").parquet(staged_path)
+    docs.mapInArrow(plain, schema).write.option("compression", "zstd").parquet(staged_path)
     staged = spark.read.schema(schema).parquet(staged_path)
 
     def split_counts(batches):
@@ -244,66 +208,79 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     rank_of[order] = np.arange(len(order))
     ranks = spark.sparkContext.broadcast(rank_of)
     spark.createDataFrame([(k, int(t)) for k, t in enumerate(order)], "rank int, token int").coalesce(1).write.parquet(f"{path}/ranks.parquet")
-
-    # Where each block starts: shards' totals first, then blocks within a shard.
-    sizes = staged.where("NOT counts").select("shard", "block", "n_ids")
-    totals = sorted((r.shard, r.n) for r in sizes.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())  # one row a shard
-    before, run = [], 0
-    for shard, n in totals:
-        before.append((shard, run))
-        run += n
-    within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("within"))
-    starts = starts.join(F.broadcast(spark.createDataFrame(before, "shard int, before long")), "shard").select("shard", "block", (F.col("before") + F.col("within")).alias("start"))
-    out = "shard int, block int, payload binary"
+    out = "shard int, block int, n_ids long, payload binary"
     out_kinds = arrow_schema(out)
 
-    def encode(batches):
+    def blocks(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        shard, block, start = TaskContext.get().partitionId(), 0, 0
+        names: list = []
+        sizes: list[int] = []
+        parts: list[np.ndarray] = []
+
+        def flush():
+            nonlocal block, start
+            n = sum(sizes)
+            payload = pack(names, np.array(sizes, "<u4"), ranks.value[np.concatenate(parts)], start)
+            row = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], schema=out_kinds)
+            block, start = block + 1, start + n
+            names.clear(), sizes.clear(), parts.clear()
+            return row
+
+        held = 0
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = r["ids"]
-                ids = np.frombuffer(raw, f"<u{raw[0]}", offset=1)
-                payload = pack(r["docs"], np.array(r["lengths"], "<u4"), ranks.value[ids], r["start"])
-                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "block": r["block"], "payload": payload}], schema=out_kinds)
-
-    # One row a block: small enough to broadcast at 400,000 ids a block, but Spark decides by its size.
-    blocks = staged.where("NOT counts").select("shard", "block", "docs", "lengths", "ids").join(starts, ["shard", "block"])
-    with_batches(spark, 8, lambda: blocks.mapInArrow(encode, out).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks"))
+            for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = raw.as_py()
+                names.append(id_)
+                parts.append(np.frombuffer(raw, f"<u{raw[0]}", offset=1))
+                sizes.append(len(parts[-1]))
+                held += sizes[-1]
+                if held >= IDS_A_BLOCK:
+                    yield flush()
+                    held = 0
+        if names:
+            yield flush()
+
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = staged.where("NOT counts").select("id", "ids", "seq").withColumn("h", F.xxhash64("ids"))
+    keys = [F.col("id").asc_nulls_first(), F.col("h"), F.col("seq")]
+    ranged = ranged.repartitionByRange(shards, *keys).sortWithinPartitions(*keys).select("id", "ids")
+    ranged.mapInArrow(blocks, out).write.partitionBy("shard").option("compression", "zstd").parquet(f"{path}/blocks")
+    totals = _blocks(spark, path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()  # one row a shard
+    before, run = [], 0
+    for shard, n in sorted((r.shard, r.n) for r in totals):
+        before.append((shard, run))
+        run += n
+    spark.createDataFrame(before, "shard int, before long").coalesce(1).write.parquet(f"{path}/shards.parquet")
     delete_path(spark, staged_path)
 
 
-def with_batches(spark: SparkSession, rows: int, do) -> None:
-    """do() with few rows in an Arrow batch, as each is large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
-        do()
-    finally:
-        spark.conf.set(key, was)
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("block int, n_ids long, payload binary, shard int").parquet(f"{path}/blocks")
 
 
 def _read(spark: SparkSession, path: str, schema: str, make) -> DataFrame:
-    """make(ids, start of each document and the end, tokens of the block) -> arrays of schema's columns."""
+    """make(start of each document and the end, tokens of the block) -> arrays of schema's columns after the first two."""
     workers_find_package(spark)
     ranks = spark.read.parquet(f"{path}/ranks.parquet").orderBy("rank").collect()  # as many rows as the vocabulary has ids at most
-    sent = spark.sparkContext.broadcast(np.array([r.token for r in ranks] or [0], "<i4"))
+    before = {r.shard: r.before for r in spark.read.parquet(f"{path}/shards.parquet").collect()}  # one row a shard
+    sent = spark.sparkContext.broadcast((np.array([r.token for r in ranks] or [0], "<i4"), before))
     kinds = arrow_schema(schema)
 
     def decode(batches):
         import pyarrow as pa
 
+        tokens, before = sent.value
         for batch in batches:
-            for block in batch.column(0):
+            for shard, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, lengths, ranks, start = unpack(block.as_py())
                 offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-                columns = [pa.array(ids, pa.int64()), pa.array(start + offsets[:-1]), *make(offsets, sent.value[ranks])]
+                columns = [pa.array(ids, pa.int64()), pa.array(before[shard] + start + offsets[:-1]), *make(offsets, tokens[ranks])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
-    blocks = spark.read.schema("block int, payload binary, shard int").parquet(f"{path}/blocks")
-    return blocks.select("payload").mapInArrow(decode, schema)
+    return _blocks(spark, path).select("shard", "payload").mapInArrow(decode, schema)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

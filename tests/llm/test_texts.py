@@ -51,6 +51,48 @@ def test_bpe_is_the_library(text):
     assert (own.encode(text), own.encode_bytes(text)[1]) == library(text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.text(alphabet=st.characters(min_codepoint=0x300, max_codepoint=0x36F), max_size=3), st.sampled_from(["İ", "'s", "'LL", ",", "Σ", "ς", " ", "\x1d", "<|endoftext|>", "가", "각", "á̧"])), max_size=12).map("".join))
+def test_both_encoders_are_the_library_on_all_planes(text):
+    own = bpe.tokenizer(SPEC)
+    ids, decoded = library(text)
+    assert (own.encode(text), own.encode_bytes(text)[1]) == (ids, decoded)
+    assert np.frombuffer(tokenfile.library(SPEC).encode(text), "<u4").tolist() == ids
+
+
+@pytest.mark.parametrize("pattern", ["%s,", "a%s1", "x%s y"])
+def test_both_encoders_on_every_code_point(pattern):
+    """Of planes 0 to 2 and 14; beyond them a sample, as nothing is assigned there."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x2FA20 or 0xE0000 <= c < 0xE0200 or c % 997 == 0)]
+    texts = [pattern % chr(c) for c in points]
+    own, lib = bpe.tokenizer(SPEC), tokenfile.library(SPEC)
+    want = [e.ids for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+    assert not [t for t, ids in zip(texts, want, strict=True) if own.encode(t) != ids]
+    assert not [t for t, ids in zip(texts, want, strict=True) if lib.encode(t) != np.array(ids, "<u4").tobytes()]
+
+
+def test_tokens_by_suffix_links_are_all_that_end_there():
+    """The automaton's tokens at each position against a search for every suffix in the vocabulary."""
+    own = bpe.tokenizer(SPEC)
+    known = {}
+    for s, t in enumerate(own._token):
+        if t >= 0:
+            known[own.tokens[t]] = t
+    for word in ("internationalization", "theeere", "strengths", "zzxqj"):
+        state = size = 0
+        for end, c in enumerate([*word.encode(), own.END], 1):
+            while (to := own._go.get(state << 9 | c)) is None and state:
+                state, size = own._link[state], own._length[own._link[state]]
+            state, size = (0, 0) if to is None else (to, size + 1)
+            at, found = own._near[state if own._length[state] == size else own._link[state]], []
+            while at:
+                found.append(own._token[at])
+                at = own._near[own._link[at]]
+            spelled = word + "</w>" if end > len(word) else word[:end]
+            want = [known[spelled[k:]] for k in range(min(end, len(word))) if spelled[k:] in known]
+            assert found == want
+
+
 def test_bpe_query(spark):
     got = bpe.encode_decode(frame(spark, ODD), PATH).collect()
     assert len(got) == len(ODD) + 2
