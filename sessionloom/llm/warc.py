@@ -3,8 +3,10 @@
 Each page becomes one gzip member in a .warc.gz file: `response` with the page,
 or `revisit` where an equal payload of at least `min_bytes` bytes has a smaller id. While records are
 written, their index rows (file, offset, length, url, digest, ...) are collected; they end as a Parquet
-table beside the archives. Reading takes any selection of index rows, sorts them by file and offset, merges
-neighbours into one read each, and parses the records from the bytes.
+table beside the archives. Reading takes any selection of index rows, deals them out by stretches of SPAN bytes of a file (so one
+file may be read by many tasks), sorts them by file and offset, merges
+neighbours into one read each, and parses the records from the bytes. What a revisit says is taken from the response it refers to,
+which is read and hashed too, once for all of its revisits.
 
 A task names its files after its attempt and index rows carry the name, so a lost or repeated task leaves at
 most an unreferenced file. Files are opened by Python: file: paths as such, other schemes by pyarrow.fs.
@@ -24,12 +26,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import arrow_schema, workers_find_package, written
+from sessionloom.llm.common import arrow_schema, keep, scratch, workers_find_package, written
 
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, payload_bytes long, record_type string, refers_to long"
-FILE_BYTES, GAP, RUN = 1 << 30, 64 << 10, 8 << 20
+FILE_BYTES, GAP, RUN, SPAN, TASK_BYTES = 1 << 30, 64 << 10, 8 << 20, 1 << 20, 64 << 20
 
 
 class Store:
@@ -69,7 +71,6 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
-    head.append(f"X-Payload-Length: {len(payload)}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_id(refers_to)}"]
     block = HTTP if refers_to is not None else HTTP + payload
@@ -94,9 +95,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     workers_find_package(spark)
     body = F.coalesce(F.col(f"`{body_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
-    large = rows.where(F.octet_length("body") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
-    firsts = written(large.where("c > 1 AND first IS NOT NULL").select("digest", "first"), "repeated-payloads")
-    marked = rows.join(firsts, "digest", "left").withColumn("refers_to", F.when((F.octet_length("body") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     kinds = arrow_schema(INDEX)
 
     def write(batches):
@@ -120,7 +118,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         if out:
             out.close()
 
-    marked.select("page_id", "url", "body", "digest", "refers_to").mapInArrow(write, INDEX).write.parquet(f"{path}/index")
+    large = rows.where(F.octet_length("body") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c"))
+    with scratch():
+        firsts = written(large.where("c > 1 AND first IS NOT NULL").select("digest", "first"), "repeated-payloads")
+        other = (F.octet_length("body") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
+        marked = rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(other, F.col("first")))
+        marked.select("page_id", "url", "body", "digest", "refers_to").mapInArrow(write, INDEX).write.parquet(f"{path}/index")
     return read_index(spark, path)
 
 
@@ -145,37 +148,60 @@ def runs(rows: list[tuple[str, int, int]]):
 def read_records(index: DataFrame, path: str, payloads: bool = True) -> DataFrame:
     """Records of the index rows, from the archives: (page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload).
 
-    A response's payload is hashed anew and must have its digest. A revisit's digest and size are its headers'; its payload is null.
+    Every payload is hashed anew and must have its digest. A revisit has the digest, size and (with payloads) payload of
+    the response that it refers to, whether that is among the index rows or not; without such a response the read fails.
+    An index row that repeats is read once.
     """
     spark = index.sparkSession
     workers_find_package(spark)
-    schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
+    place = ["file", "offset", "length"]
+    rows = index.dropDuplicates(["file", "offset"])
+    back = rows.where("record_type = 'revisit'")
+    wanted = back.groupBy(F.col("refers_to").alias("page_id"), "digest").agg(F.lit(True).alias("target"))
+    with scratch():
+        # Of responses with one id and digest any will do.
+        at = F.min(F.struct(*place)).alias("at")
+        targets = read_index(spark, path).where("record_type = 'response'").join(wanted, ["page_id", "digest"]).groupBy("page_id", "digest").agg(at).select("at.*", F.lit(True).alias("target"))
+        both = rows.where("record_type <> 'revisit'").select(*place, F.lit(True).alias("own")).join(targets, place, "full")
+        responses = keep(_fetched(written(both, "responses"), path, payloads), "payloads")
+        revisits = _fetched(keep(back.select(*place, F.lit(True).alias("own"), F.lit(False).alias("target")), "revisits"), path, False)
+    named = responses.where("target").select(F.col("page_id").alias("of"), F.col("payload_digest").alias("has"), F.col("payload_bytes").alias("size"), F.col("payload").alias("body"))
+    met = revisits.join(named, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("has")), "left")
+    lost = F.raise_error(F.concat(F.lit("no response with its digest for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
+    size = F.when(F.col("of").isNull(), lost.cast("long")).otherwise(F.col("size"))
+    out = ["page_id", "url", "record_type", "refers_to", "payload_digest"]
+    return responses.where("own").select(*out, "payload_bytes", "payload").unionByName(met.select(*out, size.alias("payload_bytes"), F.col("body").alias("payload")))
+
+
+def _fetched(wanted: DataFrame, path: str, payloads: bool) -> DataFrame:
+    """Records at wanted(file, offset, length, own, target), a table; own and target pass through, null as false."""
+    schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, own boolean, target boolean"
     kinds = arrow_schema(schema)
 
     def one(member: bytes) -> tuple:
         headers, payload = parse(member)
         digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
         kind, refers = headers["WARC-Type"], headers.get("WARC-Refers-To")
-        size = int(headers["X-Payload-Length"])
-        if kind == "response":
-            size = len(payload)
-            if hashlib.sha256(payload).hexdigest() != digest:
-                raise ValueError(f"{headers['WARC-Record-ID']}: the payload doesn't have its digest")
-        return _page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind, _page(refers) if refers else None, digest, size, payload if payloads and kind == "response" else None
+        if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
+            raise ValueError(f"{headers['WARC-Record-ID']}: the payload doesn't have its digest")
+        return _page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), kind, _page(refers) if refers else None, digest, len(payload), payload if payloads and kind == "response" else None
 
     def read(batches):
         import pyarrow as pa
 
         store, name, file = Store(path), None, None
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            for run in runs(rows):
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            for run in runs([r[:3] for r in rows]):
                 first, last = rows[run[0]], rows[run[-1]]
                 if first[0] != name:
                     name, file = first[0], store.open(first[0])
                 raw = file.read_at(last[1] + last[2] - first[1], first[1])
-                got = [one(raw[rows[k][1] - first[1] :][: rows[k][2]]) for k in run]
+                got = [(*one(raw[rows[k][1] - first[1] :][: rows[k][2]]), bool(rows[k][3]), bool(rows[k][4])) for k in run]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), kinds, strict=True)], schema=kinds)
 
-    wanted = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return wanted.mapInArrow(read, schema)
+    # As many tasks as the bytes ask for, and all cores for what is less; stretches are dealt by hash.
+    total, spans = wanted.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("file", F.floor(F.col("offset") / SPAN))).first()
+    tasks = max(1, -(-total // TASK_BYTES), min(spans, 4 * wanted.sparkSession.sparkContext.defaultParallelism))
+    dealt = wanted.select("file", "offset", "length", "own", "target").repartition(tasks, "file", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(read, schema)
