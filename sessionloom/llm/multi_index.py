@@ -1,16 +1,18 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Vectors are scaled to length one and cut in halves; each half has a codebook of
-its own (k-means on a bounded sample of `sample` vectors), and the product of the
-codebooks is a grid of cells. Every vector lives in its nearest cell. As a query, a vector
+its own (k-means on a sample of `sample` vectors, or PER_CODE for each code where that is more), and the product of the
+codebooks is a grid of cells of about CELL vectors each, so its codes grow with the square root of the table. Every vector lives in its nearest cell. As a query, a vector
 visits cells from the nearest on by multi-sequence traversal (a heap over the
 two sorted half distances) until their distance is over that of the nearest by
 `slack`. The slack is measured so that the wanted share of neighbours is met, and
 is the largest of what four kinds of neighbours ask for: sampled vectors turned by the
 threshold's angle in random directions of the full space, and in directions drawn with the sample's
 covariance (where vectors have a low rank, neighbours differ along what separates
-the cells); the sample's real neighbours; and those of them near the threshold. All visited vectors are then
-compared in double precision, in blocks of `block` by `block`.
+the cells); the sample's real neighbours; and those of them near the threshold.
+
+Two vectors are compared once: within their cell, or where the one of the lower cell visits the higher; a link counts for both ends.
+They are compared in double precision, in blocks of `block` by `block`. What is copied to a visited cell is the vector in the type of its table.
 
 Equal vectors are collapsed first and count by their number. A cell with many
 vectors is cut into blocks, so no task holds a cell; a block returns counts
@@ -31,10 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import block_roots, components, workers_find_package, written
+from sessionloom.llm.common import block_roots, components, keep, scratch, workers_find_package, written
 
-CELL = 64  # vectors a cell, on average
-MAX_CODES = 256
+CELL = 256  # vectors a cell, on average
+PER_CODE = 16  # vectors of the sample for each code, at least
+TILE = 1024  # rows of a block that are multiplied at once
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -136,30 +139,52 @@ def unit(vectors) -> np.ndarray:
 
 
 def _verify(threshold: float):
+    """Rows of one block pair: members (side 0) and what they are compared with (side 1); `alone`: the members with each other, too."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_q = pdf["query"].to_numpy()
-        q, b = pdf[is_q], pdf[~is_q]
-        if not len(q) or not len(b):
-            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-        qi, bi = q["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-        linked = unit(q["vec"]) @ unit(b["vec"]).T >= threshold
-        linked &= qi[:, None] != bi[None, :]
-        n = linked @ b["mult"].to_numpy(np.int64)
-        rq, rb = block_roots(linked, qi, bi)
-        has_q, has_b = linked.any(1), linked.any(0)
-        return pd.DataFrame({"id": np.concatenate([qi[has_q], bi[has_b]]), "n": np.concatenate([n[has_q], np.zeros(int(has_b.sum()), np.int64)]), "root": np.concatenate([rq[has_q], rb[has_b]])})
+        right = pdf["right"].to_numpy()
+        b, q = pdf[~right], pdf[right]
+        ids = [b["id"].to_numpy(np.int64), q["id"].to_numpy(np.int64)]
+        mult = [b["mult"].to_numpy(np.int64), q["mult"].to_numpy(np.int64)]
+        x = [unit(v["vec"]) if len(v) else np.zeros((0, 1)) for v in (b, q)]
+        n = [np.zeros(len(v), np.int64) for v in (b, q)]
+        edges = []  # of each tile with a link: its rows, and the smallest id that each is connected to there
+        for other in (0, 1):
+            if not len(x[other]) or not len(x[0]) or (other == 0 and not pdf["alone"].iloc[0]):
+                continue
+            for lo in range(0, len(x[0]), TILE):
+                for to in range(0, len(x[other]), TILE):
+                    rows, cols = slice(lo, lo + TILE), slice(to, to + TILE)
+                    linked = x[0][rows] @ x[other][cols].T >= threshold
+                    linked &= ids[0][rows][:, None] != ids[other][cols][None, :]
+                    if not linked.any():
+                        continue
+                    n[0][rows] += linked @ mult[other][cols]
+                    if other:  # the members' square has both ends already
+                        n[1][cols] += mult[0][rows] @ linked
+                    low, some = block_roots(linked, ids[0][rows], ids[other][cols]), (linked.any(1), linked.any(0))
+                    edges += [(ids[0][rows][some[0]], low[0][some[0]]), (ids[other][cols][some[1]], low[1][some[1]])]
+        counts = [pd.DataFrame({"id": i[k > 0], "n": k[k > 0], "root": i[k > 0]}) for i, k in zip(ids, n, strict=True)]
+        joined = pd.DataFrame({"id": np.concatenate([e[0] for e in edges]), "n": 0, "root": np.concatenate([e[1] for e in edges])}) if edges else counts[0][:0]
+        return pd.concat([*counts, joined.drop_duplicates()])
 
     return run
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.98, sample: int = 20_000, block: int = 1024
+    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, recall: float = 0.98, sample: int = 20_000, block: int = 2048
 ) -> DataFrame:
     """(id, n_links, component_id), one row for each row of vectors."""
+    with scratch():
+        return keep(_near(vectors, id_col, vec_col, threshold, recall, sample, block), "near-vectors")
+
+
+def _near(vectors: DataFrame, id_col: str, vec_col: str, threshold: float, recall: float, sample: int, block: int) -> DataFrame:
     spark = vectors.sparkSession
     workers_find_package(spark)
     v = F.col("vec")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast(kind).alias("vec"))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("id").isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
     named = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit(7), v), "dim": F.size("vec")})
@@ -170,44 +195,55 @@ def near_vectors(
     sizes = {r.dim: r["count"] for r in classes.groupBy("dim").count().collect()}  # lengths of vectors, few
     models = {}
     for dim, n in sizes.items():
-        part = min(1.0, 1.2 * sample / n)
-        some = reps.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("h1"), F.lit(1_000_003)) < int(part * 1_000_003) + 1).select("vec").limit(sample)
+        codes = int(max(2, round(math.sqrt(n / CELL))))
+        most = max(sample, PER_CODE * codes)
+        part = min(1.0, 1.2 * most / n)
+        some = reps.where(F.col("dim") == dim).where(F.pmod(F.xxhash64("h1"), F.lit(1_000_003)) < int(part * 1_000_003) + 1).select("vec").limit(most)
         got = some.toPandas()["vec"]
-        x = unit(got if len(got) else [np.ones(dim)])
-        models[dim] = MultiIndex(x, int(min(MAX_CODES, max(2, round(math.sqrt(n / CELL))))), threshold, recall)
+        models[dim] = MultiIndex(unit(got if len(got) else [np.ones(dim)]), codes, threshold, recall)
+    if not sizes:
+        return short.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     sent = spark.sparkContext.broadcast(models)
 
     def place(batches):
+        """A row where the vector lives, and one for each higher cell that it visits; lower ones visit it."""
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 model, x = sent.value[dim], unit(part["vec"])
-                home, visits = model.home(x), model.visits(x)
+                home = model.home(x)
                 for at in range(0, len(part), 500):
-                    some = part.iloc[at : at + 500]
-                    seen = visits[at : at + 500]
-                    reach = np.repeat(np.arange(len(some)), [len(s) for s in seen])
-                    take = np.concatenate([np.arange(len(some)), reach])
+                    some, own = part.iloc[at : at + 500], home[at : at + 500]
+                    seen = [np.array([c for c in cells if c > h], np.int64) for cells, h in zip(model.visits(x[at : at + 500]), own.tolist(), strict=True)]
+                    take = np.concatenate([np.arange(len(some)), np.repeat(np.arange(len(some)), [len(s) for s in seen])])
                     out = some.iloc[take][["dim", "id", "vec", "mult"]].copy()
-                    out["cell"] = np.concatenate([home[at : at + 500], np.concatenate([np.array(s) for s in seen])]).astype(np.int32)
-                    out["query"] = np.arange(len(take)) >= len(some)
-                    yield out[["dim", "cell", "query", "id", "mult", "vec"]]
-
-    if sizes:
-        placed = written(reps.select("dim", "id", "vec", "mult").mapInPandas(place, "dim int, cell int, query boolean, id long, mult long, vec array<double>"), "placed")
-        parts = placed.groupBy("dim", "cell").agg(F.ceil(F.count_if(~F.col("query")) / block).cast("int").alias("nb"), F.ceil(F.count_if("query") / block).cast("int").alias("nq"))
-        own = F.pmod(F.xxhash64("id"), F.when(F.col("query"), F.col("nq")).otherwise(F.col("nb"))).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("nb")).otherwise(F.col("nq")) - 1))
-        # Cells where a side is missing can't hold a link.
-        dealt = placed.join(written(parts.where("nb > 0 AND nq > 0"), "cells"), ["dim", "cell"]).withColumn("own", own).withColumn("other", other)
-        dealt = dealt.withColumns({"bpart": F.when(F.col("query"), F.col("other")).otherwise(F.col("own")), "qpart": F.when(F.col("query"), F.col("own")).otherwise(F.col("other"))})
-        found = written(dealt.select("dim", "cell", "bpart", "qpart", "query", "id", "mult", "vec").groupBy("dim", "cell", "bpart", "qpart").applyInPandas(_verify(threshold), "id long, n long, root long"), "links")
-        counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-        joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        per_class = written(
-            classes.join(counts.withColumnRenamed("id", "rep"), "rep", "left")
-            .join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-            .select(*keys, (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")),
-            "per-class",
-        )
-        return short.join(per_class.withColumn("good", F.lit(True)), [*keys, "good"], "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return short.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+                    out["cell"] = np.concatenate([own, *seen]).astype(np.int64)
+                    out["visit"] = np.arange(len(take)) >= len(some)
+                    yield out[["dim", "cell", "visit", "id", "mult", "vec"]]
+
+    placed = written(reps.select("dim", "id", "vec", "mult").mapInPandas(place, f"dim int, cell long, visit boolean, id long, mult long, vec {kind}"), "placed")
+    blocks = lambda c: F.ceil(F.count_if(c) / block).cast("int")
+    parts = placed.groupBy("dim", "cell").agg(blocks(~F.col("visit")).alias("nb"), blocks(F.col("visit")).alias("nq"))
+    # Block pairs of a cell: member block i with visitors' block j (0: visitors, and the members with each other where j is 0), and with member block j > i (1).
+    dealt = placed.join(written(parts.where("nb > 0"), "cells"), ["dim", "cell"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("visit"), F.col("nq")).otherwise(F.col("nb"))).cast("int"))
+    pair = lambda kind, i, j, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.col("own")
+    visits = F.transform(upto(F.col("nb")), lambda i: pair(0, i, own, True))
+    lives = F.concat(
+        F.transform(upto(F.greatest("nq", F.lit(1))), lambda j: pair(0, own, j, False)),
+        F.transform(F.filter(upto(F.col("nb")), lambda j: j > own), lambda j: pair(1, own, j, False)),
+        F.transform(F.filter(upto(F.col("nb")), lambda i: i < own), lambda i: pair(1, i, own, True)),
+    )
+    dealt = dealt.select("dim", "cell", "id", "mult", "vec", F.inline(F.when(F.col("visit"), visits).otherwise(lives))).withColumn("alone", F.expr("kind = 0 AND j = 0"))
+    keyed = dealt.groupBy("dim", "cell", "kind", "i", "j")
+    found = written(keyed.applyInPandas(_verify(threshold), "id long, n long, root long"), "links")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    per_class = (
+        classes.join(counts.withColumnRenamed("id", "rep"), "rep", "left")
+        .join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+        .select(*keys, (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    )
+    every = short.join(written(per_class, "per-class").withColumn("good", F.lit(True)), [*keys, "good"], "left")
+    return every.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
