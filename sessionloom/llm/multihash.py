@@ -1,7 +1,8 @@
 """Order-independent document fingerprints: a homomorphic multiset hash over paragraphs.
 
-A text is the multiset of its units: lines, cut further at sentence ends and,
-where a sentence has over WINDOW words, every WINDOW words. Each unit is hashed
+A text is the multiset of its units: lines, cut further at sentence ends, sentences of over SHORT characters also after
+words that end in one of an eighth of all characters (so that the cuts move with the words, and an inserted word changes one unit), and
+where a piece has over WINDOW words, every WINDOW words. Each unit is hashed
 (BLAKE2b, 512 bits) to a wide vector, and vectors add lane by lane modulo
 powers of two, so units may come in any order, be inserted (`add`) or deleted
 (`remove`) without the rest of the text, and equal multisets have equal sums:
@@ -16,13 +17,14 @@ powers of two, so units may come in any order, be inserted (`add`) or deleted
   its standard deviation is about 0.04 at 0.6 and 0.06 at 0, and a few different units are told exactly.
 
 Null and empty texts have no unit: the zero fingerprint, alike (1.0) to each
-other and unlike (0.0) to any other. Documents are ordered by (id, text), nulls first.
+other and unlike (0.0) to any other. Documents are ordered by id, nulls first, and of one id by a hash of their text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import workers_find_package
 
-WINDOW, LANES = 24, 192
+WINDOW, SHORT, LANES = 24, 48, 192
 _CUT = re.compile(r"(?<=[.!?])\s+|\n+")
+_FINE = re.compile("(?<=[" + "".join(re.escape(chr(c)) for c in range(0x30, 0x3000) if c % 8 == 4) + r"])\s+")
 DENSE = 8
 #: Values of a lane: quantiles of the Cauchy distribution, whose median size is ONE. Each 64-bit mix of a unit picks four of them.
 ONE = 256
@@ -55,15 +58,16 @@ def _lanes(h: np.ndarray) -> np.ndarray:
 
 
 def units(text: str | None) -> list[str]:
-    """The text's paragraphs, long ones cut at sentence ends and every WINDOW words. Blank ones count for nothing."""
+    """The text's paragraphs, long ones cut further; see the module. Blank ones count for nothing."""
     out = []
     for part in _CUT.split(text or ""):
-        if len(part) <= 8 * WINDOW:
-            if part and not part.isspace():
-                out.append(part)
-            continue
-        words = part.split(" ")
-        out.extend(" ".join(words[k : k + WINDOW]) for k in range(0, len(words), WINDOW))
+        for piece in (part,) if len(part) <= SHORT else _FINE.split(part):
+            if len(piece) <= 8 * WINDOW:
+                if piece and not piece.isspace():
+                    out.append(piece)
+                continue
+            words = piece.split(" ")
+            out.extend(" ".join(words[k : k + WINDOW]) for k in range(0, len(words), WINDOW))
     return out
 
 
@@ -138,32 +142,39 @@ def edited_text(text: str, following: str) -> str:
 
 
 def with_following(documents: DataFrame, id_col: str, text_col: str, rows_per_range: int = 4000) -> DataFrame:
-    """Rows (rng, id, text, ahead) such that each range, in order of (id, text), ends with a row `ahead` that only tells what comes next.
+    """Rows (rng, id, text, ahead), a partition for each range, in order of (id, hash of the text), ending with a row `ahead` that only tells what comes next.
 
-    Range borders are ids of the table, taken as quantiles (their number is the
-    table's rows over rows_per_range, at most 10,000); the smallest text of each border
-    is sent to the range before it as well, and that of the smallest id to the last. One shuffle of the rows, no single partition.
+    Ranges begin at keys of the table, quantiles of a sample of about 20 keys a range, so an id with many texts is split as well. There are as many as
+    rows over rows_per_range asks for, up to eight a core, and one for each 10 * rows_per_range rows beyond that. The first row of each range
+    is sent to the range before it as well, and the table's first row to the last range. One shuffle of the rows, no single partition.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n, low = docs.agg(F.count("*"), F.min("id")).first()
-    # A null id comes first, so then the first row is a null one.
-    nulls = docs.where("id IS NULL").limit(1).count()
-    ranges = max(1, min(10_000, n // rows_per_range))
-    borders: list[int] = []
-    if ranges > 1 and low is not None:
-        at = [k / ranges for k in range(1, ranges)]
-        borders = sorted({x for x in docs.agg(F.percentile_approx("id", at, 100 * ranges)).first()[0] if nulls or x > low})
-    # Where ids begin: range k holds ids from borders[k - 1] on.
-    listed = F.array(*[F.lit(b).cast("long") for b in borders]) if borders else F.array().cast("array<long>")
-    rng = F.when(F.col("id").isNull() | F.lit(not borders), F.lit(0)).otherwise(F.size(F.filter(listed, lambda b: b <= F.col("id"))))
-    own = docs.withColumn("rng", rng).withColumn("ahead", F.lit(0))
-    start = F.col("id").isNull() if nulls else F.col("id") == F.lit(low)
-    heads = docs.where((F.array_contains(listed, F.col("id")) if borders else F.lit(False)) | F.coalesce(start, F.lit(False)))
-    heads = heads.groupBy("id").agg(F.min("text").alias("text"))
-    first = F.coalesce(start, F.lit(False))
-    heads = heads.withColumn("rng", F.when(first, F.lit(len(borders))).otherwise(F.array_position(listed, F.col("id")).cast("int") - 1)).withColumn("ahead", F.lit(1))
-    both = own.unionByName(heads.select(own.columns))
-    return both.repartition(max(1, len(borders) + 1), "rng").sortWithinPartitions("rng", "ahead", F.col("id").asc_nulls_first(), "text")
+    spark = documents.sparkSession
+    docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    key = F.struct(F.col("id").isNotNull().cast("int").alias("real"), F.coalesce("id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    n, first = docs.agg(F.count("*"), F.min(key)).first()
+    ranges = max(1, min(n // rows_per_range, 8 * spark.sparkContext.defaultParallelism), n // (10 * rows_per_range))
+    starts: list[tuple] = []
+    if ranges > 1:
+        part = min(1.0, 20 * ranges / n)
+        some = docs.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(part * (1 << 30)) + 1).distinct()
+        found = sorted(tuple(r.k) for r in some.collect())  # about 20 a range
+        starts = sorted({found[len(found) * k // ranges] for k in range(1, ranges) if found} - {tuple(first)})
+    sent = spark.sparkContext.broadcast((starts, set(starts), tuple(first) if n else None))
+
+    @F.pandas_udf("array<int>")
+    def places(real: pd.Series, id_: pd.Series, h: pd.Series) -> pd.Series:
+        """The row's range, and -1 - the range that it is only shown to."""
+        starts, known, first = sent.value
+        out = []
+        for k in zip(real.tolist(), id_.tolist(), h.tolist(), strict=True):
+            at = bisect_right(starts, k)
+            out.append([at, -at] if k in known else [at, -1 - len(starts)] if k == first else [at])
+        return pd.Series(out)
+
+    dealt = docs.select("id", "text", F.xxhash64("text").alias("h"), F.explode(places(key["real"], key["id"], key["h"])).alias("place"))
+    ahead = F.col("place") < 0
+    both = dealt.select(F.when(ahead, -1 - F.col("place")).otherwise(F.col("place")).alias("rng"), "id", "text", ahead.cast("int").alias("ahead"), "h")
+    return both.repartitionById(len(starts) + 1, F.col("rng")).sortWithinPartitions("rng", "ahead", F.col("id").asc_nulls_first(), "h").drop("h")
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
