@@ -1,6 +1,6 @@
 """Licence scans with a generalised suffix automaton over licence words.
 
-All templates go into one suffix automaton whose letters are words. A file is
+All templates, passages and whole texts of licences, go into one suffix automaton whose letters are words. A file is
 streamed through it once: after each word the automaton knows the longest run
 of words, ending here, that stands in some template (the matching statistic).
 Runs of at least MIN_RUN words that stand in one template are chained where they
@@ -9,7 +9,7 @@ Base phrases are templates too; they are reported wherever all of their words st
 So are the short forms of each licence, one-line declarations and SPDX tags: each place is a span that is covered as a whole.
 
 Null and empty texts have no words and no labels. Words that stand in no template
-break every run, so only runs of known words are walked. Rows that repeat are scanned each.
+break every run, so only runs of known words are walked, and of these none that is shorter than any phrase. Rows that repeat are scanned each.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from sessionloom.llm.automaton import Automaton
 from sessionloom.llm.common import per_text
+from sessionloom.llm.licence_texts import WHOLE
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -80,21 +81,19 @@ def words(text: str | None) -> list[bytes]:
 class Scanner:
     """The automaton with, for each state, the templates that hold its string and where it ends in them."""
 
-    def __init__(self, base: dict[str, str], templates: dict[str, str]):
-        self.base, self.templates = base, templates
-        texts = [*base, *templates.values()]
-        self.labels = [*base.values(), *templates]
-        self.sizes = [len(t.split()) for t in texts]
+    def __init__(self, base: dict[str, str], templates: list[tuple[str, str]]):
+        """base: phrase -> label; templates: (label, text), a label as often as it has texts. Texts are read as files are."""
+        texts = [[w for w in words(t) if w] for t in [*base, *[t for _, t in templates]]]
+        self.labels = [*base.values(), *[label for label, _ in templates]]
+        self.sizes = [len(t) for t in texts]
         self.n_base = len(base)
+        self.shortest = min([MIN_RUN, *self.sizes])  # shorter runs of known words hold nothing
         vocabulary: dict[bytes, int] = {}
         self.automaton = a = Automaton()
         seqs = []
         for t in texts:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in t.encode().split()]
-            seqs.append(ids)
-            last = 0
-            for c in ids:
-                last = a.extend(last, c)
+            seqs.append([vocabulary.setdefault(w, len(vocabulary) + 1) for w in t])
+            a.add(seqs[-1])
         self.vocabulary = vocabulary
         ends: list[set] = [set() for _ in a.go]
         for t, ids in enumerate(seqs):
@@ -125,10 +124,10 @@ class Scanner:
         ids = np.fromiter(map(self.vocabulary.get, got, repeat(0)), np.int32, len(got))
         known = np.flatnonzero(ids)
         places, runs = [], []
-        if len(known) > 1:
+        if len(known):
             cuts = np.flatnonzero(np.diff(known) > 1) + 1
             starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(known)]])
-            long = stops - starts >= 2
+            long = stops - starts >= self.shortest
             for lo, hi in zip(known[starts[long]].tolist(), known[stops[long] - 1].tolist(), strict=True):
                 self._walk(ids[lo : hi + 1].tolist(), lo, places, runs)
         return len(got), places, runs
@@ -188,7 +187,10 @@ class Scanner:
         lines = short.longest(text)
         starts = [s for s, _ in places]
         base = {self.labels[t] for _, t in places}
-        found = [(self.labels[t], s, e, c) for t, s, e, c in spans if c >= MIN_COVER]
+        enough = [x for x in spans if x[3] >= MIN_COVER]
+        # Licences share passages: what lies in a place that another one covers better is not its own.
+        enough = [x for x in enough if not any(y[1] <= x[1] and y[2] >= x[2] and y[3] > x[3] for y in enough)]
+        found = [(self.labels[t], s, e, c) for t, s, e, c in enough]
         found = sorted(found + [(label, s, e, 1.0) for s, e, label in lines], key=lambda x: x[1])
         score = 1.0 if places or lines else min(1.0, max((c for *_, c in spans), default=0.0))
         return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[0] for x in found})), score, found
@@ -196,14 +198,23 @@ class Scanner:
 
 @cache
 def _scanner(base: tuple, templates: tuple) -> Scanner:
-    return Scanner(dict(base), dict(templates))
+    return Scanner(dict(base), list(templates))
 
 
 def scan_licences(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, short: dict[str, str] = SHORT
+    documents: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    base: dict[str, str] = BASE,
+    templates: dict[str, str] = TEMPLATES,
+    short: dict[str, str] = SHORT,
+    whole: dict[str, str] = WHOLE,
 ) -> DataFrame:
-    """One row for each row of documents: (id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans)."""
-    key, lines = (tuple(base.items()), tuple(templates.items())), (tuple(short.items()), ())
+    """One row for each row of documents: (id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans).
+
+    base and short map phrases to labels, templates and whole labels to passages and to whole texts of licences.
+    """
+    key, lines = (tuple(base.items()), (*templates.items(), *whole.items())), (tuple(short.items()), ())
 
     def run(texts):
         scanner, forms = _scanner(*key), _scanner(*lines)
