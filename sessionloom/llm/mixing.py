@@ -5,7 +5,8 @@ the tree by the nodes' weights. A node takes no more than `max_epochs` times its
 tokens; what it can't take goes to its siblings in proportion to their weights (water
 filling: with children by capacity over weight, the level is the largest of (budget - capacity so far) /
 (weight - weight so far)), and only what all of them can't take is missing from
-their parent, whose own siblings get it, as a parent's capacity is the sum of its children's.
+their parent, whose own siblings get it, as a parent's capacity is the sum of its children's. A node's share is rounded down to whole tokens,
+so a mix falls short of its budget by less than a token a node; budgets are exact up to 2^53 tokens.
 
 A leaf with target T and n tokens gives T div n whole epochs, then a prefix of one
 more: documents in the order of md5(seed, epoch, id) as long as fewer tokens than
@@ -24,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import written
+from sessionloom.llm.common import keep, scratch, unused, written
 
 LEVELS = ("__domain", "__lang", "__leaf")
 DOMAIN_SQL = "coalesce('d' || CAST(floor(CAST(nullif(regexp_extract(source, '^src([0-9]+)$', 1), '') AS INT) / 5) AS INT), 'other')"
@@ -51,8 +52,8 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: float,
     """leaves(__domain, __lang, __leaf, n) with `target` tokens. One row a leaf: sizes are those of the tree, not of the corpus."""
     d, lang, s = LEVELS
     leaves = leaves.withColumn("cap", F.col("n") * max_epochs)
-    total = F.floor(F.sum("n").over(Window.partitionBy(F.lit(0))) * F.lit(float(share))).cast("long")
-    top = leaves.groupBy(d).agg(F.sum("cap").alias("cap"), F.sum("n").alias("n")).withColumn("budget", total).withColumn("w", _weight(d, weights.get("domain", {}), default))
+    total = F.broadcast(leaves.agg(F.floor(F.sum("n") * F.lit(float(share))).cast("long").alias("budget")))  # one row
+    top = leaves.groupBy(d).agg(F.sum("cap").alias("cap")).crossJoin(total).withColumn("w", _weight(d, weights.get("domain", {}), default))
     top = _fill(top, [], d).select(d, F.col("got").alias("budget"))
     mid = leaves.groupBy(d, lang).agg(F.sum("cap").alias("cap")).join(top, d).withColumn("w", _weight(lang, weights.get("lang", {}), default))
     mid = _fill(mid, [d], lang).select(d, lang, F.col("got").alias("budget"))
@@ -81,15 +82,27 @@ def mix(
     q = lambda c: F.col(f"`{c}`")
     domain = F.expr(DOMAIN_SQL) if domain is None else domain
     columns = documents.columns
+    own = unused(columns, *LEVELS, "__tokens", "__full", "__cut")
+    *levels, tokens, full, cut_key = own
     tagged = documents.withColumns(
         {
-            "__domain": F.coalesce(domain, F.lit("")),
-            "__lang": F.coalesce(q(lang_col).cast("string"), F.lit("")),
-            "__leaf": F.coalesce(q(source_col).cast("string"), F.lit("")),
-            "__tokens": F.coalesce(F.regexp_count(q(text_col), F.lit(TOKEN)), F.lit(0)).cast("long"),
+            levels[0]: F.coalesce(domain, F.lit("")),
+            levels[1]: F.coalesce(q(lang_col).cast("string"), F.lit("")),
+            levels[2]: F.coalesce(q(source_col).cast("string"), F.lit("")),
+            tokens: F.coalesce(F.regexp_count(q(text_col), F.lit(TOKEN)), F.lit(0)).cast("long"),
         }
     )
-    light = written(tagged.select(*LEVELS, q(id_col).alias("id"), "__tokens"), "tokens")
+    with scratch():
+        light = written(tagged.select(*[q(c).alias(name) for c, name in zip(levels, LEVELS, strict=True)], q(id_col).alias("id"), q(tokens).alias("__tokens")), "tokens")
+        verdict = keep(_verdict(light, weights, share, max_epochs, seed), "mix").toDF(*levels, full, cut_key)
+    placed = tagged.join(verdict, levels, "left")
+    extra = F.when(_key(q(id_col), seed, q(full)) <= q(cut_key), F.lit(1)).otherwise(F.lit(0))
+    copies = F.coalesce(q(full) + extra, F.lit(0)).cast("long")
+    return placed.select(*[q(c) for c in columns], q(levels[0]).alias(names[0]), q(tokens).alias(names[1]), copies.alias(names[2]))
+
+
+def _verdict(light: DataFrame, weights: dict[str, dict[str, int]], share: float, max_epochs: int, seed: int) -> DataFrame:
+    """(*LEVELS, full, cut) of each leaf in light(*LEVELS, id, __tokens): its whole epochs, and the last key that one more takes (null: none)."""
     leaves = light.groupBy(*LEVELS).agg(F.sum("__tokens").alias("n"))
     plan = written(
         budgets(leaves, weights, share, max_epochs).withColumns(
@@ -109,18 +122,15 @@ def mix(
     cut = last.groupBy(*LEVELS, "rest", "before", "key").agg(F.sum("__tokens").alias("t"))
     cut = cut.withColumn("through", F.sum("t").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cut = cut.where(F.col("before") + F.col("through") - F.col("t") < F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("cut"))
-    verdict = written(plan.join(cut, list(LEVELS), "left").select(*LEVELS, F.col("full").alias("__full"), F.col("cut").alias("__cut")), "mix")
-    placed = tagged.join(verdict, list(LEVELS), "left")
-    extra = F.when(_key(q(id_col), seed, F.col("__full")) <= F.col("__cut"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.coalesce(F.col("__full") + extra, F.lit(0)).cast("long")
-    return placed.select(*[q(c) for c in columns], F.col("__domain").alias(names[0]), F.col("__tokens").alias(names[1]), copies.alias(names[2]))
+    return plan.join(cut, list(LEVELS), "left").select(*LEVELS, "full", "cut")
 
 
 def taken(documents: DataFrame, **how) -> DataFrame:
     """documents as the mix takes them: a row each time, none for 0. Columns stay."""
     columns = documents.columns
-    mixed = mix(documents, names=("__d", "__t", "__copies"), **how)
-    times = mixed.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    names = unused(columns, "domain", "tokens", "copies", "copy")
+    mixed = mix(documents, names=tuple(names[:3]), **how)
+    times = mixed.where(F.col(names[2]) > 0).withColumn(names[3], F.explode(F.sequence(F.lit(1), F.col(names[2]).cast("int"))))
     return times.select(*[F.col(f"`{c}`") for c in columns])
 
 
