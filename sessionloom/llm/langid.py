@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import workers_find_package
+from sessionloom.llm.common import unused, workers_find_package
 
 UNDETERMINED = "und"
 BITS = 13
@@ -158,21 +158,26 @@ def bucket(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = 500) -> Model:
-    """Fit on at most max_per_lang documents of each language, none of them held out.
+def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = 500, max_langs: int = 200, max_texts: int = 20_000) -> Model:
+    """Fit on at most max_per_lang documents of each of the max_langs most frequent languages, max_texts in all, none of them held out.
 
-    Counts come from ids and labels alone; the sample is then read by a hash threshold, so no text is shuffled.
+    The sample are the rows with the smallest hash of id and text, read by a threshold, so no text is shuffled and a repeated id has no more of it than
+    any other.
     """
-    usable = (bucket(id_col) != 1) & F.col(lang_col).isNotNull()
-    rank = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000_007))
-    counts = {r[0]: r[1] for r in documents.where(usable).groupBy(lang_col).count().collect()}
+    q = lambda c: F.col(f"`{c}`")
+    lang, text = q(lang_col).cast("string"), q(text_col).cast("string")
+    usable = (bucket(id_col) != 1) & lang.isNotNull()
+    rank = F.pmod(F.xxhash64(q(id_col), text), F.lit(1_000_000_007))
+    counts = documents.where(usable).groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
     if not counts:
         return Model([])
+    each = max(1, min(max_per_lang, max_texts // len(counts)))
     cut = F.lit(0)
-    for lang, n in counts.items():
-        cut = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, 1.3 * max_per_lang / n) * 1_000_000_007))).otherwise(cut)
-    rows = documents.where(usable & F.col(text_col).isNotNull() & (rank < cut)).select(rank.alias("r"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    pdf = rows.toPandas().sort_values(["lang", "r", "text"]).groupby("lang").head(max_per_lang)
+    for r in counts:
+        cut = F.when(lang == r.lang, F.lit(int(min(1.0, 1.3 * each / r["count"]) * 1_000_000_007))).otherwise(cut)
+    # Rows that are the same count once, so the sample stays near its bound whatever repeats.
+    rows = documents.where(usable & text.isNotNull() & (rank < cut)).select(rank.alias("r"), lang.alias("lang"), text.alias("text")).dropDuplicates(["lang", "r"])
+    pdf = rows.toPandas().sort_values(["lang", "r", "text"]).groupby("lang").head(each)
     return fit(pdf["text"].tolist(), pdf["lang"].tolist())
 
 
@@ -199,9 +204,10 @@ def relabel(documents: DataFrame, model: Model, text_col: str = "text", lang_col
     """documents with lang_col as predicted from the text, without those that are undetermined or score under min_score. All columns stay."""
     verdict = _verdict(documents.sparkSession, model)
     columns = documents.columns
-    seen = documents.withColumn("__verdict", verdict(F.col(text_col).cast("string")))
-    kept = seen.where((F.col("__verdict.lang_pred") != UNDETERMINED) & (F.col("__verdict.score") >= min_score))
-    return kept.withColumn(lang_col, F.col("__verdict.lang_pred")).select(*[F.col(f"`{c}`") for c in columns])
+    (name,) = unused(columns, "verdict")
+    seen = documents.withColumn(name, verdict(F.col(f"`{text_col}`").cast("string")))
+    kept = seen.where((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= min_score))
+    return kept.withColumn(lang_col, F.col(f"{name}.lang_pred")).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def held_out(id_: object) -> bool:
