@@ -24,6 +24,7 @@ gets a null component and links with nothing. Other columns are carried through,
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import cache
 
 import numpy as np
@@ -31,15 +32,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import block_roots, components, per_text, written
+from sessionloom.llm.common import block_roots, components, keep, per_text, scratch, unused, written
 
 WORD_CACHE = 300_000
 BLOCK, COLUMNS = 384, 4096
-#: Groups with so many components besides the smallest's are compared in blocks.
+#: Groups with so many components besides the smallest's are compared in blocks, which is a choice of plan: either way all candidates between components are met.
 CROWD = 32
 SKETCH_BITS = 64
-#: Of SKETCH_BITS one-bit minima, a pair of similarity s differs in (1 - s) / 2 on average: 6.4 at 0.8, with more than 20 less than once in a million.
-MAX_BITS_APART = {0.8: 20}
+#: Share of the pairs at the threshold that the pre-test on SKETCH_BITS one-bit minima may lose.
+LOST = 1e-6
+
+
+def bits_apart(threshold: float) -> int:
+    """Of SKETCH_BITS one-bit minima, a pair of similarity s differs in each with probability (1 - s) / 2. The most that all but LOST of the pairs at the threshold differ in: 20 at 0.8."""
+    p, rest = (1 - threshold) / 2, 1.0
+    for k in range(SKETCH_BITS):
+        rest -= math.comb(SKETCH_BITS, k) * p**k * (1 - p) ** (SKETCH_BITS - k)
+        if rest <= LOST:
+            return k
+    return SKETCH_BITS
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,7 +146,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _near(threshold: float) -> str:
     """What any linked pair meets, from sizes and the packed bits alone."""
-    apart = MAX_BITS_APART.get(threshold, SKETCH_BITS)
+    apart = bits_apart(threshold)
     pct = round(threshold * 100)
     return f"100 * least(xn, yn) >= {pct} * greatest(xn, yn) AND bit_count(xs ^ ys) <= {apart}"
 
@@ -311,8 +322,9 @@ def near_duplicates(
 
     rows with a null id have a row each. component_id is the smallest id of the group. See the module for the method.
     """
-    found, _ = _classes(documents, id_col, text_col, width, threshold, side, rows)
-    return found.select("id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id")
+    with scratch():
+        found, _ = _classes(documents, id_col, text_col, width, threshold, side, rows)
+        return keep(found.select("id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"), "near-duplicates")
 
 
 def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, side: int = 10, rows: int = 2) -> DataFrame:
@@ -320,10 +332,12 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows that are the same stay as often as they come, if they are kept; rows with one id and different texts are judged apart.
     """
-    found, repeats = _classes(documents, id_col, text_col, width, threshold, side, rows)
-    gone = found.where("NOT first")
-    if not repeats:
-        return documents.join(written(gone.select(F.col("id").alias("__gone")), "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
-    gone = written(gone.select(F.col("id").alias("__gone"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")), "gone")
-    t1, t2 = _named(F.col(text_col).cast("string"))
-    return documents.join(gone, (F.col(id_col).cast("long") == F.col("__gone")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2")), "left_anti")
+    id_, t1, t2 = unused(documents.columns, "gone", "t1", "t2")
+    with scratch():
+        found, repeats = _classes(documents, id_col, text_col, width, threshold, side, rows)
+        gone = keep(found.where("NOT first").select(F.col("id").alias(id_), *([F.col("t1").alias(t1), F.col("t2").alias(t2)] if repeats else [])), "gone")
+    same = F.col(f"`{id_col}`").cast("long") == F.col(id_)
+    if repeats:
+        for name, h in zip((t1, t2), _named(F.col(f"`{text_col}`").cast("string")), strict=True):
+            same &= h == F.col(name)
+    return documents.join(gone, same, "left_anti")
