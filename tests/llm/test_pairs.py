@@ -140,6 +140,48 @@ def test_recall_of_anisotropic_vectors(spark, kind):
     assert got["n_links"].sum() >= 0.98 * n_links.sum()
 
 
+@pytest.mark.parametrize("planted", [0.01, 0.03, 0.05])
+def test_planted_neighbours_of_each_row(spark, planted):
+    """64 dimensions, copies near and at the threshold: both ends of a link count it, and each row finds at least 0.9 of its own on average."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    x = np.concatenate([base, base[:1500] + planted * rng.standard_normal((1500, 64)), base[:500] + planted * rng.standard_normal((500, 64))])
+    order = rng.permutation(len(x))
+    x = x[order]
+    got = multi_index.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), block=500).toPandas().set_index("id").sort_index()
+    f = x.astype(np.float32).astype(float)
+    n, comp = brute_vectors(list(range(len(x))), f)
+    mine = got["n_links"].to_numpy()
+    assert (mine <= n).all() and mine.sum() % 2 == 0
+    has = n > 0
+    assert (mine[has] / n[has]).mean() >= 0.95 and mine.sum() >= 0.95 * n.sum()
+    assert np.mean([got["component_id"][i] == comp[i] for i in np.flatnonzero(has)]) >= 0.95
+
+
+@pytest.mark.parametrize("block", [7, 64, 5000])
+def test_blocks_count_each_link_once_for_both_ends(block):
+    """All block pairs of one cell, as near_vectors deals them out, against brute force."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((20, 8)).repeat(6, 0) + 0.2 * rng.standard_normal((120, 8)), rng.standard_normal((30, 8))])
+    ids, members = np.arange(len(x)), np.arange(len(x)) % 3 > 0
+    n, comp = brute_vectors(ids.tolist(), x)
+    s = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = s @ s.T >= 0.9
+    np.fill_diagonal(linked, False)
+    linked[np.ix_(~members, ~members)] = False  # visitors aren't compared with each other
+    verify, count, edges = multi_index._verify(0.9), np.zeros(len(x), int), []
+    side = {True: np.array_split(ids[members], -(-members.sum() // block)), False: np.array_split(ids[~members], -(-(~members).sum() // block))}
+    pairs = [(a, q, j == 0) for a in side[True] for j, q in enumerate(side[False])] + [(a, b, False) for i, a in enumerate(side[True]) for b in side[True][i + 1 :]]
+    for a, b, alone in pairs:
+        pdf = pd.DataFrame({"id": [*a, *b], "right": [False] * len(a) + [True] * len(b), "mult": 1, "vec": list(x[[*a, *b]]), "alone": alone})
+        for r in verify(pdf).itertuples():
+            count[r.id] += r.n
+            edges.append((r.id, r.root))
+    assert count.tolist() == linked.sum(1).tolist()
+    assert closure(ids.tolist(), edges) == closure(ids.tolist(), list(zip(*np.nonzero(linked), strict=True)))
+
+
 def test_table_recall(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     pdf = df.toPandas()

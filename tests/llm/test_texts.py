@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sessionloom.llm import bpe, langid, license_scan, linefreq, mixing, multihash, tokenfile, warc
@@ -228,6 +229,51 @@ def test_each_licence_by_its_notice_and_its_one_line_forms(spark):
     assert got == {0: "", 1: "", 2: "gpl-3.0-notice", 3: "cc-by"}
 
 
+def test_phrases_of_one_word_and_their_neighbours(spark):
+    texts = ["the gpl is here", "gpl gpl", "gpl", "a gpl b cc by c", "x" * 10 + " gpl."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.scan_licences(df, base={"gpl": "g", "cc by": "c"}).collect()}
+    assert got == {0: (1, 1, 1, "g"), 1: (2, 0, 1, "g"), 2: (1, 0, 0, "g"), 3: (2, 1, 3, "c,g"), 4: (1, 1, 1, "g")}
+
+
+def test_whole_licences(spark):
+    """Each whole text in other line breaks and case, with a copyright line and a clause changed, is labelled and told from its relatives."""
+    texts = [(label, "Copyright (c) 2020 A. Person\n" + re.sub(r"\s+", "\n", t.upper()).replace("DAMAGES", "LOSSES", 1)) for label, t in license_scan.WHOLE.items()]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in license_scan.scan_licences(df).collect():
+        labels = set(r.labels.split(","))
+        assert texts[r.doc_id][0] in labels and len(labels & {"bsd-2-clause", "bsd-3-clause"}) == texts[r.doc_id][0].startswith("bsd")
+        assert not labels & ({"mit", "isc", "zlib", "bsl-1.0", "unlicense", "apache-2.0"} - {texts[r.doc_id][0]})
+
+
+def naive_runs(text, templates):
+    """Maximal places of words that stand in one template, by trying every stretch."""
+    words = [w for w in license_scan.words(text) if w]
+    known = {tuple(t[i:j]) for t in templates for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    ends = [max([j for j in range(i, len(words) + 1) if j == i or tuple(words[i:j]) in known]) for i in range(len(words))]
+    return [(i, e) for i, e in enumerate(ends) if e - i >= license_scan.MIN_RUN and (i == 0 or ends[i - 1] < e)]
+
+
+def test_runs_against_every_stretch():
+    templates = ["a b c d e f", "c d e a b", "x a b c y", "d d d d"]
+    scanner = license_scan.Scanner({}, [(t, t) for t in templates])
+    rng = np.random.default_rng(3)
+    split = [[w.encode() for w in t.split()] for t in templates]
+    for _ in range(300):
+        text = " ".join(rng.choice(list("aabbccddefxyz?"), rng.integers(0, 25)))
+        _, _, runs = scanner.scan(text)
+        assert [(s, e) for s, e, _ in runs] == naive_runs(text, split), text
+        for t, start, end, cover in scanner.spans(runs):
+            assert 0 < cover <= 1 and end - start <= len(text.split())
+            # Words covered are in order in the template, so no more than the longest common subsequence.
+            a, b = split[t], [w for w in license_scan.words(text) if w][start:end]
+            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+            assert round(cover * len(a)) <= best[-1][-1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=20))
 def test_matching_statistics(templates, text):
@@ -328,7 +374,7 @@ def test_archives(spark, tmp_path):
         raw = (html or "").encode()
         first = min(j for j, _, h in PAGES if j is not None and h == html) if len(raw) >= 100 else i
         new = first == i
-        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if new else "revisit", None if new else first, raw if new else None))
+        want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "response" if new else "revisit", None if new else first, raw))
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=key) == sorted(want, key=key)
     some = warc.read_records(index.where("page_id IN (4, 9)"), path).collect()
@@ -339,6 +385,42 @@ def test_archives(spark, tmp_path):
     assert warc.read_records(nothing, f"file://{tmp_path}/none").count() == 0
 
 
+def test_revisits_are_read_from_their_responses(spark, tmp_path):
+    page = hashlib.sha512(b"page").hexdigest() * 3
+    df = spark.createDataFrame([(i, f"u{i}", page if i % 3 else f"{i}" * 200) for i in range(1, 60)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/archives"
+    index = warc.write_archives(df, path)
+    some = warc.read_records(index.where("page_id IN (4, 5, 6)"), path).collect()
+    assert {(r.page_id, r.record_type, r.refers_to, bytes(r.payload)) for r in some} == {(4, "revisit", 1, page.encode()), (5, "revisit", 1, page.encode()), (6, "response", None, b"6" * 200)}
+    at = index.where("page_id = 1").first()
+    with open(tmp_path / "archives" / at.file, "r+b") as f:
+        f.seek(at.offset)
+        good = f.read(at.length)
+        f.seek(at.offset)
+        other = warc.record(1, "u1", b"q" * 400, hashlib.sha256(b"q" * 400).hexdigest(), None)
+        assert len(other) <= len(good)
+        f.write(other + good[len(other) :])
+    assert warc.read_records(index.where("page_id = 6"), path).count() == 1
+    with pytest.raises(Exception, match="no response with its digest for the revisit of page 4"):
+        warc.read_records(index.where("page_id = 4"), path).collect()
+    with open(tmp_path / "archives" / at.file, "r+b") as f:
+        f.seek(at.offset)
+        bad = warc.record(1, "u1", b"q" * 400, at.digest, None)
+        f.write(bad + good[len(bad) :])
+    with pytest.raises(Exception, match="doesn't have its digest"):
+        warc.read_records(index.where("page_id = 4"), path).collect()
+
+
+def test_reading_is_spread_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SPAN", 1 << 12)
+    df = spark.createDataFrame([(i, "u", "".join(chr(97 + i * k % 25) for k in range(300))) for i in range(500)], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(df, f"file://{tmp_path}/archives")
+    read = warc.read_records(index, f"file://{tmp_path}/archives", payloads=False)
+    assert index.select("file").distinct().count() == 1 and read.count() == 500
+    wanted = index.select("file", "offset", "length").withColumns({"own": F.lit(True), "target": F.lit(False)})
+    assert warc._fetched(wanted, f"file://{tmp_path}/archives", False).groupBy(F.spark_partition_id()).count().count() >= 8
+
+
 def test_ranges_coalesce():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 20 + warc.GAP, 5), ("a", 26 + 3 * warc.GAP, 5), ("b", 0, warc.RUN), ("b", warc.RUN, 1)]
     assert list(warc.runs(rows)) == [[0, 1, 2], [3], [4], [5]]
@@ -359,6 +441,24 @@ def test_line_dedup(spark):
     assert linefreq.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_blank_lines_stay(spark):
+    """Lines of white space alone, as in texts with CRLF, and columns named as the operator's own."""
+    rows = [(i, f"a{i}\r\n\r\nmenu\r\n\t\r\nc", "h", 1, 2, 3) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, host int, bad int, kept int")
+    got = linefreq.drop_boilerplate(df, ratio=0.5)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.host, r.bad, r.kept) for r in got.collect()) == [(i, f"a{i}\r\n\r\n\t\r", 1, 2, 3) for i in range(9)]
+
+
+def test_long_lists_and_long_pages(spark):
+    """A host with hundreds of boilerplate lines, and a page of 100,000 lines."""
+    menu = [f"menu {k}" for k in range(300)]
+    pages = [(i, "\n".join([*menu, f"own {i}", *menu[:5]])) for i in range(10)] + [(10, "\n".join(f"line {k}" for k in range(100_000)) + "\nmenu 7")]
+    df = spark.createDataFrame([(*r, "h") for r in pages], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linefreq.drop_boilerplate(df, ratio=0.5).collect()}
+    assert {i: got[i] for i in range(10)} == {i: f"own {i}" for i in range(10)} and got[10] == pages[10][1].removesuffix("\nmenu 7")
+
+
 def test_mixing(spark):
     rows = [(i, "a b c d e", lang, f"src{s}") for i, (lang, s) in enumerate([("en", 0)] * 100 + [("de", 1)] * 10 + [("fr", 7)] * 30 + [("es", 12)] * 4)]
     rows += [(500, None, "en", "src0"), (501, "", None, None), (None, "x y", "en", None), (3, "a b c d e", "en", "src0")]
