@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once and read from the checkpoint folder from then on: its plan stays short and lost executors don't matter.
-
-    The folder is spark.checkpoint.dir; only local sessions without it use a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors share; only local sessions without it use a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or os.path.join(tempfile.gettempdir(), "sessionloom-checkpoints"))
-    return df.checkpoint()
+        found = "file://" + os.path.join(tempfile.gettempdir(), f"sessionloom-{os.getuid()}")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def held_dir(spark: SparkSession) -> str:
+    """The folder of this application's held tables; delete it when none of their results is wanted any more."""
+    return f"{shared_dir(spark)}/sessionloom-{spark.sparkContext.applicationId}"
+
+
+def held(df: DataFrame, name: str = "held") -> DataFrame:
+    """df computed once, as a Parquet table in the shared folder: its plan stays short, its size is known to the planner, and lost executors don't matter."""
+    spark = df.sparkSession
+    path = f"{held_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

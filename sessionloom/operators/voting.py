@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import UNIT
-from sessionloom.functions.hold import checkpointed
+from sessionloom.functions.hold import held
 
 #: What an event's own vote is multiplied by.
 TYPE_WEIGHT = {0: 1, 1: 6, 2: 3}
@@ -178,7 +178,7 @@ def _ranked(votes: DataFrame) -> DataFrame:
     return summed.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("v"), "first")))
 
 
-def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: VoteSpec, fast: DataFrame | None = None, popular: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: VoteSpec, fast: DataFrame | None = None, popular: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = held) -> DataFrame:
     """(session, aid, pos): each session's suggestions in order.
 
     seeds as sessions.seed_lists returns them; matrices(matrix, aid_x, aid_y, rank); fast: suggestions of FAST, whose first
