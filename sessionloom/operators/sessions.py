@@ -54,11 +54,12 @@ def ground_truth(events: DataFrame, drop_zero_aid: bool = True) -> DataFrame:
 
     With drop_zero_aid a next click on item 0 counts as none.
     """
-    later = along().rowsBetween(1, Window.unboundedFollowing)
+    # Read from the end, what is later comes first: frames that only grow are carried along instead of being computed for each row.
+    later = back().rowsBetween(Window.unboundedPreceding, -1)
     of = lambda t: F.when(F.col("type") == t, F.col("aid"))
     out = events.withColumns(
         {
-            "label_click": F.first(of(0), ignorenulls=True).over(later),
+            "label_click": F.last(of(0), ignorenulls=True).over(later),
             "label_carts": F.array_sort(F.collect_set(of(1)).over(later)),
             "label_orders": F.array_sort(F.collect_set(of(2)).over(later)),
             "back": F.row_number().over(back()),

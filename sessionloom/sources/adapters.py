@@ -32,10 +32,15 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visits(events: DataFrame, gap: int = 86_400, most: int = 1000) -> DataFrame:
-    """Sessions cut where a user pauses for over gap seconds: session * most + number of pauses so far."""
+    """Sessions cut where a user pauses for over gap seconds: session * most + number of pauses so far.
+
+    From `most` pauses on, where that would run into the next user's sessions, ids are negative: -(session * 2^31 + pauses), so no two visits share one.
+    """
     w = Window.partitionBy("session").orderBy("ts", "eid")
     cut = events.withColumn("cut", F.coalesce((F.col("ts") - F.lag("ts").over(w) > gap).cast("long"), F.lit(0)))
-    return cut.withColumn("session", F.col("session") * most + F.sum("cut").over(w)).drop("cut")
+    n = cut.withColumn("cut", F.sum("cut").over(w))
+    id_ = F.when(F.col("cut") < most, F.col("session") * most + F.col("cut")).otherwise(-(F.col("session") * (1 << 31) + F.col("cut")))
+    return n.withColumn("session", id_).drop("cut")
 
 
 def visit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +104,29 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
+def with_folds_file(rows: DataFrame, path: str) -> DataFrame:
+    """rows of the sessions that a CSV file (session, fold) names, with their fold."""
+    return rows.join(read_csv(rows.sparkSession, path, "session LONG, fold INT"), "session")
+
+
+def read_npy(spark: SparkSession, path: str, rows_per_read: int = 10_000) -> DataFrame:
+    """(aid, vec) of a matrix in an .npy file, whose row number is the item. Each task maps its stretches of rows, so all executors must see the file at this path."""
+    import numpy as np
+
+    n = np.load(path, mmap_mode="r").shape[0]
+    starts = spark.range(0, n, rows_per_read, max(1, -(-n // rows_per_read)))
+
+    def read(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for at in pdf["id"].tolist():
+                part = np.load(path, mmap_mode="r")[at : at + rows_per_read]
+                yield pd.DataFrame({"aid": np.arange(at, at + len(part)), "vec": list(np.asarray(part, np.float64))})
+
+    return starts.mapInPandas(read, "aid long, vec array<double>")
+
+
 def read_vectors(spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(aid, vec) of an embedding table."""
     return spark.read.parquet(path).select(F.col(id_col).alias("aid"), F.col(vec_col).alias("vec"))
