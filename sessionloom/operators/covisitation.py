@@ -4,6 +4,10 @@ Pairs of one session are joined on the session, deduplicated by a min or max ove
 same distribution (no further shuffle), weighted, summed per pair of items with map-side
 partials, and cut to the best N of each item. Weights are summed as whole numbers (see
 functions.expr.UNIT), so matrices don't depend on partitioning.
+
+Two rewrites keep a long session from being joined with itself event by event, without changing results:
+positions at most `reach` apart meet by an equi-join on (session, position), and where the pair condition doesn't look at time, or only asks that y is
+later, events are collapsed to the one of each item that would be picked anyway.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ class CovisSpec:
     key: tuple[str, ...] = ("x.session",)  # with both items: what counts once
     latest: bool = True  # of equal keys the latest x, then the latest y; else the earliest
     closest: bool = False  # of equal keys the smallest time apart
+    reach: int = 0  # only events so many positions apart, at most (0: any)
+    ahead: bool = False  # with reach: only y after x
 
 
 def _half(hours: int) -> str:
@@ -46,6 +52,7 @@ _RECENT = "(CAST(1 AS DOUBLE) + CAST(3 AS DOUBLE) * CAST(x.ts - {t_min} AS DOUBL
 _BUYS = "type IN (1, 2)"
 _IN_DAY = "abs(x.ts - y.ts) < 86400 AND x.aid <> y.aid"
 _APART = "x.aid <> y.aid"
+_LATER = "y.ts > x.ts"
 
 
 def _case(*weights: float) -> str:
@@ -62,16 +69,16 @@ SPECS = {
         CovisSpec("type0590", 20, _case(0.5, 9, 0.5), _IN_DAY, tail=30),
         CovisSpec("93", 80, f"{_RECENT} * {_half(1)}", _IN_DAY, tail=30),
         CovisSpec("115", 40, _half(1), since_days=21),
-        CovisSpec("116", 40, f"{_half(1)} * {_case(0, 1, 1)}", "y.ts > x.ts", since_days=28),
-        CovisSpec("217", 40, "1", f"abs(y.k - x.k) = 1 AND {_APART}", y_first=True, latest=False),
-        CovisSpec("220", 80, "1", f"abs(y.k - x.k) BETWEEN 1 AND 2 AND {_APART}", y_first=True, latest=False),
-        CovisSpec("226", 80, "1", f"y.k - x.k BETWEEN 1 AND 3 AND {_APART}", _BUYS, _BUYS, y_first=True, latest=False),
-        CovisSpec("232", 80, _half(1), f"abs(y.k - x.k) BETWEEN 1 AND 3 AND {_APART}", y_first=True, latest=False),
-        CovisSpec("235", 80, _half(1), f"abs(y.k - x.k) BETWEEN 1 AND 6 AND {_APART}", y_first=True, latest=False),
+        CovisSpec("116", 40, f"{_half(1)} * {_case(0, 1, 1)}", _LATER, since_days=28),
+        CovisSpec("217", 40, "1", _APART, reach=1, y_first=True, latest=False),
+        CovisSpec("220", 80, "1", _APART, reach=2, y_first=True, latest=False),
+        CovisSpec("226", 80, "1", _APART, _BUYS, _BUYS, reach=3, ahead=True, y_first=True, latest=False),
+        CovisSpec("232", 80, _half(1), _APART, reach=3, y_first=True, latest=False),
+        CovisSpec("235", 80, _half(1), _APART, reach=6, y_first=True, latest=False),
         CovisSpec("239", 20, _half(1), "y.ts - x.ts > 0 AND y.ts - x.ts < 7200", right=_BUYS, key=("x.session div {chunk}",), closest=True),
         CovisSpec("700", 40, "1", _APART, right="type > 0", started_days=21, x_first=True, key=("x.session", "y.type"), latest=False),
         CovisSpec("701", 40, _half(1), _APART, started_days=21, x_first=True, key=("x.session", "y.type"), latest=False),
-        CovisSpec("155", 40, _half(6), "y.ts > x.ts", right=_BUYS),
+        CovisSpec("155", 40, _half(6), _LATER, right=_BUYS),
         CovisSpec("157", 80, _half(6)),
         CovisSpec("90", 40, "1", f"abs(x.ts - y.ts) < {14 * DAY} AND {_APART}", _BUYS, _BUYS, latest=False),
         CovisSpec("95", 40, f"{_half(1)} * {_case(1, 4, 4)}", _APART, tail=30, latest=False),
@@ -96,15 +103,23 @@ def covisitation(events: DataFrame, spec: CovisSpec, t_min: int, t_max: int, chu
         e = e.withColumn("t0", F.min("ts").over(whole)).where(F.col("t0") > t_max - spec.started_days * DAY).drop("t0")
     if spec.tail:
         e = e.withColumn("back", F.row_number().over(back)).where(F.col("back") <= spec.tail).drop("back")
-    needs_k = spec.y_first or spec.x_first
-    if needs_k:
+    if spec.y_first or spec.x_first or spec.reach:
         e = e.withColumn("k", F.row_number().over(along))
     left, right = e.where(spec.left), e.where(spec.right)
     if spec.x_first:
         left = left.where("k = 1")
     if spec.y_first:
         right = right.withColumn("nth", F.row_number().over(Window.partitionBy("session", "aid").orderBy("ts", "eid"))).where("nth = 1").drop("nth")
-    pairs = left.alias("x").join(right.alias("y"), F.expr(f"x.session = y.session AND ({spec.pair})"))
+    timeless = spec.pair in ("true", _APART) and not (spec.reach or spec.closest)
+    if timeless and not spec.x_first:
+        left = _representatives(left, spec, False)
+    if (timeless or spec.pair == _LATER and spec.latest) and not spec.y_first:
+        right = _representatives(right, spec, "y.type" in spec.key)
+    if spec.reach:
+        steps = [d for d in range(-spec.reach, spec.reach + 1) if d > 0 or (d < 0 and not spec.ahead)]
+        left = left.withColumn("to", F.explode(F.array(*[F.col("k") + d for d in steps])))
+    near = "x.session = y.session AND x.to = y.k" if spec.reach else "x.session = y.session"
+    pairs = left.alias("x").join(right.alias("y"), F.expr(f"{near} AND ({spec.pair})"))
     keys = [F.expr(k.format(**names)).alias(f"key{i}") for i, k in enumerate(spec.key)]
     order = ["x.ts", "x.eid", "y.ts", "y.eid", "y.type"]
     near = F.struct(F.abs(F.col("y.ts") - F.col("x.ts")).alias("apart"), *[F.col(c).alias(c.replace(".", "_")) for c in order])
@@ -112,7 +127,8 @@ def covisitation(events: DataFrame, spec: CovisSpec, t_min: int, t_max: int, chu
     if not spec.closest:
         near = F.struct(*[F.col(c).alias(c.replace(".", "_")) for c in order])
     once = pairs.select(*keys, F.col("x.aid").alias("aid_x"), F.col("y.aid").alias("aid_y"), near.alias("at"))
-    once = once.groupBy(*[f"key{i}" for i in range(len(keys))], "aid_x", "aid_y").agg(pick("at").alias("at"))
+    if not timeless:  # else each pair comes once already
+        once = once.groupBy(*[f"key{i}" for i in range(len(keys))], "aid_x", "aid_y").agg(pick("at").alias("at"))
     weight = spec.weight.format(**names)
     for side in ("x", "y"):
         for c in ("ts", "eid", "type"):
@@ -121,6 +137,14 @@ def covisitation(events: DataFrame, spec: CovisSpec, t_min: int, t_max: int, chu
     return best(summed, spec.top_n if top_n is None else top_n)
 
 
+def _representatives(events: DataFrame, spec: CovisSpec, by_type: bool) -> DataFrame:
+    """Of each session's events of one item (and type) the one that a pair would be represented by: the latest or the earliest."""
+    pick = F.max if spec.latest else F.min
+    keys = ["session", "aid", *(["type"] if by_type else [])]
+    one = events.groupBy(*keys).agg(pick(F.struct("ts", "eid", *([] if by_type else ["type"]))).alias("at"))
+    return one.select(*keys, "at.*")
+
+
 def best(pairs: DataFrame, n: int) -> DataFrame:
     """pairs(aid_x, aid_y, wgt_e9) with their rank for aid_x, the best n only (0: all)."""
     w = Window.partitionBy("aid_x").orderBy(F.desc("wgt_e9"), "aid_y")
