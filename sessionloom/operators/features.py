@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,29 @@ TYPE_163 = {0: 1, 1: 6, 2: 3}
 EVENT_WEIGHTS = ("w_pos_log", "w_type_163", "w_lastday", "w_time", "w_recsys")
 
 
+def _numbered(events: DataFrame, stretches: int = 4096) -> DataFrame:
+    """events with `nth`, their number among the item's events by session, the most recent of a session first.
+
+    Sessions are cut into stretches of equal width; an item's events before a stretch are counted by an aggregate, and only those within it are
+    numbered by a window, so an item with very many events spreads over many tasks.
+    """
+    span = F.broadcast(events.agg(F.min("session").alias("lo"), F.max("session").alias("hi")))  # one row
+    share = (F.col("session") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
+    e = events.crossJoin(span).withColumn("stretch", F.floor(share * stretches).cast("int")).drop("lo", "hi")
+    before = Window.partitionBy("aid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = e.groupBy("aid", "stretch").agg(F.count("*").alias("n")).select(F.col("aid").alias("of"), F.col("stretch").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("aid", "stretch").orderBy("session", F.desc("ts"), F.desc("eid"))
+    met = e.withColumn("nth", F.row_number().over(within)).join(counts, F.col("aid").eqNullSafe(F.col("of")) & F.col("stretch").eqNullSafe(F.col("at")))
+    return met.withColumn("nth", F.col("nth") + F.col("before")).drop("stretch", "before", "of", "at")
+
+
 def event_weights(events: DataFrame, no_click: bool = False) -> DataFrame:
     """Events with five weights; the most recent event is position 0.
 
     The running length is position + 1, so w_pos_log is 1 for the most recent event and 2^0.1 - 1 for all others.
     """
     upto = back().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    global_item = Window.partitionBy("aid").orderBy("session", F.desc("ts"), F.desc("eid"))
-    e = events.withColumns({"pos": F.row_number().over(back()) - 1, "len": F.count("*").over(upto), "last_ts": F.max("ts").over(whole()), "nth": F.row_number().over(global_item)})
+    e = _numbered(events).withColumns({"pos": F.row_number().over(back()) - 1, "len": F.count("*").over(upto), "last_ts": F.max("ts").over(whole())})
     apart = F.col("last_ts") - F.col("ts")
     one = F.lit(1.0)
     kind = by_type(F.col("type"), TYPE_163)
@@ -57,10 +74,16 @@ def weighted_popularity(events: DataFrame, suffix: str = "") -> DataFrame:
     return e.groupBy("aid").agg(*[F.sum(F.when(F.col("type") == k, F.col(w)).otherwise(0.0)).alias(f"{c}_{w}{suffix}") for k, c in enumerate(CLASSES) for w in EVENT_WEIGHTS])
 
 
+def _shares(rows: DataFrame, keys: list[str], value: str, times: int) -> DataFrame:
+    """rows with `share`, their part of the keys' total, times a number. Totals are summed with map-side partials and joined; Spark broadcasts them by their size."""
+    totals = rows.groupBy(*keys).agg(F.sum(value).alias("total"))
+    return rows.join(totals, keys).withColumn("share", F.col(value) * times / F.col("total"))
+
+
 def popularity_week(events: DataFrame) -> DataFrame:
     """(aid, type, popularity_week): share of the type's events, times 10,000."""
     n = events.groupBy("aid", "type").agg(F.count("*").alias("n"))
-    return n.select("aid", "type", (F.col("n") * 10_000 / F.sum("n").over(Window.partitionBy("type"))).alias("popularity_week"))
+    return _shares(n, ["type"], "n", 10_000).select("aid", "type", F.col("share").alias("popularity_week"))
 
 
 def _day(ts: Column, t0: int, shift: int) -> Column:
@@ -70,7 +93,7 @@ def _day(ts: Column, t0: int, shift: int) -> Column:
 def popularity_day(events: DataFrame, t0: int, shift: int = 7200) -> DataFrame:
     """(aid, type, day, popularity_day): share of the day's events of the type, times 10,000; days are local, shift seconds ahead."""
     n = events.groupBy("aid", "type", _day(F.col("ts"), t0, shift).alias("day")).agg(F.count("*").alias("n"))
-    return n.select("aid", "type", "day", (F.col("n") * 10_000 / F.sum("n").over(Window.partitionBy("type", "day"))).alias("popularity_day"))
+    return _shares(n, ["type", "day"], "n", 10_000).select("aid", "type", "day", F.col("share").alias("popularity_day"))
 
 
 def popularity_hour(events: DataFrame, shift: int = 7200) -> DataFrame:
@@ -79,7 +102,7 @@ def popularity_hour(events: DataFrame, shift: int = 7200) -> DataFrame:
     n = events.groupBy("aid", "type", (local - local % 3600).alias("hour")).agg(F.count("*").alias("n"))
     around = Window.partitionBy("aid", "type").orderBy("hour").rangeBetween(-3600, 3600)
     rolled = n.withColumn("r", F.sum("n").over(around))
-    return rolled.select("aid", "type", "hour", (F.col("r") * 100 / F.sum("r").over(Window.partitionBy("type", "hour"))).alias("popularity_hour"))
+    return _shares(rolled, ["type", "hour"], "r", 100).select("aid", "type", "hour", F.col("share").alias("popularity_hour"))
 
 
 def popularity(pairs: DataFrame, events: DataFrame, t0: int, shift: int = 7200) -> DataFrame:
@@ -113,15 +136,22 @@ def _aggregates(value: Column, name: str) -> list[Column]:
     return [(F.sum(value * F.col("cnt")) / F.max("total")).alias(f"{name}_mean"), F.sum(value * F.col("cnt")).alias(f"{name}_sum"), F.max(value).alias(f"{name}_max")]
 
 
-def covisitation_features(pairs: DataFrame, events: DataFrame, matrix: DataFrame, weights: DataFrame, name: str = "m") -> DataFrame:
+def covisitation_features(pairs: DataFrame, events: DataFrame, matrix: DataFrame | dict[str, DataFrame], weights: DataFrame, name: str = "m") -> DataFrame:
     """pairs with mean, sum and max over the session's events of the matrix weight to the candidate, plain and times each event weight.
 
+    Several matrices by name are one table of edges with a column each, so that pairs, events and weights are joined once for all of them.
     Events are collapsed to items first, and the matrix is joined inside: events without an edge count as 0 through `total`.
     """
-    edges = matrix.select(F.col("aid_x").alias("aid"), F.col("aid_y").alias("candidates"), (F.col("wgt_e9") / F.lit(1e9)).alias("w"))
+    matrices = matrix if isinstance(matrix, dict) else {name: matrix}
+    edges = None
+    for k, m in enumerate(matrices.values()):
+        one = m.select(F.col("aid_x").alias("aid"), F.col("aid_y").alias("candidates"), F.lit(k).alias("k"), (F.col("wgt_e9") / F.lit(1e9)).alias("w"))
+        edges = one if edges is None else edges.unionByName(one)
+    edges = edges.groupBy("aid", "candidates").agg(*[F.max(F.when(F.col("k") == k, F.col("w"))).alias(f"w{k}") for k in range(len(matrices))])
     w = weights.withColumnRenamed("candidates", "aid")
     e = per_event(pairs, events).join(edges, ["aid", "candidates"]).join(w, ["session", "aid"], "left")
-    cols = [c for x in ("", *EVENT_WEIGHTS) for c in _aggregates(F.col("w") * F.coalesce(x, F.lit(0.0)) if x else F.col("w"), f"{name}_{x}" if x else name)]
+    value = lambda k, x: F.coalesce(f"w{k}", F.lit(0.0)) * (F.coalesce(x, F.lit(0.0)) if x else F.lit(1.0))
+    cols = [c for k, n in enumerate(matrices) for x in ("", *EVENT_WEIGHTS) for c in _aggregates(value(k, x), f"{n}_{x}" if x else n)]
     found = e.groupBy("session", "candidates").agg(*cols)
     names = [c for c in found.columns if c not in ("session", "candidates")]
     return pairs.join(found, ["session", "candidates"], "left").na.fill(0.0, names)
@@ -160,28 +190,26 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("aid", unit(F.col("vec")).alias("vec"))
 
 
-def similarities(rows: DataFrame, vectors: DataFrame, a: str, b: str) -> DataFrame:
-    """rows with `sim`, the dot product of the unit vectors of items a and b; 0 where one is missing. Distinct pairs are computed once."""
+def similarities(rows: DataFrame, vectors: DataFrame, a: str, b: str, missing: float | None = 0.0) -> DataFrame:
+    """rows with `sim`, the dot product of the unit vectors of items a and b; `missing` where there is no vector. Distinct pairs are computed once."""
     pairs = rows.select(F.col(a).alias("sa"), F.col(b).alias("sb")).distinct()
     va, vb = vectors.select(F.col("aid").alias("sa"), F.col("vec").alias("va")), vectors.select(F.col("aid").alias("sb"), F.col("vec").alias("vb"))
     sims = pairs.join(va, "sa").join(vb, "sb").select("sa", "sb", dot(F.col("va"), F.col("vb")).alias("sim"))
-    return rows.join(sims, (rows[a] == sims["sa"]) & (rows[b] == sims["sb"]), "left").drop("sa", "sb").withColumn("sim", F.coalesce("sim", F.lit(0.0)))
+    return rows.join(sims, (rows[a] == sims["sa"]) & (rows[b] == sims["sb"]), "left").drop("sa", "sb").withColumn("sim", F.coalesce("sim", F.lit(missing).cast("double")))
 
 
-def last_item_similarity(pairs: DataFrame, last: DataFrame, vectors: DataFrame, n: int = 5) -> DataFrame:
-    """pairs with sim_last_0 ..: similarity to the session's last items; -1 where the session is shorter."""
+def last_item_similarity(pairs: DataFrame, last: DataFrame, vectors: DataFrame, n: int = 5, name: str = "sim") -> DataFrame:
+    """pairs with {name}_last_0 ..: similarity to the session's last items; -1 where the session is shorter."""
     long = last.select("session", F.posexplode(F.array(*[F.col(f"last_{i}") for i in range(n)])).alias("i", "aid")).where("aid >= 0")
     rows = similarities(pairs.select("session", "candidates").join(long, "session"), vectors, "candidates", "aid")
-    wide = rows.groupBy("session", "candidates").agg(*[F.max(F.when(F.col("i") == i, F.col("sim"))).alias(f"sim_last_{i}") for i in range(n)])
-    return pairs.join(wide, ["session", "candidates"], "left").na.fill(-1.0, [f"sim_last_{i}" for i in range(n)])
+    wide = rows.groupBy("session", "candidates").agg(*[F.max(F.when(F.col("i") == i, F.col("sim"))).alias(f"{name}_last_{i}") for i in range(n)])
+    return pairs.join(wide, ["session", "candidates"], "left").na.fill(-1.0, [f"{name}_last_{i}" for i in range(n)])
 
 
 def factor_features(pairs: DataFrame, events: DataFrame, vectors: DataFrame, weights: DataFrame, name: str = "mf") -> DataFrame:
     """pairs with mean, sum and max over events of (similarity + 1) times each event weight; 0 without a vector."""
-    known = vectors.select(F.col("aid").alias("known"))
-    rows = similarities(per_event(pairs, events), vectors, "candidates", "aid").join(weights.withColumnRenamed("candidates", "aid"), ["session", "aid"], "left")
-    rows = rows.join(known, F.col("aid") == F.col("known"), "left").join(known.withColumnRenamed("known", "known_c"), F.col("candidates") == F.col("known_c"), "left")
-    s = F.when(F.col("known").isNotNull() & F.col("known_c").isNotNull(), F.col("sim") + 1).otherwise(0.0)
+    rows = similarities(per_event(pairs, events), vectors, "candidates", "aid", missing=None).join(weights.withColumnRenamed("candidates", "aid"), ["session", "aid"], "left")
+    s = F.coalesce(F.col("sim") + 1, F.lit(0.0))
     cols = [c for w in EVENT_WEIGHTS for c in _aggregates(s * F.coalesce(w, F.lit(0.0)), f"{name}_{w}")]
     found = rows.groupBy("session", "candidates").agg(*cols)
     return pairs.join(found, ["session", "candidates"], "left").na.fill(0.0, [c for c in found.columns if c not in ("session", "candidates")])
@@ -217,9 +245,53 @@ def sequence_features(pairs: DataFrame, events: DataFrame, vectors: DataFrame, n
     return pairs.join(found, ["session", "candidates"], "left").na.fill(0.0, [c for c in names if c != f"{name}_count"]).na.fill(0, [f"{name}_count"])
 
 
+def session_items(events: DataFrame) -> DataFrame:
+    """(session, aid) with all that features know of a session's item: cnt and the session's total; the five weights, plain and (nc_) without clicks; position
+    weights s1, s2, st and last; r0 .. r4 and b0 .. b4, whether it is the session's last item but so many, of all events and of carts and orders.
+    """
+    kinds = Window.partitionBy("session", F.col("type") != 0).orderBy(F.desc("ts"), F.desc("eid"))
+    e = event_weights(position_weights(events)).withColumns({"p": F.row_number().over(back()) - 1, "pb": F.when(F.col("type") != 0, F.row_number().over(kinds) - 1)})
+    nc = lambda w: F.sum(F.when(F.col("type") != 0, F.col(w)).otherwise(0.0)).alias(f"nc_{w}")
+    cols = [F.sum(w).alias(w) for w in EVENT_WEIGHTS] + [nc(w) for w in EVENT_WEIGHTS]
+    cols += [F.count("*").alias("cnt"), F.sum("wgt_1").alias("s1"), F.sum("wgt_2").alias("s2"), F.sum("type_mp").alias("st"), F.max("last").alias("last")]
+    cols += [F.coalesce(F.max(F.col(p) == i), F.lit(False)).alias(f"{x}{i}") for x, p in (("r", "p"), ("b", "pb")) for i in range(5)]
+    return e.groupBy("session", "aid").agg(*cols).withColumn("total", F.sum("cnt").over(whole()))
+
+
+def vector_features(pairs: DataFrame, items: DataFrame, sets: dict[str, tuple[DataFrame, bool]], floor: float = 0.5) -> DataFrame:
+    """pairs with, for each set of unit vectors, the 27 columns of last_item_similarity, factor_features and sequence_features.
+
+    items: session_items(). A set that is marked is of carts and orders: its last items are those, its weights without clicks. Similarities of
+    distinct item pairs are computed once for all sets, and pairs, items and similarities are joined once.
+    """
+    met = pairs.select("session", "candidates").join(items, "session")
+    sims = met.select(F.col("candidates").alias("sa"), F.col("aid").alias("sb")).distinct()
+    for k, (vectors, _) in enumerate(sets.values()):
+        for side in ("a", "b"):
+            sims = sims.join(vectors.select(F.col("aid").alias(f"s{side}"), F.col("vec").alias(f"v{side}")), f"s{side}", "left")
+        sims = sims.withColumn(f"sim{k}", F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), dot(F.col("va"), F.col("vb")))).drop("va", "vb")
+    rows = met.join(sims, (met["candidates"] == sims["sa"]) & (met["aid"] == sims["sb"]), "left")
+    cols, lasts = [], []
+    for k, (name, (_, buys)) in enumerate(sets.items()):
+        known = F.coalesce(f"sim{k}", F.lit(0.0))
+        near = F.when(known < floor, 0.0).otherwise(known)
+        for i in range(5):
+            lasts.append(f"{name}_last_{i}")
+            cols.append(F.max(F.when(F.col(f"{'b' if buys else 'r'}{i}"), known)).alias(lasts[-1]))
+        for w in EVENT_WEIGHTS:
+            cols += _aggregates(F.coalesce(F.col(f"sim{k}") + 1, F.lit(0.0)) * F.col(f"nc_{w}" if buys else w), f"{name}_{w.removeprefix('w_')}")
+        hits = F.sum(F.when(near > 0, F.col("cnt")).otherwise(0))
+        over = lambda x, h=hits, n=near: F.sum(n * F.col(x)) / (1 + h)
+        seq = {"max": F.max(near), "mean": over("cnt"), "count": hits.cast("double"), "wgt_1": over("s1"), "wgt_2": over("s2"), "last": F.max(near * F.col("last")), "type": over("st")}
+        cols += [c.alias(f"{name}_seq_{x}") for x, c in seq.items()]
+    found = rows.groupBy(met["session"], met["candidates"]).agg(*cols)
+    out = pairs.join(found, ["session", "candidates"], "left")
+    return out.na.fill(-1.0, lasts).na.fill(0.0, [c for c in found.columns if c not in ("session", "candidates", *lasts)])
+
+
 def correlated(features: DataFrame, names: list[str], over: float = 0.99) -> DataFrame:
-    """(a, b, corr) of feature pairs that correlate over a bound; all coefficients come from one pass."""
-    cols = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    one = features.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"c{k}") for k, (a, b) in enumerate(cols)])
-    items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(cols)])
-    return one.select(F.inline(items)).where(F.col("corr") > over)
+    """(a, b, corr) of feature pairs that correlate over a bound; all coefficients come from one Gram matrix of the features. Missing values count as 0."""
+    made = VectorAssembler(inputCols=[f"f{k}" for k in range(len(names))], outputCol="v").transform(features.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"f{k}") for k, c in enumerate(names)]))
+    corr = Correlation.corr(made, "v").first()[0].toArray()  # as many rows as there are features
+    rows = [(a, b, float(corr[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and corr[i, j] > over]
+    return features.sparkSession.createDataFrame(rows, "a string, b string, corr double")

@@ -35,10 +35,31 @@ def sample_n(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("h", _order(rows, seed)).orderBy("h", "session", "candidates").limit(n).drop("h")
 
 
+def quantile(rows: DataFrame, share: float, key: str, stretches: int = 4096) -> DataFrame:
+    """One row `q`: the exact quantile of a whole-number key, between two values in proportion.
+
+    Keys are counted by stretches of equal width; only the stretches that hold the two values are looked at key by key.
+    """
+    span = F.broadcast(rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("v")).agg(F.count("*").alias("c")).crossJoin(span)
+    counts = counts.withColumn("stretch", F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * stretches)).drop("lo", "hi")
+    upto = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("stretch").agg(F.sum("c").alias("n"))  # at most `stretches` rows
+    at = totals.agg(((F.sum("n") - 1) * F.lit(float(share))).alias("at"))
+    held = totals.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).crossJoin(F.broadcast(at))
+    held = held.where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("n") > F.floor("at")))
+    some = counts.join(F.broadcast(held.select("stretch", "before", "at")), "stretch")  # two rows at most
+    within = Window.partitionBy("stretch").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = some.withColumn("through", F.col("before") + F.sum("c").over(within))
+    covers = lambda p: (F.col("through") - F.col("c") <= p) & (F.col("through") > p)
+    value = lambda p: F.max(F.when(covers(p), F.col("v"))).cast("double")
+    two = some.agg(value(F.floor("at")).alias("a"), value(F.ceil("at")).alias("b"), F.max("at").alias("at"))
+    return two.select((F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("q"))
+
+
 def under_quantile(rows: DataFrame, share: float, key: str = "session") -> DataFrame:
     """rows whose key is under the exact quantile of the rows' keys."""
-    q = F.broadcast(rows.agg(F.percentile(key, share).alias("q")))
-    return rows.crossJoin(q).where(F.col(key) < F.col("q")).drop("q")
+    return rows.crossJoin(F.broadcast(quantile(rows, share, key))).where(F.col(key) < F.col("q")).drop("q")
 
 
 def modulo(rows: DataFrame, m: int, r: int, key: str = "session") -> DataFrame:
