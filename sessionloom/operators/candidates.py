@@ -15,6 +15,11 @@ def popular(events: DataFrame, n: int = 100) -> DataFrame:
     return counts.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < n)
 
 
+def by_class(ranked: DataFrame) -> DataFrame:
+    """Rows of popular() with the class's name as their type."""
+    return ranked.withColumn("type", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("type") + 1))
+
+
 def cooccurring(events: DataFrame, matrices: list[DataFrame], n: int = 100) -> DataFrame:
     """(session, candidates): a session's own items and what its events call up from the matrices.
 

@@ -10,11 +10,11 @@ from sessionloom.functions.expr import ratio
 CLASS_WEIGHTS = {"clicks": 0.1, "carts": 0.3, "orders": 0.6}
 
 
-def top_lists(scored: DataFrame, k: int = 20) -> DataFrame:
-    """(session, preds): each session's k best candidates, ties by candidate."""
-    w = Window.partitionBy("session").orderBy(F.desc("pred"), "candidates")
+def top_lists(scored: DataFrame, k: int = 20, keys: tuple[str, ...] = ("session",)) -> DataFrame:
+    """(*keys, preds): each session's (and type's, with that key) k best candidates, ties by candidate."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("pred"), "candidates")
     top = scored.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
-    return top.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "candidates"))), lambda x: x["candidates"]).alias("preds"))
+    return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "candidates"))), lambda x: x["candidates"]).alias("preds"))
 
 
 def coverage(lists: DataFrame, truth: DataFrame, k: int = 20) -> DataFrame:
@@ -52,19 +52,19 @@ def blend(models: list[tuple[DataFrame, float]]) -> DataFrame:
 
 
 def padded(lists: DataFrame, popular: DataFrame, k: int = 20) -> DataFrame:
-    """lists filled to k with the most popular items in order, which may repeat; popular(aid, pos)."""
-    top = F.broadcast(popular.where(F.col("pos") < k).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "aid"))), lambda x: x["aid"]).alias("top")))
+    """(session, type, preds): lists(session, type, preds) filled to k with the most popular items of their own type, in order, which may repeat.
+
+    popular(type, aid, pos) names types as lists does.
+    """
+    top = popular.where(F.col("pos") < k).groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "aid"))), lambda x: x["aid"]).alias("top"))
     missing = F.greatest(F.lit(0), F.lit(k) - F.size("preds"))
-    return lists.crossJoin(top).select("session", F.slice(F.concat("preds", F.slice("top", F.lit(1), missing)), 1, k).alias("preds"))
+    pad = F.slice(F.coalesce("top", F.array().cast("array<long>")), F.lit(1), missing)
+    return lists.join(F.broadcast(top), "type", "left").select("session", "type", F.slice(F.concat("preds", pad), 1, k).alias("preds"))  # top: a row a class
 
 
-def submission(lists: dict[str, DataFrame]) -> DataFrame:
-    """(session_type, labels) of each class's lists."""
-    out = None
-    for c, one in lists.items():
-        rows = one.select(F.concat(F.col("session").cast("string"), F.lit(f"_{c}")).alias("session_type"), F.array_join(F.transform("preds", lambda x: x.cast("string")), " ").alias("labels"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def submission(lists: DataFrame) -> DataFrame:
+    """(session_type, labels) of lists(session, type, preds)."""
+    return lists.select(F.concat_ws("_", F.col("session").cast("string"), "type").alias("session_type"), F.array_join(F.transform("preds", lambda x: x.cast("string")), " ").alias("labels"))
 
 
 def parse_submission(rows: DataFrame) -> DataFrame:
