@@ -11,12 +11,35 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.functions.expr import arithmetic_hash
+from sessionloom.functions.hold import held
+
+
+def dense_ids(rows: DataFrame, col: str) -> DataFrame:
+    """(col, dense): the distinct values of a column with numbers from 0 without gaps, in order; for models that take 32-bit ids.
+
+    Values are sorted in ranges; a value's number is its place in its range and the values in the ranges before, of which there are as many as partitions.
+    """
+    ranged = held(rows.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(F.col(col)).sortWithinPartitions(col).withColumn("at", F.monotonically_increasing_id()), "ranged")
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes, before, run = sorted((r.part, r.n) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()), [], 0
+    for k, n in sizes:
+        before.append((k, run))
+        run += n
+    if run >= 1 << 31:
+        raise ValueError(f"{run} distinct values of {col} don't fit 32-bit ids")
+    first = F.broadcast(rows.sparkSession.createDataFrame(before, "part long, before long"))  # a row a partition
+    return ranged.withColumn("part", part).join(first, "part").select(col, (F.col("before") + place).cast("int").alias("dense"))
+
 
 def item_factors(events: DataFrame, rank: int = 64, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """(aid, vec) by implicit-feedback factorisation of session x item counts."""
-    n = events.groupBy(F.col("session").cast("int").alias("u"), F.col("aid").cast("int").alias("i")).agg(F.count("*").cast("float").alias("n"))
+    """(aid, vec) by implicit-feedback factorisation of session x item counts. Ids of any size."""
+    users, items = held(dense_ids(events, "session"), "users"), held(dense_ids(events, "aid"), "items")
+    n = events.groupBy("session", "aid").agg(F.count("*").cast("float").alias("n"))
+    n = n.join(users.withColumnRenamed("dense", "u"), "session").join(items.withColumnRenamed("dense", "i"), "aid").select("u", "i", "n")
     als = ALS(rank=rank, maxIter=rounds, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="n", seed=seed)
-    return als.fit(n).itemFactors.select(F.col("id").cast("long").alias("aid"), F.col("features").alias("vec"))
+    found = als.fit(n).itemFactors
+    return found.join(items, found["id"] == items["dense"]).select("aid", F.col("features").alias("vec"))
 
 
 def item_vectors(events: DataFrame, size: int = 50, window: int = 3, rounds: int = 5, seed: int = 42) -> DataFrame:
@@ -31,10 +54,14 @@ def _assembled(features: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(safe)
 
 
-def train_ranker(features: DataFrame, target: str, names: list[str], rounds: int = 10, depth: int = 4, seed: int = 42) -> GBTClassificationModel:
-    """Boosted trees on a binary target."""
+def train_ranker(features: DataFrame, target: str, names: list[str], rounds: int = 10, depth: int = 4, seed: int = 42, stop_share: float = 0.0, tolerance: float = 0.01) -> GBTClassificationModel:
+    """Boosted trees on a binary target. With stop_share, so much of the sessions is held out, and training stops when its error no longer falls by the tolerance."""
     rows = _assembled(features, names).withColumn("label", F.col(target).cast("double"))
-    return GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed).fit(rows.select("features", "label"))
+    how = {"maxIter": rounds, "maxDepth": depth, "seed": seed}
+    if stop_share:
+        rows = rows.withColumn("held_out", arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * stop_share))
+        how |= {"validationIndicatorCol": "held_out", "validationTol": tolerance}
+    return GBTClassifier(**how).fit(rows.select("features", "label", *(["held_out"] if stop_share else [])))
 
 
 def score(features: DataFrame, model: GBTClassificationModel, names: list[str]) -> DataFrame:
@@ -42,13 +69,14 @@ def score(features: DataFrame, model: GBTClassificationModel, names: list[str])
     return model.transform(_assembled(features, names)).select("session", "candidates", vector_to_array("probability")[1].alias("pred"))
 
 
-def tune_ranker(features: DataFrame, target: str, names: list[str], depths: tuple[int, ...] = (3, 4), rounds: tuple[int, ...] = (5, 10), seed: int = 42) -> dict:
-    """The best depth and rounds by AUC on a quarter held out."""
+def tune_ranker(features: DataFrame, target: str, names: list[str], depths: tuple[int, ...] = (3, 4), rounds: tuple[int, ...] = (5, 10), seed: int = 42) -> DataFrame:
+    """(maxDepth, maxIter, auc), the best first: every combination, trained on three quarters of the rows and judged on the rest."""
     rows = _assembled(features, names).withColumn("label", F.col(target).cast("double"))
     gbt = GBTClassifier(seed=seed)
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.maxIter, list(rounds)).build()
-    best = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), trainRatio=0.75, seed=seed).fit(rows.select("features", "label"))
-    return {"maxDepth": best.bestModel.getOrDefault("maxDepth"), "maxIter": best.bestModel.getOrDefault("maxIter")}
+    judged = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), trainRatio=0.75, seed=seed).fit(rows.select("features", "label"))
+    found = [(int(m[gbt.maxDepth]), int(m[gbt.maxIter]), float(v)) for m, v in zip(grid, judged.validationMetrics, strict=True)]
+    return features.sparkSession.createDataFrame(sorted(found, key=lambda r: (-r[2], r[0], r[1])), "maxDepth int, maxIter int, auc double")
 
 
 def cross_fit(features: DataFrame, target: str, names: list[str], k: int = 3, **how) -> tuple[DataFrame, DataFrame]:
