@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom import oracles as o
-from sessionloom.functions.hold import checkpointed
+from sessionloom.functions.hold import held
 from sessionloom.operators import candidates, evaluation, features, models, sampling, sessions, voting
 from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge
 from sessionloom.plans import recommender
@@ -51,6 +51,11 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return features.unit_vectors(adapters.read_vectors(spark, f"{d}/embeddings.parquet"))
 
 
+def sessions_held(spark: SparkSession, d: str) -> DataFrame:
+    """visits() for queries that use them more than once."""
+    return held(adapters.visit_events(spark, d), "visits")
+
+
 def matrix(events: DataFrame, name: str, n: int | None = None) -> DataFrame:
     return covisitation(events, SPECS[name], T_MIN, T_MAX, top_n=n)
 
@@ -106,11 +111,6 @@ gt AS (SELECT session, 'clicks' AS type, [label_click] AS ground_truth FROM cut
  UNION ALL SELECT session, 'carts', label_carts FROM cut WHERE len(label_carts) > 0 UNION ALL SELECT session, 'orders', label_orders FROM cut WHERE len(label_orders) > 0)"""
 
 
-def kept_and_truth(spark, d):
-    kept, labels = sessions.cut_sessions(visits(spark, d))
-    return kept, sessions.labels_to_long(labels)
-
-
 @query("label_long", f"WITH {o.V}, {LONG_SQL} SELECT session, type, {listed('ground_truth')} AS ground_truth FROM gt")
 def label_long(spark, d):
     """Long labels, by way of the nested form."""
@@ -162,12 +162,13 @@ query("seed_lists", f"WITH {o.U} SELECT session, list, aid, pos FROM {o.seeds('u
 
 for _name, _spec in SPECS.items():
     query(f"covis_{_name}", f"WITH {o.V} SELECT aid_x, aid_y, wgt_e9, rank FROM {o.covis(_spec, 'v', T_MIN, T_MAX)}")(lambda s, d, n=_name: matrix(visits(s, d), n))
-query("covis_users_235", f"WITH {o.U} SELECT aid_x, aid_y, wgt_e9, rank FROM {o.covis(SPECS['235'], 'u', T_MIN, T_MAX)}")(lambda s, d: matrix(users(s, d), "235"))
+for _name in ("93", "116", "157", "235"):
+    query(f"covis_users_{_name}", f"WITH {o.U} SELECT aid_x, aid_y, wgt_e9, rank FROM {o.covis(SPECS[_name], 'u', T_MIN, T_MAX)}")(lambda s, d, n=_name: matrix(users(s, d), n))
 query(
     "covis_merged",
     f"""WITH {o.V}, m AS (SELECT * FROM {o.covis(SPECS['temporal'], 'v', T_MIN, T_MAX, top_n=0)} UNION ALL SELECT * FROM {o.covis(SPECS['type136'], 'v', T_MIN, T_MAX, top_n=0)}),
  t AS (SELECT aid_x, aid_y, sum(wgt_e9)::BIGINT AS wgt_e9 FROM m GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY aid_x ORDER BY wgt_e9 DESC, aid_y) AS rank FROM t QUALIFY rank <= 20""",
-)(lambda s, d: merge([matrix(visits(s, d), "temporal", 0), matrix(visits(s, d), "type136", 0)], 20))
+)(lambda s, d: (lambda e: merge([matrix(e, "temporal", 0), matrix(e, "type136", 0)], 20))(sessions_held(s, d)))
 
 
 @query("adjacency_lists", f"WITH {o.V} SELECT aid_x AS aid, string_agg(aid_y, ' ' ORDER BY rank) AS candidates FROM {o.covis(SPECS['93'], 'v', T_MIN, T_MAX)} GROUP BY aid_x")
@@ -190,37 +191,49 @@ C_KEPT = f"WITH {o.V}, {MATS}, {KEPT}, {LONG_SQL}, {COOC.format(src='kept', n=40
 
 
 def two(events: DataFrame) -> list[DataFrame]:
-    return [matrix(events, "temporal"), matrix(events, "type136")]
+    return [held(matrix(events, n), n) for n in ("temporal", "type136")]
+
 
+def cooc(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Co-occurring candidates of all sessions, and the sessions."""
+    e = sessions_held(spark, d)
+    return candidates.cooccurring(e, two(e), 100), e
 
-def kept_pairs(spark, d):
-    kept, truth = kept_and_truth(spark, d)
-    return candidates.cooccurring(kept, two(visits(spark, d)), 40), kept, truth
 
+class Kept:
+    """What queries on cut sessions share, each computed once: all events, the kept ones, labels, two matrices, candidates."""
 
-query("candidates_cooc", f"{C_V} SELECT session, candidates FROM c")(lambda s, d: candidates.cooccurring(visits(s, d), two(visits(s, d)), 100))
+    def __init__(self, spark, d):
+        self.events = sessions_held(spark, d)
+        kept, labels = sessions.cut_sessions(self.events)
+        self.kept, self.truth = held(kept, "kept"), held(sessions.labels_to_long(labels), "truth")
+        self.matrices = dict(zip(("temporal", "type136"), two(self.events), strict=True))
+        self.pairs = held(candidates.cooccurring(self.kept, list(self.matrices.values()), 40), "pairs")
+
+
+query("candidates_cooc", f"{C_V} SELECT session, candidates FROM c")(lambda s, d: cooc(s, d)[0])
 HITS = "h AS (SELECT session, type, unnest(ground_truth) AS candidates FROM gt)"
 GT = ", ".join(f"CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.session = c.session AND h.candidates = c.candidates AND h.type = '{k}') THEN 1 ELSE 0 END AS gt_{k}" for k in candidates.CLASSES)
 
 
 @query("candidates_labelled", f"{C_KEPT}, {HITS} SELECT session, candidates, {GT} FROM c")
 def candidates_labelled(spark, d):
-    pairs, _, truth = kept_pairs(spark, d)
-    return candidates.labelled(pairs, truth)
+    k = Kept(spark, d)
+    return candidates.labelled(k.pairs, k.truth)
 
 
 query("candidates_blend", f"{C_V} SELECT session, candidates FROM c UNION SELECT v.session, m.aid_y FROM v JOIN mt m ON m.aid_x = v.aid")(
-    lambda s, d: candidates.blended([candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), visits(s, d).join(matrix(visits(s, d), "temporal"), F.col("aid") == F.col("aid_x")).select("session", F.col("aid_y").alias("candidates"))])
+    lambda s, d: (lambda e: (lambda m: candidates.blended([candidates.cooccurring(e, m, 100), e.join(m[0], F.col("aid") == F.col("aid_x")).select("session", F.col("aid_y").alias("candidates"))]))(two(e)))(sessions_held(s, d))
 )
-query("candidates_unseen", f"{C_V} SELECT session, candidates FROM c EXCEPT SELECT session, aid FROM v")(lambda s, d: candidates.unseen(candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), visits(s, d)))
-query("first_candidate", f"{C_V} SELECT session, min(candidates) AS candidates FROM c GROUP BY session")(lambda s, d: candidates.one_per_session(candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), "candidates"))
+query("candidates_unseen", f"{C_V} SELECT session, candidates FROM c EXCEPT SELECT session, aid FROM v")(lambda s, d: candidates.unseen(*cooc(s, d)))
+query("first_candidate", f"{C_V} SELECT session, min(candidates) AS candidates FROM c GROUP BY session")(lambda s, d: candidates.one_per_session(cooc(s, d)[0], "candidates"))
 
 
 @query("candidate_recall", f"{C_KEPT}, l AS (SELECT session, list(candidates) AS preds FROM c GROUP BY session) SELECT type, sum(len(preds))::BIGINT AS n_preds, sum(least(20, len(ground_truth)))::BIGINT AS n_gts, sum(least(20, len(list_intersect(ground_truth, preds))))::BIGINT AS n_found, n_found / n_gts AS recall FROM l JOIN gt USING (session) GROUP BY type")
 def candidate_recall(spark, d):
     """The most that ranking can reach: recall of whole candidate lists."""
-    pairs, _, truth = kept_pairs(spark, d)
-    return evaluation.coverage(pairs.groupBy("session").agg(F.collect_list("candidates").alias("preds")), truth)
+    k = Kept(spark, d)
+    return evaluation.coverage(k.pairs.groupBy("session").agg(F.collect_list("candidates").alias("preds")), k.truth)
 
 
 VOTE_SINCE = {n: (SPECS[n].__class__(**{**SPECS[n].__dict__, "started_days": 31}) if SPECS[n].started_days else SPECS[n]) for n in voting.MATRICES}
@@ -234,7 +247,7 @@ def vote_parts(spark, d, names):
         one = covisitation(e, VOTE_SINCE[n], T_MIN, T_MAX).select(F.lit(n).alias("matrix"), "aid_x", "aid_y", "rank")
         all_ = one if all_ is None else all_.unionByName(one)
     # Lists are asked for by several sources, so matrices and seeds are kept.
-    return e, checkpointed(sessions.seed_lists(e)), checkpointed(all_)
+    return e, held(sessions.seed_lists(e)), held(all_)
 
 
 def used(spec) -> list[str]:
@@ -248,7 +261,7 @@ def vote(spec):
         fast = voting.suggest(e, seeds, mats, voting.FAST, popular=top[0])
         if spec is voting.FAST:
             return fast
-        return voting.suggest(e, seeds, mats, spec, fast=checkpointed(fast), popular=top[2] if spec is voting.ORDERS else top[0])
+        return voting.suggest(e, seeds, mats, spec, fast=held(fast), popular=top[2] if spec is voting.ORDERS else top[0])
 
     return run
 
@@ -291,7 +304,7 @@ SW = f"sw AS (SELECT session, aid AS candidates, {', '.join(f'sum({w}) AS {w}' f
 query(
     "weights_fill",
     f"{C_V}, {EW}, {SW}, j AS (SELECT c.session, c.candidates, {', '.join(WEIGHTS)} FROM c LEFT JOIN sw ON c.session = sw.session AND c.candidates = sw.candidates) SELECT session, candidates, {', '.join(r(f'coalesce({w}, (SELECT min({w}) FROM j) / 2)', w) for w in WEIGHTS)} FROM j",
-)(lambda s, d: rounded(features.with_weights(candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), features.session_weights(visits(s, d)))))
+)(lambda s, d: (lambda pairs, e: rounded(features.with_weights(pairs, features.session_weights(e))))(*cooc(s, d)))
 query("popularity_weighted", f"WITH {o.V}, {EW} SELECT aid, {', '.join(r(f'sum(CASE WHEN type = {k} THEN {w} ELSE 0 END)', f'{c}_{w}') for k, c in enumerate(candidates.CLASSES) for w in WEIGHTS)} FROM ew GROUP BY aid")(lambda s, d: rounded(features.weighted_popularity(visits(s, d))))
 WEEK = "SELECT aid, type, count(*) * 10000 / sum(count(*)) OVER (PARTITION BY type) AS popularity_week FROM v GROUP BY aid, type"
 DAY_ = f"SELECT aid, type, (ts + 7200 - {T_MIN}) // 86400 AS day, count(*) * 10000 / sum(count(*)) OVER (PARTITION BY type, (ts + 7200 - {T_MIN}) // 86400) AS popularity_day FROM v GROUP BY aid, type, (ts + 7200 - {T_MIN}) // 86400"
@@ -311,7 +324,7 @@ def pop_sql() -> str:
  a AS (SELECT c.session, candidates, (l + 7200 - {T_MIN}) // 86400 AS day, l + 7200 - (l + 7200) % 3600 AS hour FROM c JOIN t ON c.session = t.session) SELECT session, candidates, {', '.join(cols)} FROM a"""
 
 
-query("popularity_ratios", pop_sql())(lambda s, d: rounded(features.popularity(candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), visits(s, d), T_MIN)))
+query("popularity_ratios", pop_sql())(lambda s, d: (lambda pairs, e: rounded(features.popularity(pairs, e, T_MIN)))(*cooc(s, d)))
 
 
 def agg3(value: str, name: str) -> str:
@@ -323,9 +336,9 @@ query(
     f"""{C_KEPT}, {EW.replace('FROM v)', 'FROM kept)')}, {SW}, x AS (SELECT c.session, c.candidates, coalesce(m.wgt_e9 / 1e9::DOUBLE, 0) AS w, {', '.join(f'coalesce(sw.{w}, 0) AS {w}' for w in WEIGHTS)} FROM c JOIN kept v ON v.session = c.session
  LEFT JOIN mt m ON m.aid_x = v.aid AND m.aid_y = c.candidates LEFT JOIN sw ON sw.session = c.session AND sw.candidates = v.aid)
  SELECT session, candidates, {', '.join(agg3(f'w * {w}' if w else 'w', f'm_{w}' if w else 'm') for w in ('', *WEIGHTS))} FROM x GROUP BY session, candidates""",
-)(lambda s, d: (lambda pairs, kept: rounded(features.covisitation_features(pairs, kept, matrix(visits(s, d), "temporal"), features.session_weights(kept))))(*kept_pairs(s, d)[:2]))
+)(lambda s, d: (lambda k: rounded(features.covisitation_features(k.pairs, k.kept, k.matrices["temporal"], features.session_weights(k.kept))))(Kept(s, d)))
 ACTIONS = ", ".join(f"least(255, count(v.eid){f' FILTER (WHERE v.type = {k - 1})' if k else ''}) AS candidate_{n}_before" for k, n in enumerate(("all", *candidates.CLASSES)))
-query("count_actions", f"{C_V} SELECT c.session, c.candidates, {ACTIONS} FROM c LEFT JOIN v ON v.session = c.session AND v.aid = c.candidates GROUP BY c.session, c.candidates")(lambda s, d: features.count_actions(candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), visits(s, d)))
+query("count_actions", f"{C_V} SELECT c.session, c.candidates, {ACTIONS} FROM c LEFT JOIN v ON v.session = c.session AND v.aid = c.candidates GROUP BY c.session, c.candidates")(lambda s, d: features.count_actions(*cooc(s, d)))
 query("session_counts", f"WITH {o.U} SELECT session, least(255, count(*)) AS n_views, {', '.join(f'least(255, count(*) FILTER (WHERE type = {k})) AS n_{c}' for k, c in enumerate(candidates.CLASSES))} FROM u GROUP BY session")(lambda s, d: features.session_counts(users(s, d)))
 query(
     "rank_features",
@@ -340,13 +353,13 @@ query(
     "lastn_cosine",
     f"""{C_KEPT}, {VEC}, l AS (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY ts DESC, eid DESC) - 1 AS p FROM kept QUALIFY p < 5), x AS (SELECT c.session, c.candidates, p, {SIM} AS sim FROM c JOIN l ON l.session = c.session LEFT JOIN e a ON a.aid = c.candidates LEFT JOIN e b ON b.aid = l.aid)
  SELECT session, candidates, {', '.join(r(f'coalesce(max(sim) FILTER (WHERE p = {i}), -1)', f'sim_last_{i}') for i in range(5))} FROM x GROUP BY session, candidates""",
-)(lambda s, d: (lambda pairs, kept: rounded(features.last_item_similarity(pairs, sessions.last_items(kept), vectors(s, d))))(*kept_pairs(s, d)[:2]))
+)(lambda s, d: (lambda k: rounded(features.last_item_similarity(k.pairs, sessions.last_items(k.kept), vectors(s, d))))(Kept(s, d)))
 query(
     "mf_features",
     f"""{C_KEPT}, {VEC}, {EW.replace('FROM v)', 'FROM kept)')}, {SW}, x AS (SELECT c.session, c.candidates, coalesce(list_dot_product(a.vec, b.vec) + 1, 0) AS s, {', '.join(f'coalesce(sw.{w}, 0) AS {w}' for w in WEIGHTS)} FROM c JOIN kept v ON v.session = c.session
  LEFT JOIN e a ON a.aid = c.candidates LEFT JOIN e b ON b.aid = v.aid LEFT JOIN sw ON sw.session = c.session AND sw.candidates = v.aid)
  SELECT session, candidates, {', '.join(agg3(f's * {w}', f'mf_{w}') for w in WEIGHTS)} FROM x GROUP BY session, candidates""",
-)(lambda s, d: (lambda pairs, kept: rounded(features.factor_features(pairs, kept, vectors(s, d), features.session_weights(kept))))(*kept_pairs(s, d)[:2]))
+)(lambda s, d: (lambda k: rounded(features.factor_features(k.pairs, k.kept, vectors(s, d), features.session_weights(k.kept))))(Kept(s, d)))
 KIND_MP = "CASE type WHEN 1 THEN 9::DOUBLE ELSE 0.5::DOUBLE END"
 
 
@@ -362,17 +375,27 @@ query(
     "w2v_features",
     f"""{C_KEPT}, {VEC}, {PW.format('kept')}, x AS (SELECT c.session, c.candidates, pw.*, CASE WHEN {SIM} < 0.5 THEN 0 ELSE {SIM} END AS sim FROM c JOIN pw ON pw.session = c.session LEFT JOIN e a ON a.aid = c.candidates LEFT JOIN e b ON b.aid = pw.aid)
  SELECT session, candidates, {r('max(sim)', 'w2v_max')}, {r(f'sum(sim) / (1 + {HITS_W})', 'w2v_mean')}, {HITS_W} AS w2v_count, {r(f'sum(sim * wgt_1) / (1 + {HITS_W})', 'w2v_wgt_1')}, {r(f'sum(sim * wgt_2) / (1 + {HITS_W})', 'w2v_wgt_2')}, {r('max(sim * last)', 'w2v_last')}, {r(f'sum(sim * type_mp) / (1 + {HITS_W})', 'w2v_type')} FROM x GROUP BY session, candidates""",
-)(lambda s, d: (lambda pairs, kept: rounded(features.sequence_features(pairs, kept, vectors(s, d))))(*kept_pairs(s, d)[:2]))
+)(lambda s, d: (lambda k: rounded(features.sequence_features(k.pairs, k.kept, vectors(s, d))))(Kept(s, d)))
 query("correlated_features", f"WITH {o.V}, {EW}, {SW}, c AS (SELECT 'w_type_163' AS a, 'w_time' AS b, corr(w_type_163, w_time) AS corr FROM sw UNION ALL SELECT 'w_type_163', 'w_lastday', corr(w_type_163, w_lastday) FROM sw UNION ALL SELECT 'w_time', 'w_lastday', corr(w_time, w_lastday) FROM sw) SELECT a, b, {r('corr', 'corr')} FROM c WHERE corr > 0.3")(
     lambda s, d: rounded(features.correlated(features.session_weights(visits(s, d)), ["w_type_163", "w_time", "w_lastday"], 0.3))
 )
 
 
-@query("feature_table")
-def feature_table(spark, d):
-    """All features of the labelled candidates of cut sessions."""
-    pairs, kept, truth = kept_pairs(spark, d)
-    return recommender.feature_table(candidates.labelled(pairs, truth), kept, visits(spark, d), vectors(spark, d), T_MIN, T_MAX, hold=checkpointed)
+def vector_sets(spark, d) -> dict[str, tuple[DataFrame, bool]]:
+    """Five sets of vectors under the names of what they are trained on, two of them of carts and orders. The tables hold one set, so the others are its dimensions turned by eight each."""
+    raw = adapters.read_vectors(spark, f"{d}/embeddings.parquet")
+    turned = lambda k: raw.select("aid", F.concat(F.slice("vec", 8 * k + 1, 64), F.slice("vec", 1, 8 * k)).alias("vec")) if k else raw
+    half = lambda k: turned(k).select("aid", F.slice("vec", 1, 32).alias("vec"))
+    names = ("mf_1_9_buys", "mf_1", "mf_1_5", "seq", "w2v")
+    return {n: (held(features.unit_vectors(half(k)), n), n.endswith("_buys")) for k, n in enumerate(names)}
+
+
+def full_table(spark, d) -> DataFrame:
+    k = Kept(spark, d)
+    return recommender.feature_table(candidates.labelled(k.pairs, k.truth), k.kept, k.events, vector_sets(spark, d), T_MIN, T_MAX, hold=held)
+
+
+query("feature_table")(full_table)
 
 
 # Sampling
@@ -382,12 +405,12 @@ HASH = "((session * 31 + candidates) % 1000003 * 7919 + 42) % 1000003"
 
 
 def lab(spark, d):
-    pairs, _, truth = kept_pairs(spark, d)
-    return candidates.labelled(pairs, truth)
+    k = Kept(spark, d)
+    return candidates.labelled(k.pairs, k.truth)
 
 
 query("negative_sampling", f"{LAB} SELECT * FROM lab WHERE gt_clicks = 1 UNION ALL SELECT * FROM (SELECT * FROM lab WHERE gt_clicks = 0 ORDER BY {HASH}, session, candidates LIMIT (SELECT floor(sum(gt_clicks) / 0.5)::BIGINT FROM lab))")(lambda s, d: sampling.negatives(lab(s, d), "gt_clicks", 0.5))
-query("sample_pairs", f"{C_V} SELECT session, candidates FROM c ORDER BY {HASH}, session, candidates LIMIT 500")(lambda s, d: sampling.sample_n(candidates.cooccurring(visits(s, d), two(visits(s, d)), 100), 500))
+query("sample_pairs", f"{C_V} SELECT session, candidates FROM c ORDER BY {HASH}, session, candidates LIMIT 500")(lambda s, d: sampling.sample_n(cooc(s, d)[0], 500))
 query("quantile_filter", f"WITH {o.V} SELECT {EVENT} FROM v WHERE session < (SELECT quantile_cont(session, 0.1) FROM v)")(lambda s, d: sampling.under_quantile(visits(s, d), 0.1))
 query("modulo_split", f"WITH {o.V} SELECT {EVENT} FROM v WHERE session % 40 = 11")(lambda s, d: sampling.modulo(visits(s, d), 40, 11))
 query("fold_split", f"WITH {o.V} SELECT {EVENT}, ((session % 1000003 * 7919 + 42) % 1000003 % 5)::INTEGER AS fold FROM v")(lambda s, d: sampling.folds(visits(s, d)))
@@ -396,12 +419,11 @@ query("target_sessions", f"{LAB} SELECT session, candidates, gt_clicks, gt_carts
 # Evaluation
 
 
-def scored(spark, d, which: str = "type136"):
+def scored(k: Kept, which: str = "type136") -> DataFrame:
     """A plain score for each pair: the votes of the session's events through one matrix, as whole multiples of 1e-9."""
-    pairs, kept, truth = kept_pairs(spark, d)
-    edges = matrix(visits(spark, d), which).select(F.col("aid_x").alias("aid"), F.col("aid_y").alias("candidates"), "wgt_e9")
-    got = kept.join(edges, "aid").groupBy("session", "candidates").agg(F.sum("wgt_e9").cast("double").alias("pred"))
-    return pairs.join(got, ["session", "candidates"], "left").na.fill(0.0, ["pred"]), truth
+    edges = k.matrices[which].select(F.col("aid_x").alias("aid"), F.col("aid_y").alias("candidates"), "wgt_e9")
+    got = k.kept.join(edges, "aid").groupBy("session", "candidates").agg(F.sum("wgt_e9").cast("double").alias("pred"))
+    return k.pairs.join(got, ["session", "candidates"], "left").na.fill(0.0, ["pred"])
 
 
 def scored_sql(m: str, tag: str) -> str:
@@ -416,14 +438,14 @@ OFFICIAL = "SELECT type, sum(least(20, len(ground_truth)))::BIGINT AS n_gts, sum
 
 @query("recall_at_20", f"{E_SQL} {COVER}")
 def recall_at_20(spark, d):
-    rows, truth = scored(spark, d)
-    return evaluation.coverage(evaluation.top_lists(rows), truth)
+    k = Kept(spark, d)
+    return evaluation.coverage(evaluation.top_lists(scored(k)), k.truth)
 
 
 @query("official_scores", f"{E_SQL} {OFFICIAL}")
 def official_scores(spark, d):
-    rows, truth = scored(spark, d)
-    return evaluation.official_scores(evaluation.top_lists(rows), truth)
+    k = Kept(spark, d)
+    return evaluation.official_scores(evaluation.top_lists(scored(k)), k.truth)
 
 
 @query("weighted_cv", f"{E_SQL}, f AS ({OFFICIAL}) SELECT {r('sum(recall * CASE type WHEN $$clicks$$ THEN 0.1::DOUBLE WHEN $$carts$$ THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END)', 'score')} FROM f")
@@ -434,32 +456,39 @@ def weighted_cv(spark, d):
 B_SQL = f"{C_KEPT}, {scored_sql('ty', 'sc')}, {scored_sql('mt', 's2')}, b AS (SELECT session, candidates, sum(pred) AS pred FROM (SELECT session, candidates, pred * 0.75::DOUBLE AS pred FROM sc UNION ALL SELECT session, candidates, pred * 0.25::DOUBLE FROM s2) GROUP BY ALL)"
 
 
-def blended(spark, d):
-    return evaluation.blend([(scored(spark, d)[0], 0.75), (scored(spark, d, "temporal")[0], 0.25)])
-
-
-query("blend_scores", f"{B_SQL} SELECT session, candidates, pred FROM b")(blended)
-POP0 = "pop AS (SELECT aid, row_number() OVER (ORDER BY count(*) DESC, aid) - 1 AS pos FROM v WHERE type = 0 GROUP BY aid)"
-PAD = f"{TOP.format('b')}, {POP0}, pad AS (SELECT session, list_slice(list_concat(preds, list_slice((SELECT list(aid ORDER BY pos) FROM pop WHERE pos < 20), 1, greatest(0, 20 - len(preds)))), 1, 20) AS preds FROM top)"
+#: Each class's shares of the two scores.
+BLENDS = {"clicks": (0.75, 0.25), "carts": (0.5, 0.5), "orders": (0.25, 0.75)}
 
 
-def padded(spark, d):
-    return evaluation.padded(evaluation.top_lists(blended(spark, d)), candidates.popular(visits(spark, d).where("type = 0")))
+def blended(k: Kept, of: str = "clicks") -> DataFrame:
+    return evaluation.blend(list(zip((scored(k, "type136"), scored(k, "temporal")), BLENDS[of], strict=True)))
 
 
-query("pad_popular", f"{B_SQL}, {PAD} SELECT session, {listed('preds')} AS preds FROM pad")(lambda s, d: padded(s, d).withColumn("preds", text(F.col("preds"))))
-SUBMIT = " UNION ALL ".join(f"SELECT session || '_{c}' AS session_type, {listed('preds')} AS labels FROM pad" for c in candidates.CLASSES)
+query("blend_scores", f"{B_SQL} SELECT session, candidates, pred FROM b")(lambda s, d: blended(Kept(s, d)))
+#: Written apart: scores by class as literal sums, popular items of each class by counting, lists padded by position.
+B_CLASS = f"""{C_KEPT}, {scored_sql('ty', 'sc')}, {scored_sql('mt', 's2')},
+ two AS (SELECT sc.session, sc.candidates, sc.pred AS a, s2.pred AS b FROM sc JOIN s2 ON sc.session = s2.session AND sc.candidates = s2.candidates),
+ b AS (SELECT session, candidates, 'clicks' AS type, a * 0.75::DOUBLE + b * 0.25::DOUBLE AS pred FROM two UNION ALL SELECT session, candidates, 'carts', a * 0.5::DOUBLE + b * 0.5::DOUBLE FROM two
+ UNION ALL SELECT session, candidates, 'orders', a * 0.25::DOUBLE + b * 0.75::DOUBLE FROM two),
+ best AS (SELECT session, type, candidates AS aid, row_number() OVER (PARTITION BY session, type ORDER BY pred DESC, candidates) AS place FROM b QUALIFY place <= 20),
+ pop AS (SELECT CASE type WHEN 0 THEN 'clicks' WHEN 1 THEN 'carts' ELSE 'orders' END AS type, aid, row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, aid) AS place FROM v GROUP BY v.type, aid),
+ have AS (SELECT session, type, count(*) AS n FROM best GROUP BY ALL),
+ filled AS (SELECT session, type, aid, place FROM best UNION ALL SELECT have.session, have.type, pop.aid, n + pop.place FROM have JOIN pop ON pop.type = have.type AND n + pop.place <= 20),
+ pad AS (SELECT session, type, string_agg(aid, ' ' ORDER BY place) AS preds FROM filled GROUP BY session, type)"""
 
 
-def submitted(spark, d):
-    lists = padded(spark, d)
-    return evaluation.submission(dict.fromkeys(candidates.CLASSES, lists))
+def padded(spark, d):
+    k = Kept(spark, d)
+    rows = None
+    for c in candidates.CLASSES:
+        one = blended(k, c).withColumn("type", F.lit(c))
+        rows = one if rows is None else rows.unionByName(one)
+    return evaluation.padded(evaluation.top_lists(rows, keys=("session", "type")), candidates.by_class(candidates.popular(k.events, 20)))
 
 
-query("submission", f"{B_SQL}, {PAD} {SUBMIT}")(submitted)
-query("parse_submission", f"{B_SQL}, {PAD} SELECT session, c AS type, {listed('preds')} AS preds FROM pad, (SELECT unnest(['clicks', 'carts', 'orders']) AS c)")(
-    lambda s, d: evaluation.parse_submission(submitted(s, d)).withColumn("preds", text(F.col("preds")))
-)
+query("pad_popular", f"{B_CLASS} SELECT session, type, preds FROM pad")(lambda s, d: padded(s, d).withColumn("preds", text(F.col("preds"))))
+query("submission", f"{B_CLASS} SELECT session || '_' || type AS session_type, preds AS labels FROM pad")(lambda s, d: evaluation.submission(padded(s, d)))
+query("parse_submission", f"{B_CLASS} SELECT session, type, preds FROM pad")(lambda s, d: evaluation.parse_submission(evaluation.submission(padded(s, d))).withColumn("preds", text(F.col("preds"))))
 
 # Models: trained here, so no SQL twin
 
@@ -469,11 +498,12 @@ query("w2v_train")(lambda s, d: models.item_vectors(visits(s, d)))
 
 
 def trained(spark, d):
-    rows = features.with_weights(lab(spark, d), features.session_weights(kept_and_truth(spark, d)[0]))
-    return checkpointed(sampling.folds(features.count_actions(rows, kept_and_truth(spark, d)[0]), 2))
+    k = Kept(spark, d)
+    rows = features.with_weights(candidates.labelled(k.pairs, k.truth), features.session_weights(k.kept))
+    return held(sampling.folds(features.count_actions(rows, k.kept), 2))
 
 
 RANKER = [*WEIGHTS, "candidate_all_before"]
 query("gbt_scores")(lambda s, d: models.cross_fit(trained(s, d), "gt_clicks", RANKER, 2, rounds=3, depth=3)[0])
 query("gbt_importance")(lambda s, d: models.cross_fit(trained(s, d), "gt_clicks", RANKER, 2, rounds=3, depth=3)[1])
-
+query("gbt_tuned")(lambda s, d: models.tune_ranker(trained(s, d), "gt_clicks", RANKER, depths=(2, 3), rounds=(2, 4)))

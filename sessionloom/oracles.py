@@ -11,8 +11,9 @@ U = """u AS (SELECT user_id AS session, CAST(json_extract_string(props, '$.k') A
 V = (
     U
     + """,
-v AS (SELECT session * 1000 + CAST(sum(cut) OVER (PARTITION BY session ORDER BY ts, eid) AS BIGINT) AS session, aid, ts, type, eid FROM
- (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session ORDER BY ts, eid) > 86400 THEN 1 ELSE 0 END AS cut FROM u))"""
+v AS (SELECT CASE WHEN n < 1000 THEN session * 1000 + n ELSE -(session * 2147483648 + n) END AS session, aid, ts, type, eid FROM
+ (SELECT *, CAST(sum(cut) OVER (PARTITION BY session ORDER BY ts, eid) AS BIGINT) AS n FROM
+ (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session ORDER BY ts, eid) > 86400 THEN 1 ELSE 0 END AS cut FROM u)))"""
 )
 #: A session's events against a split seven days before the last event.
 S = (
@@ -50,6 +51,8 @@ def covis(spec: CovisSpec, source: str, t_min: int, t_max: int, chunk: int = 50_
         e = f"SELECT * FROM ({e}) QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts DESC, eid DESC) <= {spec.tail}"
     e = f"SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, eid) AS k, row_number() OVER (PARTITION BY session, aid ORDER BY ts, eid) AS nth FROM ({e})"
     where = [side(spec.left, "x"), side(spec.right, "y"), spec.pair]
+    if spec.reach:
+        where.append(f"{'y.k - x.k' if spec.ahead else 'abs(y.k - x.k)'} BETWEEN 1 AND {spec.reach}")
     if spec.x_first:
         where.append("x.k = 1")
     if spec.y_first:
