@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import bpe, langid, linefreq, minhash, mixing
-from sessionloom.llm.common import written
+from sessionloom.llm.common import keep, scratch, written
 from sessionloom.llm.queries import vocabulary_path
 
 
@@ -44,10 +44,13 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, as a table; those of the stages before go when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch():
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return keep(stage(spark, docs, sf_dir), name)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
