@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +54,24 @@ def blend(models: list[tuple[DataFrame, float]]) -> DataFrame:
 
 
 def padded(lists: DataFrame, popular: DataFrame, k: int = 20) -> DataFrame:
-    """(session, type, preds): lists(session, type, preds) filled to k with the most popular items of their own type, in order, which may repeat.
+    """lists(session, type, preds) filled to k with the most popular items of their own type, in order, which may repeat.
 
-    popular(type, aid, pos) names types as lists does.
+    popular(type, aid, pos) names types as lists does. Lists of one class have no type, nor have its popular items.
     """
-    top = popular.where(F.col("pos") < k).groupBy("type").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "aid"))), lambda x: x["aid"]).alias("top"))
+    keys = [c for c in ("type",) if c in lists.columns]
+    ranked = F.array_sort(F.collect_list(F.when(F.col("pos") < k, F.struct("pos", "aid"))))
+    top = F.broadcast(popular.groupBy(*keys).agg(F.transform(ranked, lambda x: x["aid"]).alias("top")))  # a row a class
     missing = F.greatest(F.lit(0), F.lit(k) - F.size("preds"))
     pad = F.slice(F.coalesce("top", F.array().cast("array<long>")), F.lit(1), missing)
-    return lists.join(F.broadcast(top), "type", "left").select("session", "type", F.slice(F.concat("preds", pad), 1, k).alias("preds"))  # top: a row a class
+    met = lists.join(top, keys, "left") if keys else lists.crossJoin(top)
+    return met.select("session", *keys, F.slice(F.concat("preds", pad), 1, k).alias("preds"))
 
 
-def submission(lists: DataFrame) -> DataFrame:
-    """(session_type, labels) of lists(session, type, preds)."""
+def submission(lists: DataFrame | dict[str, DataFrame]) -> DataFrame:
+    """(session_type, labels) of lists(session, type, preds), or of each class's lists(session, preds)."""
+    if isinstance(lists, dict):
+        every = [one.select("session", F.lit(c).alias("type"), "preds") for c, one in lists.items()]
+        lists = reduce(DataFrame.unionByName, every)
     return lists.select(F.concat_ws("_", F.col("session").cast("string"), "type").alias("session_type"), F.array_join(F.transform("preds", lambda x: x.cast("string")), " ").alias("labels"))
 
 

@@ -55,11 +55,15 @@ def _assembled(features: DataFrame, names: list[str]) -> DataFrame:
 
 
 def train_ranker(features: DataFrame, target: str, names: list[str], rounds: int = 10, depth: int = 4, seed: int = 42, stop_share: float = 0.0, tolerance: float = 0.01) -> GBTClassificationModel:
-    """Boosted trees on a binary target. With stop_share, so much of the sessions is held out, and training stops when its error no longer falls by the tolerance."""
+    """Boosted trees on a binary target. With stop_share, so much of the sessions is held out, and training stops when its error no longer falls by the tolerance.
+
+    Where so few sessions are none or all of them, nothing is held out.
+    """
     rows = _assembled(features, names).withColumn("label", F.col(target).cast("double"))
     how = {"maxIter": rounds, "maxDepth": depth, "seed": seed}
+    rows = rows.withColumn("held_out", arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * stop_share))
+    stop_share = stop_share if rows.select("held_out").distinct().count() == 2 else 0
     if stop_share:
-        rows = rows.withColumn("held_out", arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * stop_share))
         how |= {"validationIndicatorCol": "held_out", "validationTol": tolerance}
     return GBTClassifier(**how).fit(rows.select("features", "label", *(["held_out"] if stop_share else [])))
 
