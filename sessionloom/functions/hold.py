@@ -16,7 +16,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"sessionloom-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
