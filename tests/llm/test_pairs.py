@@ -74,6 +74,30 @@ def test_variants_of_one_text_against_brute_force(spark):
     assert got == closure(sets, links)
 
 
+def test_bound_of_the_pre_test():
+    """bits_apart against sums of the binomial distribution, for any threshold."""
+    from math import comb
+
+    assert minhash.bits_apart(0.8) == 20
+    for t in (0.5, 0.7, 0.85, 0.95, 1.0):
+        k, p = minhash.bits_apart(t), (1 - t) / 2
+        tail = lambda n, p=p: sum(comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(n + 1, 65))
+        assert tail(k) <= 1.1e-6 and (k == 0 or tail(k - 1) > 0.9e-6)
+
+
+def test_scratch_tables_go(spark):
+    from sessionloom.llm import common
+
+    folders = lambda: {str(x.getPath().getName()) for x in fs.listStatus(at)} if fs.exists(at) else set()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.scratch_dir(spark))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = folders()
+    df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(20)], "doc_id long, text string")
+    assert minhash.near_duplicates(df).count() == 20 and minhash.keep_first(df).count() == 3
+    left = folders() - before
+    assert sorted(x.rpartition("-")[0] for x in left) == ["gone", "near-duplicates"]  # what the two results read
+
+
 def test_documents_edge_cases(spark):
     long = " ".join(f"v{i % 5000}" for i in range(60_000))
     rows = [(7, None), (8, ""), (9, " \t\n"), (None, "a b c"), (3, "One two three"), (2, "one TWO\tthree"), (2, "one TWO\tthree"), (4, "one"), (5, "ONE"), (6, "É b"), (1, "é b"), (10, long), (11, long + " tail")]

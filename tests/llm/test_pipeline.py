@@ -4,6 +4,9 @@ import hashlib
 import itertools
 import os
 import re
+import shutil
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -130,15 +133,28 @@ def test_registry():
     assert "pipeline" in names and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mix_sources", "bpe"]
 
 
-def test_everything_else_works_without_these(tmp_path):
-    import shutil
-    import subprocess
-    import sys
+@pytest.fixture(scope="module")
+def without(tmp_path_factory):
+    """A copy of the repository without both llm folders: the root and the environment for it."""
+    root, copy = os.path.dirname(os.path.abspath(__spark_entry__.__file__)), tmp_path_factory.mktemp("without") / "r"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    return copy, {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
 
-    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__"))
-    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path / "r", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
-    assert "covis_93" in got.stdout and "op1_" not in got.stdout, got.stderr
+
+@pytest.mark.parametrize("pipeline_file", [True, False])
+def test_everything_else_imports_without_these(without, pipeline_file):
+    root, env = without
+    if not pipeline_file:
+        (root / "corpus_pipeline.py").unlink(missing_ok=True)
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=root, env=env, capture_output=True, text=True)
+    assert "covis_93" in got.stdout and "op1_" not in got.stdout and "pipeline" not in got.stdout.split(), got.stderr
+
+
+def test_other_tests_pass_without_these(without):
+    """The fixtures, and a part of the catalogue; the whole is the same code."""
+    root, env = without
+    got = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-k", "fixtures or ground_truth or visit_events or covis_217 or popular_items"], cwd=root, env=env, capture_output=True, text=True)
+    assert got.returncode == 0, got.stdout[-3000:]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))

@@ -152,6 +152,53 @@ def test_language_held_out_accuracy(spark, sf):
     assert {r.doc_id: r.h for r in docs.select("doc_id", (langid.bucket("doc_id") == 1).alias("h")).collect()} == {i: langid.held_out(i) for i in truth}
 
 
+def test_families_and_votes_against_plain_python(spark):
+    """Five languages in two families and one of its own: the prediction and score follow from the hyperplanes by counting one-versus-one wins, family first."""
+    words = {"en": "the and of to is that with for", "de": "der und die das ist nicht mit ein", "sv": "och att det som en på är av", "fr": "le la et les des est une dans", "it": "il che di la per non una sono", "xx": "zqa wxk qqz vkk zzx kqw xvz wwq"}
+    rng = np.random.default_rng(0)
+    rows = [(lang, " ".join(rng.choice(w.split(), 12))) for lang, w in words.items() for _ in range(25)]
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted(words) and model.families == ["=germanic", "=romance", "=xx"]
+    planes = {p: (w, b) for p, w, b in zip(model.pairs, model.weights, model.bias, strict=True)}
+    assert len(planes) == 3 + 3 + 1  # between families, within germanic, within romance
+
+    def vote(names, x):
+        if len(names) == 1:
+            return names[0], 1.0
+        m = {p: sum(float(a) * float(b) for a, b in zip(planes[p][0], x, strict=True)) + planes[p][1] for p in planes if set(p) <= set(names)}
+        assert len(m) == len(names) * (len(names) - 1) // 2
+        wins = {n: sum((v >= 0) == (p[0] == n) for p, v in m.items() if n in p) for n in names}
+        total = {n: sum(v if p[0] == n else -v for p, v in m.items() if n in p) for n in names}
+        best = max(names, key=lambda n: (wins[n], total[n]))
+        chances = [1 / (1 + np.exp(-4 * (v if p[0] == best else -v))) for p, v in m.items() if best in p]
+        return best, sum(chances) / len(chances)
+
+    for lang, text in [*rows[::9], ("en", "the der und och"), ("it", "il la le that"), ("xx", "zqa the")]:
+        x = langid.features(text)
+        family, p = vote(model.families, x)
+        own = [n for n in model.langs if f"={langid.FAMILY_OF.get(n, n)}" == family]
+        best, q = vote(own, x)
+        got, score = model.predict(text)
+        assert got == best and abs(score - p * q) < 1e-4, (lang, text)
+    assert np.mean([model.predict(t)[0] == lang for lang, t in rows]) > 0.98
+
+
+def test_language_sample_is_bounded(spark):
+    """A hot id, very many labels and repeated rows don't grow the sample over its bound."""
+    rows = [(0, f"word{i} the cat", "en") for i in range(3000)] + [(0, "the same", "en")] * 3000 + [(i, f"bla {i} x", f"l{i % 300}") for i in range(1, 900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    original = langid.fit
+    langid.fit = lambda texts, langs: seen.append((texts, langs)) or original(texts, langs)
+    try:
+        model = langid.train(df, max_per_lang=20, max_langs=7, max_texts=100)
+    finally:
+        langid.fit = original
+    texts, langs = seen[0]
+    assert len(texts) <= 100 and len(set(langs)) <= 7 and "en" in langs and len(model.langs) <= 7
+
+
 def test_language_edge_cases(spark):
     rows = [(i, f"the cat and the dog {i}", "en") for i in range(12)] + [(20 + i, f"der hund und die katze {i}", "de") for i in range(12)]
     rows += [(40 + i, f"le chien et la maison {i}", "fr") for i in range(12)] + [(60, None, "en"), (61, "", "fr"), (62, "123 !?", None), (None, "the dog", "en"), (63, "\U00020000\U00020001", None), (64, "the cat", None), (64, "the cat", None)]
