@@ -32,9 +32,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sessionloom.llm.automaton import Automaton
-from sessionloom.llm.common import slices, workers_find_package
+from sessionloom.llm.common import parts, workers_find_package
 
-CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 300_000, 400_000, 1_000_000
+CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 100_000, 100_000, 200_000
 #: White space as the library knows it; str.split() also cuts at 0x1c to 0x1f.
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -233,13 +233,11 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
 
         bpe = tokenizer(sent.value)
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(0).to_pylist()):
-                got = [bpe.encode_bytes(t) for t in texts]
+            for part in parts(batch, 0):
+                got = [bpe.encode_bytes(t) for t in part.column(0).to_pylist()]
                 offsets = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([g[0] for g in got]), "<i4")))
-                columns = [*(c.slice(at, len(texts)) for c in batch.columns[1:]), ids, *([pa.array([g[1] for g in got], pa.string())] if decoded else [])]
+                columns = [*part.columns[1:], ids, *([pa.array([g[1] for g in got], pa.string())] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
-                at += len(texts)
 
     return rows.mapInArrow(run, schema)

@@ -24,9 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + os.path.join(tempfile.gettempdir(), f"sessionloom-{os.getuid()}")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return "file://" + os.path.join(tempfile.gettempdir(), f"sessionloom-{os.getuid()}")
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -175,9 +173,10 @@ def per_text(documents: DataFrame, id_col: str, text_col: str, fn, fields: str)
         import pyarrow as pa
 
         for batch in batches:
-            got = fn(batch.column(1).to_pylist())
-            columns = list(zip(*got, strict=True)) or [()] * (len(kinds) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(kinds)[1:], strict=True))], schema=kinds)
+            for part in parts(batch, 1):
+                got = fn(part.column(1).to_pylist())
+                columns = list(zip(*got, strict=True)) or [()] * (len(kinds) - 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(kinds)[1:], strict=True))], schema=kinds)
 
     return rows.mapInArrow(run, schema)
 
@@ -189,17 +188,19 @@ def arrow_schema(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def slices(texts: list, chars: int = 2_000_000):
-    """Runs of texts of about so many characters at most, one text at least."""
-    held, size = [], 0
-    for t in texts:
-        if held and size + len(t or "") > chars:
-            yield held
-            held, size = [], 0
-        held.append(t)
-        size += len(t or "")
-    if held:
-        yield held
+def parts(batch, column: int, size: int = 2 << 20):
+    """An Arrow batch in runs of rows whose texts have about so many bytes at most, one row at least: what a worker holds as Python objects at once."""
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for k, n in enumerate(lengths.tolist()):
+        if k > start and held + n > size:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if len(lengths):
+        yield batch.slice(start)
 
 
 def block_roots(linked: np.ndarray, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import block_roots, components, keep, per_text, scratch, unused, written
 
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 BLOCK, COLUMNS = 384, 4096
 #: Groups with so many components besides the smallest's are compared in blocks, which is a choice of plan: either way all candidates between components are met.
 CROWD = 32

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.bpe import Cutter, chunks
-from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, slices, workers_find_package
+from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, parts, workers_find_package
 
 IDS_A_BLOCK = 400_000
 MAGIC = b"FRSV"
@@ -40,7 +40,7 @@ class LibraryTokenizer:
     (see bpe.Cutter), its model on each distinct piece. None of them looks across white space, so the ids are those of whole texts.
     """
 
-    def __init__(self, spec: str, held: int = 500_000):
+    def __init__(self, spec: str, held: int = 200_000):
         from tokenizers import Tokenizer
 
         self.cutter = Cutter(spec)
@@ -166,12 +166,11 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
         seq, seen = TaskContext.get().partitionId() << 33, np.zeros(0, np.int64)
 
         def rows(ids, raw, sizes, counts):
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(range(seq, seq + len(raw)), pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array([counts] * len(raw))], schema=kinds)
+            return pa.RecordBatch.from_arrays([ids, pa.array(range(seq, seq + len(raw)), pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array([counts] * len(raw))], schema=kinds)
 
         for batch in batches:
-            at, id_list = 0, batch.column(0).to_pylist()
-            for texts in slices(batch.column(1).to_pylist()):
-                raw = [lib.encode(t) + end for t in texts]
+            for part in parts(batch, 1):
+                raw = [lib.encode(t) + end for t in part.column(1).to_pylist()]
                 ids = np.frombuffer(b"".join(raw), "<u4")
                 now = np.bincount(ids, minlength=len(seen))
                 now[: len(seen)] += seen
@@ -182,11 +181,10 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
                     raw = [b"\x02" + short[2 * (e - n) : 2 * e] for e, n in zip(ends, sizes, strict=True)]
                 else:
                     raw = [b"\x04" + x for x in raw]
-                yield rows(id_list[at : at + len(texts)], raw, sizes, False)
-                at += len(texts)
-                seq += len(texts)
+                yield rows(part.column(0), raw, sizes, False)
+                seq += len(raw)
         if len(seen):
-            yield rows([None], [seen.astype("<i8").tobytes()], [0], True)
+            yield rows(pa.array([None], pa.int64()), [seen.astype("<i8").tobytes()], [0], True)
 
     staged_path = fresh_dir(spark, "plain-ids")
     docs.mapInArrow(plain, schema).write.option("compression", "zstd").parquet(staged_path)
