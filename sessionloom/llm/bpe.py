@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sessionloom.llm.automaton import Automaton
-from sessionloom.llm.common import parts, workers_find_package
+from sessionloom.llm.common import Held, parts, workers_find_package
 
 CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 100_000, 100_000, 200_000
 #: White space as the library knows it; str.split() also cuts at 0x1c to 0x1f.
@@ -83,20 +83,6 @@ class Cutter:
         return got if chunk.isascii() else ["".join([self._letters[b] for b in p.encode()]) for p in got]
 
 
-class _Held(dict):
-    """A cache that starts anew when it is full."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        got = self[key] = self.make(key)
-        return got
-
-
 class WordBPE:
     END = 256  # stands for the word-end suffix; no byte
 
@@ -128,9 +114,9 @@ class WordBPE:
         self._token, self._near = array("i", [own.get(s, -1) for s in range(len(auto.go))]), array("i", [0] * len(auto.go))
         for s in sorted(range(1, len(auto.go)), key=auto.length.__getitem__):
             self._near[s] = s if s in own else self._near[auto.link[s]]
-        self.goes = _Held(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS_HELD)
-        self.piece = _Held(self._piece, PIECES_HELD)
-        self.chunk = _Held(self._chunk, CHUNKS_HELD)
+        self.goes = Held(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS_HELD)
+        self.piece = Held(self._piece, PIECES_HELD)
+        self.chunk = Held(self._chunk, CHUNKS_HELD)
 
     def _stable(self, token: int, letters: int) -> bool:
         """Whether the token's own spelling encodes to it: a letter, or made by a merge that nothing comes before."""

@@ -188,6 +188,24 @@ def arrow_schema(ddl: str):
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+class Held(dict):
+    """A cache of make(key) in two generations: when `most` keys are held, those not asked for since the last time go. What is frequent stays, whatever comes once."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 def parts(batch, column: int, size: int = 2 << 20):
     """An Arrow batch in runs of rows whose texts have about so many bytes at most, one row at least: what a worker holds as Python objects at once."""
     import pyarrow.compute as pc

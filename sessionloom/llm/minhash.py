@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import block_roots, components, keep, per_text, scratch, unused, written
+from sessionloom.llm.common import Held, block_roots, components, keep, per_text, scratch, unused, written
 
 WORD_CACHE = 100_000
 BLOCK, COLUMNS = 384, 4096
@@ -60,19 +60,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word -> 64-bit hash, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return got
-
-
 @cache
-def _words() -> _Words:
-    return _Words()
+def _words() -> Held:
+    """Word -> 64-bit hash."""
+    return Held(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), WORD_CACHE)
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:

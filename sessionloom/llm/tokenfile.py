@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.bpe import Cutter, chunks
-from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, parts, workers_find_package
+from sessionloom.llm.common import Held, arrow_schema, delete_path, fresh_dir, parts, workers_find_package
 
 IDS_A_BLOCK = 400_000
 MAGIC = b"FRSV"
@@ -40,7 +40,7 @@ class LibraryTokenizer:
     (see bpe.Cutter), its model on each distinct piece. None of them looks across white space, so the ids are those of whole texts.
     """
 
-    def __init__(self, spec: str, held: int = 200_000):
+    def __init__(self, spec: str, held: int = 100_000):
         from tokenizers import Tokenizer
 
         self.cutter = Cutter(spec)
@@ -49,9 +49,8 @@ class LibraryTokenizer:
         added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.added = {t: struct.pack("<I", i) for t, i in added.items()}
         self._added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.known: dict[str, bytes] = dict(self.added)
-        self.pieces: dict[str, bytes] = {}
-        self.held = held
+        self.known = Held(self._chunk, held)
+        self.pieces = Held(self._piece, held)
 
     def cut(self, text: str | None) -> list[str]:
         """Chunks and added tokens. ASCII texts are lower-cased here, as the library does."""
@@ -65,21 +64,12 @@ class LibraryTokenizer:
         ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _chunk(self, chunk: str) -> bytes:
+        return self.added.get(chunk) or b"".join([self.pieces[p] for p in self.cutter.pieces(chunk)])
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian uint32."""
-        if len(self.known) > self.held:
-            self.known = dict(self.added)
-        if len(self.pieces) > self.held:
-            self.pieces = {}
-        known, pieces = self.known, self.pieces
-        cut = self.cut(text)
-        for c in set(cut).difference(known):
-            own = self.cutter.pieces(c)
-            for p in own:
-                if p not in pieces:
-                    pieces[p] = self._piece(p)
-            known[c] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
-        return b"".join([known[c] for c in cut])
+        return b"".join(map(self.known.__getitem__, self.cut(text)))
 
 
 @cache
