@@ -84,6 +84,90 @@ def seeds(source: str) -> str:
  (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY session, list, aid ORDER BY ts DESC, eid DESC) = 1))"""
 
 
+def _fx(w: str) -> str:
+    return f"CAST(round(({w}) * {UNIT}::DOUBLE) AS BIGINT)"
+
+
+def _dbl(w: str, c: int) -> str:
+    """The first vote of every c counts twice."""
+    return f"{_fx(w)} * CASE WHEN i % {c} = 0 THEN 2 ELSE 1 END"
+
+
+def _rep(w: str, c: int) -> str:
+    """W is 2, 2, 1, 1, ... over every c votes; votes beyond the last c that are full don't count."""
+    return f"CASE WHEN i < {c} * (size // {c}) THEN {_fx(w.replace('W', f'(CASE WHEN i % {c} < 2 THEN 2::DOUBLE ELSE 1::DOUBLE END)'))} END"
+
+
+def _seeded(low: str, c: int) -> str:
+    """From 1 for the first seed's votes down to `low`, by blocks of c."""
+    return f"({low}::DOUBLE + (1 - {low}::DOUBLE) * (n - i // {c})::DOUBLE / n::DOUBLE)"
+
+
+ONE = "1::DOUBLE"
+#: The three suggesters once more, written from their description and apart from the operator:
+#: (matrix, seed list, items of each list, value of a vote, seeds of the list (0: all), only sessions with one item).
+SUGGESTERS = {
+    "fast": {
+        "long": [("220", "all", 20, _fx("0.6::DOUBLE"), 2, 0), ("217", "last_of_sub", 15, _fx("0.3::DOUBLE"), 0, 0), ("115", "all", 20, _fx("0.6::DOUBLE"), 2, 0)],
+        "short": [
+            ("701", "all", 30, _rep("W", 30), 0, 1),
+            ("93", "all", 20, _dbl(_seeded("0.1", 20), 20), 0, 0),
+            ("217", "all", 20, _dbl(ONE, 20), 2, 0),
+            ("115", "all", 20, _dbl(ONE, 20), 2, 0),
+            ("235", "last_sub", 10, _dbl("1::DOUBLE - 0.1::DOUBLE * (i // 10)", 10), 0, 0),
+            ("232", "last_of_sub", 20, _dbl(ONE, 20), 0, 0),
+        ],
+        "second": ("220", "best", 10, _dbl(ONE, 10), 0, 0),
+    },
+    "clicks": {
+        "long": [("220", "all", 40, _fx("0.6::DOUBLE"), 2, 0), ("217", "last_of_sub", 30, _fx("0.3::DOUBLE"), 0, 0), ("115", "all", 40, _fx("0.6::DOUBLE"), 2, 0)],
+        "short": [
+            ("157", "day", 40, _fx(ONE), 0, 0),
+            ("93", "fast", 20, _fx("0.5::DOUBLE"), 0, 0),
+            ("701", "all", 30, _rep("W", 30), 0, 1),
+            ("93", "all", 1_000_000, _fx("greatest(1::DOUBLE - 0.35::DOUBLE * pos, 0.001::DOUBLE) * greatest(1::DOUBLE - 0.005::DOUBLE * (rank - 1), 0.01::DOUBLE)"), 0, 0),
+            ("217", "all", 40, _dbl(ONE, 40), 2, 0),
+            ("115", "all", 40, _dbl(ONE, 40), 2, 0),
+            ("235", "last_sub", 20, _dbl("1::DOUBLE - 0.1::DOUBLE * (i // 20)", 20), 0, 0),
+            ("232", "last_of_sub", 40, _dbl(ONE, 40), 0, 0),
+        ],
+        "second": ("220", "best", 20, _dbl(ONE, 20), 0, 0),
+    },
+    "orders": {
+        "long": [
+            ("90", "buys", 40, _dbl("0.05::DOUBLE", 40), 0, 0),
+            ("99", "buys", 40, _dbl("0.1::DOUBLE", 40), 0, 0),
+            ("116", "all", 40, _dbl("0.05::DOUBLE", 40), 0, 0),
+            ("220", "all", 20, _dbl("0.05::DOUBLE", 20), 1, 0),
+            ("226", "buys", 20, _dbl("0.05::DOUBLE", 20), 1, 0),
+            ("217", "last_of_sub", 5, _dbl("0.25::DOUBLE", 5), 0, 0),
+            ("217", "first_of_sub", 5, _dbl("0.125::DOUBLE", 5), 0, 0),
+            ("155", "day", 40, _dbl("0.05::DOUBLE", 40), 0, 0),
+            ("116", "fast", 20, _dbl("0.05::DOUBLE", 20), 0, 0),
+            ("239", "fast", 20, _dbl("0.05::DOUBLE", 20), 0, 0),
+        ],
+        "short": [
+            ("95", "all", 30, _rep(f"W * {_seeded('0.25', 30)}", 30), 0, 0),
+            ("90", "buys", 30, _rep("W / 2", 30), 0, 0),
+            ("116", "all", 30, _rep(f"W * {_seeded('0.25', 30)}", 30), 0, 0),
+            ("99", "buys", 30, _rep("W / 2", 30), 0, 0),
+            ("155", "day", 40, _rep(ONE, 40), 0, 0),
+            ("116", "fast", 20, _rep(f"W * {_seeded('0.25', 20)}", 20), 0, 0),
+            ("239", "fast", 20, _rep(f"W * {_seeded('0.25', 20)}", 20), 0, 0),
+            ("220", "all", 55, _rep("W", 55), 1, 0),
+            ("701", "all", 20, _rep("W", 20), 0, 1),
+            ("700", "all", 20, _rep("W", 20), 0, 1),
+            ("226", "buys", 20, _rep("W", 20), 1, 0),
+            ("239", "half_hour", 20, _rep("2 * W / n", 20), 0, 0),
+            ("235", "last_sub", 5, _dbl("0.5::DOUBLE - 0.05::DOUBLE * (i // 5)", 5), 0, 0),
+            ("232", "last_of_sub", 55, _rep("W - 0.1::DOUBLE * (i // 55)", 55), 0, 0),
+            ("232", "first_of_sub", 10, _rep("W / 2 - 0.05::DOUBLE * (i // 10)", 10), 0, 0),
+        ],
+        "second": None,
+    },
+}
+
+
 def vote(spec: voting.VoteSpec, events: str, tag: str, fast: str | None = None, popular_type: int | None = None) -> str:
     """CTEs that end in {tag}(session, aid, pos); needs seeds0 and one table m_{matrix} for each matrix."""
     all_seeds = "SELECT * FROM seeds0"
@@ -91,15 +175,18 @@ def vote(spec: voting.VoteSpec, events: str, tag: str, fast: str | None = None,
         all_seeds += f" UNION ALL SELECT session, 'fast', aid, pos FROM {fast} WHERE pos < 10"
     out = [f"{tag}_n AS (SELECT session, count(*) AS n_all FROM seeds0 WHERE list = 'all' GROUP BY session)", f"{tag}_s AS (SELECT s.*, n_all, count(*) OVER (PARTITION BY s.session, list) AS n FROM ({all_seeds}) s JOIN {tag}_n USING (session))"]
 
-    def one(src: int, long: bool, v: voting.VoteSource, table: str) -> str:
+    hand = SUGGESTERS[spec.name]
+
+    def one(src: int, long: bool, v: tuple, table: str) -> str:
+        matrix, seeds, cap, value, limit, lone = v
         side = f"n_all >= {spec.long_from}" if long else f"n_all < {spec.long_from}"
-        lone = " AND n_all = 1" if v.lone else ""
+        side += (" AND n_all = 1" if lone else "") + (f" AND s.pos < {limit}" if limit else "")
         got = f"""SELECT s.session, m.aid_y, m.rank, s.pos, s.n, row_number() OVER (PARTITION BY s.session ORDER BY s.pos, m.rank) - 1 AS i, count(*) OVER (PARTITION BY s.session) AS size
- FROM {table} s JOIN m_{v.matrix} m ON m.aid_x = s.aid AND m.rank <= {v.cap} WHERE s.list = '{v.seeds}' AND s.pos < {v.limit} AND {side}{lone}"""
-        return f"SELECT session, aid_y AS aid, v, {src} AS src, i FROM (SELECT *, {voting.weight_sql(v)} AS v FROM ({got})) WHERE v IS NOT NULL"
+ FROM {table} s JOIN m_{matrix} m ON m.aid_x = s.aid AND m.rank <= {cap} WHERE s.list = '{seeds}' AND {side}"""
+        return f"SELECT session, aid_y AS aid, v, {src} AS src, i FROM (SELECT *, {value} AS v FROM ({got})) WHERE v IS NOT NULL"
 
-    rows = [one(10 + k, True, v, f"{tag}_s") for k, v in enumerate(spec.long)] + [one(110 + k, False, v, f"{tag}_s") for k, v in enumerate(spec.short)]
-    kind = " ".join(f"WHEN {t} THEN {w}" for t, w in voting.TYPE_WEIGHT.items())
+    rows = [one(10 + k, True, v, f"{tag}_s") for k, v in enumerate(hand["long"])] + [one(110 + k, False, v, f"{tag}_s") for k, v in enumerate(hand["short"])]
+    kind = "WHEN 0 THEN 1 WHEN 1 THEN 6 WHEN 2 THEN 3"
     rows.append(f"""SELECT session, aid, CAST(round((pow(2::DOUBLE, {spec.start}::DOUBLE + {1 - spec.start}::DOUBLE * CASE WHEN cnt > 1 THEN i::DOUBLE / (cnt - 1) ELSE 0::DOUBLE END) - 1) * (CASE type {kind} END)::DOUBLE * {UNIT}::DOUBLE) AS BIGINT) AS v, 0 AS src, i
  FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, eid) - 1 AS i, count(*) OVER (PARTITION BY session) AS cnt FROM {events}) JOIN {tag}_n USING (session) WHERE n_all >= {spec.long_from}""")
     for long, given in ((True, spec.long_seed_votes), (False, spec.short_seed_votes)):
@@ -109,9 +196,9 @@ def vote(spec: voting.VoteSpec, events: str, tag: str, fast: str | None = None,
     out.append(f"{tag}_v1 AS ({' UNION ALL '.join(rows)})")
     votes = f"{tag}_v1"
     ranked = lambda t: f"SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY v DESC, src, i) AS place FROM (SELECT session, aid, sum(v) AS v, min(src::BIGINT * 1000000000 + i) // 1000000000 AS src, min(src::BIGINT * 1000000000 + i) % 1000000000 AS i FROM {t} GROUP BY session, aid)"
-    if spec.second:
+    if hand["second"]:
         out.append(f"{tag}_b AS (SELECT session, 'best' AS list, aid, 0 AS pos, n_all, 1 AS n FROM ({ranked(votes)}) r JOIN {tag}_n USING (session) WHERE place = 1 AND n_all < {spec.long_from} AND NOT EXISTS (SELECT 1 FROM {tag}_s o WHERE o.list = 'all' AND o.session = r.session AND o.aid = r.aid))")
-        out.append(f"{tag}_v2 AS (SELECT * FROM {votes} UNION ALL {one(200, False, spec.second, f'{tag}_b')})")
+        out.append(f"{tag}_v2 AS (SELECT * FROM {votes} UNION ALL {one(200, False, hand['second'], f'{tag}_b')})")
         votes = f"{tag}_v2"
     seen = f"SELECT session, aid, pos FROM {tag}_s WHERE list = 'all'"
     long = f"n_all >= {spec.long_from}"
