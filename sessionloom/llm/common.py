@@ -221,6 +221,18 @@ def parts(batch, column: int, size: int = 2 << 20):
         yield batch.slice(start)
 
 
+def word_ids(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, each word's number among them in order of the texts, and how many words each text has."""
+    known: dict[bytes, int] = {}
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ids = np.empty(int(lengths.sum()), np.int64)
+    at = 0
+    for t in texts:
+        ids[at : at + len(t)] = [known.setdefault(w, len(known)) for w in t]
+        at += len(t)
+    return list(known), ids, lengths
+
+
 def block_roots(linked: np.ndarray, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id reachable within the block, for queries and for members."""
     big = np.iinfo(np.int64).max

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, fim, langid, license_scan, linefreq, minhash, mixing, multi_index, multihash, tokenfile, warc
+from sessionloom.llm import bpe, divergence, fim, langid, license_scan, linefreq, minhash, mixing, multi_index, multihash, tokenfile, warc
 from sessionloom.llm.common import fresh_dir
 
 
@@ -83,6 +83,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language, and each source's own terms."""
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and rearranged; digests of the output and of the text rebuilt from it."""
     done = fim.fill_in_middle(table(spark, sf_dir, "documents"))
@@ -90,7 +95,7 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op7_vector_dedup, op8_line_dedup, op9_fingerprints, op10_warc, op12_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op7_vector_dedup, op8_line_dedup, op9_fingerprints, op10_warc, op11_source_divergence, op12_fill_in_middle)}
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -99,4 +104,4 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN f.first IS NULL OR f.first = d.page_id OR d.payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN f.first = d.page_id OR d.payload_bytes < 100 THEN NULL ELSE f.first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)"""
-ORACLE_SQL = {"op10_warc": OP10_SQL, "op12_fill_in_middle": fim.oracle(), "op2_mix_sources": mixing.oracle(), "op8_line_dedup": linefreq.oracle(0.1, 3)}
+ORACLE_SQL = {"op10_warc": OP10_SQL, "op11_source_divergence": divergence.oracle(), "op12_fill_in_middle": fim.oracle(), "op2_mix_sources": mixing.oracle(), "op8_line_dedup": linefreq.oracle(0.1, 3)}

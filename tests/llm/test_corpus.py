@@ -2,13 +2,15 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sessionloom.llm import fim
+from sessionloom.llm import divergence, fim
 
 SCHEMA = "doc_id long, text string, lang string, source string, n int, h long"
 
@@ -75,3 +77,64 @@ def test_one_list_for_all_copies(spark):
     assert fim.text_index(docs).count() == 51
     plan = fim.transform(docs, fim.text_index(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan
+
+
+def divergences(rows, top):
+    docs = [(lang or "", source or "", re.findall("[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))) for _, text, lang, source in rows]
+    out = []
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        seen = Counter(w for d in own for w in set(d[2]))
+        kept = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: w.encode())
+        tf = {s: Counter(w for d in own if d[1] == s for w in d[2] if seen[w] >= 3) for s in {d[1] for d in own}}
+        share = lambda c: {w: 1 + 10**9 * (c[w] + 1) // (c.total() + len(kept)) for w in kept}
+        p, q = {s: share(c) for s, c in tf.items()}, share(sum(tf.values(), Counter()))
+        for s in tf:
+            pairs = [(o, sum((p[s][w] - p[o][w]) ** 2 // p[o][w] for w in kept)) for o in tf if o != s]
+            terms = [(w, (p[s][w] - q[w]) ** 2 // q[w]) for w in kept if tf[s][w] and p[s][w] > q[w]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                items.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, w, v, k) for k, (w, v) in enumerate(items, 1) if part == "pair" or k <= top]
+    return sorted(out)
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"{chr(97 + w % 26)}{'x' * (w // 26)}" for w in (rng.zipf(1.4, 40) % 90)), ("en", "de", None)[i % 3], f"src{i * i % 11}" if i % 4 else "hot") for i in range(400)]
+    rows += [(900, None, "en", "silent"), (901, "", "en", "silent"), (902, "a A é É Ünï 日本 a1b", "en", None), (902, "a A é É Ünï 日本 a1b", "en", None), (None, "É é x", "en", "src1")]
+    rows += [(903, "rare words here", "xx", "a"), (904, None, "xx", "b"), (905, "rare", "xx", "c"), (906, "alone alone", "yy", "a"), (907, "alone " * 70_000 + "b", "yy", "a"), (908, "alone b", "yy", "a"), (909, "b", "yy", "a")]
+    return rows
+
+
+@pytest.mark.parametrize(("slice_bytes", "block", "chunk"), [(1 << 26, 4, 1 << 21), (300, 1, 50), (2000, 3, 500), (2000, 100, 1)])
+def test_divergences(spark, monkeypatch, slice_bytes, block, chunk):
+    monkeypatch.setattr(divergence, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(divergence, "BLOCK", block)
+    monkeypatch.setattr(divergence, "CHUNK", chunk)
+    rows = corpus()
+    docs = frame(spark, rows).repartition(5)
+    assert sorted(map(tuple, divergence.divergences(docs, top=7).collect())) == divergences(rows, 7)
+
+
+def test_divergences_of_nothing(spark):
+    assert divergence.divergences(frame(spark, corpus()).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("blocks", range(1, 12))
+def test_each_two_blocks_meet_once(spark, blocks):
+    met = divergence.tournament(blocks)
+    assert sorted(tuple(sorted(m[1:])) for m in met) == [(i, j) for i in range(blocks) for j in range(i + 1, blocks)]
+    assert all(len({x for m in met if m[0] == r for x in m[1:]}) == 2 * sum(m[0] == r for m in met) for r in range(blocks + 1))
+    hosts = Counter(m[1] for m in met)
+    assert not met or max(hosts.values()) - min(hosts[b] for b in range(blocks)) <= 2
+    last = blocks - 1 + blocks % 2
+    sql = spark.range(blocks).selectExpr("CAST(id AS INT) AS block", f"{last} AS last", f"explode(sequence(0, {max(last - 1, 0)})) AS turn").withColumn("host", F.expr(divergence._OPPONENT)).where(f"host < {blocks} AND {divergence._TRAVELS}")
+    if blocks > 1:
+        assert sorted((r.turn, r.host, r.block) for r in sql.collect()) == sorted(met)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**15), st.integers(0, 10**15), st.integers(1, 10**9))
+def test_shares_are_exact(count, more, v):
+    n = count + more
+    assert int(divergence.shares(count, n, v)) == 1 + 10**9 * (count + 1) // (n + v)
