@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
+import urllib.parse
 import uuid
 import zipfile
+import zlib
 from contextlib import contextmanager
 
 import numpy as np
@@ -84,6 +87,47 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Store:
+    """Byte access to a folder given by URI."""
+
+    def __init__(self, uri: str):
+        scheme = urllib.parse.urlsplit(uri).scheme
+        if scheme in ("", "file"):
+            from pyarrow.fs import LocalFileSystem
+
+            self.fs, self.root = LocalFileSystem(), urllib.parse.urlsplit(uri).path
+        else:
+            from pyarrow.fs import FileSystem
+
+            # pyarrow knows the object store that Hadoop calls s3a or s3n as s3.
+            self.fs, self.root = FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+        self.uri, self.mapped = uri, scheme in ("", "file")
+
+    def create(self, name: str):
+        self.fs.create_dir(self.root, recursive=True)
+        return self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
+
+    def open(self, name: str):
+        return self.fs.open_input_file(f"{self.root}/{name}")
+
+    def local(self, name: str) -> str:
+        """A path that can be memory-mapped: the file's own, or a copy that this process makes once and that goes with it."""
+        if self.mapped:
+            return f"{self.root}/{name}"
+        if (self.uri, name) not in _copies:
+            if not _copies:
+                _copies[None] = tempfile.TemporaryDirectory(prefix="sessionloom-")
+            path = os.path.join(_copies[None].name, f"{len(_copies)}")
+            with self.fs.open_input_stream(f"{self.root}/{name}", compression=None) as f, open(path, "wb") as to:
+                while some := f.read(16 << 20):
+                    to.write(some)
+            _copies[self.uri, name] = path
+        return _copies[self.uri, name]
+
+
+_copies: dict = {}
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers import this package by name, so it is sent to them, once for each application."""
     sc = spark.sparkContext
@@ -221,6 +265,34 @@ def parts(batch, column: int, size: int = 2 << 20):
         yield batch.slice(start)
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, each number in as few bytes as the column's largest needs, compressed."""
+    out = [len(columns[0]).to_bytes(8, "little")]
+    for x in columns:
+        x = x.astype(np.uint64)
+        size = next(s for s in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * s))
+        out += [bytes([size]), x.astype(f"<u{size}").tobytes()]
+    return zlib.compress(b"".join(out), 1)
+
+
+def unpack(raw: bytes) -> list[np.ndarray]:
+    raw = zlib.decompress(raw)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    while at < len(raw):
+        size = raw[at]
+        out.append(np.frombuffer(raw, f"<u{size}", n, at + 1).astype(np.int64))
+        at += 1 + size * n
+    return out
+
+
+def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, rising, and each column's sums."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
 def word_ids(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct words of texts, each word's number among them in order of the texts, and how many words each text has."""
     known: dict[bytes, int] = {}

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import arrow_schema, keep, parts, scratch, word_ids, workers_find_package, written
+from sessionloom.llm.common import arrow_schema, keep, pack, parts, scratch, summed, unpack, word_ids, workers_find_package, written
 
 UNIT = 1_000_000_000
 #: Tokens that a task counts before it sends them; bytes of text for each slice of a language's terms; sources a block.
@@ -44,25 +44,6 @@ def terms(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, each number in as few bytes as the column's largest needs, compressed."""
-    out = [len(columns[0]).to_bytes(8, "little")]
-    for x in columns:
-        size = next(s for s in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * s))
-        out += [bytes([size]), x.astype(f"<u{size}").tobytes()]
-    return zlib.compress(b"".join(out), 1)
-
-
-def unpack(raw: bytes) -> list[np.ndarray]:
-    raw = zlib.decompress(raw)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    while at < len(raw):
-        size = raw[at]
-        out.append(np.frombuffer(raw, f"<u{size}", n, at + 1).astype(np.int64))
-        at += 1 + size * n
-    return out
-
-
 def slice_of(term: bytes, slices: int) -> int:
     return zlib.crc32(term) % slices
 
@@ -80,14 +61,6 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, rising, and each column's sums."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return key[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
-
-
 def _counted(groups: list[tuple[str, str]], texts: list[list[bytes]], slices: int):
     """Rows of COUNTED for some documents: their groups and terms."""
     words, ids, lengths = word_ids(texts)
@@ -96,9 +69,9 @@ def _counted(groups: list[tuple[str, str]], texts: list[list[bytes]], slices: in
     names = sorted(set(groups))
     number = {g: k for k, g in enumerate(names)}
     doc = np.repeat(np.arange(len(texts)), lengths)
-    each, tf = _summed(doc * len(words) + ids, np.ones(len(ids), np.int64))
+    each, tf = summed(doc * len(words) + ids, np.ones(len(ids), np.int64))
     of = np.array([number[g] for g in groups])[each // len(words)]
-    key, tf, df = _summed(of * len(words) + each % len(words), tf, np.ones(len(each), np.int64))
+    key, tf, df = summed(of * len(words) + each % len(words), tf, np.ones(len(each), np.int64))
     group, term = key // len(words), key % len(words)
     part = np.array([slice_of(w, slices) for w in words])
     langs = sorted({g[0] for g in names})
@@ -159,15 +132,15 @@ def _merged(min_docs: int):
                 tf += unpack(row.column("tf")[k].as_py())
                 df += unpack(row.column("df")[k].as_py())
         s, t, tf, df = map(np.concatenate, (s, t, tf, df))
-        _, docs = _summed(np.concatenate([t, np.arange(len(words))]), np.concatenate([df, np.zeros(len(words), np.int64)]))
+        _, docs = summed(np.concatenate([t, np.arange(len(words))]), np.concatenate([df, np.zeros(len(words), np.int64)]))
         names = list(words)
         kept = sorted((k for k in np.flatnonzero(docs >= min_docs).tolist()), key=names.__getitem__)
         v = len(kept)
         place = np.full(len(words), -1)
         place[kept] = np.arange(v)
         use = place[t] >= 0
-        at, n = _summed(s[use] * v + place[t[use]], tf[use])
-        _, whole = _summed(at % v, n) if v else (None, np.empty(0, np.int64))
+        at, n = summed(s[use] * v + place[t[use]], tf[use])
+        _, whole = summed(at % v, n) if v else (None, np.empty(0, np.int64))
         out = [(lang, part, "", True, int(whole.sum()), v, pack(np.arange(v), whole), b"\n".join(names[k] for k in kept))] if v else []
         for name, k in sources.items():
             a, b = np.searchsorted(at, [k * v, (k + 1) * v])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, divergence, fim, langid, license_scan, linefreq, minhash, mixing, multi_index, multihash, tokenfile, warc
+from sessionloom.llm import bpe, divergence, fim, langid, license_scan, linefreq, minhash, mixing, multi_index, multihash, ngram_lm, tokenfile, warc
 from sessionloom.llm.common import fresh_dir
 
 
@@ -95,7 +95,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op7_vector_dedup, op8_line_dedup, op9_fingerprints, op10_warc, op11_source_divergence, op12_fill_in_middle)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under a model of the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", ngram_lm.bucket("doc_id") == 2)
+    model = ngram_lm.train(docs, ~F.col("held_out"))
+    scored = ngram_lm.score(docs, model, ("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_minhash_dedup, op4_token_files, op5_bpe, op6_licence_scan, op7_vector_dedup, op8_line_dedup, op9_fingerprints, op10_warc, op11_source_divergence, op12_fill_in_middle, op13_lm_scoring)}
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),

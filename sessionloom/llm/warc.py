@@ -19,14 +19,13 @@ revisit's target. Rows that repeat an id and payload are all responses if that i
 from __future__ import annotations
 
 import hashlib
-import urllib.parse
 import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import arrow_schema, keep, scratch, workers_find_package, written
+from sessionloom.llm.common import Store, arrow_schema, keep, scratch, workers_find_package, written
 
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -34,28 +33,6 @@ INDEX = "file string, offset long, length long, page_id long, url string, digest
 FILE_BYTES, GAP, RUN, SPAN, TASK_BYTES = 1 << 30, 64 << 10, 8 << 20, 1 << 20, 64 << 20
 
 
-class Store:
-    """Byte access to a folder given by URI."""
-
-    def __init__(self, uri: str):
-        scheme = urllib.parse.urlsplit(uri).scheme
-        if scheme in ("", "file"):
-            from pyarrow.fs import LocalFileSystem
-
-            self.fs, self.root = LocalFileSystem(), urllib.parse.urlsplit(uri).path
-        else:
-            from pyarrow.fs import FileSystem
-
-            self.fs, self.root = FileSystem.from_uri(uri)
-
-    def create(self, name: str):
-        self.fs.create_dir(self.root, recursive=True)
-        return self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
-
-    def open(self, name: str):
-        return self.fs.open_input_file(f"{self.root}/{name}")
-
-
 def _id(page_id: int | None) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 

@@ -1,7 +1,9 @@
 """Operators over the whole corpus: fill-in-middle, source divergence, language model; against plain Python."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sessionloom.llm import divergence, fim
+from sessionloom.llm import divergence, fim, ngram_lm
 
 SCHEMA = "doc_id long, text string, lang string, source string, n int, h long"
 
@@ -138,3 +140,102 @@ def test_each_two_blocks_meet_once(spark, blocks):
 def test_shares_are_exact(count, more, v):
     n = count + more
     assert int(divergence.shares(count, n, v)) == 1 + 10**9 * (count + 1) // (n + v)
+
+
+class Plain:
+    """The model by dictionaries of tuples."""
+
+    def __init__(self, texts, order):
+        self.order, self.a = order, {k: Counter() for k in range(1, order + 1)}
+        for t in texts:
+            t = [None] * (order - 1) + ngram_lm.tokens(t)
+            self.a[order].update(tuple(t[i : i + order]) for i in range(len(t) - order + 1))
+        self.counts = Counter(w for t in texts for w in ngram_lm.tokens(t))
+        for k in range(order - 1, 0, -1):
+            self.a[k] = Counter(g[1:] for g in self.a[k + 1])
+        self.cut, self.context = {}, {}
+        for k, a in self.a.items():
+            tally = Counter(a.values())
+            self.cut[k] = (0, *ngram_lm.discounts([tally[x] for x in (1, 2, 3, 4)]))
+            for g, n in a.items():
+                c = self.context.setdefault(g[:-1] if k > 1 else (), [0, 0])
+                c[0] += n
+                c[1] += self.cut[k][min(n, 3)]
+
+    def p(self, gram):
+        k = len(gram)
+        lower = self.p(gram[1:]) if k > 1 else 1 / (len(self.counts) + 1)
+        if gram[:-1] not in self.context:
+            return lower
+        n, (s, rest) = self.a[k][gram], self.context[gram[:-1]]
+        return (max(n - self.cut[k][min(n, 3)], 0) + rest * lower) / s
+
+    def scores(self, text):
+        t, total = ngram_lm.tokens(text), self.counts.total()
+        padded = [None] * (self.order - 1) + t
+        base = math.fsum(math.log10((self.counts[w] + 1) / (total + len(self.counts) + 1)) for w in t)
+        return len(t), sum(w in self.counts for w in t), base, math.fsum(math.log10(self.p(tuple(padded[i : i + self.order]))) for i in range(len(t)))
+
+
+def lm_rows():
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{w}" if w % 7 else f"W{w}\x0b" for w in rng.zipf(1.3, rng.integers(0, 60)) % 50), "en", "s") for i in range(300)]
+    rows += [(400, None, "en", "s"), (401, "", "en", "s"), (None, "w1 w2 Ünknown\x85here", "en", "s"), (7, "w1 w2 w3", "en", "s"), (7, "w1 w2 w3", "en", "s"), (402, "hot " * 70_000, "en", "s"), (403, " \t\n", None, None)]
+    return rows
+
+
+@pytest.mark.parametrize(("order", "shard_bytes", "chunk"), [(1, 100, 200), (2, 1 << 26, 1 << 20), (2, 50, 1), (3, 1000, 300), (4, 200_000, 1000)])
+def test_language_model(spark, monkeypatch, order, shard_bytes, chunk):
+    monkeypatch.setattr(ngram_lm, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(ngram_lm, "CHUNK", chunk)
+    rows = lm_rows()
+    docs = frame(spark, rows).withColumn("score", F.lit("x")).repartition(3)
+    model = ngram_lm.train(docs, ngram_lm.bucket("doc_id") != 2, order=order)
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    plain = Plain([t for i, t, *_ in rows if not held(i)], order)
+    assert (model.tokens, model.kinds) == (plain.counts.total(), len(plain.counts))
+    assert {k: (0, *c) for k, c in model.cut.items()} == plain.cut
+    got = sorted((r.doc_id or -1, r.text or "", r.n_tokens, r.n_known, r.base_score, r.score) for r in ngram_lm.score(docs, model, ("doc_id", "text")).collect())
+    want = sorted((i or -1, t or "", *plain.scores(t)) for i, t, *_ in rows)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert np.allclose([g[4:] for g in got], [w[4:] for w in want], rtol=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_probabilities_sum_to_one(spark, order):
+    docs = frame(spark, lm_rows())
+    model = ngram_lm.train(docs, order=order)
+    words = np.arange(model.kinds + 2)
+    words = words[words != model.kinds]
+    for before in ([model.kinds] * (order - 1), [3, 5][: order - 1], [0, model.kinds + 1][: order - 1], [model.kinds, 4][: order - 1]):
+        p = 10 ** model.log10([*[np.full(len(words), b) for b in before], words])
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+
+
+def test_language_model_of_nothing(spark):
+    docs = frame(spark, lm_rows())
+    model = ngram_lm.train(docs.limit(0))
+    assert {(r.n_known, r.base_score, r.score) for r in ngram_lm.score(docs, model).collect()} == {(0, 0.0, 0.0)}
+    assert ngram_lm.score(docs.limit(0), ngram_lm.train(docs)).count() == 0
+
+
+def test_held_out_texts_are_likelier_than_under_single_words(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = ngram_lm.bucket("doc_id") == 2
+    model = ngram_lm.train(docs, ~held)
+    got = ngram_lm.score(docs.where(held), model).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+
+
+def test_files_of_another_store_are_copied_once(tmp_path, monkeypatch):
+    from sessionloom.llm import common
+
+    monkeypatch.setattr(common, "_copies", {})
+    store = common.Store(f"file://{tmp_path}/x")
+    with store.create("a") as f:
+        f.write(b"some bytes")
+    assert store.local("a") == f"{tmp_path}/x/a"
+    store.mapped = False
+    path = store.local("a")
+    assert path == store.local("a") != f"{tmp_path}/x/a" and open(path, "rb").read() == b"some bytes"
+    assert common.Store("s3a://bucket/folder?region=us-east-1").root == "bucket/folder"
