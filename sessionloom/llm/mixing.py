@@ -5,8 +5,9 @@ the tree by the nodes' weights. A node takes no more than `max_epochs` times its
 tokens; what it can't take goes to its siblings in proportion to their weights (water
 filling: with children by capacity over weight, the level is the largest of (budget - capacity so far) /
 (weight - weight so far)), and only what all of them can't take is missing from
-their parent, whose own siblings get it, as a parent's capacity is the sum of its children's. A node's share is rounded down to whole tokens,
-so a mix falls short of its budget by less than a token a node; budgets are exact up to 2^53 tokens.
+their parent, whose own siblings get it, as a parent's capacity is the sum of its children's that have a weight. A node's share is rounded down to whole tokens,
+so a mix falls short of its budget by less than a token a node; budgets are exact up to 2^53 tokens. The level is found in sums over steps
+of the ratio first, then among the ratios of two steps, so the children of one parent are never sorted as a whole.
 
 A leaf with target T and n tokens gives T div n whole epochs, then a prefix of one
 more: documents in the order of md5(seed, epoch, id) as long as fewer tokens than
@@ -37,28 +38,46 @@ def _weight(name: str, weights: dict[str, int], default: int) -> Column:
     return reduce(lambda rest, kv: F.when(F.col(name) == kv[0], F.lit(kv[1])).otherwise(rest), weights.items(), F.lit(default)).cast("long")
 
 
-def _fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
-    """nodes(parents, name, cap, w, budget) with `got`: the parent's budget, water-filled over its children."""
-    some = nodes.where("w > 0")
-    # The top level has one group, as large as there are domains.
+#: Steps of capacity over weight to each doubling; at most 64 times as many rows a parent are looked at in one place.
+STEPS = 64
+
+
+def _fill(nodes: DataFrame, parents: list[str]) -> DataFrame:
+    """nodes(parents, cap, w, budget) of w > 0 with `got`: the parent's budget, water-filled over its children.
+
+    The level (budget - capacity before) / (weight - weight before), over children by rising ratio, first rises, then falls. Where it is largest at
+    the start of a step, its peak is in that step or the one before.
+    """
+    ratio = F.col("cap") / F.col("w")
+    some = nodes.withColumns({"ratio": ratio, "step": F.floor(F.log2(ratio + 1) * STEPS).cast("int")})
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     group = Window.partitionBy(*(parents or [F.lit(0)]))
-    before = group.orderBy(F.col("cap") / F.col("w"), name).rowsBetween(Window.unboundedPreceding, -1)
-    caps, ws = F.coalesce(F.sum("cap").over(before), F.lit(0)), F.coalesce(F.sum("w").over(before), F.lit(0))
-    level = some.withColumn("lvl", (F.col("budget") - caps) / (F.sum("w").over(group) - ws)).withColumn("lvl", F.max("lvl").over(group))
-    return level.withColumn("got", F.least("cap", F.floor(F.col("w") * F.col("lvl"))).cast("long")).drop("lvl")
+    steps = some.groupBy(*parents, "step").agg(F.sum("cap").alias("c"), F.sum("w").alias("s"), F.max("budget").alias("budget"))
+    steps = steps.withColumns({"caps": before("c", group.orderBy("step")), "ws": before("s", group.orderBy("step")), "all": F.sum("s").over(group)})
+    steps = steps.withColumn("level", (F.col("budget") - F.col("caps")) / (F.col("all") - F.col("ws")))
+    nth = F.row_number().over(group.orderBy("step"))
+    steps = steps.withColumn("nth", nth).withColumn("peak", F.max(F.struct("level", -F.col("nth"))).over(group))
+    steps = steps.where("nth IN (-peak.col2, -peak.col2 - 1)").select(*parents, "step", "caps", "ws", "all")
+    same = some.groupBy(*parents, "step", "ratio").agg(F.sum("cap").alias("c"), F.sum("w").alias("s"), F.max("budget").alias("budget"))
+    inside = Window.partitionBy(*parents, "step").orderBy("ratio")
+    levels = same.join(steps, [*parents, "step"]).withColumn("level", (F.col("budget") - F.col("caps") - before("c", inside)) / (F.col("all") - F.col("ws") - before("s", inside)))
+    level = levels.groupBy(*parents).agg(F.max("level").alias("level"))
+    met = some.join(level, parents) if parents else some.crossJoin(F.broadcast(level))  # one row
+    return met.withColumn("got", F.least("cap", F.floor(F.col("w") * F.col("level"))).cast("long")).drop("level", "ratio", "step")
 
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: float, max_epochs: int, default: int = 10) -> DataFrame:
-    """leaves(__domain, __lang, __leaf, n) with `target` tokens. One row a leaf: sizes are those of the tree, not of the corpus."""
+    """leaves(__domain, __lang, __leaf, n) with `target` tokens, without those of weight 0 at some level. One row a leaf: sizes are those of the tree, not of the corpus."""
     d, lang, s = LEVELS
-    leaves = leaves.withColumn("cap", F.col("n") * max_epochs)
     total = F.broadcast(leaves.agg(F.floor(F.sum("n") * F.lit(float(share))).cast("long").alias("budget")))  # one row
-    top = leaves.groupBy(d).agg(F.sum("cap").alias("cap")).crossJoin(total).withColumn("w", _weight(d, weights.get("domain", {}), default))
-    top = _fill(top, [], d).select(d, F.col("got").alias("budget"))
-    mid = leaves.groupBy(d, lang).agg(F.sum("cap").alias("cap")).join(top, d).withColumn("w", _weight(lang, weights.get("lang", {}), default))
-    mid = _fill(mid, [d], lang).select(d, lang, F.col("got").alias("budget"))
-    low = leaves.join(mid, [d, lang]).withColumn("w", _weight(s, weights.get("source", {}), default))
-    return _fill(low, [d, lang], s).select(*LEVELS, "n", F.col("got").alias("target"))
+    w = {name: _weight(name, weights.get(level, {}), default) for level, name in (("domain", d), ("lang", lang), ("source", s))}
+    some = leaves.where((w[d] > 0) & (w[lang] > 0) & (w[s] > 0)).withColumn("cap", F.col("n") * max_epochs)
+    top = some.groupBy(d).agg(F.sum("cap").alias("cap")).crossJoin(total).withColumn("w", w[d])
+    top = _fill(top, []).select(d, F.col("got").alias("budget"))
+    mid = some.groupBy(d, lang).agg(F.sum("cap").alias("cap")).join(top, d).withColumn("w", w[lang])
+    mid = _fill(mid, [d]).select(d, lang, F.col("got").alias("budget"))
+    low = some.join(mid, [d, lang]).withColumn("w", w[s])
+    return _fill(low, [d, lang]).select(*LEVELS, "n", F.col("got").alias("target"))
 
 
 def _key(id_: Column, seed: int, epoch: Column) -> Column:
@@ -152,11 +171,12 @@ def oracle(weights: dict[str, dict[str, int]] = WEIGHTS, share: float = 0.6, max
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {DOMAIN_SQL} AS domain,
            coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0)::BIGINT AS n_tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS n, ({max_epochs} * sum(n_tokens))::BIGINT AS cap FROM d GROUP BY ALL),
-n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, (SELECT floor(sum(n)::DOUBLE * {share}::DOUBLE)::BIGINT FROM leaves) AS budget, {_case("domain", weights["domain"], default)} AS w FROM leaves GROUP BY domain),
+open AS (SELECT * FROM leaves WHERE {_case("domain", weights["domain"], default)} > 0 AND {_case("lang", weights["lang"], default)} > 0 AND {_case("source", weights["source"], default)} > 0),
+n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, (SELECT floor(sum(n)::DOUBLE * {share}::DOUBLE)::BIGINT FROM leaves) AS budget, {_case("domain", weights["domain"], default)} AS w FROM open GROUP BY domain),
 f1 AS ({fill("n1", "", "domain")}),
-n2 AS (SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, any_value(f1.got) AS budget, any_value({_case("l.lang", weights["lang"], default)}) AS w FROM leaves l JOIN f1 ON l.domain = f1.domain GROUP BY l.domain, l.lang),
+n2 AS (SELECT l.domain, l.lang, sum(l.cap)::BIGINT AS cap, any_value(f1.got) AS budget, any_value({_case("l.lang", weights["lang"], default)}) AS w FROM open l JOIN f1 ON l.domain = f1.domain GROUP BY l.domain, l.lang),
 f2 AS ({fill("n2", "domain", "lang")}),
-n3 AS (SELECT l.domain, l.lang, l.source, l.n, l.cap, f2.got AS budget, {_case("l.source", weights["source"], default)} AS w FROM leaves l JOIN f2 ON l.domain = f2.domain AND l.lang = f2.lang),
+n3 AS (SELECT l.domain, l.lang, l.source, l.n, l.cap, f2.got AS budget, {_case("l.source", weights["source"], default)} AS w FROM open l JOIN f2 ON l.domain = f2.domain AND l.lang = f2.lang),
 f3 AS ({fill("n3", "domain, lang", "source")}),
 p AS (SELECT domain, lang, source, got, CASE WHEN n > 0 THEN got // n ELSE 0 END AS epochs, CASE WHEN n > 0 THEN got - (got // n) * n ELSE got END AS rest FROM f3),
 k AS (SELECT d.*, p.epochs, p.rest, md5('{seed}:' || p.epochs || ':' || d.doc_id) AS key FROM d LEFT JOIN p USING (domain, lang, source)),
