@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -520,3 +521,66 @@ def test_mixing(spark):
     assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
     assert mixing.mix(df).collect() == got
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def filled(budget, children):
+    """name -> (cap, weight); exact water filling, each share rounded down."""
+    open_, got, left = {k: v for k, v in children.items() if v[1] > 0}, {}, Fraction(budget)
+    while open_:
+        level = left / sum(w for _, w in open_.values())
+        full = [k for k, (cap, w) in open_.items() if cap <= w * level]
+        if not full:
+            return got | {k: int(w * level) for k, (_, w) in open_.items()}
+        for k in full:
+            got[k] = open_.pop(k)[0]
+            left -= got[k]
+    return got
+
+
+@pytest.mark.parametrize("zero", ["none", "lang", "all"])
+def test_budgets_with_weight_nought(spark, zero):
+    """Random trees against exact fractions: what a child of weight 0 could hold is no room of its parent's."""
+    rng = np.random.default_rng(len(zero))
+    weights = {"domain": {"d0": 0 if zero in ("domain", "all") else 7, "d1": 3}, "lang": {"l0": 0 if zero in ("lang", "all") else 4}, "source": {f"s{k}": 0 if zero in ("source", "all") and k % 3 == 0 else int(rng.integers(1, 30)) for k in range(40)}}
+    tree = {(f"d{i}", f"l{j}", f"s{k}"): int(rng.integers(0, 10 ** rng.integers(1, 6))) for i in range(4) for j in range(3) for k in range(int(rng.integers(1, 60)))}
+    df = spark.createDataFrame([(*k, n) for k, n in tree.items()], "__domain string, __lang string, __leaf string, n long")
+    for share in (0.3, 2.0):
+        got = {tuple(r[:3]): r.target for r in mixing.budgets(df, weights, share, 3).collect()}
+        w = lambda level, name: weights[level].get(name, 10)
+        some = {k: 3 * n for k, n in tree.items() if w("domain", k[0]) and w("lang", k[1]) and w("source", k[2])}
+        caps = lambda depth, under: {x: (sum(c for k, c in some.items() if k[: depth + 1] == (*under, x)), w(("domain", "lang", "source")[depth], x)) for x in {k[depth] for k in some if k[:depth] == under}}
+        want = {(d, la, s): b3 for d, b1 in filled(int(sum(tree.values()) * share), caps(0, ())).items() for la, b2 in filled(b1, caps(1, (d,))).items() for s, b3 in filled(b2, caps(2, (d, la))).items()}
+        assert got == want
+
+
+def test_shortage_goes_to_siblings_before_ancestors(spark):
+    rows = [(f"d{d}", lang, "s", n) for d, lang, n in ((0, "en", 200), (0, "xx", 10_000), (1, "en", 1000))]
+    df = spark.createDataFrame(rows, "__domain string, __lang string, __leaf string, n long")
+    got = {tuple(r[:2]): r.target for r in mixing.budgets(df, {"domain": {"d0": 50, "d1": 50}, "lang": {"xx": 0}}, 1200 / 11_200, 1).collect()}
+    assert got == {("d0", "en"): 200, ("d1", "en"): 1000}
+
+
+def test_mix_with_very_long_text_and_weight_nought(spark):
+    rows = [(1, "a b " * 200_000, "en", "src0"), (2, "c d", "de", "src0"), (3, "e f g", "en", "src9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.n_tokens, r.copies) for r in mixing.mix(df, weights={"domain": {}, "lang": {"de": 0}, "source": {}}, share=3.0).collect()}
+    assert got == {1: (400_000, 3), 2: (2, 0), 3: (3, 3)}
+
+
+@pytest.mark.parametrize("n", [100, 1000, 20_000, 100_000, 1_000_000])
+def test_likeness_at_any_length(n):
+    """Disjoint, half equal and equal texts of that many different units; and a text twice against once."""
+    f = multihash.Fingerprint
+    a, b, c = (f.of([f"{x}{i}" for i in range(n)]) for x in "abc")
+    half = f.of([f"a{i}" for i in range(n // 2)] + [f"c{i}" for i in range(n - n // 2)])
+    assert a.likeness(b) < 0.15 and a.likeness(c) < 0.15 and abs(a.likeness(half) - 1 / 3) < 0.15
+    assert a.likeness((b + a) - b) == 1.0 and abs(a.likeness(a + a) - 0.5) < 0.15
+    assert abs((a + b).likeness(a + b + c) - 2 / 3) < 0.15
+
+
+def test_near_next_is_the_multiset_likeness(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = [r.text or "" for r in sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text or ""))]
+    got = [r.near_next for r in sorted(multihash.fingerprints(docs).select("doc_id", "near_next").collect(), key=lambda r: r.doc_id)]
+    off = np.abs(np.array(got) - [multiset_likeness(multihash.units(a), multihash.units(texts[(k + 1) % len(texts)])) for k, a in enumerate(texts)])
+    assert off.mean() < 0.05 and off.max() < 0.25
