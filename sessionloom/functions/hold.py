@@ -1,13 +1,17 @@
-"""Keeping what is used more than once."""
+"""Keeping what is used more than once, as tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which the driver and all executors share; only local sessions without it use a temporary folder."""
@@ -19,14 +23,56 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def held_dir(spark: SparkSession) -> str:
-    """The folder of this application's held tables; delete it when none of their results is wanted any more."""
-    return f"{shared_dir(spark)}/sessionloom-{spark.sparkContext.applicationId}"
+def own_dir(spark: SparkSession, part: str = "held") -> str:
+    """The folder of this application's tables of one part of the package."""
+    return f"{shared_dir(spark)}/sessionloom-{spark.sparkContext.applicationId}/{part}"
+
+
+def fresh_dir(spark: SparkSession, name: str, part: str = "held") -> str:
+    return f"{own_dir(spark, part)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession, part: str = "held") -> None:
+    """Delete what results of that part of the package still read; call it when they are no longer wanted."""
+    delete_path(spark, own_dir(spark, part))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def held(df: DataFrame, name: str = "held") -> DataFrame:
-    """df computed once, as a Parquet table in the shared folder: its plan stays short, its size is known to the planner, and lost executors don't matter."""
+@contextmanager
+def scratch():
+    """Tables held inside go when the block ends, but for those that the block passes to keep()."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for spark, path in stack.pop():
+            delete_path(spark, path)
+
+
+def _write(df: DataFrame, name: str, part: str, level: int) -> DataFrame:
     spark = df.sparkSession
-    path = f"{held_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_dir(spark, name, part)
     df.write.parquet(path)
+    stack = _scopes.__dict__.get("stack") or []
+    if len(stack) >= level:
+        stack[-level].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame, name: str = "held", part: str = "held") -> DataFrame:
+    """df computed once, as a Parquet table in the shared folder: its plan stays short, its size is known to the planner, and lost executors don't matter.
+
+    It goes with the scratch() around it, and without one when clear() is called.
+    """
+    return _write(df, name, part, 1)
+
+
+def keep(df: DataFrame, name: str = "kept", part: str = "held") -> DataFrame:
+    """The result of a scratch() block, as a table that outlives it but belongs to the next scratch() around, if there is one."""
+    return _write(df, name, part, 2)

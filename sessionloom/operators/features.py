@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import by_type, clip255, dot, ratio, unit
+from sessionloom.functions.hold import held
+from sessionloom.functions.stretches import cut_points, stretch
 from sessionloom.operators.candidates import CLASSES
 from sessionloom.operators.sessions import back, whole
 
@@ -16,15 +18,14 @@ TYPE_163 = {0: 1, 1: 6, 2: 3}
 EVENT_WEIGHTS = ("w_pos_log", "w_type_163", "w_lastday", "w_time", "w_recsys")
 
 
-def _numbered(events: DataFrame, stretches: int = 4096) -> DataFrame:
+def _numbered(events: DataFrame, stretches: int = 1024) -> DataFrame:
     """events with `nth`, their number among the item's events by session, the most recent of a session first.
 
-    Sessions are cut into stretches of equal width; an item's events before a stretch are counted by an aggregate, and only those within it are
-    numbered by a window, so an item with very many events spreads over many tasks.
+    Sessions are cut into stretches of about equally many events by a quantile sketch; an item's events before a stretch are counted by an aggregate, and
+    only those within it are numbered by a window, so an item with very many events spreads over many tasks, whatever the ids are. Events are held, as they are read more than once.
     """
-    span = F.broadcast(events.agg(F.min("session").alias("lo"), F.max("session").alias("hi")))  # one row
-    share = (F.col("session") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
-    e = events.crossJoin(span).withColumn("stretch", F.floor(share * stretches).cast("int")).drop("lo", "hi")
+    events = held(events, "events")
+    e = events.withColumn("stretch", stretch(F.col("session"), cut_points(events, "session", stretches)))
     before = Window.partitionBy("aid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = e.groupBy("aid", "stretch").agg(F.count("*").alias("n")).select(F.col("aid").alias("of"), F.col("stretch").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy("aid", "stretch").orderBy("session", F.desc("ts"), F.desc("eid"))

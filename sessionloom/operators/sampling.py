@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import arithmetic_hash
+from sessionloom.functions.stretches import cut_points, stretch
 
 
 def _order(df: DataFrame, seed: int):
@@ -35,14 +36,13 @@ def sample_n(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return rows.withColumn("h", _order(rows, seed)).orderBy("h", "session", "candidates").limit(n).drop("h")
 
 
-def quantile(rows: DataFrame, share: float, key: str, stretches: int = 4096) -> DataFrame:
+def quantile(rows: DataFrame, share: float, key: str, stretches: int = 1024) -> DataFrame:
     """One row `q`: the exact quantile of a whole-number key, between two values in proportion.
 
-    Keys are counted by stretches of equal width; only the stretches that hold the two values are looked at key by key.
+    Keys are counted by stretches of about equally many rows, from a quantile sketch; only the stretches that hold the two values are looked at key by key.
     """
-    span = F.broadcast(rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")))
-    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("v")).agg(F.count("*").alias("c")).crossJoin(span)
-    counts = counts.withColumn("stretch", F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * stretches)).drop("lo", "hi")
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("v")).agg(F.count("*").alias("c"))
+    counts = counts.withColumn("stretch", stretch(F.col("v"), cut_points(rows, key, stretches)))
     upto = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     totals = counts.groupBy("stretch").agg(F.sum("c").alias("n"))  # at most `stretches` rows
     at = totals.agg(((F.sum("n") - 1) * F.lit(float(share))).alias("at"))
