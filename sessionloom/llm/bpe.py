@@ -103,18 +103,22 @@ class WordBPE:
             self.rank.setdefault(pair, r)
             self.made.setdefault(ids[a + b], (r, *pair))
         auto, own = Automaton(), {}
+        #: Pieces that are one token: a token that its own spelling encodes to is what the whole piece encodes to.
+        self.whole: dict[str, int] = {}
         for t, i in ids.items():
             ended = t.endswith(suffix) and t != suffix
             letters = [self._code.get(c, -1) for c in (t.removesuffix(suffix) if ended else t)]
             if -1 not in letters and self._stable(i, len(letters)):
                 own[auto.add(letters + [self.END] * ended)] = i
+                if ended:
+                    self.whole[t.removesuffix(suffix)] = i
         self._go = {s << 9 | c: to for s, go in enumerate(auto.go) for c, to in go.items()}
         self._link, self._length = array("i", [max(0, s) for s in auto.link]), array("i", auto.length)
         # The token that a state's longest string is (-1: none), and the nearest state on its suffix links, itself included, that has one.
         self._token, self._near = array("i", [own.get(s, -1) for s in range(len(auto.go))]), array("i", [0] * len(auto.go))
         for s in sorted(range(1, len(auto.go)), key=auto.length.__getitem__):
             self._near[s] = s if s in own else self._near[auto.link[s]]
-        self.goes = Held(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS_HELD)
+        self.goes = Held(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS_HELD, None)
         self.piece = Held(self._piece, PIECES_HELD)
         self.chunk = Held(self._chunk, CHUNKS_HELD)
 
@@ -142,6 +146,8 @@ class WordBPE:
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         """Ids as little-endian int32, and decoded text, of one piece in byte letters."""
+        if (one := self.whole.get(piece)) is not None:
+            return self._value([one])
         word = [*piece.encode(), self.END] if piece.isascii() else [*[self._code[c] for c in piece], self.END]
         n = len(word)
         last, back = [-1] * (n + 1), [0] * (n + 1)

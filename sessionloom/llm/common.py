@@ -5,86 +5,42 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-import threading
 import urllib.parse
-import uuid
 import zipfile
 import zlib
-from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_scopes = threading.local()
-
+from sessionloom.functions import hold
+from sessionloom.functions.hold import delete_path, scratch  # noqa: F401  the operators take them from here
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local runs without it a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), f"sessionloom-{os.getuid()}")
+PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that holds this application's scratch tables."""
-    return f"{shared_dir(spark)}/sessionloom-{spark.sparkContext.applicationId}"
+    """The folder that holds this application's tables of this subpackage."""
+    return hold.own_dir(spark, "llm")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return hold.fresh_dir(spark, name, "llm")
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete what results of this application still read; call it when they are no longer wanted."""
-    delete_path(spark, scratch_dir(spark))
-
-
-@contextmanager
-def scratch():
-    """Tables written inside go when the block ends, but for those that the block passes to keep()."""
-    stack = _scopes.__dict__.setdefault("stack", [])
-    stack.append([])
-    try:
-        yield
-    finally:
-        for spark, path in stack.pop():
-            delete_path(spark, path)
-
-
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    """Delete what results of these operators still read; call it when they are no longer wanted."""
+    hold.clear(spark, "llm")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once. It goes with the scratch() around it."""
-    out, path = _write(df, name)
-    stack = _scopes.__dict__.get("stack")
-    if stack:
-        stack[-1].append((df.sparkSession, path))
-    return out
+    return hold.held(df, name, "llm")
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """The result of a scratch() block, as a table that outlives it but belongs to the next scratch() around, if there is one."""
-    out, path = _write(df, name)
-    stack = _scopes.__dict__.get("stack") or []
-    if len(stack) > 1:
-        stack[-2].append((df.sparkSession, path))
-    return out
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return hold.keep(df, name, "llm")
 
 
 class Store:
@@ -233,13 +189,18 @@ def arrow_schema(ddl: str):
 
 
 class Held(dict):
-    """A cache of make(key) in two generations: when `most` keys are held, those not asked for since the last time go. What is frequent stays, whatever comes once."""
+    """A cache of make(key) in two generations: when `most` keys are held, those not asked for since the last time go. What is frequent stays, whatever comes once.
+
+    Keys of over `longest` signs aren't held (None: keys have no length), so the bytes are bounded with the keys.
+    """
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, most: int, longest: int | None = 64):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

@@ -13,11 +13,11 @@ confirmed. Only members that this leaves in another component than the smallest
 one are compared further, with the other components of their group: a single one as a
 pair, a larger one as a whole, in blocks of full sets. Groups with CROWD such
 components or more are joined to families by their members, and a family is compared
-in blocks. What is left out this way is links inside a component that is
+in blocks, so that no pairs are written for them: that meets every pair that their keys name, and others of the family. What is left out this way is links inside a component that is
 already connected.
 
 Empty or null texts have no shingles and link with nothing. Where an id repeats, each distinct (id, text)
-is compared and placed apart; rows that are the same are one. A null id
+is compared and placed apart; rows that are the same share their place. Every row of documents has a row. A null id
 gets a null component and links with nothing. Other columns are carried through, whatever their names.
 """
 
@@ -36,7 +36,7 @@ from sessionloom.llm.common import Held, block_roots, components, keep, per_text
 
 WORD_CACHE = 100_000
 BLOCK, COLUMNS = 384, 4096
-#: Groups with so many components besides the smallest's are compared in blocks, which is a choice of plan: either way all candidates between components are met.
+#: Groups with so many components besides the smallest's are compared in blocks instead of pair by pair, which would write the square of them. Blocks meet all pairs that the keys name, and more.
 CROWD = 32
 SKETCH_BITS = 64
 #: Share of the pairs at the threshold that the pre-test on SKETCH_BITS one-bit minima may lose.
@@ -239,14 +239,27 @@ def _placed(docs: DataFrame, sigs: DataFrame, width: int, threshold: float) -> D
     own = members.join(of, "id", "left").select("k", "id", "p", F.coalesce("component_id", "id").alias("c"), F.coalesce("size", F.lit(1)).alias("size"))
     head = own.join(found.select(F.col("id").alias("p"), F.col("component_id").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     mixed = written(head.join(short, "id").withColumn("odd", F.col("c") != F.col("pc")), "mixed")
+    if mixed.where("odd").limit(1).count():
+        found = _rest(docs, mixed, short, found, links, width, threshold)
+
+    # Copies take the component of their representative.
+    of = found.select(F.col("id").alias("rep"), F.col("component_id").alias("rc"))
+    copied = copies.join(of, "rep", "left").select("id", F.coalesce("rc", "rep").alias("component_id"))
+    return written(found.unionByName(copied), "placed")
+
+
+def _rest(docs: DataFrame, mixed: DataFrame, short: DataFrame, found: DataFrame, links: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The components after the odd members of mixed have been compared with the other components of their groups."""
     odd = mixed.where("odd").select("k", F.col("id").alias("y"), F.col("c").alias("yc"), F.col("size").alias("ysize"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
     # Groups with many such members are taken together where they share members, and compared in blocks.
     crowded = written(odd.groupBy("k").agg(F.countDistinct("yc").alias("n")).where(F.col("n") >= CROWD).select("k"), "crowded")
-    full = written(mixed.join(crowded, "k", "left_semi").select("id", "p", "odd"), "full")
-    families = components(full.select(F.col("id").alias("a"), F.col("p").alias("b")))
-    families = families.select("id", F.col("component_id").alias("c"))
-    sides = full.where("odd").select("id").join(families, "id").select("c", "id", F.lit(True).alias("query")).unionByName(families.select("c", "id", F.lit(False).alias("query")))
-    extra = _linked_in_blocks(sides, docs, width, threshold)
+    extra = docs.sparkSession.createDataFrame([], "a long, b long")
+    if crowded.limit(1).count():
+        full = written(mixed.join(crowded, "k", "left_semi").select("id", "p", "odd"), "full")
+        families = components(full.select(F.col("id").alias("a"), F.col("p").alias("b")))
+        families = families.select("id", F.col("component_id").alias("c"))
+        sides = full.where("odd").select("id").join(families, "id").select("c", "id", F.lit(True).alias("query")).unionByName(families.select("c", "id", F.lit(False).alias("query")))
+        extra = _linked_in_blocks(sides, docs, width, threshold)
     odd, mixed = odd.join(crowded, "k", "left_anti"), mixed.join(crowded, "k", "left_anti")
     alone = F.col("size") == 1
     there = mixed.select("k", F.col("c").alias("x"), "size", "odd", F.when(alone, F.col("n")).alias("xn"), F.when(alone, F.col("sketch")).alias("xs"))
@@ -254,18 +267,13 @@ def _placed(docs: DataFrame, sigs: DataFrame, width: int, threshold: float) -> D
     single = f"size = 1 AND odd AND (ysize > 1 OR x < y) AND {_near(threshold)}"
     met = there.where("size > 1 OR odd").distinct().alias("o").join(odd.alias("d"), F.expr(f"o.k = d.k AND x <> yc AND (size > 1 OR ({single}))"))
     met = written(met.select("x", "y", "size").distinct(), "met")
-    large = met.where("size > 1").select(F.col("x").alias("c"), F.col("y").alias("id"), F.lit(True).alias("query"))
-    members = found.join(large.select(F.col("c").alias("component_id")).distinct(), "component_id", "left_semi")
-    sides = large.unionByName(members.select(F.col("component_id").alias("c"), "id", F.lit(False).alias("query")))
-    extra = extra.unionByName(_linked_in_blocks(sides, docs, width, threshold)).unionByName(_confirmed(met.where("size = 1").select("x", "y"), docs, width, threshold))
-    extra = written(extra, "extra")
-    if extra.limit(1).count():
-        found = components(links.unionByName(extra))
-
-    # Copies take the component of their representative.
-    of = found.select(F.col("id").alias("rep"), F.col("component_id").alias("rc"))
-    copied = copies.join(of, "rep", "left").select("id", F.coalesce("rc", "rep").alias("component_id"))
-    return written(found.unionByName(copied), "placed")
+    if met.where("size > 1").limit(1).count():
+        large = met.where("size > 1").select(F.col("x").alias("c"), F.col("y").alias("id"), F.lit(True).alias("query"))
+        members = found.join(large.select(F.col("c").alias("component_id")).distinct(), "component_id", "left_semi")
+        sides = large.unionByName(members.select(F.col("component_id").alias("c"), "id", F.lit(False).alias("query")))
+        extra = extra.unionByName(_linked_in_blocks(sides, docs, width, threshold))
+    extra = written(extra.unionByName(_confirmed(met.where("size = 1").select("x", "y"), docs, width, threshold)), "extra")
+    return components(links.unionByName(extra)) if extra.limit(1).count() else found
 
 
 def _named(text: Column) -> list[Column]:
@@ -275,7 +283,7 @@ def _named(text: Column) -> list[Column]:
 def _classes(documents: DataFrame, id_col: str, text_col: str, width: int, threshold: float, side: int, rows: int) -> tuple[DataFrame, bool]:
     """(id, n_shingles, component_id, first, ...) and whether an id repeats; first: nothing of its group has a smaller (id, text).
 
-    If an id repeats there is a row for each distinct (id, text), with the text's hashes t1 and t2; null ids have a row each time.
+    If an id repeats there is a row for each distinct (id, text), with the text's hashes t1 and t2 and how often it comes, `times`; null ids have a row each time.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = _signatures(docs, width, side, rows)
@@ -283,7 +291,8 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, width: int, thres
         out = sigs.join(_placed(docs, sigs, width, threshold), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
         return out.withColumn("first", F.col("id").isNull() | (F.col("id") == F.col("component_id"))).select("id", "n_shingles", "component_id", "first"), False
     # Each distinct (id, text) is a node; texts are the smaller the earlier in the alphabet, null first.
-    nodes = docs.where("id IS NOT NULL").distinct().select(F.monotonically_increasing_id().alias("node"), F.col("id").alias("doc"), "text")
+    nodes = docs.where("id IS NOT NULL").groupBy("id", "text").agg(F.count("*").cast("int").alias("times"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), F.col("id").alias("doc"), "text", "times")
     nodes = written(nodes, "nodes")
     texts = nodes.select(F.col("node").alias("id"), "text")
     node_sigs = _signatures(texts, width, side, rows)
@@ -295,8 +304,8 @@ def _classes(documents: DataFrame, id_col: str, text_col: str, width: int, thres
     # Only the texts of a group's smallest id are compared.
     heads = every.join(low, "c").where("doc = component_id").groupBy("c").agg(F.min(key).getField("node").alias("head"))
     heads = written(heads, "heads")
-    out = every.join(low, "c").join(heads, "c").select(F.col("doc").alias("id"), "n_shingles", "component_id", (F.col("node") == F.col("head")).alias("first"), *_named(F.col("text")))
-    nulls = sigs.where("id IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("first"), F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"))
+    out = every.join(low, "c").join(heads, "c").select(F.col("doc").alias("id"), "n_shingles", "component_id", (F.col("node") == F.col("head")).alias("first"), *_named(F.col("text")), "times")
+    nulls = sigs.where("id IS NULL").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("first"), F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"), F.lit(1).alias("times"))
     return written(out.unionByName(nulls), "classes"), True
 
 
@@ -309,12 +318,11 @@ def near_duplicates(
     side: int = 10,
     rows: int = 2,
 ) -> DataFrame:
-    """(id, n_shingles, component_id), one row for each distinct id, or, where an id has several texts, for each distinct (id, text);
-
-    rows with a null id have a row each. component_id is the smallest id of the group. See the module for the method.
-    """
+    """(id, n_shingles, component_id), a row for each row of documents. component_id is the smallest id of the group. See the module for the method."""
     with scratch():
-        found, _ = _classes(documents, id_col, text_col, width, threshold, side, rows)
+        found, repeats = _classes(documents, id_col, text_col, width, threshold, side, rows)
+        if repeats:
+            found = found.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
         return keep(found.select("id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id"), "near-duplicates")
 
 

@@ -584,3 +584,23 @@ def test_near_next_is_the_multiset_likeness(spark, sf):
     got = [r.near_next for r in sorted(multihash.fingerprints(docs).select("doc_id", "near_next").collect(), key=lambda r: r.doc_id)]
     off = np.abs(np.array(got) - [multiset_likeness(multihash.units(a), multihash.units(texts[(k + 1) % len(texts)])) for k, a in enumerate(texts)])
     assert off.mean() < 0.05 and off.max() < 0.25
+
+
+def test_caches_hold_no_long_keys(spark):
+    own, lib = bpe.tokenizer(SPEC), tokenfile.library(SPEC)
+    for k in range(7):
+        text = f"{k}" + "ab" * 500_000
+        assert len(own.encode_bytes(text)[0]) // 4 == len(lib.encode(text)) // 4
+    for held in (own.chunk, own.piece, lib.known, lib.pieces):
+        assert max(map(len, [*held, *held.older]), default=0) <= 64
+
+
+def test_whole_pieces_are_what_the_automaton_finds():
+    own = bpe.tokenizer(SPEC)
+    some = sorted(own.whole)[::23]
+    direct = [own.piece.make(p) for p in some]
+    whole, own.whole = own.whole, {}
+    try:
+        assert direct == [own.piece.make(p) for p in some]
+    finally:
+        own.whole = whole
