@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom import oracles as o
 from sessionloom.functions.hold import held
 from sessionloom.operators import candidates, evaluation, features, models, sampling, sessions, voting
-from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge
+from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge, prepared
 from sessionloom.plans import recommender
 from sessionloom.sources import adapters
 
@@ -241,12 +242,13 @@ VOTE_SINCE = {n: (SPECS[n].__class__(**{**SPECS[n].__dict__, "started_days": 31}
 
 def vote_parts(spark, d, names):
     """Users as sessions, so that some are long; first-event matrices take all sessions then."""
-    e = users(spark, d)
+    e = held(prepared(users(spark, d)), "users")
     all_ = None
     for n in names:
         one = covisitation(e, VOTE_SINCE[n], T_MIN, T_MAX).select(F.lit(n).alias("matrix"), "aid_x", "aid_y", "rank")
         all_ = one if all_ is None else all_.unionByName(one)
     # Lists are asked for by several sources, so matrices and seeds are kept.
+    e = e.drop("t0", "k", "back")
     return e, held(sessions.seed_lists(e)), held(all_)
 
 
@@ -457,14 +459,17 @@ B_SQL = f"{C_KEPT}, {scored_sql('ty', 'sc')}, {scored_sql('mt', 's2')}, b AS (SE
 
 
 #: Each class's shares of the two scores.
-BLENDS = {"clicks": (0.75, 0.25), "carts": (0.5, 0.5), "orders": (0.25, 0.75)}
+BLENDS = {c: {"type136": a, "temporal": 1 - a} for c, a in (("clicks", 0.75), ("carts", 0.5), ("orders", 0.25))}
 
 
-def blended(k: Kept, of: str = "clicks") -> DataFrame:
-    return evaluation.blend(list(zip((scored(k, "type136"), scored(k, "temporal")), BLENDS[of], strict=True)))
+def scored_twice(k: Kept) -> DataFrame:
+    """Both matrices' plain scores of each pair, by one join and one sum."""
+    edges = reduce(DataFrame.unionByName, [m.select(F.col("aid_x").alias("aid"), F.col("aid_y").alias("candidates"), F.lit(n).alias("m"), "wgt_e9") for n, m in k.matrices.items()])
+    got = k.kept.join(edges, "aid").groupBy("session", "candidates").agg(*[F.sum(F.when(F.col("m") == n, F.col("wgt_e9"))).cast("double").alias(n) for n in k.matrices])
+    return k.pairs.join(got, ["session", "candidates"], "left")
 
 
-query("blend_scores", f"{B_SQL} SELECT session, candidates, pred FROM b")(lambda s, d: blended(Kept(s, d)))
+query("blend_scores", f"{B_SQL} SELECT session, candidates, pred FROM b")(lambda s, d: (lambda k: evaluation.blend([(scored(k, n), w) for n, w in BLENDS["clicks"].items()]))(Kept(s, d)))
 #: Written apart: scores by class as literal sums, popular items of each class by counting, lists padded by position.
 B_CLASS = f"""{C_KEPT}, {scored_sql('ty', 'sc')}, {scored_sql('mt', 's2')},
  two AS (SELECT sc.session, sc.candidates, sc.pred AS a, s2.pred AS b FROM sc JOIN s2 ON sc.session = s2.session AND sc.candidates = s2.candidates),
@@ -477,12 +482,12 @@ B_CLASS = f"""{C_KEPT}, {scored_sql('ty', 'sc')}, {scored_sql('mt', 's2')},
  pad AS (SELECT session, type, string_agg(aid, ' ' ORDER BY place) AS preds FROM filled GROUP BY session, type)"""
 
 
+
+query("blend_by_class", f"{B_CLASS} SELECT session, type, candidates, pred FROM b")(lambda s, d: evaluation.blend_by_class(scored_twice(Kept(s, d)), BLENDS))
+
 def padded(spark, d):
     k = Kept(spark, d)
-    rows = None
-    for c in candidates.CLASSES:
-        one = blended(k, c).withColumn("type", F.lit(c))
-        rows = one if rows is None else rows.unionByName(one)
+    rows = evaluation.blend_by_class(scored_twice(k), BLENDS)
     return evaluation.padded(evaluation.top_lists(rows, keys=("session", "type")), candidates.by_class(candidates.popular(k.events, 20)))
 
 

@@ -12,7 +12,7 @@ def popular(events: DataFrame, n: int = 100) -> DataFrame:
     """(type, aid, n_events, pos): each type's most frequent items."""
     counts = events.groupBy("type", "aid").agg(F.count("*").alias("n_events"))
     w = Window.partitionBy("type").orderBy(F.desc("n_events"), "aid")
-    return counts.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < n)
+    return counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).withColumn("pos", F.col("pos") - 1)
 
 
 def by_class(ranked: DataFrame) -> DataFrame:

@@ -5,21 +5,29 @@ same distribution (no further shuffle), weighted, summed per pair of items with
 partials, and cut to the best N of each item. Weights are summed as whole numbers (see
 functions.expr.UNIT), so matrices don't depend on partitioning.
 
-Two rewrites keep a long session from being joined with itself event by event, without changing results:
-positions at most `reach` apart meet by an equi-join on (session, position), and where the pair condition doesn't look at time, or only asks that y is
-later, events are collapsed to the one of each item that would be picked anyway.
+A long session is never joined with itself event by event:
+* positions at most `reach` apart meet by an equi-join on (session, position);
+* events less than `within` seconds apart meet by an equi-join on (session, bucket of that width), a bucket with itself and its neighbours; where weights don't look at time either,
+  an item's events in a bucket are one row, with its first and last time;
+* where the pair condition doesn't look at time, events are collapsed to the one of each item that would be picked anyway; where it asks that y is later,
+  y is the item's latest event, and x is found among its item's events, which are one sorted array, by binary search.
+
+What is left is one row for each pair of items of a session. Sessions with over BLOCK items are cut into blocks of items by hash, and each pair of blocks is a key of its own, so a hot
+session spreads over many tasks. A pair of items stands in one pair of blocks only, so it still counts once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import UNIT
 
 DAY = 86_400
+#: Items of a session that are paired in one task.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -41,7 +49,8 @@ class CovisSpec:
     latest: bool = True  # of equal keys the latest x, then the latest y; else the earliest
     closest: bool = False  # of equal keys the smallest time apart
     reach: int = 0  # only events so many positions apart, at most (0: any)
-    ahead: bool = False  # with reach: only y after x
+    within: int = 0  # only events less than so many seconds apart (0: any)
+    ahead: bool = False  # with reach or within: only y after x
 
 
 def _half(hours: int) -> str:
@@ -75,12 +84,12 @@ SPECS = {
         CovisSpec("226", 80, "1", _APART, _BUYS, _BUYS, reach=3, ahead=True, y_first=True, latest=False),
         CovisSpec("232", 80, _half(1), _APART, reach=3, y_first=True, latest=False),
         CovisSpec("235", 80, _half(1), _APART, reach=6, y_first=True, latest=False),
-        CovisSpec("239", 20, _half(1), "y.ts - x.ts > 0 AND y.ts - x.ts < 7200", right=_BUYS, key=("x.session div {chunk}",), closest=True),
+        CovisSpec("239", 20, _half(1), _LATER, right=_BUYS, key=("x.session div {chunk}",), closest=True, within=7200, ahead=True),
         CovisSpec("700", 40, "1", _APART, right="type > 0", started_days=21, x_first=True, key=("x.session", "y.type"), latest=False),
         CovisSpec("701", 40, _half(1), _APART, started_days=21, x_first=True, key=("x.session", "y.type"), latest=False),
         CovisSpec("155", 40, _half(6), _LATER, right=_BUYS),
         CovisSpec("157", 80, _half(6)),
-        CovisSpec("90", 40, "1", f"abs(x.ts - y.ts) < {14 * DAY} AND {_APART}", _BUYS, _BUYS, latest=False),
+        CovisSpec("90", 40, "1", _APART, _BUYS, _BUYS, latest=False, within=14 * DAY),
         CovisSpec("95", 40, f"{_half(1)} * {_case(1, 4, 4)}", _APART, tail=30, latest=False),
         CovisSpec("99", 40, _half(1), _APART, _BUYS, _BUYS, since_days=28, latest=False),
     )
@@ -89,37 +98,54 @@ SPECS = {
 SPECS |= {f"{n}_40": replace(SPECS[n], name=f"{n}_40", top_n=40) for n in ("temporal", "type136", "carts_orders", "type0590")}
 
 
+def prepared(events: DataFrame) -> DataFrame:
+    """events with what several matrices ask of a whole session: its start, and each event's place from either end. Hold it, and covisitation() takes these from there."""
+    whole = Window.partitionBy("session")
+    along, back = whole.orderBy("ts", "eid"), whole.orderBy(F.desc("ts"), F.desc("eid"))
+    return events.select("session", "aid", "ts", "type", "eid").withColumns({"t0": F.min("ts").over(whole), "k": F.row_number().over(along), "back": F.row_number().over(back)})
+
+
 def covisitation(events: DataFrame, spec: CovisSpec, t_min: int, t_max: int, chunk: int = 50_000, top_n: int | None = None) -> DataFrame:
     """(aid_x, aid_y, wgt_e9, rank): the spec's best items for each item; top_n 0 keeps all."""
     names = {"t_min": t_min, "t_max": t_max, "chunk": chunk}
     whole = Window.partitionBy("session")
     along, back = whole.orderBy("ts", "eid"), whole.orderBy(F.desc("ts"), F.desc("eid"))
-    e = events.select("session", "aid", "ts", "type", "eid")
+    # Places in the session hold for specs that leave no event of a session out before they are asked for.
+    known = {"t0", "k", "back"} <= set(events.columns) and spec.since_days is None and (spec.left == "true" or spec.left != spec.right)
+    e = events if known else events.select("session", "aid", "ts", "type", "eid")
     if spec.since_days is not None:
         e = e.where(F.col("ts") > t_max - spec.since_days * DAY)
     if spec.left == spec.right:
         e = e.where(spec.left)
     if spec.started_days is not None:
-        e = e.withColumn("t0", F.min("ts").over(whole)).where(F.col("t0") > t_max - spec.started_days * DAY).drop("t0")
+        e = (e if known else e.withColumn("t0", F.min("ts").over(whole))).where(F.col("t0") > t_max - spec.started_days * DAY)
     if spec.tail:
-        e = e.withColumn("back", F.row_number().over(back)).where(F.col("back") <= spec.tail).drop("back")
-    if spec.y_first or spec.x_first or spec.reach:
-        e = e.withColumn("k", F.row_number().over(along))
+        e = (e if known else e.withColumn("back", F.row_number().over(back))).where(F.col("back") <= spec.tail)
+    if spec.x_first or spec.reach:
+        e = e if known and not spec.tail else e.withColumn("k", F.row_number().over(along))
+    e = e.select("session", "aid", "ts", "type", "eid", *(["k"] if spec.x_first or spec.reach else []))
     left, right = e.where(spec.left), e.where(spec.right)
     if spec.x_first:
         left = left.where("k = 1")
     if spec.y_first:
         right = right.withColumn("nth", F.row_number().over(Window.partitionBy("session", "aid").orderBy("ts", "eid"))).where("nth = 1").drop("nth")
-    timeless = spec.pair in ("true", _APART) and not (spec.reach or spec.closest)
+    timeless = spec.pair in ("true", _APART) and not (spec.reach or spec.closest or spec.within)
+    later = spec.pair == _LATER and spec.latest and not (spec.reach or spec.closest or spec.within)
     if timeless and not spec.x_first:
         left = _representatives(left, spec, False)
-    if (timeless or spec.pair == _LATER and spec.latest) and not spec.y_first:
+    if (timeless or later) and not spec.y_first:
         right = _representatives(right, spec, "y.type" in spec.key)
     if spec.reach:
         steps = [d for d in range(-spec.reach, spec.reach + 1) if d > 0 or (d < 0 and not spec.ahead)]
-        left = left.withColumn("to", F.explode(F.array(*[F.col("k") + d for d in steps])))
-    near = "x.session = y.session AND x.to = y.k" if spec.reach else "x.session = y.session"
-    pairs = left.alias("x").join(right.alias("y"), F.expr(f"{near} AND ({spec.pair})"))
+        pairs = left.withColumn("to", F.explode(F.array(*[F.col("k") + d for d in steps]))).alias("x").join(right.alias("y"), F.expr(f"x.session = y.session AND x.to = y.k AND ({spec.pair})"))
+    elif spec.within:
+        pairs = _near_in_time(left, right, spec)
+    elif later:
+        pairs = _before(left, right)
+    elif timeless:
+        pairs = _in_blocks(left, right, F.expr(spec.pair))
+    else:
+        pairs = left.alias("x").join(right.alias("y"), F.expr(f"x.session = y.session AND ({spec.pair})"))
     keys = [F.expr(k.format(**names)).alias(f"key{i}") for i, k in enumerate(spec.key)]
     order = ["x.ts", "x.eid", "y.ts", "y.eid", "y.type"]
     near = F.struct(F.abs(F.col("y.ts") - F.col("x.ts")).alias("apart"), *[F.col(c).alias(c.replace(".", "_")) for c in order])
@@ -127,7 +153,7 @@ def covisitation(events: DataFrame, spec: CovisSpec, t_min: int, t_max: int, chu
     if not spec.closest:
         near = F.struct(*[F.col(c).alias(c.replace(".", "_")) for c in order])
     once = pairs.select(*keys, F.col("x.aid").alias("aid_x"), F.col("y.aid").alias("aid_y"), near.alias("at"))
-    if not timeless:  # else each pair comes once already
+    if not (timeless or later):  # else each pair comes once already
         once = once.groupBy(*[f"key{i}" for i in range(len(keys))], "aid_x", "aid_y").agg(pick("at").alias("at"))
     weight = spec.weight.format(**names)
     for side in ("x", "y"):
@@ -145,6 +171,52 @@ def _representatives(events: DataFrame, spec: CovisSpec, by_type: bool) -> DataF
     return one.select(*keys, "at.*")
 
 
+def _in_blocks(left: DataFrame, right: DataFrame, pair: Column) -> DataFrame:
+    """x and y of one session, each item of a side at most a few times. Sessions of over BLOCK items are paired block by block.
+
+    The table of such sessions has at most a row for each BLOCK rows; whether it is broadcast is left to its size.
+    """
+    large = left.groupBy("session").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(F.col("session").alias("of"), F.ceil(F.col("n") / BLOCK).cast("int").alias("b"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        side = side.join(large, F.col("session") == F.col("of"), "left").withColumn("b", F.coalesce("b", F.lit(1)))
+        side = side.withColumns({own: F.pmod(F.xxhash64("aid"), F.col("b")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col("b") - 1))})
+        return side.drop("of", "b")
+
+    x, y = dealt(left, "bx", "by").alias("x"), dealt(right, "by", "bx").alias("y")
+    return x.join(y, F.expr("x.session = y.session AND x.bx = y.bx AND x.by = y.by") & pair)
+
+
+def _before(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each y (one of an item and session) with, of every item, the latest x before it, by binary search in the item's sorted events."""
+    runs = left.groupBy("session", "aid").agg(F.array_sort(F.collect_list(F.struct("ts", "eid", "type"))).alias("xs"))
+    runs = runs.withColumn("steps", F.sequence(F.floor(F.log2(F.size("xs").cast("double"))).cast("int"), F.lit(0), F.lit(-1)))
+    met = _in_blocks(runs, right, F.expr("x.xs[0].ts < y.ts"))
+    upto = lambda low, k: low + F.call_function("shiftleft", F.lit(1), k)
+    found = F.aggregate("x.steps", F.lit(0), lambda low, k: F.when((upto(low, k) <= F.size("x.xs")) & (F.get("x.xs", upto(low, k) - 1)["ts"] < F.col("y.ts")), upto(low, k)).otherwise(low))
+    at = F.get("x.xs", found - 1)
+    x = [F.col("x.session"), F.col("x.aid"), at["ts"].alias("ts"), at["eid"].alias("eid"), at["type"].alias("type")]
+    return met.select(F.struct(*x).alias("x"), F.struct("y.session", "y.aid", "y.ts", "y.eid", "y.type").alias("y"))
+
+
+def _near_in_time(left: DataFrame, right: DataFrame, spec: CovisSpec) -> DataFrame:
+    """x and y of one session less than spec.within seconds apart (y later, with ahead) that meet the pair condition.
+
+    Buckets are as wide as the interval, so events that near are in one or in neighbouring buckets.
+    """
+    bucket = F.floor(F.col("ts") / spec.within)
+    left, right = left.withColumn("bucket", bucket), right.withColumn("bucket", bucket)
+    near = f"y.ts - x.ts < {spec.within}" + ("" if spec.ahead else f" AND x.ts - y.ts < {spec.within}")
+    if not any(f"{side}.{c}" in spec.weight for side in "xy" for c in ("ts", "eid", "type")) and not spec.closest and not spec.ahead and all(k == "x.session" for k in spec.key):
+        # Only whether two items come that near counts: in a bucket they do, across a border if the last of one and the first of the other do.
+        ends = lambda side: side.groupBy("session", "aid", "bucket").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.min(F.struct("ts", "eid", "type")).alias("first")).select("session", "aid", "bucket", "lo", "hi", "first.*")
+        left, right = ends(left), ends(right)
+        near = f"(x.bucket = y.bucket OR greatest(y.lo - x.hi, x.lo - y.hi) < {spec.within})"
+    to = [0, 1] if spec.ahead else [-1, 0, 1]
+    left = left.withColumn("to", F.explode(F.array(*[F.col("bucket") + d for d in to])))
+    return left.alias("x").join(right.alias("y"), F.expr(f"x.session = y.session AND x.to = y.bucket AND {near} AND ({spec.pair})"))
+
+
 def best(pairs: DataFrame, n: int) -> DataFrame:
     """pairs(aid_x, aid_y, wgt_e9) with their rank for aid_x, the best n only (0: all)."""
     w = Window.partitionBy("aid_x").orderBy(F.desc("wgt_e9"), "aid_y")

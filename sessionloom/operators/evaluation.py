@@ -53,6 +53,12 @@ def blend(models: list[tuple[DataFrame, float]]) -> DataFrame:
     return out.groupBy("session", "candidates").agg(F.sum("pred").alias("pred"))
 
 
+def blend_by_class(scored: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:
+    """(session, type, candidates, pred) of scored(session, candidates, one column a score): each class's weighted sum, a missing score counting 0. Scores are read once for all classes."""
+    sums = [F.struct(F.lit(c).alias("type"), reduce(lambda a, b: a + b, [F.coalesce(F.col(s), F.lit(0.0)) * F.lit(float(w)) for s, w in of.items()]).alias("pred")) for c, of in weights.items()]
+    return scored.select("session", "candidates", F.inline(F.array(*sums))).select("session", "type", "candidates", "pred")
+
+
 def padded(lists: DataFrame, popular: DataFrame, k: int = 20) -> DataFrame:
     """lists(session, type, preds) filled to k with the most popular items of their own type, in order, which may repeat.
 

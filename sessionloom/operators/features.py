@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -171,19 +173,18 @@ def session_counts(events: DataFrame) -> DataFrame:
     return n.select("session", *[clip255(F.col(c)).alias(c) for c in n.columns[1:]])
 
 
-def ranks(features: DataFrame, names: list[str]) -> DataFrame:
-    """features with {name}_rank: descending in the session, ties take the smallest, missing and NaN last, up to 255.
+def ranks(features: DataFrame, names: list[str], most: int = 255) -> DataFrame:
+    """features with {name}_rank: descending in the session, ties take the smallest, missing and NaN last, up to `most`.
 
-    All features are ranked by one sort over long rows, so many names don't make many sorts.
+    Each feature's values of a session are one sorted array, cut to the first `most`, and a row's rank is its value's first place in it: one sort a
+    feature inside the session's row, no rows by feature, one shuffle by session. The arrays are joined back to the rows, so they aren't sorted for each.
     """
-    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
-    if len(names) <= 8:
-        return features.withColumns({f"{c}_rank": clip255(F.rank().over(whole().orderBy(value(c).desc_nulls_last()))) for c in names})
-    long = features.select("session", "candidates", F.explode(F.array(*[F.struct(F.lit(c).alias("f"), value(c).alias("v")) for c in names])).alias("x"))
-    r = F.rank().over(Window.partitionBy("session", "x.f").orderBy(F.col("x.v").desc_nulls_last()))
-    ranked = long.select("session", "candidates", F.col("x.f").alias("f"), clip255(r).alias("r"))
-    wide = ranked.groupBy("session", "candidates").agg(*[F.max(F.when(F.col("f") == c, F.col("r"))).alias(f"{c}_rank") for c in names])
-    return features.join(wide, ["session", "candidates"])
+    value = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) + F.lit(0.0)
+    found = [F.slice(F.sort_array(F.collect_list(value(c)), asc=False), 1, most).alias(f"s{k}") for k, c in enumerate(names)]
+    sorted_ = features.groupBy(F.col("session").alias("of")).agg(*found, *[F.count(value(c)).alias(f"n{k}") for k, c in enumerate(names)])
+    met = features.join(sorted_, F.col("session").eqNullSafe(F.col("of")))
+    place = lambda k, c: F.when(value(c).isNull(), F.col(f"n{k}") + 1).otherwise(F.nullif(F.array_position(f"s{k}", value(c)), F.lit(0)))
+    return met.select(*[F.col(f"`{c}`") for c in features.columns], *[F.least(F.lit(most), F.coalesce(place(k, c), F.lit(most))).cast("long").alias(f"{c}_rank") for k, c in enumerate(names)])
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -266,11 +267,13 @@ def vector_features(pairs: DataFrame, items: DataFrame, sets: dict[str, tuple[Da
     distinct item pairs are computed once for all sets, and pairs, items and similarities are joined once.
     """
     met = pairs.select("session", "candidates").join(items, "session")
+    # All sets are one wide row an item, joined to each end once.
+    wide = reduce(DataFrame.unionByName, [vectors.select("aid", F.lit(k).alias("k"), "vec") for k, (vectors, _) in enumerate(sets.values())])
+    wide = wide.groupBy("aid").agg(*[F.first(F.when(F.col("k") == k, F.col("vec")), ignorenulls=True).alias(f"v{k}") for k in range(len(sets))])
     sims = met.select(F.col("candidates").alias("sa"), F.col("aid").alias("sb")).distinct()
-    for k, (vectors, _) in enumerate(sets.values()):
-        for side in ("a", "b"):
-            sims = sims.join(vectors.select(F.col("aid").alias(f"s{side}"), F.col("vec").alias(f"v{side}")), f"s{side}", "left")
-        sims = sims.withColumn(f"sim{k}", F.when(F.col("va").isNotNull() & F.col("vb").isNotNull(), dot(F.col("va"), F.col("vb")))).drop("va", "vb")
+    for side in ("a", "b"):
+        sims = sims.join(wide.select(F.col("aid").alias(f"s{side}"), *[F.col(f"v{k}").alias(f"{side}{k}") for k in range(len(sets))]), f"s{side}", "left")
+    sims = sims.select("sa", "sb", *[F.when(F.col(f"a{k}").isNotNull() & F.col(f"b{k}").isNotNull(), dot(F.col(f"a{k}"), F.col(f"b{k}"))).alias(f"sim{k}") for k in range(len(sets))])
     rows = met.join(sims, (met["candidates"] == sims["sa"]) & (met["aid"] == sims["sb"]), "left")
     cols, lasts = [], []
     for k, (name, (_, buys)) in enumerate(sets.items()):

@@ -75,7 +75,12 @@ def cut_sessions(events: DataFrame, seed: int = 42, drop_zero_aid: bool = True)
     n = F.count("*").over(whole())
     placed = events.withColumns({"n": n, "pos": F.row_number().over(along())}).where("n > 1")
     placed = placed.withColumn("cut", 1 + arithmetic_hash(F.col("session"), seed, F.col("n") - 1))
-    labels = ground_truth(placed, drop_zero_aid).where("pos = cut").select("session", "label_click", "label_carts", "label_orders")
+    # Only what comes after the cut is gathered, once for each session.
+    of = lambda t: F.when(F.col("type") == t, F.col("aid"))
+    click = F.min(F.when(F.col("type") == 0, F.struct("ts", "eid", "aid")))["aid"]
+    labels = placed.where("pos > cut").groupBy("session").agg(click.alias("label_click"), F.array_sort(F.collect_set(of(1))).alias("label_carts"), F.array_sort(F.collect_set(of(2))).alias("label_orders"))
+    if drop_zero_aid:
+        labels = labels.withColumn("label_click", F.when(F.col("label_click") != 0, F.col("label_click")))
     return placed.where("pos <= cut").select(events.columns), labels
 
 
@@ -126,8 +131,9 @@ def started_after(events: DataFrame, since: int) -> DataFrame:
 
 def last_items(events: DataFrame, n: int = 5, types: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """last_0 .. last_{n-1}: a session's most recent items as columns, -1 where it is shorter."""
-    recent = events.where(F.col("type").isin(*types)).withColumn("p", F.row_number().over(back()) - 1).where(F.col("p") < n)
-    return recent.groupBy("session").agg(*[F.coalesce(F.max(F.when(F.col("p") == i, F.col("aid"))), F.lit(-1)).alias(f"last_{i}") for i in range(n)])
+    # The rank itself is filtered on: of rank - 1 the optimiser wouldn't see that n rows a session are enough.
+    recent = events.where(F.col("type").isin(*types)).withColumn("p", F.row_number().over(back())).where(F.col("p") <= n)
+    return recent.groupBy("session").agg(*[F.coalesce(F.max(F.when(F.col("p") == i + 1, F.col("aid"))), F.lit(-1)).alias(f"last_{i}") for i in range(n)])
 
 
 def next_pairs(events: DataFrame, steps: tuple[int, ...] = (1,)) -> DataFrame:

@@ -220,7 +220,7 @@ def suggest(events: DataFrame, seeds: DataFrame, matrices: DataFrame, spec: Vote
     if spec.seen == "keep":
         short = seen.join(sizes.where(F.col("n_all") < spec.long_from), "session")
         lists = lists.unionByName(short.select("session", "aid", F.lit(0).alias("part"), F.col("seen").alias("o")))
-    placed = lists.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("part", "o")) - 1).where(F.col("pos") < spec.top).select("session", "aid", "pos")
+    placed = lists.withColumn("pos", F.row_number().over(Window.partitionBy("session").orderBy("part", "o"))).where(F.col("pos") <= spec.top).select("session", "aid", (F.col("pos") - 1).alias("pos"))
     if popular is None:
         return placed
     placed = hold(placed)

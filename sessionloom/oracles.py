@@ -53,6 +53,8 @@ def covis(spec: CovisSpec, source: str, t_min: int, t_max: int, chunk: int = 50_
     where = [side(spec.left, "x"), side(spec.right, "y"), spec.pair]
     if spec.reach:
         where.append(f"{'y.k - x.k' if spec.ahead else 'abs(y.k - x.k)'} BETWEEN 1 AND {spec.reach}")
+    if spec.within:
+        where.append(f"y.ts - x.ts BETWEEN {1 if spec.ahead else 1 - spec.within} AND {spec.within - 1}")
     if spec.x_first:
         where.append("x.k = 1")
     if spec.y_first:

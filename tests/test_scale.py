@@ -2,13 +2,16 @@
 
 from bisect import bisect_right
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom import oracles
 from sessionloom.functions import hold
 from sessionloom.functions.stretches import cut_points, stretch
-from sessionloom.operators import features, sampling
+from sessionloom.operators import candidates, covisitation, features, sampling, sessions
+from sessionloom.sources import adapters
 
 E = "session long, aid long, ts long, type int, eid long"
 FAR = [-(2**63), 2**63 - 1]
@@ -60,3 +63,72 @@ def test_held_tables_go_with_their_block(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound|FILE_NOT_EXIST"):
         spark.read.parquet(a.inputFiles()[0]).count()
     hold.clear(spark, "of-this-test")
+
+
+def random_events(n, sessions, items, seed, span=40 * 86_400):
+    rng = np.random.default_rng(seed)
+    return [(int(rng.integers(0, sessions)), int(rng.integers(0, items)), int(t), int(rng.choice([0, 0, 1, 2])), k) for k, t in enumerate(np.sort(rng.integers(0, span // 600, n)) * 600)]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Few sessions with many events of few items, many of them at one time."""
+    rows = random_events(1500, 4, 12, 1)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v (session BIGINT, aid BIGINT, ts BIGINT, type INT, eid BIGINT)")
+    con.executemany("INSERT INTO v VALUES (?, ?, ?, ?, ?)", rows)
+    return spark.createDataFrame(rows, E).cache(), con
+
+
+@pytest.mark.parametrize("name", sorted(n for n in covisitation.SPECS if not n.endswith("_40")))
+def test_matrices_of_crowded_sessions(crowded, monkeypatch, name):
+    """Blocks of three items, and intervals shorter than sessions, against SQL over all pairs of events."""
+    monkeypatch.setattr(covisitation, "BLOCK", 3)
+    events, con = crowded
+    spec = covisitation.SPECS[name]
+    want = con.execute(f"SELECT * FROM {oracles.covis(spec, 'v', 0, 40 * 86_400, chunk=2)}").fetchall()
+    for e in (events, covisitation.prepared(events)):
+        got = covisitation.covisitation(e, spec, 0, 40 * 86_400, chunk=2)
+        assert sorted(map(tuple, got.select("aid_x", "aid_y", "wgt_e9", "rank").collect())) == sorted(want)
+
+
+def test_a_session_over_a_year_makes_few_pairs(spark):
+    """100,000 events of one session: pairs within two hours stay in proportion to them, and those within 14 days to its items."""
+    e = spark.range(100_000).selectExpr("1L AS session", "id * 7919 % 300 AS aid", "id * 315 AS ts", "CAST(id % 3 AS INT) AS type", "id AS eid")
+    near = covisitation._near_in_time(e, e, covisitation.SPECS["239"])
+    assert near.count() <= 25 * 100_000
+    buys = e.where("type <> 0")
+    made = covisitation._near_in_time(buys, buys, covisitation.SPECS["90"])
+    assert made.count() <= 3 * 27 * 300 * 300
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "to#" in plan.split("Join Inner")[1].split("\n")[0] and "bucket#" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_a_hot_session_is_paired_in_blocks(spark):
+    """One session with 4000 items beside small ones: its pairs are dealt to 64 keys of about equal size, and count once."""
+    e = spark.range(4000).selectExpr("1L AS session", "id AS aid", "id AS ts", "CAST(id % 3 AS INT) AS type", "id AS eid").unionByName(spark.range(3000).selectExpr("2 + id DIV 3 AS session", "id AS aid", "id AS ts", "0 AS type", "id AS eid"))
+    met = covisitation._in_blocks(e, e, F.expr("x.aid <> y.aid"))
+    keys = [r["count"] for r in met.where("x.session = 1").groupBy("x.bx", "x.by").count().collect()]
+    assert len(keys) == 64 and sum(keys) == 4000 * 3999 and max(keys) <= 3 * sorted(keys)[32]
+    assert met.where("x.session <> 1").count() == 1000 * 6 and met.where("x.session <> 1 AND x.bx + x.by > 0").count() == 0
+    before = covisitation._before(e.where("session = 1"), e.where("session = 1 AND aid % 100 = 0"))
+    assert before.count() == sum(range(0, 4000, 100))
+
+
+def test_cuts_to_the_best_are_limited_before_they_are_sorted(spark, sf):
+    events = adapters.visit_events(spark, sf)
+    for df in (candidates.popular(events), sessions.last_items(events)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_in_arrays(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, k, float(rng.integers(0, 400)), None if k % 7 == 0 else float("nan") if k % 11 == 0 else float(rng.choice([-0.0, 0.0, 1.5, float("-inf")]))) for s, n in ((1, 700), (2, 3), (None, 5)) for k in range(n)]
+    df = spark.createDataFrame(rows, "session long, candidates long, x double, `y.z` double")
+    got = {(r.session, r.candidates): (r.x_rank, r["y.z_rank"]) for r in features.ranks(df, ["x", "y.z"]).collect()}
+    real = lambda v: v is not None and v == v
+    for s, k, x, y in rows:
+        own = [r for r in rows if r[0] == s]
+        want = [min(255, 1 + sum(real(r[c]) and (not real(v) or r[c] > v) for r in own)) for c, v in ((2, x), (3, y))]
+        assert got[s, k] == tuple(want)
+    assert "Generate" not in features.ranks(df, ["x", "y.z"])._jdf.queryExecution().executedPlan().toString()
