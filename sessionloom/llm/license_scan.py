@@ -3,10 +3,12 @@
 All templates, passages and whole texts of licences, go into one suffix automaton whose letters are words. A file is
 streamed through it once: after each word the automaton knows the longest run
 of words, ending here, that stands in some template (the matching statistic).
-Runs of at least MIN_RUN words that stand in one template are chained where they
-stand in order, and a template is labelled where its chain covers enough of its words.
+Runs of at least MIN_RUN words that stand in one template are chained where they rise in the file and in the template,
+at most MAX_GAP words apart in the file, by dynamic programming over all of a template's runs, so a stray run of its own words breaks no chain. A template is labelled
+where its best chain covers enough of its words.
 Base phrases are templates too; they are reported wherever all of their words stand consecutively.
-So are the short forms of each licence, one-line declarations and SPDX tags: each place is a span that is covered as a whole.
+So are the short forms of each licence, one-line declarations and SPDX tags: each place is a span that is covered as a whole. What follows one by `and`, `or` or `with`,
+as in SPDX expressions, is read on: further names and tags are spans of their own, exceptions are passed over.
 
 Null and empty texts have no words and no labels. Words that stand in no template
 break every run, so only runs of known words are walked, and of these none that is shorter than any phrase. Rows that repeat are scanned each.
@@ -14,6 +16,7 @@ break every run, so only runs of known words are walked, and of these none that
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import cache
 from itertools import repeat
 
@@ -33,6 +36,7 @@ TEMPLATES = {
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
+    "agpl-3.0": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3",
     "lgpl-notice": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
@@ -52,6 +56,7 @@ NAMES = {
     ),
     "isc": (("isc license", "isc licence"), ("isc",)),
     "gpl-notice": (("gnu general public license", "gnu gpl", "gpl", "gplv2"), ("gpl 2 0",)),
+    "agpl-3.0": (("gnu affero general public license", "affero general public license", "gnu agpl", "agpl", "agplv3"), ("agpl 1 0", "agpl 3 0")),
     "lgpl-notice": (("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl", "lgplv2 1", "lgplv3"), ("lgpl 2 0", "lgpl 2 1", "lgpl 3 0")),
     "mpl-2.0": (("mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"), ("mpl 2 0",)),
     "unlicense": (("unlicense",), ("unlicense",)),
@@ -59,14 +64,20 @@ NAMES = {
     "cc-by-notice": (("creative commons attribution",), ("cc by 1 0", "cc by 2 0", "cc by 2 5", "cc by 3 0")),
     "gpl-3.0-notice": (("gnu general public license version 3", "gnu general public license v3", "gnu general public license 3 0", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl v3", "gpl 3 0", "gplv3"), ("gpl 3 0",)),
     "cc-by-4.0": (("cc by 4 0", "creative commons attribution 4 0"), ("cc by 4 0",)),
+    "zlib": (("zlib license", "zlib licence", "zlib libpng license"), ("zlib",)),
+    "bsl-1.0": (("boost software license", "boost software license version 1 0", "boost software license 1 0", "boost license"), ("bsl 1 0",)),
 }
 _LEADS = ("under", "under the", "under a", "under an", "under the terms of", "under the terms of the")
 #: Short forms and their labels. "license mit" is left to the SPDX tag: "mit" is a German word.
 SHORT = {f"{lead} {name}": label for label, (names, _) in NAMES.items() for name in names for lead in _LEADS}
 SHORT |= {f"spdx license identifier {tag}": label for label, (_, tags) in NAMES.items() for tag in tags}
-SHORT |= {f"{lead} {tag}": label for label, (_, tags) in NAMES.items() for tag in tags if tag != "mit" for lead in ("license", "licence")}
+SHORT |= {f"{lead} {tag}": label for label, (_, tags) in NAMES.items() for tag in tags if tag not in ("mit", "zlib") for lead in ("license", "licence")}
 SHORT |= {f"license {name}": label for label, (names, _) in NAMES.items() for name in names if len(name.split()) > 1}
 SHORT |= {"mit licensed": "mit", "bsd licensed": "bsd", "isc licensed": "isc", "apache 2 0 licensed": "apache-2.0", "the unlicense": "unlicense"}
+#: Names and tags as tuples of words, the longest first, that may go on after `and`, `or` and `with`; the bare tag only in SPDX expressions.
+_NAMED = {tuple(n.encode().split()): label for label, (names, _) in NAMES.items() for n in names}
+_TAGGED = {tuple(t.encode().split()): label for label, (_, tags) in NAMES.items() for t in tags}
+_LONGEST = max(map(len, [*_NAMED, *_TAGGED]))
 MIN_RUN = 3
 MIN_COVER = 0.75
 MAX_GAP = 12
@@ -78,6 +89,75 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ") if text else []
 
 
+def chains(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(words covered, first word, end word) of the best chain that ends with each of places(end, start, end in the template), which are sorted.
+
+    A run goes on from one that ends no later in the file, earlier in the template, and at most MAX_GAP words before it; it covers what is new in both.
+    """
+    best: list[tuple[int, int]] = []
+    for k, (end, start, at) in enumerate(places):
+        top = end - start, start
+        for j in range(k - 1, -1, -1):
+            e, _, to = places[j]
+            if e < start - MAX_GAP:
+                break
+            if to < at:
+                top = max(top, (best[j][0] + min(end - max(start, e), at - to), best[j][1]))
+        best.append(top)
+    return [(covered, first, end) for (covered, first), (end, _, _) in zip(best, places, strict=True)]
+
+
+def continued(got: list[bytes], lines: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Further (first word, end word, label): names that go on after a short form by `and`, `or` or `with`, and all licences of an SPDX expression.
+
+    An expression begins after `spdx license identifier` even if its first licence is not known; of a known one `only` and `or later` are passed over.
+    """
+    def at(k: int, spdx: bool) -> tuple[int, str] | None:
+        for n in range(min(_LONGEST, len(got) - k), 0, -1):
+            label = _NAMED.get(key := tuple(got[k : k + n])) or (_TAGGED.get(key) if spdx else None)
+            if label:
+                return k + n, label
+        return None
+
+    def after(k: int) -> int:
+        """Behind `only`, `or later` and `plus`."""
+        while k < len(got) and (got[k] in (b"only", b"plus") or got[k : k + 2] == [b"or", b"later"]):
+            k += 1 + (got[k] == b"or")
+        return k
+
+    out, spdx = [], [k + 3 for k, w in enumerate(got[:-3]) if w == b"spdx" and got[k + 1 : k + 3] == [b"license", b"identifier"]]
+    reach = 0
+    for begin, tags in sorted([(k, True) for k in spdx] + [(e, False) for _, e, _ in lines if not any(s <= e <= s + _LONGEST for s in spdx)]):
+        if begin < reach:
+            continue
+        k = begin
+        if tags:
+            found = at(k, True)
+            if found:
+                out.append((k, *found))
+                k = found[0]
+            else:  # not known: up to the next connective, which must come soon
+                k = next((j for j in range(k + 1, min(k + _LONGEST, len(got))) if got[j] in (b"and", b"or", b"with")), len(got))
+        k = after(k)
+        while k + 1 < len(got) and got[k] in (b"and", b"or", b"with"):
+            if got[k] == b"with":  # an exception: up to its name's end and version
+                e = next((j for j in range(k + 1, min(k + 8, len(got))) if got[j] == b"exception"), None)
+                if e is None:
+                    break
+                k = e + 1
+                while k < len(got) and got[k].isdigit():
+                    k += 1
+                continue
+            n = k + 1 + (not tags and got[k + 1] == b"the")
+            found = at(n, tags) if n < len(got) else None
+            if not found:
+                break
+            out.append((n, *found))
+            k = after(found[0])
+        reach = k
+    return out
+
+
 class Scanner:
     """The automaton with, for each state, the templates that hold its string and where it ends in them."""
 
@@ -146,29 +226,24 @@ class Scanner:
             runs.append((offset + len(ids) - length, offset + len(ids), state))
 
     def spans(self, runs: list) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end word, share covered): runs chained in template order, at most MAX_GAP words apart in the file."""
-        open_: dict[int, list] = {}
-        out = []
-
-        def close(t: int) -> None:
-            start, end, _, covered = open_.pop(t)
-            out.append((t, start, end, covered / self.sizes[t]))
-
+        """(template, first word, end word, share covered): each template's best chain of runs, and its further ones that cover MIN_COVER and lie apart from those."""
+        by: dict[int, list[tuple[int, int, int]]] = {}
         for start, end, state in runs:
-            for t in sorted({t for t, _ in self.ends[state] if t >= self.n_base}):
-                where = [at + 1 for u, at in self.ends[state] if u == t]
-                now = open_.get(t)
-                if now:
-                    later = [e for e in where if e > now[2]]
-                    if later and start - now[1] <= MAX_GAP:
-                        e = later[0]
-                        now[3] += min(end - max(start, now[1]), e - now[2])
-                        now[1], now[2] = end, e
-                        continue
-                    close(t)
-                open_[t] = [start, end, where[0], end - start]
-        for t in list(open_):
-            close(t)
+            for t, at in self.ends[state]:
+                if t >= self.n_base:
+                    by.setdefault(t, []).append((end, start, at + 1))
+        out = []
+        for t, places in by.items():
+            places.sort()
+            taken: list[tuple[int, int]] = []
+            for covered, first, end in sorted(chains(places), key=lambda c: (-c[0], -c[1], c[2])):
+                if taken and covered < MIN_COVER * self.sizes[t]:
+                    break
+                k = bisect_left(taken, (end, 0))
+                if k and taken[k - 1][1] > first:
+                    continue
+                taken.insert(k, (first, end))
+                out.append((t, first, end, covered / self.sizes[t]))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     def longest(self, text: str | None) -> list[tuple[int, int, str]]:
@@ -185,11 +260,14 @@ class Scanner:
         n, places, runs = self.scan(text)
         spans = self.spans(runs) if runs else []
         lines = short.longest(text)
+        if lines or (text and "spdx" in text.lower()):
+            lines = sorted({*lines, *continued([w for w in words(text) if w], lines)})
         starts = [s for s, _ in places]
         base = {self.labels[t] for _, t in places}
         enough = [x for x in spans if x[3] >= MIN_COVER]
-        # Licences share passages: what lies in a place that another one covers better is not its own.
-        enough = [x for x in enough if not any(y[1] <= x[1] and y[2] >= x[2] and y[3] > x[3] for y in enough)]
+        # Licences share passages: what lies in a place that another one covers better, or as well with more words, is not its own.
+        good = lambda x: (round(x[3], 9), x[3] * self.sizes[x[0]])
+        enough = [x for x in enough if not any(y[1] <= x[1] and y[2] >= x[2] and y[0] != x[0] and good(y) > good(x) for y in enough)]
         found = [(self.labels[t], s, e, c) for t, s, e, c in enough]
         found = sorted(found + [(label, s, e, 1.0) for s, e, label in lines], key=lambda x: x[1])
         score = 1.0 if places or lines else min(1.0, max((c for *_, c in spans), default=0.0))

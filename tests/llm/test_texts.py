@@ -255,6 +255,7 @@ ONE_LINE = {
     "bsd": ["Distributed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "isc": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC"],
     "gpl-notice": ["Licensed under the GNU General Public License.", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "agpl-3.0": ["Licensed under the GNU Affero General Public License v3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
     "lgpl-notice": ["Licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mpl-2.0": ["Licensed under the Mozilla Public License, Version 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "unlicense": ["Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
@@ -302,6 +303,58 @@ def naive_runs(text, templates):
     return [(i, e) for i, e in enumerate(ends) if e - i >= license_scan.MIN_RUN and (i == 0 or ends[i - 1] < e)]
 
 
+def best_chain(places, last=None):
+    """By trying every chain."""
+    best = 0
+    for end, start, at in places:
+        if last is None:
+            best = max(best, end - start + best_chain(places, (end, start, at)))
+        elif (end, start, at) != last and end >= last[0] and at > last[2] and start - last[0] <= license_scan.MAX_GAP:
+            best = max(best, min(end - max(start, last[0]), at - last[2]) + best_chain(places, (end, start, at)))
+    return best
+
+
+@pytest.mark.parametrize("at", range(5, 45, 5))
+@pytest.mark.parametrize("stray", ["the software without restriction", "copies of the software", "permission is hereby granted free of charge"])
+def test_stray_runs_break_no_licence(at, stray):
+    """Words of its own, at another place than their own, in the middle of the notice; several copies are several spans."""
+    w = license_scan.TEMPLATES["mit"].split()
+    text = " ".join([*w[:at], stray, *w[at:]])
+    scanner, short = license_scan._scanner(tuple(license_scan.BASE.items()), tuple(license_scan.TEMPLATES.items())), license_scan._scanner(tuple(license_scan.SHORT.items()), ())
+    *_, labels, score, spans = scanner.report(text, short)
+    assert "mit" in labels.split(",") and score >= 0.9
+    *_, spans = scanner.report(" ".join([text, "and more " * 20, text, text]), short)
+    assert [label for label, *_ in spans].count("mit") == 3
+
+
+EXPRESSIONS = {
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND (BSD-3-Clause OR Zlib)": "bsd,gpl-notice,zlib",
+    "SPDX-License-Identifier: LGPL-2.1-or-later OR MPL-2.0": "lgpl-notice,mpl-2.0",
+    "SPDX-License-Identifier: Foo-1.0 OR BSL-1.0": "bsl-1.0",
+    "SPDX-License-Identifier: ISC": "isc",
+    "// SPDX-License-Identifier: AGPL-3.0-or-later\n// some MIT like text": "agpl-3.0",
+    "Licensed under the Apache License 2.0 and MIT license.": "apache-2.0,mit",
+    "Released under the MIT License or the Boost Software License, as you like": "bsl-1.0,mit",
+    "Released under the MIT License and with love": "mit",
+    "SPDX-License-Identifier:": "",
+    "spdx license identifier with or and": "",
+}
+
+
+def test_spdx_expressions(spark):
+    texts = list(EXPRESSIONS)
+    got = {texts[r.doc_id]: r.labels for r in license_scan.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == EXPRESSIONS
+    assert {label for label in license_scan.WHOLE if label not in ("bsd-2-clause", "bsd-3-clause", "gpl-3.0-notice")} <= set(license_scan._TAGGED.values())
+
+
+def test_an_affero_notice_is_no_plain_one(spark):
+    texts = [license_scan.TEMPLATES["agpl-3.0"], license_scan.TEMPLATES["gpl-notice"]]
+    got = [set(r.labels.split(",")) for r in license_scan.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert "agpl-3.0" in got[0] and "gpl-notice" not in got[0] and "gpl-notice" in got[1] and "agpl-3.0" not in got[1]
+
+
 def test_runs_against_every_stretch():
     templates = ["a b c d e f", "c d e a b", "x a b c y", "d d d d"]
     scanner = license_scan.Scanner({}, [(t, t) for t in templates])
@@ -311,7 +364,10 @@ def test_runs_against_every_stretch():
         text = " ".join(rng.choice(list("aabbccddefxyz?"), rng.integers(0, 25)))
         _, _, runs = scanner.scan(text)
         assert [(s, e) for s, e, _ in runs] == naive_runs(text, split), text
-        for t, start, end, cover in scanner.spans(runs):
+        spans = scanner.spans(runs)
+        for t in {t for _, _, s in runs for t, _ in scanner.ends[s]}:
+            assert round(max(c for u, _, _, c in spans if u == t) * len(split[t])) == best_chain([(e, s, at + 1) for s, e, state in runs for u, at in scanner.ends[state] if u == t])
+        for t, start, end, cover in spans:
             assert 0 < cover <= 1 and end - start <= len(text.split())
             # Words covered are in order in the template, so no more than the longest common subsequence.
             a, b = split[t], [w for w in license_scan.words(text) if w][start:end]
