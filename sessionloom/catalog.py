@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom import oracles as o
-from sessionloom.functions.hold import held
+from sessionloom.functions.hold import fresh_dir, held
 from sessionloom.operators import candidates, evaluation, features, models, sampling, sessions, voting
 from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge, prepared
 from sessionloom.plans import recommender
+from sessionloom.plans import refreshed as refreshed_
 from sessionloom.sources import adapters
 
 T_MIN, T_MAX = 1_704_067_200, 1_706_659_200
@@ -317,6 +318,23 @@ query("popularity_day", f"WITH {o.V}, p AS ({DAY_}) SELECT aid, type, day, {r('p
 query("popularity_hour", f"WITH {o.V}, p AS ({HOUR}) SELECT aid, type, hour, {r('popularity_hour', 'popularity_hour')} FROM p")(lambda s, d: rounded(features.popularity_hour(visits(s, d))))
 
 
+def refreshed(spark, d) -> refreshed_.Store:
+    """Hourly counts in a store that was filled from four fifths of the sessions; then one of these went and the last fifth came."""
+    events, root = sessions_held(spark, d), fresh_dir(spark, "refreshed")
+    for k in range(5):
+        events.where(F.pmod("session", F.lit(5)) == k).write.parquet(f"{root}/in/{k}")
+    of = refreshed_.Sums(lambda e: features.with_hours(e, T_MIN), ("aid", "type", "day", "hour"), ("n",))
+    store = refreshed_.Store(spark, f"{root}/store", of)
+    store.refresh([f"{root}/in/{k}" for k in (0, 1, 2, 3)])
+    store.refresh([f"{root}/in/{k}" for k in (0, 2, 3, 4)])
+    return store
+
+
+FOUR = "four AS (SELECT * FROM v WHERE (session % 5 + 5) % 5 <> 1)"
+query("popularity_refreshed", f"WITH {o.V}, {FOUR}, p AS ({WEEK.replace('FROM v', 'FROM four')}) SELECT aid, type, {r('popularity_week', 'popularity_week')} FROM p")(lambda s, d: rounded(features.popularity_week(refreshed(s, d).total())))
+query("popularity_hour_refreshed", f"WITH {o.V}, {FOUR}, p AS ({HOUR.replace('FROM v', 'FROM four')}) SELECT aid, type, hour, {r('popularity_hour', 'popularity_hour')} FROM p")(lambda s, d: rounded(features.popularity_hour(refreshed(s, d).total())))
+
+
 def pop_sql() -> str:
     cols = []
     for k, c in enumerate(candidates.CLASSES):

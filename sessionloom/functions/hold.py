@@ -43,6 +43,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if it isn't there."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
 @contextmanager
 def scratch():
     """Tables held inside go when the block ends, but for those that the block passes to keep()."""

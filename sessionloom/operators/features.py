@@ -83,9 +83,20 @@ def _shares(rows: DataFrame, keys: list[str], value: str, times: int) -> DataFra
     return rows.join(totals, keys).withColumn("share", F.col(value) * times / F.col("total"))
 
 
+def with_hours(events: DataFrame, t0: int, shift: int = 7200) -> DataFrame:
+    """events with what popularity counts by: `n` (1), the local `day` since t0 and the local `hour`."""
+    local = F.col("ts") + shift
+    return events.withColumns({"n": F.lit(1).cast("long"), "day": _day(F.col("ts"), t0, shift), "hour": local - local % 3600})
+
+
+def _counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of n by keys; of events, which have none, their number."""
+    return rows.groupBy(*keys).agg((F.sum("n") if "n" in rows.columns else F.count("*")).alias("n"))
+
+
 def popularity_week(events: DataFrame) -> DataFrame:
-    """(aid, type, popularity_week): share of the type's events, times 10,000."""
-    n = events.groupBy("aid", "type").agg(F.count("*").alias("n"))
+    """(aid, type, popularity_week): share of the type's events, times 10,000. Events, or sums n of them by with_hours()."""
+    n = _counts(events, "aid", "type")
     return _shares(n, ["type"], "n", 10_000).select("aid", "type", F.col("share").alias("popularity_week"))
 
 
@@ -95,14 +106,13 @@ def _day(ts: Column, t0: int, shift: int) -> Column:
 
 def popularity_day(events: DataFrame, t0: int, shift: int = 7200) -> DataFrame:
     """(aid, type, day, popularity_day): share of the day's events of the type, times 10,000; days are local, shift seconds ahead."""
-    n = events.groupBy("aid", "type", _day(F.col("ts"), t0, shift).alias("day")).agg(F.count("*").alias("n"))
+    n = _counts(events if "day" in events.columns else with_hours(events, t0, shift), "aid", "type", "day")
     return _shares(n, ["type", "day"], "n", 10_000).select("aid", "type", "day", F.col("share").alias("popularity_day"))
 
 
 def popularity_hour(events: DataFrame, shift: int = 7200) -> DataFrame:
     """(aid, type, hour, popularity_hour): events of the hour and its neighbours, at hours with events only, as share of all such sums, times 100."""
-    local = F.col("ts") + shift
-    n = events.groupBy("aid", "type", (local - local % 3600).alias("hour")).agg(F.count("*").alias("n"))
+    n = _counts(events if "hour" in events.columns else with_hours(events, 0, shift), "aid", "type", "hour")
     around = Window.partitionBy("aid", "type").orderBy("hour").rangeBetween(-3600, 3600)
     rolled = n.withColumn("r", F.sum("n").over(around))
     return _shares(rolled, ["type", "hour"], "r", 100).select("aid", "type", "hour", F.col("share").alias("popularity_hour"))
