@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import oracles as o
 from sessionloom.functions.hold import fresh_dir, held
-from sessionloom.operators import candidates, evaluation, features, models, sampling, sessions, voting
+from sessionloom.operators import candidates, embeddings, evaluation, features, models, sampling, sessions, voting
 from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge, prepared
 from sessionloom.plans import recommender
 from sessionloom.plans import refreshed as refreshed_
@@ -513,10 +513,22 @@ query("pad_popular", f"{B_CLASS} SELECT session, type, preds FROM pad")(lambda s
 query("submission", f"{B_CLASS} SELECT session || '_' || type AS session_type, preds AS labels FROM pad")(lambda s, d: evaluation.submission(padded(s, d)))
 query("parse_submission", f"{B_CLASS} SELECT session, type, preds FROM pad")(lambda s, d: evaluation.parse_submission(evaluation.submission(padded(s, d))).withColumn("preds", text(F.col("preds"))))
 
-# Models: trained here, so no SQL twin
+# Models: trained here, so no SQL twin but for what they are trained on
+
+query(
+    "shifted_pmi",
+    f"""WITH {o.V}, k AS (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY ts, eid) AS k FROM v), c AS (SELECT aid, count(*) AS c FROM v GROUP BY aid),
+ s AS (SELECT aid, 0.001::DOUBLE * (SELECT count(*) FROM v) / c AS x FROM c), kept AS (SELECT aid, least(1::DOUBLE, sqrt(x) + x) AS p FROM s),
+ n AS (SELECT x.aid AS a, y.aid AS b, count(*) * any_value(p.p) * any_value(q.p) AS n FROM k x JOIN k y ON x.session = y.session AND abs(x.k - y.k) BETWEEN 1 AND 3 JOIN kept p ON p.aid = x.aid JOIN kept q ON q.aid = y.aid GROUP BY ALL),
+ t AS (SELECT a, sum(n) AS na FROM n GROUP BY a), r AS (SELECT n.a, n.b, ln(n * (SELECT sum(na) FROM t) / t.na / u.na) - ln(1::DOUBLE) AS v FROM n JOIN t ON t.a = n.a JOIN t u ON u.a = n.b)
+ SELECT a, b, {r('v', 'v')} FROM r WHERE v > 0""",
+)(lambda s, d: rounded(embeddings.shifted_pmi(sessions_held(s, d), negatives=1), keys=("a", "b")))
 
 
 query("mf_train")(lambda s, d: models.item_factors(visits(s, d)))
+query("mf_pairs_train")(lambda s, d: embeddings.next_item_factors(sessions.next_pairs(visits(s, d)).select("aid", "aid_next")))
+# The tables draw items almost independently, so that five negatives leave no entry; with one there are some.
+query("skip_gram_train")(lambda s, d: embeddings.skip_gram_vectors(sessions_held(s, d), negatives=1))
 query("w2v_train")(lambda s, d: models.item_vectors(visits(s, d)))
 
 

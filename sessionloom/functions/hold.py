@@ -81,6 +81,12 @@ def held(df: DataFrame, name: str = "held", part: str = "held") -> DataFrame:
     return _write(df, name, part, 1)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a held table that nothing reads any more, before its block ends."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        delete_path(df.sparkSession, path)
+
+
 def keep(df: DataFrame, name: str = "kept", part: str = "held") -> DataFrame:
     """The result of a scratch() block, as a table that outlives it but belongs to the next scratch() around, if there is one."""
     return _write(df, name, part, 2)
