@@ -40,7 +40,7 @@ class LibraryTokenizer:
     (see bpe.Cutter), its model on each distinct piece. None of them looks across white space, so the ids are those of whole texts.
     """
 
-    def __init__(self, spec: str, held: int = 100_000):
+    def __init__(self, spec: str, held: int = 300_000):
         from tokenizers import Tokenizer
 
         self.cutter = Cutter(spec)
@@ -65,7 +65,10 @@ class LibraryTokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        return self.added.get(chunk) or b"".join([self.pieces[p] for p in self.cutter.pieces(chunk)])
+        if chunk in self.added:
+            return self.added[chunk]
+        got = self.cutter.pieces(chunk)
+        return self.pieces[got[0]] if len(got) == 1 else b"".join([self.pieces[p] for p in got])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian uint32."""
