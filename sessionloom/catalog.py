@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import oracles as o
 from sessionloom.functions.hold import fresh_dir, held
-from sessionloom.operators import candidates, embeddings, evaluation, features, models, sampling, sessions, voting
+from sessionloom.operators import boosting, candidates, embeddings, evaluation, features, models, sampling, sessions, voting
 from sessionloom.operators.covisitation import SPECS, adjacency, covisitation, merge, prepared
 from sessionloom.plans import recommender
 from sessionloom.plans import refreshed as refreshed_
@@ -473,6 +473,19 @@ def weighted_cv(spark, d):
     return rounded(evaluation.weighted_recall(official_scores(spark, d)))
 
 
+AUC_SQL = """x AS (SELECT h.g, gt, least(floor(pred / (pred + 1e9::DOUBLE) * 65536), 65535) AS b FROM (SELECT sc.*, gt_clicks, gt_carts, gt_orders FROM sc JOIN lab USING (session, candidates)) UNPIVOT (gt FOR g IN (gt_clicks, gt_carts, gt_orders)) h),
+ n AS (SELECT g, b, count(*) FILTER (WHERE gt = 1) AS p, count(*) FILTER (WHERE gt <> 1) AS n FROM x GROUP BY ALL), l AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY g ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM n)"""
+
+
+@query("auc_by_class", f"{C_KEPT}, {HITS}, lab AS (SELECT session, candidates, {GT} FROM c), {scored_sql('ty', 'sc')}, {AUC_SQL} SELECT g AS target, {r('sum(p::DOUBLE * (less + n / 2)) / (sum(p)::DOUBLE * sum(n))', 'auc')} FROM l GROUP BY g")
+def auc_by_class(spark, d):
+    """How well the plain score tells each class's candidates from the others."""
+    k = Kept(spark, d)
+    rows = scored(k).join(candidates.labelled(k.pairs, k.truth), ["session", "candidates"])
+    long = rows.select((F.col("pred") / (F.col("pred") + F.lit(1e9))).alias("pred"), F.inline(F.array(*[F.struct(F.lit(f"gt_{c}").alias("target"), F.col(f"gt_{c}").alias("gt")) for c in candidates.CLASSES])))
+    return rounded(boosting.auc(long, "gt", keys=("target",)))
+
+
 B_SQL = f"{C_KEPT}, {scored_sql('ty', 'sc')}, {scored_sql('mt', 's2')}, b AS (SELECT session, candidates, sum(pred) AS pred FROM (SELECT session, candidates, pred * 0.75::DOUBLE AS pred FROM sc UNION ALL SELECT session, candidates, pred * 0.25::DOUBLE FROM s2) GROUP BY ALL)"
 
 
@@ -541,4 +554,16 @@ def trained(spark, d):
 RANKER = [*WEIGHTS, "candidate_all_before"]
 query("gbt_scores")(lambda s, d: models.cross_fit(trained(s, d), "gt_clicks", RANKER, 2, rounds=3, depth=3)[0])
 query("gbt_importance")(lambda s, d: models.cross_fit(trained(s, d), "gt_clicks", RANKER, 2, rounds=3, depth=3)[1])
+query("feature_codes")(lambda s, d: (lambda rows: boosting.coded(rows, boosting.code_cuts(rows, RANKER)))(trained(s, d)))
+
+
+@query("boosted_rounds")
+def boosted_rounds(spark, d):
+    """(round, auc): the held-out AUC after each round, trained on byte codes until it rises no more."""
+    rows = trained(spark, d)
+    rows = held(boosting.coded(rows, boosting.code_cuts(rows, RANKER)), "codes")
+    history = boosting.boosted(rows, "gt_clicks", RANKER, rounds=6, patience=3, depth=4).history
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(history, 1)], "round int, auc double")
+
+
 query("gbt_tuned")(lambda s, d: models.tune_ranker(trained(s, d), "gt_clicks", RANKER, depths=(2, 3), rounds=(2, 4)))

@@ -21,11 +21,11 @@ def cut_points(rows: DataFrame, key: str, n: int = 1024) -> list[int]:
     return sorted(set(got or []))
 
 
-def stretch(value: Column, cuts: list[int]) -> Column:
+def stretch(value: Column, cuts: list, kind: str = "long") -> Column:
     """How many of the cuts are at most the value, by binary search; null for null."""
     if not cuts:
         return F.when(value.isNotNull(), 0)
-    at = F.array(*[F.lit(c).cast("long") for c in cuts])
+    at = F.array(*[F.lit(c).cast(kind) for c in cuts])
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
     found = F.aggregate(steps, F.lit(0), lambda low, step: F.when((low + step <= len(cuts)) & (F.get(at, low + step - 1) <= value), low + step).otherwise(low))
     return F.when(value.isNotNull(), found)
