@@ -5,7 +5,8 @@ every non-letter as a blank, square-rooted counts scaled to length one. Family
 classifiers are one-versus-one as well; `FAMILIES` names known families and any
 other label is a family of its own. Training uses a bounded sample,
 `max_per_lang` documents of each language (those with the smallest hash of
-their id), which is the one bound in this module; predictions read whole texts.
+their id), which is the one bound in this module; predictions read whole texts. Whole texts stay on the executors: the driver gets the sample's features. The model has
+32 KB for each two languages of a family and each two families; it is sent to the workers, at most 650 MB where max_langs labels are all unknown, each a family of its own.
 
 Texts that are null or have no letter get UNDETERMINED and score 0. Without any
 labelled text everything is UNDETERMINED; with one language, everything with a
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import unused, workers_find_package
+from sessionloom.llm.common import parts, unused, workers_find_package
 
 UNDETERMINED = "und"
 BITS = 13
@@ -132,7 +133,12 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    rows = [(v, lang) for t, lang in zip(texts, langs, strict=True) if (v := features(t)) is not None]
+    return fit_vectors([features(t) for t in texts], langs)
+
+
+def fit_vectors(vectors: list[np.ndarray | None], langs: list[str]) -> Model:
+    """The model of features(); None is left out."""
+    rows = [(v, lang) for v, lang in zip(vectors, langs, strict=True) if v is not None]
     model = Model(sorted({lang for _, lang in rows}))
     if not model.langs:
         return model
@@ -177,8 +183,30 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = F.when(lang == r.lang, F.lit(int(min(1.0, 1.3 * each / r["count"]) * 1_000_000_007))).otherwise(cut)
     # Rows that are the same count once, so the sample stays near its bound whatever repeats.
     rows = documents.where(usable & text.isNotNull() & (rank < cut)).select(rank.alias("r"), lang.alias("lang"), text.alias("text")).dropDuplicates(["lang", "r"])
-    pdf = rows.toPandas().sort_values(["lang", "r", "text"]).groupby("lang").head(each)
-    return fit(pdf["text"].tolist(), pdf["lang"].tolist())
+    # Features are made where the texts are; what comes to the driver is their parts that aren't 0, at most 6 * 2 ** BITS bytes for each of about max_texts rows.
+    workers_find_package(documents.sparkSession)
+    pdf = rows.mapInArrow(_sparse, "r long, lang string, at binary, value binary").toPandas().sort_values(["lang", "r"]).groupby("lang").head(each)
+    return fit_vectors([_dense(a, v) for a, v in zip(pdf["at"], pdf["value"], strict=True)], pdf["lang"].tolist())
+
+
+def _sparse(batches):
+    """(r, lang, at, value) of (r, lang, text): where the features aren't 0, and what they are there; null without a letter."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for part in parts(batch, 2):
+            found = [features(t) for t in part.column(2).to_pylist()]
+            at = [None if v is None else np.flatnonzero(v).astype("<u2") for v in found]
+            value = [None if v is None else v[a].astype("<f4").tobytes() for v, a in zip(found, at, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([None if a is None else a.tobytes() for a in at], pa.binary()), pa.array(value, pa.binary())], names=["r", "lang", "at", "value"])
+
+
+def _dense(at: bytes | None, value: bytes | None) -> np.ndarray | None:
+    if at is None or value is None:
+        return None
+    x = np.zeros(1 << BITS, np.float32)
+    x[np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
+    return x
 
 
 def _verdict(spark, model: Model):

@@ -49,7 +49,8 @@ def _fill(nodes: DataFrame, parents: list[str]) -> DataFrame:
     the start of a step, its peak is in that step or the one before.
     """
     ratio = F.col("cap") / F.col("w")
-    some = nodes.withColumns({"ratio": ratio, "step": F.floor(F.log2(ratio + 1) * STEPS).cast("int")})
+    # Used three times, and by the level below again: a table, or plans would grow threefold with each level.
+    some = written(nodes.withColumns({"ratio": ratio, "step": F.floor(F.log2(ratio + 1) * STEPS).cast("int")}), "level")
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     group = Window.partitionBy(*(parents or [F.lit(0)]))
     steps = some.groupBy(*parents, "step").agg(F.sum("cap").alias("c"), F.sum("w").alias("s"), F.max("budget").alias("budget"))
@@ -122,7 +123,7 @@ def mix(
 
 def _verdict(light: DataFrame, weights: dict[str, dict[str, int]], share: float, max_epochs: int, seed: int) -> DataFrame:
     """(*LEVELS, full, cut) of each leaf in light(*LEVELS, id, __tokens): its whole epochs, and the last key that one more takes (null: none)."""
-    leaves = light.groupBy(*LEVELS).agg(F.sum("__tokens").alias("n"))
+    leaves = written(light.groupBy(*LEVELS).agg(F.sum("__tokens").alias("n")), "leaves")
     plan = written(
         budgets(leaves, weights, share, max_epochs).withColumns(
             {"full": F.when(F.col("n") > 0, F.floor(F.col("target") / F.greatest("n", F.lit(1)))).otherwise(0).cast("long")}

@@ -190,12 +190,12 @@ def test_language_sample_is_bounded(spark):
     rows = [(0, f"word{i} the cat", "en") for i in range(3000)] + [(0, "the same", "en")] * 3000 + [(i, f"bla {i} x", f"l{i % 300}") for i in range(1, 900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     seen = []
-    original = langid.fit
-    langid.fit = lambda texts, langs: seen.append((texts, langs)) or original(texts, langs)
+    original = langid.fit_vectors
+    langid.fit_vectors = lambda texts, langs: seen.append((texts, langs)) or original(texts, langs)
     try:
         model = langid.train(df, max_per_lang=20, max_langs=7, max_texts=100)
     finally:
-        langid.fit = original
+        langid.fit_vectors = original
     texts, langs = seen[0]
     assert len(texts) <= 100 and len(set(langs)) <= 7 and "en" in langs and len(model.langs) <= 7
 
@@ -660,3 +660,18 @@ def test_whole_pieces_are_what_the_automaton_finds():
         assert direct == [own.piece.make(p) for p in some]
     finally:
         own.whole = whole
+
+
+def test_training_takes_features_of_whole_texts_from_the_executors(spark, sf, monkeypatch):
+    """The same model as from the texts on the driver; a very long text, and one without any letter."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    more = spark.createDataFrame([(10_001, "word and " * 100_000, "en"), (10_002, "12 34 !", "en"), (10_003, "x" * 10, "qq")], docs.schema)
+    docs = docs.unionByName(more)
+    seen = {}
+    monkeypatch.setattr(langid, "fit_vectors", lambda v, langs, f=langid.fit_vectors: seen.update(n=len(v), langs=langs, v=v) or f(v, langs))
+    model = langid.train(docs)
+    rows = docs.where((langid.bucket("doc_id") != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang").distinct().collect()
+    assert seen["n"] == len(rows) and Counter(seen["langs"]) == Counter(r.lang for r in rows)
+    key = lambda v: b"" if v is None else v.tobytes()
+    assert sorted(map(key, seen["v"])) == sorted(key(langid.features(r.text)) for r in rows)
+    assert model.langs == sorted({r.lang for r in rows if langid.features(r.text) is not None})
