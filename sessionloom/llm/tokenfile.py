@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.bpe import Cutter, chunks
-from sessionloom.llm.common import Held, arrow_schema, delete_path, fresh_dir, parts, workers_find_package
+from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, parts, workers_find_package
 
 IDS_A_BLOCK = 400_000
+#: Longer chunks and pieces aren't held, so what a worker holds is bounded in bytes.
+LONGEST = 64
 MAGIC = b"FRSV"
 
 
@@ -49,8 +51,7 @@ class LibraryTokenizer:
         added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
         self.added = {t: struct.pack("<I", i) for t, i in added.items()}
         self._added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-        self.known = Held(self._chunk, held)
-        self.pieces = Held(self._piece, held)
+        self.held, self.known, self.older, self.pieces = held, {}, {}, {}
 
     def cut(self, text: str | None) -> list[str]:
         """Chunks and added tokens. ASCII texts are lower-cased here, as the library does."""
@@ -60,19 +61,34 @@ class LibraryTokenizer:
             return [c for part in self._added.split(text) for c in ([part] if part in self.added else chunks(part))]
         return chunks(text.lower() if text.isascii() else text)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk in self.added:
-            return self.added[chunk]
-        got = self.cutter.pieces(chunk)
-        return self.pieces[got[0]] if len(got) == 1 else b"".join([self.pieces[p] for p in got])
-
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian uint32."""
-        return b"".join(map(self.known.__getitem__, self.cut(text)))
+        """Ids of a text as little-endian uint32. Chunks that aren't held are taken apart here, each once for the text: a call for each would cost as much again."""
+        cut, known, older, pieces = self.cut(text), self.known, self.older, self.pieces
+        find, tokens = self.cutter.pieces, self.model.tokenize
+        new: dict[str, bytes] = {}
+        for c in set(cut).difference(known):
+            got = older.get(c) or self.added.get(c)
+            if got is None:
+                out = []
+                for p in find(c):
+                    ids = pieces.get(p)
+                    if ids is None:
+                        found = [t.id for t in tokens(p)]
+                        ids = struct.pack(f"<{len(found)}I", *found)
+                        if len(p) <= LONGEST:
+                            pieces[p] = ids
+                    out.append(ids)
+                got = b"".join(out)
+            new[c] = got
+        if new:
+            if len(pieces) > self.held:
+                pieces.clear()
+            out = b"".join([new[c] if c in new else known[c] for c in cut])
+            if len(known) + len(new) > self.held:
+                self.older, self.known = known, {}
+            self.known.update((c, v) for c, v in new.items() if len(c) <= LONGEST)
+            return out
+        return b"".join(map(known.__getitem__, cut))
 
 
 @cache

@@ -647,8 +647,11 @@ def test_caches_hold_no_long_keys(spark):
     for k in range(7):
         text = f"{k}" + "ab" * 500_000
         assert len(own.encode_bytes(text)[0]) // 4 == len(lib.encode(text)) // 4
-    for held in (own.chunk, own.piece, lib.known, lib.pieces):
-        assert max(map(len, [*held, *held.older]), default=0) <= 64
+    for held in ({**own.chunk, **own.chunk.older}, {**own.piece, **own.piece.older}, lib.known, lib.older, lib.pieces):
+        assert max(map(len, held), default=0) <= 64
+    small = tokenfile.LibraryTokenizer(SPEC, 5)
+    texts = ["the cat sat on the mat, and more words came by", "the cat again <|endoftext|> and the mat", "x" * 70 + " the cat", "", "one two three four five six seven eight"] * 3
+    assert [small.encode(t) for t in texts] == [np.array(library(t)[0], "<u4").tobytes() for t in texts]
 
 
 def test_whole_pieces_are_what_the_automaton_finds():
