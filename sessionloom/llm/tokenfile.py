@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -61,34 +62,57 @@ class LibraryTokenizer:
             return [c for part in self._added.split(text) for c in ([part] if part in self.added else chunks(part))]
         return chunks(text.lower() if text.isascii() else text)
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian uint32. Chunks that aren't held are taken apart here, each once for the text: a call for each would cost as much again."""
-        cut, known, older, pieces = self.cut(text), self.known, self.older, self.pieces
-        find, tokens = self.cutter.pieces, self.model.tokenize
-        new: dict[str, bytes] = {}
-        for c in set(cut).difference(known):
-            got = older.get(c) or self.added.get(c)
+    def _chunks(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each chunk as little-endian uint32. What isn't held is taken apart in this one loop: a call for each would cost as much again."""
+        known, older, pieces = self.known, self.older, self.pieces
+        find, tokens, out, new = self.cutter.pieces, self.model.tokenize, [], {}
+        for c in distinct:
+            got = known.get(c) or older.get(c)
             if got is None:
-                out = []
-                for p in find(c):
-                    ids = pieces.get(p)
-                    if ids is None:
-                        found = [t.id for t in tokens(p)]
-                        ids = struct.pack(f"<{len(found)}I", *found)
-                        if len(p) <= LONGEST:
-                            pieces[p] = ids
-                    out.append(ids)
-                got = b"".join(out)
-            new[c] = got
-        if new:
-            if len(pieces) > self.held:
-                pieces.clear()
-            out = b"".join([new[c] if c in new else known[c] for c in cut])
-            if len(known) + len(new) > self.held:
-                self.older, self.known = known, {}
-            self.known.update((c, v) for c, v in new.items() if len(c) <= LONGEST)
-            return out
-        return b"".join(map(known.__getitem__, cut))
+                got = self.added.get(c)
+                if got is None:
+                    ids = []
+                    for p in find(c):
+                        one = pieces.get(p)
+                        if one is None:
+                            found = [t.id for t in tokens(p)]
+                            one = struct.pack(f"<{len(found)}I", *found)
+                            if len(p) <= LONGEST:
+                                pieces[p] = one
+                        ids.append(one)
+                    got = b"".join(ids)
+            if len(c) <= LONGEST:
+                new[c] = got
+            out.append(got)
+        if len(pieces) > self.held:
+            pieces.clear()
+        if len(known) + len(new) > self.held:
+            self.older, self.known = known, {}
+        self.known.update(new)
+        return out
+
+    def encode_all(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each text's ids), with the end id after each text if there is one.
+
+        Arrow numbers the distinct chunks of the texts, so that only those are looked up one by one; numpy then lays out the ids.
+        """
+        import pyarrow as pa
+
+        cut = [self.cut(t) for t in texts]
+        coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        raw = self._chunks(coded.dictionary.to_pylist())
+        width = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first, n = np.cumsum(width) - width, width[codes]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first[codes] - before[:-1], n) + np.arange(before[-1])]
+        ends = before[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        sizes = np.diff(ends, prepend=0)
+        return (ids, sizes) if end is None else (np.insert(ids, ends, end), sizes + 1)
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian uint32."""
+        return self.encode_all([text])[0].tobytes()
 
 
 @cache
@@ -171,25 +195,22 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        lib, end = library(sent.value), np.array([end_id], "<u4").tobytes()
+        lib = library(sent.value)
         seq, seen = TaskContext.get().partitionId() << 33, np.zeros(0, np.int64)
 
         def rows(ids, raw, sizes, counts):
             return pa.RecordBatch.from_arrays([ids, pa.array(range(seq, seq + len(raw)), pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary()), pa.array([counts] * len(raw))], schema=kinds)
 
         for batch in batches:
-            for part in parts(batch, 1):
-                raw = [lib.encode(t) + end for t in part.column(1).to_pylist()]
-                ids = np.frombuffer(b"".join(raw), "<u4")
+            for part in parts(batch, 1, 4 << 20):
+                ids, counted = lib.encode_all(part.column(1).to_pylist(), end_id)
                 now = np.bincount(ids, minlength=len(seen))
                 now[: len(seen)] += seen
                 seen = now
-                sizes = [len(x) // 4 for x in raw]
-                if ids.max() <= 0xFFFF:  # the first byte tells how wide a document's ids are
-                    short, ends = ids.astype("<u2").tobytes(), np.cumsum(sizes).tolist()
-                    raw = [b"\x02" + short[2 * (e - n) : 2 * e] for e, n in zip(ends, sizes, strict=True)]
-                else:
-                    raw = [b"\x04" + x for x in raw]
+                sizes, ends = counted.tolist(), np.cumsum(counted).tolist()
+                wide = 2 if ids.max() <= 0xFFFF else 4  # the first byte tells how wide a document's ids are
+                flat = ids.astype(f"<u{wide}").tobytes()
+                raw = [bytes([wide]) + flat[wide * (e - n) : wide * e] for e, n in zip(ends, sizes, strict=True)]
                 yield rows(part.column(0), raw, sizes, False)
                 seq += len(raw)
         if len(seen):
