@@ -566,4 +566,20 @@ def boosted_rounds(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(history, 1)], "round int, auc double")
 
 
+def coded_rows(spark, d):
+    rows = trained(spark, d)
+    return held(boosting.coded(rows, boosting.code_cuts(rows, RANKER)), "codes")
+
+
+# Settings by successive halving, on the same codes.
+query("search_trials")(lambda s, d: boosting.halving(coded_rows(s, d), "gt_clicks", RANKER, trials=4, first=1, most=4)[1])
+
+
+@query("ranked_rounds")
+def ranked_rounds(spark, d):
+    """(round, recall): the held-out recall of each session's best 20 after each round of the pairwise ranker, until it rises no more."""
+    history = boosting.ranked(coded_rows(spark, d), "gt_clicks", RANKER, rounds=6, patience=3, depth=4).history
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(history, 1)], "round int, recall double")
+
+
 query("gbt_tuned")(lambda s, d: models.tune_ranker(trained(s, d), "gt_clicks", RANKER, depths=(2, 3), rounds=(2, 4)))

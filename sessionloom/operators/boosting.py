@@ -1,9 +1,11 @@
-"""Boosted trees that stop on the held-out AUC, over values or over byte codes of them."""
+"""Boosted trees that stop on the held-out AUC or on the recall of each session's best, over values or over byte codes of them; a search for their settings."""
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from math import log
+from math import log, prod
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
@@ -17,6 +19,8 @@ from sessionloom.functions.stretches import SKETCH, stretch
 
 #: Codes of values are -127 to 127, rising; that of a missing one.
 MISSING = -128
+#: Training rows -> (features, residual, weight); held-out rows -> what decides.
+Slope, Measure = Callable[[DataFrame], DataFrame], Callable[[DataFrame], float]
 
 
 def _number(c: str) -> Column:
@@ -51,7 +55,7 @@ def auc(scored: DataFrame, label: str, score: str = "pred", keys: tuple[str, ...
 
 @dataclass
 class Boosted:
-    """Trees with their leaves' values; `history` has the held-out AUC after each round that was tried, the model its best rounds only."""
+    """Trees with their leaves' values; `history` has the held-out AUC (or recall) after each round that was tried, the model its best rounds only."""
 
     names: list[str]
     base: float
@@ -88,6 +92,87 @@ def _grown(rows: DataFrame, tree: DecisionTreeRegressionModel, values: list[floa
     return seen.withColumn("margin", F.col("margin") + F.get(F.array(*[F.lit(v) for v in values]), F.col("leaf").cast("int"))).drop("leaf", "step")
 
 
+def _logistic(rows: DataFrame) -> DataFrame:
+    """What a round of logistic boosting fits: a row's residual, and p (1 - p)."""
+    p = _chance(F.col("margin"))
+    return rows.select("features", (F.col("label") - p).alias("residual"), (p * (1 - p)).alias("weight"))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """rows with `place`, 1 for a session's best margin; ties by candidate."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("margin"), "candidates")))
+
+
+def _swaps(rows: DataFrame, k: int) -> DataFrame:
+    """What a round of ranking fits: gradients of the pairs of a session's hit and miss of which just one is among the best k, as only a swap of those changes the recall.
+
+    A pair weighs what its swap changes, 1 / min(k, hits). Margins of the other side are arrays of the session's own candidates, so a row is never joined with another.
+    """
+    session = Window.partitionBy("session")
+    top, hit = F.col("place") <= k, F.col("label") == 1
+    others = {f"{a}{b}": F.collect_list(F.when((hit if a == "hit" else ~hit) & (top if b == "in" else ~top), F.col("margin"))).over(session) for a in ("hit", "miss") for b in ("in", "out")}
+    rows = _places(rows).withColumns({**others, "hits": F.sum("label").over(session)})
+    # Only where both sides of the border have what could be swapped.
+    against = F.when(hit, F.when(top, F.col("missout")).otherwise(F.col("missin"))).otherwise(F.when(top, F.col("hitout")).otherwise(F.col("hitin")))
+    sign = F.when(hit, F.lit(1.0)).otherwise(F.lit(-1.0))
+    wrong = lambda m: 1 / (1 + F.exp(sign * (F.col("margin") - m)))
+    total = lambda f: F.aggregate(F.transform(against, f), F.lit(0.0), lambda x, y: x + y) / F.greatest(F.least(F.col("hits"), F.lit(float(k))), F.lit(1.0))
+    return rows.select("features", (sign * total(wrong)).alias("residual"), total(lambda m: wrong(m) * (1 - wrong(m))).alias("weight"))
+
+
+def _recall(rows: DataFrame, k: int) -> float:
+    """Hits among the best k of each session over hits, of which at most k of a session count; nan without any."""
+    one = _places(rows).groupBy("session").agg(F.sum(F.when(F.col("place") <= k, F.col("label"))).alias("found"), F.least(F.sum("label"), F.lit(float(k))).alias("hits"))
+    got = one.agg(F.sum("found"), F.sum("hits")).first()
+    return got[0] / got[1] if got[1] else float("nan")
+
+
+def _held_auc(rows: DataFrame) -> float:
+    now = auc(rows.select("label", _chance(F.col("margin")).alias("pred")), "label").first()
+    return now.auc if now and now.auc is not None else float("nan")
+
+
+def _laid_out(features: DataFrame, target: str, names: list[str], held_share: float, seed: int, *more: str) -> DataFrame:
+    """(*more, features, label, held_out)"""
+    keep = F.coalesce(F.col(f"`{target}`"), F.lit(0)).cast("double").alias("label")
+    return _assembled(features, names).select(*more, "features", keep, (arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * held_share)).alias("held_out"))
+
+
+def _start(rows: DataFrame, names: list[str]) -> tuple[Boosted, int]:
+    """(a model of no rounds that gives the share of ones, training rows)"""
+    n, ones = rows.where("NOT held_out").agg(F.count("*"), F.sum("label")).first()
+    share = min(max(((ones or 0.0) + 0.5) / (n + 1.0), 1e-9), 1 - 1e-9)
+    return Boosted(list(names), log(share / (1 - share))), n
+
+
+def _round(model: Boosted, rows: DataFrame, slope: Slope, measure: Measure, depth: int, rate: float, ridge: float, least: int, seed: int) -> DataFrame:
+    """rows, a held table, with the margins after one more round of the model, as a new held table in its place."""
+    own = slope(rows.where("NOT held_out"))
+    grown = DecisionTreeRegressor(labelCol="residual", predictionCol="step", leafCol="leaf", maxDepth=depth, maxBins=256, minInstancesPerNode=least, seed=seed).fit(own)
+    sums = {int(r.leaf): r.g / (r.h + ridge) for r in grown.transform(own).groupBy("leaf").agg(F.sum("residual").alias("g"), F.sum("weight").alias("h")).collect()}  # a row a leaf
+    values = [rate * sums.get(k, 0.0) for k in range(grown.numNodes // 2 + 1)]
+    after = held(_grown(rows, grown, values), "margins")
+    hold.drop(rows)
+    model.trees.append(grown)
+    model.leaves.append(values)
+    model.history.append(measure(after.where("held_out")))
+    return after
+
+
+def _until_best(model: Boosted, rows: DataFrame, rounds: int, patience: int, **how) -> Boosted:
+    """Rounds until the measure hasn't risen for `patience` of them; the model's best ones stay."""
+    best = 0
+    for _ in range(rounds):
+        rows = _round(model, rows, **how)
+        now = model.history[-1]
+        if now != now or best == 0 or not now <= model.history[best - 1]:  # nan: no held-out rows to stop on
+            best = len(model.history)
+        elif len(model.history) - best >= patience:
+            break
+    model.trees, model.leaves = model.trees[:best], model.leaves[:best]
+    return model
+
+
 def boosted(
     features: DataFrame, target: str, names: list[str], rounds: int = 100, patience: int = 10, depth: int = 4, rate: float = 0.3, held_share: float = 0.2, ridge: float = 1.0, least: int = 1, seed: int = 42
 ) -> Boosted:
@@ -97,30 +182,79 @@ def boosted(
     a Newton step, sum of residuals over sum of p (1 - p); margins are a table, written once a round.
     """
     with scratch():
-        keep = F.coalesce(F.col(f"`{target}`"), F.lit(0)).cast("double").alias("label")
-        rows = _assembled(features, names).select("features", keep, (arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * held_share)).alias("held_out"))
-        n, ones = rows.where("NOT held_out").agg(F.count("*"), F.sum("label")).first()
-        share = min(max(((ones or 0.0) + 0.5) / (n + 1.0), 1e-9), 1 - 1e-9)
-        model = Boosted(list(names), log(share / (1 - share)))
+        rows = _laid_out(features, target, names, held_share, seed)
+        model, n = _start(rows, names)
+        rows = held(rows.withColumn("margin", F.lit(model.base)), "margins")
+        return _until_best(model, rows, rounds if n else 0, patience, slope=_logistic, measure=_held_auc, depth=depth, rate=rate, ridge=ridge, least=least, seed=seed)
+
+
+def ranked(
+    features: DataFrame, target: str, names: list[str], k: int = 20, rounds: int = 100, patience: int = 10, depth: int = 4, rate: float = 0.3, held_share: float = 0.2, ridge: float = 1.0, least: int = 1, seed: int = 42
+) -> Boosted:
+    """Boosting for the recall among each session's best k, which is also what decides when to stop; `history` has it for the held-out sessions.
+
+    As boosted(), but a round fits the gradients of swapped pairs (see _swaps), so what all candidates of a session have in common teaches nothing. A session's candidates,
+    of which there are as many as were suggested, meet in one task; where a session has no more than k, none can be swapped and it is left alone.
+    """
+    with scratch():
+        rows = _laid_out(features, target, names, held_share, seed, "session", "candidates")
+        model = Boosted(list(names), 0.0)
         rows = held(rows.withColumn("margin", F.lit(model.base)), "margins")
-        best = 0
-        for _ in range(rounds if n else 0):
-            p = _chance(F.col("margin"))
-            own = rows.where("NOT held_out").select("features", (F.col("label") - p).alias("residual"), (p * (1 - p)).alias("weight"))
-            grown = DecisionTreeRegressor(labelCol="residual", predictionCol="step", leafCol="leaf", maxDepth=depth, maxBins=256, minInstancesPerNode=least, seed=seed).fit(own)
-            sums = {int(r.leaf): r.g / (r.h + ridge) for r in grown.transform(own).groupBy("leaf").agg(F.sum("residual").alias("g"), F.sum("weight").alias("h")).collect()}  # a row a leaf
-            values = [rate * sums.get(k, 0.0) for k in range(grown.numNodes // 2 + 1)]
-            before, rows = rows, held(_grown(rows, grown, values), "margins")
-            hold.drop(before)
-            model.trees.append(grown)
-            model.leaves.append(values)
-            now = auc(rows.where("held_out").select("label", _chance(F.col("margin")).alias("pred")), "label").first()
-            model.history.append(now.auc if now and now.auc is not None else float("nan"))
-            if model.history[-1] != model.history[-1]:  # no held-out rows of both kinds: nothing to stop on
-                best = len(model.history)
-            elif best == 0 or not model.history[-1] <= model.history[best - 1]:
-                best = len(model.history)
-            elif len(model.history) - best >= patience:
+        n = rows.where("NOT held_out").limit(1).count()
+        how = {"depth": depth, "rate": rate, "ridge": ridge, "least": least, "seed": seed}
+        return _until_best(model, rows, rounds if n else 0, patience, slope=lambda r: _swaps(r, k), measure=lambda r: _recall(r, k), **how)
+
+
+USUAL = {"depth": 4, "rate": 0.3, "ridge": 1.0, "least": 1}
+#: What a search draws its settings from.
+SPACE: dict[str, tuple] = {"depth": (2, 3, 4, 5, 6), "rate": (0.05, 0.1, 0.2, 0.3, 0.5, 1.0), "ridge": (0.1, 1.0, 10.0), "least": (1, 5, 20)}
+
+
+def settings(space: dict[str, tuple], trials: int, seed: int) -> list[dict]:
+    """So many different settings of a space (all, if it has fewer), the same for a seed."""
+    total, rng = prod(len(v) for v in space.values()), random.Random(seed)
+    out = []
+    for at in rng.sample(range(total), min(trials, total)):
+        one = {}
+        for name, values in space.items():
+            at, i = divmod(at, len(values))
+            one[name] = values[i]
+        out.append(one)
+    return out
+
+
+def halving(
+    features: DataFrame, target: str, names: list[str], trials: int = 20, first: int = 4, share: int = 2, most: int = 64, space: dict[str, tuple] = SPACE, held_share: float = 0.2, seed: int = 42
+) -> tuple[Boosted, DataFrame]:
+    """(the best trial's model, (trial, rung, rounds, auc, depth, rate, ridge, least)): a search by successive halving.
+
+    All trials get `first` rounds; of each rung the best 1 / share go on, to `share` times as many rounds, until one is left or `most` rounds are done. All are trained and judged
+    on the same sessions, by their best held-out AUC so far (ties by trial). The laid out features are one table; a trial that goes on gets its margins from its trees again, so
+    there is one table of margins at a time, however many trials there are.
+    """
+    drawn = settings(space, trials, seed)
+    with scratch():
+        base = held(_laid_out(features, target, names, held_share, seed), "laid-out")
+        start, n = _start(base, names)
+        models = [Boosted(list(names), start.base) for _ in drawn]
+        alive, rounds, table = list(range(len(drawn))), min(first, most) if n else 0, []
+        for rung in range(1, 65):
+            for t in alive:
+                rows = base.withColumn("margin", F.lit(start.base))
+                for tree, values in zip(models[t].trees, models[t].leaves, strict=True):
+                    rows = _grown(rows, tree, values)
+                rows = held(rows, "margins")
+                while len(models[t].trees) < rounds:
+                    rows = _round(models[t], rows, _logistic, _held_auc, seed=seed, **{**USUAL, **drawn[t]})
+                hold.drop(rows)
+            value = {t: max((v for v in models[t].history if v == v), default=0.0) for t in alive}
+            alive.sort(key=lambda t: (-value[t], t))
+            table += [(t, rung, rounds, value[t], drawn[t]) for t in alive]
+            if len(alive) <= 1 or rounds >= most or not rounds:
                 break
-        model.trees, model.leaves = model.trees[:best], model.leaves[:best]
-        return model
+            alive, rounds = alive[: -(-len(alive) // share)], min(most, rounds * share)
+        won = models[alive[0]]
+        best = won.history.index(max(won.history)) + 1 if won.history and won.history[0] == won.history[0] else len(won.trees)
+        won.trees, won.leaves = won.trees[:best], won.leaves[:best]
+    kinds = "trial int, rung int, rounds int, auc double, depth int, rate double, ridge double, least int"
+    return won, features.sparkSession.createDataFrame([(*r[:4], *[type(v)({**USUAL, **r[4]}[c]) for c, v in USUAL.items()]) for r in table], kinds)

@@ -74,7 +74,79 @@ def test_codes_are_a_byte_and_as_good(spark, table):
     assert abs(max(exact.history) - max(coarse.history)) < 0.002 or max(coarse.history) > max(exact.history)
 
 
+def plain_swaps(rows, k):
+    """(label, margin) of one session in order of candidates -> (residual, weight) each."""
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][1], i))
+    top = {i: at < k for at, i in enumerate(order)}
+    w = 1 / max(1, min(k, sum(y for y, _ in rows)))
+    g, h = [0.0] * len(rows), [0.0] * len(rows)
+    for i, (yi, mi) in enumerate(rows):
+        for j, (yj, mj) in enumerate(rows):
+            if yi and not yj and top[i] != top[j]:
+                rho = 1 / (1 + np.exp(mi - mj))
+                g[i], g[j], h[i], h[j] = g[i] + w * rho, g[j] - w * rho, h[i] + w * rho * (1 - rho), h[j] + w * rho * (1 - rho)
+    return list(zip(g, h, strict=True))
+
+
+def test_swaps_and_recall_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    for k in (1, 3, 50):
+        sessions = [[(int(rng.random() < 0.3), float(rng.integers(0, 6) / 3)) for _ in range(n)] for n in (1, 2, 7, 12)]
+        df = spark.createDataFrame([(s, c, c + 100 * s, float(y), m) for s, rows in enumerate(sessions) for c, (y, m) in enumerate(rows)], "session long, candidates long, features long, label double, margin double")
+        got = {r.features: (r.residual, r.weight) for r in boosting._swaps(df, k).collect()}
+        found = hits = 0
+        for s, rows in enumerate(sessions):
+            for c, want in enumerate(plain_swaps(rows, k)):
+                assert got[c + 100 * s] == pytest.approx(want, abs=1e-12)
+            best = sorted(rows, key=lambda r: -r[1])[:k]  # sorting keeps the order of candidates in ties
+            found, hits = found + sum(y for y, _ in best), hits + min(k, sum(y for y, _ in rows))
+        assert boosting._recall(df, k) == pytest.approx(found / hits)
+    assert np.isnan(boosting._recall(df.limit(0), 3))
+
+
+def test_pairs_rank_better_than_chances(spark):
+    """Chances depend mostly on the session, which can't order its candidates; a shallow tree of logistic residuals spends its rounds there."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(250):
+        busy = rng.random()
+        for c in range(12):
+            own, noise = rng.random(2)
+            rows.append((s, c, float(busy), float(own), float(noise), int(rng.random() < 0.85 * busy**4 * (0.1 + own))))
+    df = spark.createDataFrame(rows, "session long, candidates long, busy double, own double, noise double, gt int").cache()
+    names, how = ["busy", "own", "noise"], {"rounds": 2, "patience": 2, "depth": 1, "rate": 0.5}
+    held_out = df.where(boosting.arithmetic_hash(F.col("session"), 42, 1000) < 200)
+
+    def recall(model):
+        return boosting._recall(model.margin(held_out).withColumn("label", F.col("gt").cast("double")), 3)
+
+    pairs, chances = boosting.ranked(df, "gt", names, k=3, **how), boosting.boosted(df, "gt", names, **how)
+    assert recall(pairs) == pytest.approx(max(pairs.history))
+    assert recall(pairs) > recall(chances) + 0.02
+    small = boosting.ranked(df.where("candidates < 3"), "gt", names, k=3, rounds=1)  # nothing to swap
+    assert small.history == [1.0] and all(v == 0 for v in small.leaves[0])
+
+
+def test_search_finds_the_planted_setting(spark, table):
+    """A tree of one split at a crawl can't get there in few rounds; others can."""
+    space = {"depth": (1, 4), "rate": (0.0001, 0.5)}
+    model, trials = boosting.halving(table, "gt", NAMES, trials=4, first=1, most=4, space=space)
+    got = [tuple(r) for r in trials.collect()]
+    rungs = {k: [r for r in got if r[1] == k] for k in (1, 2, 3)}
+    assert [len(rungs[k]) for k in rungs] == [4, 2, 1] and [rungs[k][0][2] for k in rungs] == [1, 2, 4]
+    for k in (1, 2):  # those that go on are the best
+        assert {r[0] for r in rungs[k + 1]} == {r[0] for r in rungs[k][: len(rungs[k + 1])]} and rungs[k] == sorted(rungs[k], key=lambda r: (-r[3], r[0]))
+    assert rungs[3][0][4] == 4 and max(model.history) == rungs[3][0][3] and len(model.trees) == model.history.index(max(model.history)) + 1
+    # A trial's rounds after a rung are those of an unbroken training.
+    same = boosting.boosted(table, "gt", NAMES, rounds=4, patience=4, depth=4, rate=rungs[3][0][5])
+    assert model.history == pytest.approx(same.history)
+    assert boosting.settings(boosting.SPACE, 20, 42) == boosting.settings(boosting.SPACE, 20, 42) and len({tuple(s.items()) for s in boosting.settings(boosting.SPACE, 20, 42)}) == 20
+
+
 def test_nothing_to_train_on(spark, table):
     model = boosting.boosted(table.limit(0), "gt", NAMES, rounds=3)
     assert model.trees == [] and boosting.code_cuts(table.limit(0), NAMES) == {c: [] for c in NAMES}
     assert model.score(table.limit(5)).count() == 5
+    assert boosting.ranked(table.limit(0), "gt", NAMES, rounds=3).trees == []
+    model, trials = boosting.halving(table.limit(0), "gt", NAMES, trials=3)
+    assert model.trees == [] and trials.count() == 3
