@@ -572,7 +572,7 @@ def coded_rows(spark, d):
 
 
 # Settings by successive halving, on the same codes.
-query("search_trials")(lambda s, d: boosting.halving(coded_rows(s, d), "gt_clicks", RANKER, trials=4, first=1, most=4)[1])
+query("search_trials")(lambda s, d: boosting.halving(coded_rows(s, d), "gt_clicks", RANKER, trials=8, first=1, most=4)[1])
 
 
 @query("ranked_rounds")
