@@ -60,6 +60,8 @@ class Cutter:
     #: Printable ASCII and the letters of Latin-1: composed already, and with the same case and class in any version of Unicode.
     _PLAIN = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
     _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+    #: What may follow a word as one piece: the apostrophe begins pieces of its own.
+    _ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -69,12 +71,15 @@ class Cutter:
         pattern = next(p["pattern"]["Regex"] for p in j["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # On plain chunks in lower case the file's classes are these.
         self._plain = re.compile(pattern.replace("\\p{L}", self._LETTERS).replace("\\p{N}", "0-9")).findall
-        self._word = re.compile(f"([{self._LETTERS}]+)([.,;:!?]*)").fullmatch
+        self._word = re.compile(f"([{self._LETTERS}]+)([{re.escape(self._ENDS)}]*)").fullmatch
         empty = Tokenizer.from_str(json.dumps({**j, "added_tokens": [], "model": {**j["model"], "vocab": {}, "merges": []}}))
         self._normal, self._cut = empty.normalizer.normalize_str, empty.pre_tokenizer.pre_tokenize_str
         self._letters = byte_letters()
 
     def pieces(self, chunk: str) -> list[str]:
+        word = chunk.rstrip(self._ENDS)
+        if word.isascii() and word.isalpha():
+            return [word.lower()] if len(word) == len(chunk) else [word.lower(), chunk[len(word) :]]
         if not self._PLAIN(chunk):
             return [p for p, _ in self._cut(self._normal(chunk))]
         chunk = chunk.lower()

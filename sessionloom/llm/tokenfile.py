@@ -36,6 +36,8 @@ IDS_A_BLOCK = 400_000
 #: Longer chunks and pieces aren't held, so what a worker holds is bounded in bytes.
 LONGEST = 64
 MAGIC = b"FRSV"
+#: White space beyond ASCII, for RE2.
+WIDE_BLANKS = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class LibraryTokenizer:
@@ -62,28 +64,43 @@ class LibraryTokenizer:
             return [c for part in self._added.split(text) for c in ([part] if part in self.added else chunks(part))]
         return chunks(text.lower() if text.isascii() else text)
 
+    def _cut_all(self, texts):
+        """(chunks of all texts one after another, number of each text's), both of Arrow, which cuts at white space unless there are added tokens."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self._added and pc.any(pc.match_substring_regex(texts, self._added.pattern)).as_py():
+            cut = [self.cut(t) for t in texts.to_pylist()]
+            return pa.array(list(chain.from_iterable(cut)), pa.large_string()), np.fromiter(map(len, cut), np.int64, len(cut))
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), pc.replace_substring_regex(texts, WIDE_BLANKS, " "))
+        cut = pc.ascii_split_whitespace(texts)  # blanks at the ends of a text make empty chunks, which have no ids
+        return cut.flatten(), cut.value_lengths().to_numpy().astype(np.int64)
+
     def _chunks(self, distinct: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian uint32. What isn't held is taken apart in this one loop: a call for each would cost as much again."""
         known, older, pieces = self.known, self.older, self.pieces
-        find, tokens, out, new = self.cutter.pieces, self.model.tokenize, [], {}
-        for c in distinct:
-            got = known.get(c) or older.get(c)
+        find, tokens, new = self.cutter.pieces, self.model.tokenize, {}
+        out = list(map(known.get, distinct))
+        for k in [k for k, got in enumerate(out) if got is None]:
+            c = distinct[k]
+            got = older.get(c)
             if got is None:
                 got = self.added.get(c)
-                if got is None:
-                    ids = []
-                    for p in find(c):
-                        one = pieces.get(p)
-                        if one is None:
-                            found = [t.id for t in tokens(p)]
-                            one = struct.pack(f"<{len(found)}I", *found)
-                            if len(p) <= LONGEST:
-                                pieces[p] = one
-                        ids.append(one)
-                    got = b"".join(ids)
+            if got is None:
+                ids = []
+                for p in find(c):
+                    one = pieces.get(p)
+                    if one is None:
+                        found = [t.id for t in tokens(p)]
+                        one = struct.pack(f"<{len(found)}I", *found)
+                        if len(p) <= LONGEST:
+                            pieces[p] = one
+                    ids.append(one)
+                got = b"".join(ids)
             if len(c) <= LONGEST:
                 new[c] = got
-            out.append(got)
+            out[k] = got
         if len(pieces) > self.held:
             pieces.clear()
         if len(known) + len(new) > self.held:
@@ -91,28 +108,28 @@ class LibraryTokenizer:
         self.known.update(new)
         return out
 
-    def encode_all(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of each text's ids), with the end id after each text if there is one.
+    def encode_all(self, texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of an Arrow array one after another, number of each text's ids), with the end id after each text if there is one.
 
-        Arrow numbers the distinct chunks of the texts, so that only those are looked up one by one; numpy then lays out the ids.
+        Arrow cuts the texts and numbers their distinct chunks, so that only those become Python's and are looked up one by one; numpy then lays out the ids.
         """
-        import pyarrow as pa
-
-        cut = [self.cut(t) for t in texts]
-        coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        cut, sizes = self._cut_all(texts)
+        coded = cut.dictionary_encode()
         codes = coded.indices.to_numpy()
-        raw = self._chunks(coded.dictionary.to_pylist())
+        raw = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         width = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         first, n = np.cumsum(width) - width, width[codes]
         before = np.concatenate([[0], np.cumsum(n)])
         ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first[codes] - before[:-1], n) + np.arange(before[-1])]
-        ends = before[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        ends = before[np.cumsum(sizes)]
         sizes = np.diff(ends, prepend=0)
         return (ids, sizes) if end is None else (np.insert(ids, ends, end), sizes + 1)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian uint32."""
-        return self.encode_all([text])[0].tobytes()
+        import pyarrow as pa
+
+        return self.encode_all(pa.array([text], pa.large_string()))[0].tobytes()
 
 
 @cache
@@ -203,7 +220,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for batch in batches:
             for part in parts(batch, 1, 4 << 20):
-                ids, counted = lib.encode_all(part.column(1).to_pylist(), end_id)
+                ids, counted = lib.encode_all(part.column(1), end_id)
                 now = np.bincount(ids, minlength=len(seen))
                 now[: len(seen)] += seen
                 seen = now
