@@ -69,6 +69,7 @@ class LibraryTokenizer:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy from 0 on: Arrow's lower case is wrong on slices of cast arrays
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self._added and pc.any(pc.match_substring_regex(texts, self._added.pattern)).as_py():
             cut = [self.cut(t) for t in texts.to_pylist()]

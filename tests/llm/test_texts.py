@@ -654,6 +654,18 @@ def test_caches_hold_no_long_keys(spark):
     assert [small.encode(t) for t in texts] == [np.array(library(t)[0], "<u4").tobytes() for t in texts]
 
 
+def test_token_ids_of_slices():
+    """Stretches of a batch, with and without text beyond ASCII, odd blanks and endings."""
+    import pyarrow as pa
+
+    lib = tokenfile.LibraryTokenizer(SPEC)
+    texts = ["The Cat SAT", None, "\u00c9t\u00e9\u00a0fin\u3000x", "", "H\u0331 I\u0307 it's don't### 'S", "a\u0085b\x1cc <|endoftext|> d", " End&&& (x) 12,5%% "] * 5
+    for size in (1, 4, 35):
+        for k in range(0, len(texts), size):
+            ids, sizes = lib.encode_all(pa.array(texts).slice(k, size), 1)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*library(t or "")[0], 1] for t in texts[k : k + size]]
+
+
 def test_whole_pieces_are_what_the_automaton_finds():
     own = bpe.tokenizer(SPEC)
     some = sorted(own.whole)[::23]
