@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionloom import oracles
 from sessionloom.functions import hold
 from sessionloom.functions.stretches import cut_points, stretch
-from sessionloom.operators import candidates, covisitation, features, sampling, sessions
+from sessionloom.operators import candidates, covisitation, features, sampling, sessions, voting
 from sessionloom.sources import adapters
 
 E = "session long, aid long, ts long, type int, eid long"
@@ -132,3 +132,18 @@ def test_ranks_in_arrays(spark):
         want = [min(255, 1 + sum(real(r[c]) and (not real(v) or r[c] > v) for r in own)) for c, v in ((2, x), (3, y))]
         assert got[s, k] == tuple(want)
     assert "Generate" not in features.ranks(df, ["x", "y.z"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_are_planned_step_by_step(spark):
+    """The driver never has the plan of a whole suggester: each step is a table."""
+    empty = lambda kinds: spark.createDataFrame([], kinds)
+    sizes = []
+
+    def noted(df):
+        sizes.append(df._jdf.queryExecution().analyzed().toString().count("\n"))
+        return empty(df.schema)
+
+    seeds, lists = empty("session long, list string, aid long, pos int"), empty("matrix string, aid_x long, aid_y long, rank int")
+    for spec in voting.SPECS.values():
+        noted(voting.suggest(empty(E), seeds, lists, spec, fast=empty("session long, aid long, pos int"), popular=empty("aid long, pos int"), hold=noted))
+    assert max(sizes) <= 60
