@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import oracles
 from sessionloom.functions import hold
-from sessionloom.functions.stretches import cut_points, stretch
+from sessionloom.functions.stretches import cut_points, spread, stretch
 from sessionloom.operators import candidates, covisitation, features, sampling, sessions, voting
 from sessionloom.sources import adapters
 
@@ -147,3 +147,14 @@ def test_votes_are_planned_step_by_step(spark):
     for spec in voting.SPECS.values():
         noted(voting.suggest(empty(E), seeds, lists, spec, fast=empty("session long, aid long, pos int"), popular=empty("aid long, pos int"), hold=noted))
     assert max(sizes) <= 60
+
+
+def test_votes_of_cooccurrence_grow_by_tasks(spark):
+    """Partitions grow with the events, and votes are counted by hash without sorting them first or shuffling the session's items apart."""
+    events = spark.range(0, 90_000, 1, 2).selectExpr("id div 3 AS session", "id % 50 AS aid", "id AS ts", "0 AS type", "id AS eid")
+    lists = spark.range(50 * 40).selectExpr("id div 40 AS aid_x", "id % 40 AS aid_y", "CAST(id % 40 AS INT) + 1 AS rank")
+    got = candidates.cooccurring(events, [lists, lists], 40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+    assert spread(events, "session", 1000).rdd.getNumPartitions() == 90
+    assert {r.candidates for r in got.where("session = 16").collect()} == {*range(40), 48, 49, 0}
