@@ -9,7 +9,7 @@ first, never shows a merge across their border that would have come earlier. So
 is filled from left to right and back-pointers give the exact ids.
 
 Files are those of the tokenizers library with a BPE model and a word-end suffix, whose normaliser and pre-tokenizer don't look across
-white space. So texts are cut at white space and each distinct chunk is encoded once for as long as the cache holds it. Chunks of
+white space. So texts are cut at white space, by Arrow, and each distinct chunk is encoded once for as long as the cache holds it. Chunks of
 printable ASCII and letters of Latin-1 are normalised and cut here; all others by the file's own normaliser and pre-tokenizer in the library, whose tables of letters,
 compositions and cases differ from Python's.
 
@@ -24,6 +24,7 @@ import re
 import struct
 from array import array
 from functools import cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,7 +35,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from sessionloom.llm.automaton import Automaton
 from sessionloom.llm.common import Held, parts, workers_find_package
 
-CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 100_000, 100_000, 200_000
+#: Most texts are made of fewer pieces than chunks, which come with all kinds of signs.
+CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 150_000, 300_000, 300_000
 #: White space as the library knows it; str.split() also cuts at 0x1c to 0x1f.
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -47,6 +49,38 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+#: White space beyond ASCII, for RE2.
+WIDE_BLANKS = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def cut_all(texts, added: re.Pattern | None):
+    """(chunks of all texts of an Arrow array one after another, number of each text's), both of Arrow, which cuts at white space. ASCII texts are lower-cased, as the library does.
+
+    Texts with an added token are cut here; it comes with a blank before it, so that no chunk is taken for one. Some chunks may be empty.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.take(pa.array(np.arange(len(texts))))  # a copy from 0 on: Arrow's lower case is wrong on slices of cast arrays
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if added is not None and pc.any(pc.match_substring_regex(texts, added.pattern)).as_py():
+        plain = lambda part: chunks(part.lower() if part.isascii() else part)
+        cut = [[c for k, part in enumerate(added.split(t)) for c in ([f" {part}"] if k % 2 else plain(part))] for t in texts.to_pylist()]
+        return pa.array(list(chain.from_iterable(cut)), pa.large_string()), np.fromiter(map(len, cut), np.int64, len(cut))
+    texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), pc.replace_substring_regex(texts, WIDE_BLANKS, " "))
+    cut = pc.ascii_split_whitespace(texts)  # blanks at the ends of a text make empty chunks, which have no ids
+    return cut.flatten(), cut.value_lengths().to_numpy().astype(np.int64)
+
+
+def laid_out(raw: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, number of each text's), from each distinct chunk's ids as 32-bit little-endian, the chunks' numbers, and how many of these a text has."""
+    width = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    first, n = np.cumsum(width) - width, width[codes]
+    before = np.concatenate([[0], np.cumsum(n)])
+    ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first[codes] - before[:-1], n) + np.arange(before[-1])]
+    return ids, np.diff(before[np.cumsum(sizes)], prepend=0)
+
+
 def byte_letters() -> list[str]:
     """Byte -> the letter that byte-level vocabularies write for it: printable ones themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -124,6 +158,8 @@ class WordBPE:
         for s in sorted(range(1, len(auto.go)), key=auto.length.__getitem__):
             self._near[s] = s if s in own else self._near[auto.link[s]]
         self.goes = Held(lambda pair: self._compatible(pair >> 32, pair & 0xFFFFFFFF), PAIRS_HELD, None)
+        self.fallen = Held(self._fall, PAIRS_HELD, None)
+        self._spelled = None  # the tokens' spellings by id, for Arrow
         self.piece = Held(self._piece, PIECES_HELD)
         self.chunk = Held(self._chunk, CHUNKS_HELD)
 
@@ -149,23 +185,33 @@ class WordBPE:
             else:  # of equal merges the left one comes first, so one across the border would have come before the right one
                 bound, right = b[0] + 1, b[1]
 
-    def _piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids as little-endian int32, and decoded text, of one piece in byte letters."""
+    def _fall(self, key: int) -> tuple[int, int]:
+        """(state, size of the match) after a sign that a state has no way for, by its suffix links; (0, 0) if none has."""
+        state, c = key >> 9, key & 511
+        while (to := self._go.get(state << 9 | c)) is None:
+            if not state:
+                return 0, 0
+            state = self._link[state]
+        return to, self._length[state] + 1
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids as little-endian int32 of one piece in byte letters."""
         if (one := self.whole.get(piece)) is not None:
-            return self._value([one])
+            return struct.pack("<i", one)
         word = [*piece.encode(), self.END] if piece.isascii() else [*[self._code[c] for c in piece], self.END]
         n = len(word)
         last, back = [-1] * (n + 1), [0] * (n + 1)
-        go, link, length, near, token, goes = self._go, self._link, self._length, self._near, self._token, self.goes
+        go, link, length, near, token, goes, fallen = self._go, self._link, self._length, self._near, self._token, self.goes, self.fallen
         state = size = 0
         for end, c in enumerate(word, 1):
-            while (to := go.get(state << 9 | c)) is None and state:
-                state = link[state]
-                size = length[state]
-            if to is None:
-                size = 0
-                continue
-            state, size = to, size + 1
+            to = go.get(state << 9 | c)
+            if to is not None:
+                state, size = to, size + 1
+            else:
+                # Where suffix links lead from here doesn't hang on what came before, so it is kept.
+                state, size = fallen[state << 9 | c]
+                if not size:
+                    continue
             # Tokens among the suffixes of what is matched: the state's longest string only if all of it is.
             at = near[state if length[state] == size else link[state]]
             while at:
@@ -179,15 +225,12 @@ class WordBPE:
             out.append(last[n])
             n = back[n]
         out.reverse()
-        return self._value(out)
-
-    def _value(self, ids: list[int]) -> tuple[bytes, str]:
-        return struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
+        return struct.pack(f"<{len(out)}i", *out)
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids and decoded text of a run without white space."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run without white space."""
         got = [self.piece[x] for x in self.cutter.pieces(chunk)]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        return got[0] if len(got) == 1 else b"".join(got)
 
     def decode(self, ids) -> str:
         """As the library does without a decoder: the tokens' spellings, one blank between. Ids that are no token are left out."""
@@ -200,15 +243,36 @@ class WordBPE:
         got = []
         for part in self._special.split(text) if self._special and any(x in text for x in self.special) else (text,):
             if part in self.special:
-                got.append(self._value([self.special[part]]))
+                got.append(struct.pack("<i", self.special[part]))
             else:
                 got += map(self.chunk.__getitem__, chunks(part.lower() if part.isascii() else part))
-        got = [g for g in got if g[0]]
-        return b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+        ids = b"".join(got)
+        return ids, self.decode(np.frombuffer(ids, "<i4").tolist())
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text)[0], "<i4").tolist()
 
+    def _found(self, chunk: str) -> bytes:
+        return struct.pack("<i", self.special[chunk[1:]]) if chunk[:1] == " " else self.chunk[chunk]
+
+    def encode_all(self, texts, decoded: bool = True):
+        """(ids of all texts of an Arrow array one after another, number of each text's ids, decoded texts as an Arrow array or None).
+
+        Only distinct chunks become Python's; numpy lays out the ids and Arrow the spellings of theirs.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut, sizes = cut_all(texts, self._special)
+        coded = cut.dictionary_encode()
+        got = list(map(self._found if self._special else self.chunk.__getitem__, coded.dictionary.to_pylist()))
+        ids, n = laid_out(got, coded.indices.to_numpy(), sizes)
+        if not decoded:
+            return ids, n, None
+        if self._spelled is None:
+            self._spelled = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], pa.large_string())
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        return ids, n, pc.binary_join(pa.ListArray.from_arrays(ends, self._spelled.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
 @cache
 def tokenizer(spec: str) -> WordBPE:
@@ -230,11 +294,10 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
 
         bpe = tokenizer(sent.value)
         for batch in batches:
-            for part in parts(batch, 0):
-                got = [bpe.encode_bytes(t) for t in part.column(0).to_pylist()]
-                offsets = np.cumsum([0, *(len(g[0]) // 4 for g in got)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join([g[0] for g in got]), "<i4")))
-                columns = [*part.columns[1:], ids, *([pa.array([g[1] for g in got], pa.string())] if decoded else [])]
+            for part in parts(batch, 0, 4 << 20):
+                got, n, texts = bpe.encode_all(part.column(0), decoded)
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(got.view("<i4")))
+                columns = [*part.columns[1:], ids, *([texts] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return rows.mapInArrow(run, schema)

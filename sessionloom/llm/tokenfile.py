@@ -23,21 +23,18 @@ import re
 import struct
 import zlib
 from functools import cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.bpe import Cutter, chunks
+from sessionloom.llm.bpe import Cutter, cut_all, laid_out
 from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, parts, workers_find_package
 
 IDS_A_BLOCK = 400_000
 #: Longer chunks and pieces aren't held, so what a worker holds is bounded in bytes.
 LONGEST = 64
 MAGIC = b"FRSV"
-#: White space beyond ASCII, for RE2.
-WIDE_BLANKS = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class LibraryTokenizer:
@@ -52,32 +49,10 @@ class LibraryTokenizer:
         library = Tokenizer.from_str(spec)
         self.model = library.model
         added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
-        self.added = {t: struct.pack("<I", i) for t, i in added.items()}
+        self.added = {f" {t}": struct.pack("<I", i) for t, i in added.items()}
         self._added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.held, self.known, self.older, self.pieces = held, {}, {}, {}
 
-    def cut(self, text: str | None) -> list[str]:
-        """Chunks and added tokens. ASCII texts are lower-cased here, as the library does."""
-        if not text:
-            return []
-        if self._added and any(x in text for x in self.added):
-            return [c for part in self._added.split(text) for c in ([part] if part in self.added else chunks(part))]
-        return chunks(text.lower() if text.isascii() else text)
-
-    def _cut_all(self, texts):
-        """(chunks of all texts one after another, number of each text's), both of Arrow, which cuts at white space unless there are added tokens."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        texts = texts.take(pa.array(np.arange(len(texts))))  # a copy from 0 on: Arrow's lower case is wrong on slices of cast arrays
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if self._added and pc.any(pc.match_substring_regex(texts, self._added.pattern)).as_py():
-            cut = [self.cut(t) for t in texts.to_pylist()]
-            return pa.array(list(chain.from_iterable(cut)), pa.large_string()), np.fromiter(map(len, cut), np.int64, len(cut))
-        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), pc.replace_substring_regex(texts, WIDE_BLANKS, " "))
-        cut = pc.ascii_split_whitespace(texts)  # blanks at the ends of a text make empty chunks, which have no ids
-        return cut.flatten(), cut.value_lengths().to_numpy().astype(np.int64)
-
     def _chunks(self, distinct: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian uint32. What isn't held is taken apart in this one loop: a call for each would cost as much again."""
         known, older, pieces = self.known, self.older, self.pieces
@@ -114,16 +89,11 @@ class LibraryTokenizer:
 
         Arrow cuts the texts and numbers their distinct chunks, so that only those become Python's and are looked up one by one; numpy then lays out the ids.
         """
-        cut, sizes = self._cut_all(texts)
+        cut, sizes = cut_all(texts, self._added)
         coded = cut.dictionary_encode()
-        codes = coded.indices.to_numpy()
         raw = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        width = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        first, n = np.cumsum(width) - width, width[codes]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(first[codes] - before[:-1], n) + np.arange(before[-1])]
-        ends = before[np.cumsum(sizes)]
-        sizes = np.diff(ends, prepend=0)
+        ids, sizes = laid_out(raw, coded.indices.to_numpy(), sizes)
+        ends = np.cumsum(sizes)
         return (ids, sizes) if end is None else (np.insert(ids, ends, end), sizes + 1)
 
     def encode(self, text: str | None) -> bytes:

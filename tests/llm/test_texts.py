@@ -690,3 +690,28 @@ def test_training_takes_features_of_whole_texts_from_the_executors(spark, sf, mo
     key = lambda v: b"" if v is None else v.tobytes()
     assert sorted(map(key, seen["v"])) == sorted(key(langid.features(r.text)) for r in rows)
     assert model.langs == sorted({r.lang for r in rows if langid.features(r.text) is not None})
+
+
+def test_both_encoders_take_slices_and_words_spelled_like_added_tokens():
+    """Ids and decoded texts of stretches of a batch; upper case turns into an added token's spelling, but isn't one."""
+    import pyarrow as pa
+
+    own, lib = bpe.WordBPE(SPEC), tokenfile.LibraryTokenizer(SPEC)
+    texts = ["The Cat SAT", None, "Été fin　x", "", "<|ENDOFTEXT|> a", "a\u0085b\x1cc <|endoftext|><|ENDOFTEXT|> d", " End&&& (x) 12,5%% ", "<|endoftext|>"] * 4
+    for size in (1, 5, 32):
+        for k in range(0, len(texts), size):
+            part, want = pa.array(texts).slice(k, size), [library(t or "") for t in texts[k : k + size]]
+            ids, n, decoded = own.encode_all(part)
+            assert [(x.tolist(), d) for x, d in zip(np.split(ids, np.cumsum(n)[:-1]), decoded.to_pylist(), strict=True)] == want
+            ids, n = lib.encode_all(part)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [w[0] for w in want]
+
+
+def test_a_batch_encodes_each_distinct_chunk_once():
+    import pyarrow as pa
+
+    own, seen = bpe.WordBPE(SPEC), []
+    own.chunk.make = lambda c, make=own.chunk.make: seen.append(c) or make(c)
+    long = "y" * 80  # not held
+    own.encode_all(pa.array([f"{long} the cat {long}", f"the {long}"] * 50))
+    assert sorted(seen) == ["cat", "the", long]
