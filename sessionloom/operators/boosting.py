@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from math import log, prod
 
 from pyspark.ml.feature import VectorAssembler
@@ -19,7 +20,7 @@ from sessionloom.functions.stretches import SKETCH, stretch
 
 #: Codes of values are -127 to 127, rising; that of a missing one.
 MISSING = -128
-#: Training rows -> (features, residual, weight); held-out rows -> what decides.
+#: Rows with margins -> (features, residual, weight, n) of those for training; rows with margins -> what decides, of those held out.
 Slope, Measure = Callable[[DataFrame], DataFrame], Callable[[DataFrame], float]
 
 
@@ -42,10 +43,11 @@ def coded(features: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return features.select(*[code(c).alias(c) if c in cuts else F.col(f"`{c}`") for c in features.columns])
 
 
-def auc(scored: DataFrame, label: str, score: str = "pred", keys: tuple[str, ...] = (), buckets: int = 65_536) -> DataFrame:
-    """(*keys, auc): the chance that a positive's score, from 0 to 1, is over a negative's, ties counting half. Scores are counted in buckets, so no rows are sorted; null without both kinds."""
+def auc(scored: DataFrame, label: str, score: str = "pred", keys: tuple[str, ...] = (), buckets: int = 65_536, times: str | None = None) -> DataFrame:
+    """(*keys, auc): the chance that a positive's score, from 0 to 1, is over a negative's, ties counting half. Scores are counted in buckets, so no rows are sorted; null without both kinds. times: a column that says for how many a row stands."""
     bucket = F.least(F.floor(F.col(score) * buckets), F.lit(buckets - 1))
-    n = scored.groupBy(*keys, bucket.alias("b")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
+    one = F.col(times) if times else F.lit(1).cast("long")
+    n = scored.groupBy(*keys, bucket.alias("b")).agg(F.sum(one * (F.col(label) == 1).cast("long")).alias("p"), F.sum(one * (F.col(label) != 1).cast("long")).alias("n"))
     # At most as many rows as there are buckets.
     under = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     n = n.withColumn("less", F.coalesce(F.sum("n").over(under), F.lit(0)))
@@ -95,7 +97,7 @@ def _grown(rows: DataFrame, tree: DecisionTreeRegressionModel, values: list[floa
 def _logistic(rows: DataFrame) -> DataFrame:
     """What a round of logistic boosting fits: a row's residual, and p (1 - p)."""
     p = _chance(F.col("margin"))
-    return rows.select("features", (F.col("label") - p).alias("residual"), (p * (1 - p)).alias("weight"))
+    return rows.where("NOT held_out").select("features", (F.col("label") - p).alias("residual"), (p * (1 - p)).alias("weight"), "n")
 
 
 def _places(rows: DataFrame) -> DataFrame:
@@ -128,34 +130,51 @@ def _recall(rows: DataFrame, k: int) -> float:
 
 
 def _held_auc(rows: DataFrame) -> float:
-    now = auc(rows.select("label", _chance(F.col("margin")).alias("pred")), "label").first()
+    now = auc(rows.where("held_out").select("label", _chance(F.col("margin")).alias("pred"), "n"), "label", times="n").first()
     return now.auc if now and now.auc is not None else float("nan")
 
 
-def _laid_out(features: DataFrame, target: str, names: list[str], held_share: float, seed: int, *more: str) -> DataFrame:
-    """(*more, features, label, held_out)"""
+def _split(features: DataFrame, target: str, names: list[str], held_share: float, seed: int, *more: str) -> tuple[DataFrame, list[str]]:
+    """((*more, label, held_out, and the features under short names), those names)"""
     keep = F.coalesce(F.col(f"`{target}`"), F.lit(0)).cast("double").alias("label")
-    return _assembled(features, names).select(*more, "features", keep, (arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * held_share)).alias("held_out"))
+    short = [f"v{k}" for k in range(len(names))]
+    values = [F.col(f"`{c}`").alias(v) for c, v in zip(names, short, strict=True)]
+    return features.select(*more, keep, (arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * held_share)).alias("held_out"), *values), short
+
+
+def _laid_out(features: DataFrame, target: str, names: list[str], held_share: float, seed: int) -> DataFrame:
+    """(features, label, held_out, n): rows that are alike are one, with their number, as they have one margin in every round.
+
+    Of byte codes there are few, so that rounds don't grow with the rows. Rows are counted with map-side partials.
+    """
+    rows, short = _split(features, target, names, held_share, seed)
+    return _assembled(rows.groupBy("label", "held_out", *short).agg(F.count("*").alias("n")), short).drop(*short)
 
 
 def _start(rows: DataFrame, names: list[str]) -> tuple[Boosted, int]:
     """(a model of no rounds that gives the share of ones, training rows)"""
-    n, ones = rows.where("NOT held_out").agg(F.count("*"), F.sum("label")).first()
+    n, ones = rows.where("NOT held_out").agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.col("label") * F.col("n"))).first()
     share = min(max(((ones or 0.0) + 0.5) / (n + 1.0), 1e-9), 1 - 1e-9)
     return Boosted(list(names), log(share / (1 - share))), n
 
 
-def _round(model: Boosted, rows: DataFrame, slope: Slope, measure: Measure, depth: int, rate: float, ridge: float, least: int, seed: int) -> DataFrame:
-    """rows, a held table, with the margins after one more round of the model, as a new held table in its place."""
-    own = slope(rows.where("NOT held_out"))
-    grown = DecisionTreeRegressor(labelCol="residual", predictionCol="step", leafCol="leaf", maxDepth=depth, maxBins=256, minInstancesPerNode=least, seed=seed).fit(own)
-    sums = {int(r.leaf): r.g / (r.h + ridge) for r in grown.transform(own).groupBy("leaf").agg(F.sum("residual").alias("g"), F.sum("weight").alias("h")).collect()}  # a row a leaf
+def _round(model: Boosted, rows: DataFrame, slope: Slope, measure: Measure, total: int, depth: int, rate: float, ridge: float, least: int, seed: int) -> DataFrame:
+    """rows, a held table, with the margins after one more round of the model, as a new held table in its place. total: training rows.
+
+    A row counts as often as its n says. So `least`, a number of rows, is a share of their weight; of fewer than two such parts there is nothing to split.
+    """
+    own = slope(rows)
+    share = (least - 0.5) / total if least > 1 else 0.0
+    tree = DecisionTreeRegressor(labelCol="residual", predictionCol="step", leafCol="leaf", weightCol="n", maxDepth=depth if 2 * least <= total else 0, maxBins=256, minWeightFractionPerNode=min(share, 0.499), seed=seed)
+    grown = tree.fit(own)
+    g, h = (F.sum(F.col(c) * F.col("n")).alias(c[0]) for c in ("residual", "weight"))
+    sums = {int(r.leaf): r.r / (r.w + ridge) for r in grown.transform(own).groupBy("leaf").agg(g, h).collect()}  # a row a leaf
     values = [rate * sums.get(k, 0.0) for k in range(grown.numNodes // 2 + 1)]
     after = held(_grown(rows, grown, values), "margins")
     hold.drop(rows)
     model.trees.append(grown)
     model.leaves.append(values)
-    model.history.append(measure(after.where("held_out")))
+    model.history.append(measure(after))
     return after
 
 
@@ -185,7 +204,7 @@ def boosted(
         rows = _laid_out(features, target, names, held_share, seed)
         model, n = _start(rows, names)
         rows = held(rows.withColumn("margin", F.lit(model.base)), "margins")
-        return _until_best(model, rows, rounds if n else 0, patience, slope=_logistic, measure=_held_auc, depth=depth, rate=rate, ridge=ridge, least=least, seed=seed)
+        return _until_best(model, rows, rounds if n else 0, patience, slope=_logistic, measure=_held_auc, total=n, depth=depth, rate=rate, ridge=ridge, least=least, seed=seed)
 
 
 def ranked(
@@ -195,14 +214,34 @@ def ranked(
 
     As boosted(), but a round fits the gradients of swapped pairs (see _swaps), so what all candidates of a session have in common teaches nothing. A session's candidates,
     of which there are as many as were suggested, meet in one task; where a session has no more than k, none can be swapped and it is left alone.
+
+    Rows of equal features have one margin, so trees are grown on these kinds, by their rows' mean gradients, and margins are a table of kinds. Sessions without a hit have neither
+    gradients nor a part in the recall, nor have training sessions that are left alone: their rows count in the kinds only and are in no round's windows.
     """
     with scratch():
-        rows = _laid_out(features, target, names, held_share, seed, "session", "candidates")
+        rows, short = _split(features, target, names, held_share, seed, "session", "candidates")
+        kinds = rows.groupBy(*short).agg(F.count_if(~F.col("held_out")).alias("n")).withColumn("kind", F.monotonically_increasing_id())
+        kinds = held(_assembled(kinds, short), "kinds")
+        session = Window.partitionBy("session")
+        some = rows.withColumns({"hits": F.sum("label").over(session), "all": F.count("*").over(session)}).where((F.col("hits") > 0) & (F.col("held_out") | (F.col("all") > k)))
+        alike = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in short]
+        some = some.alias("x").join(kinds.alias("y"), reduce(lambda a, b: a & b, alike)).select("session", "candidates", "label", "held_out", "kind")
+        some = held(some, "swapped")
         model = Boosted(list(names), 0.0)
-        rows = held(rows.withColumn("margin", F.lit(model.base)), "margins")
-        n = rows.where("NOT held_out").limit(1).count()
-        how = {"depth": depth, "rate": rate, "ridge": ridge, "least": least, "seed": seed}
-        return _until_best(model, rows, rounds if n else 0, patience, slope=lambda r: _swaps(r, k), measure=lambda r: _recall(r, k), **how)
+        n = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = held(kinds.drop(*short).withColumn("margin", F.lit(model.base)), "margins")
+
+        def now(rows: DataFrame, which: str) -> DataFrame:
+            return some.where(which).join(rows.select("kind", "margin"), "kind")
+
+        def slope(rows: DataFrame) -> DataFrame:
+            each = _swaps(now(rows, "NOT held_out").withColumn("features", F.col("kind")), k)
+            sums = each.groupBy(F.col("features").alias("kind")).agg(F.sum("residual").alias("r"), F.sum("weight").alias("w"))
+            mean = lambda c: (F.coalesce(c, F.lit(0.0)) / F.col("n"))
+            return held(rows.where("n > 0").join(sums, "kind", "left").select("features", mean("r").alias("residual"), mean("w").alias("weight"), "n"), "slopes")
+
+        how = {"total": n, "depth": depth, "rate": rate, "ridge": ridge, "least": least, "seed": seed}
+        return _until_best(model, rows, rounds if n else 0, patience, slope=slope, measure=lambda rows: _recall(now(rows, "held_out"), k), **how)
 
 
 USUAL = {"depth": 4, "rate": 0.3, "ridge": 1.0, "least": 1}
@@ -245,7 +284,7 @@ def halving(
                     rows = _grown(rows, tree, values)
                 rows = held(rows, "margins")
                 while len(models[t].trees) < rounds:
-                    rows = _round(models[t], rows, _logistic, _held_auc, seed=seed, **{**USUAL, **drawn[t]})
+                    rows = _round(models[t], rows, _logistic, _held_auc, n, seed=seed, **{**USUAL, **drawn[t]})
                 hold.drop(rows)
             value = {t: max((v for v in models[t].history if v == v), default=0.0) for t in alive}
             alive.sort(key=lambda t: (-value[t], t))

@@ -150,3 +150,19 @@ def test_nothing_to_train_on(spark, table):
     assert boosting.ranked(table.limit(0), "gt", NAMES, rounds=3).trees == []
     model, trials = boosting.halving(table.limit(0), "gt", NAMES, trials=3)
     assert model.trees == [] and trials.count() == 3
+
+
+def test_rounds_are_made_on_distinct_rows(spark, table):
+    """Rows that come ten times are one row of the rounds, with their number, and teach what they taught."""
+    codes = boosting.coded(table, boosting.code_cuts(table, NAMES, bins=4)).cache()
+    ten = codes.crossJoin(spark.range(10).select((F.col("id") * 1_000_003 * 1000).alias("more"))).withColumn("session", F.col("session") + F.col("more")).drop("more")
+    laid = boosting._laid_out(ten, "gt", NAMES, 0.2, 42)
+    assert laid.agg(F.sum("n")).first()[0] == 30_000 and laid.count() == codes.withColumn("o", boosting.arithmetic_hash(F.col("session"), 42, 1000) < 200).select(*NAMES, "gt", "o").distinct().count() < 3000
+    for train in (boosting.boosted, lambda *a, **k: boosting.ranked(*a, k=2, **k)):
+        one, all_ = (train(d, "gt", NAMES, rounds=1, depth=2) for d in (codes, ten))
+        assert one.history == pytest.approx(all_.history)
+        margins = [[r.margin for r in m.margin(codes).orderBy("candidates").select("margin").collect()] for m in (one, all_)]
+        assert np.std(margins[0]) > 0 and np.corrcoef(*margins)[0, 1] > 0.999
+    few = boosting.boosted(codes, "gt", NAMES, rounds=1, depth=3, least=900)  # rows, not distinct ones
+    sizes = few.trees[0].transform(boosting._laid_out(codes, "gt", NAMES, 0.2, 42).where("NOT held_out").withColumn("margin", F.lit(0.0))).groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+    assert len(sizes) > 1 and min(r.n for r in sizes) >= 900
