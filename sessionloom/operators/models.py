@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import arithmetic_hash
 from sessionloom.functions.hold import held
+from sessionloom.functions.stretches import spread
 
 
 def dense_ids(rows: DataFrame, col: str) -> DataFrame:
@@ -49,6 +50,15 @@ def item_vectors(events: DataFrame, size: int = 50, window: int = 3, rounds: int
     return model.getVectors().select(F.col("word").cast("long").alias("aid"), vector_to_array("vector").alias("vec"))
 
 
+#: Rows of a task in training, which keeps them in memory: the files of many like rows are small, so that by their size a few tasks would get them all.
+ROWS_A_TASK = 250_000
+
+
+def _dealt(features: DataFrame) -> DataFrame:
+    """features, which should be held, in as many partitions as their rows ask for."""
+    return spread(features, "session", ROWS_A_TASK)
+
+
 def _assembled(features: DataFrame, names: list[str]) -> DataFrame:
     safe = features.select("*", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(names)])
     return VectorAssembler(inputCols=[f"f{i}" for i in range(len(names))], outputCol="features").transform(safe)
@@ -59,7 +69,7 @@ def train_ranker(features: DataFrame, target: str, names: list[str], rounds: int
 
     Where so few sessions are none or all of them, nothing is held out.
     """
-    rows = _assembled(features, names).withColumn("label", F.col(target).cast("double"))
+    rows = _assembled(_dealt(features), names).withColumn("label", F.col(target).cast("double"))
     how = {"maxIter": rounds, "maxDepth": depth, "seed": seed}
     rows = rows.withColumn("held_out", arithmetic_hash(F.col("session"), seed, 1000) < int(1000 * stop_share))
     stop_share = stop_share if rows.select("held_out").distinct().count() == 2 else 0
@@ -75,7 +85,7 @@ def score(features: DataFrame, model: GBTClassificationModel, names: list[str])
 
 def tune_ranker(features: DataFrame, target: str, names: list[str], depths: tuple[int, ...] = (3, 4), rounds: tuple[int, ...] = (5, 10), seed: int = 42) -> DataFrame:
     """(maxDepth, maxIter, auc), the best first: every combination, trained on three quarters of the rows and judged on the rest."""
-    rows = _assembled(features, names).withColumn("label", F.col(target).cast("double"))
+    rows = _assembled(_dealt(features), names).withColumn("label", F.col(target).cast("double"))
     gbt = GBTClassifier(seed=seed)
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.maxIter, list(rounds)).build()
     judged = TrainValidationSplit(estimator=gbt, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), trainRatio=0.75, seed=seed).fit(rows.select("features", "label"))

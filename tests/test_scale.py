@@ -158,3 +158,12 @@ def test_votes_of_cooccurrence_grow_by_tasks(spark):
     assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
     assert spread(events, "session", 1000).rdd.getNumPartitions() == 90
     assert {r.candidates for r in got.where("session = 16").collect()} == {*range(40), 48, 49, 0}
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from sessionloom.operators import models
+
+    monkeypatch.setattr(models, "ROWS_A_TASK", 100)
+    rows = spark.range(5000).coalesce(1).selectExpr("id AS session", "id AS candidates")
+    sizes = [len(p) for p in models._dealt(rows).rdd.glom().collect()]
+    assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) < 300
