@@ -27,6 +27,22 @@ def _normal(seed: int, k) -> Column:
     return F.xxhash64("aid", k, F.lit(seed)) / F.lit(2.0**63)
 
 
+def _slope(e: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """Slope of the logistic loss in vectors e for pairs of their numbers, each side with the outcome of its pairs. Few vectors make a square matrix of pairs, many only those that come."""
+    g = np.zeros_like(e)
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    for a, b, outcome in sides:
+        if len(e) ** 2 <= 4 * len(a):
+            w = np.bincount(a * len(e) + b, minlength=len(e) ** 2).reshape(len(e), -1) * (outcome - sigmoid(e @ e.T))
+            g += (w + w.T) @ e
+        else:
+            keys, n = np.unique(a * len(e) + b, return_counts=True)
+            a, b = np.divmod(keys, len(e))
+            w = (n * (outcome - sigmoid((e[a] * e[b]).sum(1))))[:, None]
+            np.add.at(g, np.concatenate([a, b]), np.concatenate([w * e[b], w * e[a]]))
+    return g
+
+
 def _descent(rate: float, batch: int, seed: int, epoch: int):
     """One pass over the pairs of a cell. Of a batch, each pair is an example, and its first item with the second of another pair, by a permutation, a counterexample."""
 
@@ -40,15 +56,13 @@ def _descent(rate: float, batch: int, seed: int, epoch: int):
         a, b = np.searchsorted(ids, pairs["aid"].to_numpy())[each], np.searchsorted(ids, pairs["aid_next"].to_numpy())[each]
         rng = np.random.default_rng([seed, epoch, int(key[0]), int(key[1])])
         order = rng.permutation(len(a))
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         for at in range(0, len(order), batch):
             u, v = a[order[at : at + batch]], b[order[at : at + batch]]
             w = v[rng.permutation(len(v))]
-            eu, ev, ew = e[u], e[v], e[w]
-            pos, neg = 1 - sigmoid((eu * ev).sum(1))[:, None], -sigmoid((eu * ew).sum(1))[:, None]
+            # Of equal pairs one product is made, and they count as often as they come.
             rows, back = np.unique(np.concatenate([u, v, w]), return_inverse=True)
-            g = np.zeros((len(rows), e.shape[1]))
-            np.add.at(g, back, np.concatenate([pos * ev + neg * ew, pos * eu, neg * eu]) / len(u))
+            back = back.reshape(3, -1)
+            g = _slope(e[rows], [(back[0], back[1], 1.0), (back[0], back[2], 0.0)]) / len(u)
             acc[rows] += g * g
             e[rows] += rate * g / np.sqrt(acc[rows] + 1e-12)
         return pd.DataFrame({"aid": ids, "block": own["block"].to_numpy(), "vec": list(e), "acc": list(acc)})

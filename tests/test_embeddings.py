@@ -91,3 +91,18 @@ def test_shifted_pmi_by_hand(spark):
     got = {(r.a, r.b): r.v for r in embeddings.shifted_pmi(e, sample=10.0, negatives=1).collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {(1, 2): round(np.log(2 * 6 / 4), 9), (2, 1): round(np.log(2 * 6 / 4), 9), (3, 4): round(np.log(6), 9), (4, 3): round(np.log(6), 9)}
     assert embeddings.skip_gram_vectors(e.limit(0), size=2).count() == 0
+
+
+def test_slope_of_many_and_of_few_vectors():
+    """By pairs that come, by all pairs of few vectors, and one pair after another."""
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(12, 4))
+    for n in (10, 3000):
+        a, b, c = rng.integers(0, 12, (3, n))
+        want = np.zeros_like(e)
+        for i, j, y in [*zip(a, b, [1.0] * n, strict=True), *zip(a, c, [0.0] * n, strict=True)]:
+            w = y - 1 / (1 + np.exp(-e[i] @ e[j]))
+            d, f = w * e[j], w * e[i]
+            want[i] += d
+            want[j] += f
+        assert np.allclose(embeddings._slope(e, [(a, b, 1.0), (a, c, 0.0)]), want)
