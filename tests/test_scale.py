@@ -167,3 +167,14 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
     rows = spark.range(5000).coalesce(1).selectExpr("id AS session", "id AS candidates")
     sizes = [len(p) for p in models._dealt(rows).rdd.glom().collect()]
     assert sum(sizes) == 5000 and len(sizes) == 50 and max(sizes) < 300
+
+
+def test_matrices_take_sessions_dealt_by_number(spark, monkeypatch):
+    from sessionloom import catalog
+
+    parts, matrix = [], catalog.matrix
+    monkeypatch.setattr(catalog, "spread", lambda rows, key: spread(rows, key, 100))
+    monkeypatch.setattr(catalog, "matrix", lambda e, n: parts.append(e.rdd.getNumPartitions()) or matrix(e, n))
+    events = hold.held(spark.range(3000).selectExpr("id DIV 3 AS session", "id % 7 AS aid", "1704067200 + id AS ts", "CAST(id % 3 AS INT) AS type", "id AS eid"))
+    want = [sorted(map(tuple, matrix(events, n).collect())) for n in ("temporal", "type136")]
+    assert [sorted(map(tuple, m.collect())) for m in catalog.two(events)] == want and min(parts) >= 30
