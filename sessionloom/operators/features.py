@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import by_type, clip255, dot, ratio, unit
 from sessionloom.functions.hold import held
-from sessionloom.functions.stretches import cut_points, stretch
+from sessionloom.functions.stretches import cut_points, spread, stretch
 from sessionloom.operators.candidates import CLASSES
 from sessionloom.operators.sessions import back, whole
 
@@ -125,7 +125,8 @@ def popularity(pairs: DataFrame, events: DataFrame, t0: int, shift: int = 7200)
     out = pairs.join(at, "session", "left")
 
     def wide(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-        return df.groupBy(F.col("aid").alias("candidates"), *keys).agg(*[F.max(F.when(F.col("type") == k, F.col(value))).alias(f"{value}_{c}") for k, c in enumerate(CLASSES)])
+        # Held, so that the planner knows their size: pairs are not shuffled by item, of which some are in most sessions, for small ones.
+        return held(df.groupBy(F.col("aid").alias("candidates"), *keys).agg(*[F.max(F.when(F.col("type") == k, F.col(value))).alias(f"{value}_{c}") for k, c in enumerate(CLASSES)]), value)
 
     out = out.join(wide(popularity_week(events), [], "popularity_week"), "candidates", "left")
     out = out.join(wide(popularity_day(events, t0, shift), ["day"], "popularity_day"), ["candidates", "day"], "left")
@@ -171,8 +172,12 @@ def covisitation_features(pairs: DataFrame, events: DataFrame, matrix: DataFrame
 
 
 def count_actions(pairs: DataFrame, events: DataFrame) -> DataFrame:
-    """pairs with how often the session has the candidate: all events, and each class; up to 255."""
-    n = events.groupBy("session", F.col("aid").alias("candidates")).agg(F.count("*").alias("n_all"), *[F.count_if(F.col("type") == k).alias(f"n_{c}") for k, c in enumerate(CLASSES)])
+    """pairs with how often the session has the candidate: all events, and each class; up to 255.
+
+    Both meet in tasks whose number follows that of the events, which should be held.
+    """
+    e = spread(events.select("session", F.col("aid").alias("candidates"), "type"), ["session", "candidates"])
+    n = e.groupBy("session", "candidates").agg(F.count("*").alias("n_all"), *[F.count_if(F.col("type") == k).alias(f"n_{c}") for k, c in enumerate(CLASSES)])
     out = pairs.join(n, ["session", "candidates"], "left")
     return out.select(*pairs.columns, *[clip255(F.coalesce(c, F.lit(0))).alias(f"candidate_{c[2:]}_before") for c in ("n_all", *[f"n_{c}" for c in CLASSES])])
 
