@@ -17,6 +17,8 @@ from sessionloom.operators.sessions import back, whole
 
 #: Weight by event type.
 TYPE_163 = {0: 1, 1: 6, 2: 3}
+#: Pairs of a task where each meets the items of its session.
+PAIRS_A_TASK = 250_000
 EVENT_WEIGHTS = ("w_pos_log", "w_type_163", "w_lastday", "w_time", "w_recsys")
 
 
@@ -138,11 +140,16 @@ def popularity(pairs: DataFrame, events: DataFrame, t0: int, shift: int = 7200)
     return out.select(*pairs.columns, *[v.alias(k) for k, v in found.items()])
 
 
-def per_event(pairs: DataFrame, events: DataFrame) -> DataFrame:
-    """pairs x the distinct items of their session, with how many events each item has (`cnt`) and the session has (`total`)."""
+def per_event(pairs: DataFrame, events: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """pairs x the distinct items of their session, with how many events each item has (`cnt`) and the session has (`total`), and the item's weights.
+
+    Pairs, which should be held, are dealt to tasks by session and stay there: what is summed by pair needs no further shuffle.
+    """
     items = events.groupBy("session", "aid").agg(F.count("*").alias("cnt"))
     items = items.withColumn("total", F.sum("cnt").over(whole()))
-    return pairs.select("session", "candidates").join(items, "session")
+    if weights is not None:
+        items = items.join(weights.withColumnRenamed("candidates", "aid"), ["session", "aid"], "left")
+    return spread(pairs, "session", PAIRS_A_TASK).join(items, "session", "left")
 
 
 def _aggregates(value: Column, name: str) -> list[Column]:
@@ -162,8 +169,7 @@ def covisitation_features(pairs: DataFrame, events: DataFrame, matrix: DataFrame
         one = m.select(F.col("aid_x").alias("aid"), F.col("aid_y").alias("candidates"), F.lit(k).alias("k"), (F.col("wgt_e9") / F.lit(1e9)).alias("w"))
         edges = one if edges is None else edges.unionByName(one)
     edges = edges.groupBy("aid", "candidates").agg(*[F.max(F.when(F.col("k") == k, F.col("w"))).alias(f"w{k}") for k in range(len(matrices))])
-    w = weights.withColumnRenamed("candidates", "aid")
-    e = per_event(pairs, events).join(edges, ["aid", "candidates"]).join(w, ["session", "aid"], "left")
+    e = per_event(pairs.select("session", "candidates"), events, weights).join(edges, ["aid", "candidates"])
     value = lambda k, x: F.coalesce(f"w{k}", F.lit(0.0)) * (F.coalesce(x, F.lit(0.0)) if x else F.lit(1.0))
     cols = [c for k, n in enumerate(matrices) for x in ("", *EVENT_WEIGHTS) for c in _aggregates(value(k, x), f"{n}_{x}" if x else n)]
     found = e.groupBy("session", "candidates").agg(*cols)
@@ -208,10 +214,10 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def similarities(rows: DataFrame, vectors: DataFrame, a: str, b: str, missing: float | None = 0.0) -> DataFrame:
-    """rows with `sim`, the dot product of the unit vectors of items a and b; `missing` where there is no vector. Distinct pairs are computed once."""
+    """rows with `sim`, the dot product of the unit vectors of items a and b; `missing` where there is no vector. Distinct pairs are computed once and held, so that the planner knows their size and leaves rows where they are if it can."""
     pairs = rows.select(F.col(a).alias("sa"), F.col(b).alias("sb")).distinct()
     va, vb = vectors.select(F.col("aid").alias("sa"), F.col("vec").alias("va")), vectors.select(F.col("aid").alias("sb"), F.col("vec").alias("vb"))
-    sims = pairs.join(va, "sa").join(vb, "sb").select("sa", "sb", dot(F.col("va"), F.col("vb")).alias("sim"))
+    sims = held(pairs.join(va, "sa").join(vb, "sb").select("sa", "sb", dot(F.col("va"), F.col("vb")).alias("sim")), "sims")
     return rows.join(sims, (rows[a] == sims["sa"]) & (rows[b] == sims["sb"]), "left").drop("sa", "sb").withColumn("sim", F.coalesce("sim", F.lit(missing).cast("double")))
 
 
@@ -224,12 +230,12 @@ def last_item_similarity(pairs: DataFrame, last: DataFrame, vectors: DataFrame,
 
 
 def factor_features(pairs: DataFrame, events: DataFrame, vectors: DataFrame, weights: DataFrame, name: str = "mf") -> DataFrame:
-    """pairs with mean, sum and max over events of (similarity + 1) times each event weight; 0 without a vector."""
-    rows = similarities(per_event(pairs, events), vectors, "candidates", "aid", missing=None).join(weights.withColumnRenamed("candidates", "aid"), ["session", "aid"], "left")
+    """pairs, which are distinct, with mean, sum and max over events of (similarity + 1) times each event weight; 0 without a vector."""
+    rows = similarities(per_event(pairs, events, weights), vectors, "candidates", "aid", missing=None)
     s = F.coalesce(F.col("sim") + 1, F.lit(0.0))
     cols = [c for w in EVENT_WEIGHTS for c in _aggregates(s * F.coalesce(w, F.lit(0.0)), f"{name}_{w}")]
-    found = rows.groupBy("session", "candidates").agg(*cols)
-    return pairs.join(found, ["session", "candidates"], "left").na.fill(0.0, [c for c in found.columns if c not in ("session", "candidates")])
+    found = rows.groupBy(*pairs.columns).agg(*cols)
+    return found.na.fill(0.0, [c for c in found.columns if c not in pairs.columns])
 
 
 def position_weights(events: DataFrame) -> DataFrame:

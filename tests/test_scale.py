@@ -1,5 +1,6 @@
 """Hot keys, wide ids and plans: what the catalogue's small tables don't show."""
 
+import re
 from bisect import bisect_right
 
 import duckdb
@@ -178,3 +179,43 @@ def test_matrices_take_sessions_dealt_by_number(spark, monkeypatch):
     events = hold.held(spark.range(3000).selectExpr("id DIV 3 AS session", "id % 7 AS aid", "1704067200 + id AS ts", "CAST(id % 3 AS INT) AS type", "id AS eid"))
     want = [sorted(map(tuple, matrix(events, n).collect())) for n in ("temporal", "type136")]
     assert [sorted(map(tuple, m.collect())) for m in catalog.two(events)] == want and min(parts) >= 30
+
+
+def shuffles(df):
+    """Keys of a plan's exchanges, by name, each as often as it comes."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", m) for m in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+
+
+def test_neighbours_meet_without_a_join(spark):
+    """Matrices by position shuffle the events once, not twelve rows for each of them."""
+    events = spark.range(3000).selectExpr("id div 30 AS session", "id % 7 AS aid", "id AS ts", "CAST(id % 3 AS INT) AS type", "id AS eid")
+    got = covisitation.covisitation(events, covisitation.SPECS["235"], 0, 3000)
+    assert shuffles(got).count("session") == 1 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_are_summed_where_they_are_made(spark):
+    seeds = hold.held(spark.range(60).selectExpr("id div 3 AS session", "'all' AS list", "id % 20 AS aid", "CAST(id % 3 AS INT) AS pos", "3L AS n", "false AS long", "false AS lone"))
+    lists = hold.held(spark.range(400).selectExpr("'93' AS matrix", "id div 20 AS aid_x", "id % 20 AS aid_y", "CAST(id % 20 AS INT) + 1 AS rank"))
+    votes = voting._votes(seeds, lists, [(1, False, voting.VoteSource("93", "all", 5, double=True)), (2, False, voting.VoteSource("93", "all", 3))])
+    assert shuffles(votes) == ["session"]
+    assert {(r.aid, r.v) for r in votes.where("session = 0").collect()} == {(0, 9 * 10**9), (1, 6 * 10**9), (2, 6 * 10**9), (3, 3 * 10**9), (4, 3 * 10**9)}
+
+
+def test_pairs_stay_with_their_session(spark):
+    """Features of pairs that small tables are joined to: pairs are dealt by session once, and by nothing else."""
+    events = hold.held(spark.range(300).selectExpr("id div 3 AS session", "id % 20 AS aid", "1704067200 + id AS ts", "CAST(id % 3 AS INT) AS type", "id AS eid"))
+    pairs = hold.held(spark.range(1000).selectExpr("id div 10 AS session", "id % 10 AS candidates"))
+    vectors = hold.held(spark.range(15).selectExpr("id AS aid", "array(CAST(id AS DOUBLE), 1.0D) AS vec"))
+    weights = hold.held(features.session_weights(events))
+    got = features.factor_features(pairs, events, vectors, weights)
+    assert "session, candidates" not in shuffles(got) and not any("aid, candidates" in k or "candidates, aid" in k for k in shuffles(got)) and got.count() == 1000
+    assert not any("candidates" in k for k in shuffles(features.popularity(pairs, events, 1704067200)))
+
+
+def test_actions_are_counted_in_more_tasks(spark):
+    """The tasks that pairs and events meet in grow in number with the events."""
+    events = hold.held(spark.range(0, 900_000).selectExpr("id div 3 AS session", "id % 50 AS aid", "id AS ts", "0 AS type", "id AS eid"))
+    got = features.count_actions(spark.range(30).selectExpr("id AS session", "id % 50 AS candidates"), events)
+    assert re.search(r"hashpartitioning\(session, candidates, 45\), REPARTITION_BY_NUM", re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString()))
+    assert {r.session for r in got.where("candidate_all_before = 1").collect()} == {0, 24, 25}
