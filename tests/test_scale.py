@@ -219,3 +219,19 @@ def test_actions_are_counted_in_more_tasks(spark):
     got = features.count_actions(spark.range(30).selectExpr("id AS session", "id % 50 AS candidates"), events)
     assert re.search(r"hashpartitioning\(session, candidates, 45\), REPARTITION_BY_NUM", re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString()))
     assert {r.session for r in got.where("candidate_all_before = 1").collect()} == {0, 24, 25}
+
+
+def test_scores_come_of_the_votes(spark):
+    """Blended lists of cut sessions need one shuffle of the events, and the scores are those of a join over all votes."""
+    from sessionloom.operators import evaluation
+
+    events = hold.held(spark.range(300).selectExpr("id div 5 AS session", "id * id % 13 AS aid", "id AS ts", "0 AS type", "id AS eid"))
+    lists = {n: hold.held(spark.range(10 * 6).selectExpr("id div 6 AS aid_x", f"(id * {k}) % 11 AS aid_y", "CAST(id % 6 AS INT) + 1 AS rank", f"id * {k} + 1 AS wgt_e9")) for n, k in (("a", 3), ("b", 5))}
+    got = candidates.cooccurring(events, list(lists.values()), 8, scores=("a", "b"))
+    want = candidates.cooccurring(events, list(lists.values()), 8)
+    for n, m in lists.items():
+        sums = events.join(m, F.col("aid") == F.col("aid_x")).groupBy("session", F.col("aid_y").alias("candidates")).agg(F.sum("wgt_e9").alias(n))
+        want = want.join(sums, ["session", "candidates"], "left")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    top = evaluation.top_lists(evaluation.blend_by_class(got, {"clicks": {"a": 0.5, "b": 0.5}, "orders": {"a": 1.0}}), 3, ("session", "type"))
+    assert shuffles(top).count("session") == 1 and not any("candidates" in k or "type" in k for k in shuffles(top))
