@@ -23,7 +23,6 @@ import os
 import re
 import struct
 from array import array
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sessionloom.llm.automaton import Automaton
-from sessionloom.llm.common import Held, parts, workers_find_package
+from sessionloom.llm.common import Held, alone, parts, worker_cache, workers_find_package
 
 #: Most texts are made of fewer pieces than chunks, which come with all kinds of signs.
 CHUNKS_HELD, PIECES_HELD, PAIRS_HELD = 150_000, 300_000, 300_000
@@ -274,7 +273,8 @@ class WordBPE:
         ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
         return ids, n, pc.binary_join(pa.ListArray.from_arrays(ends, self._spelled.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
-@cache
+
+@worker_cache
 def tokenizer(spec: str) -> WordBPE:
     return WordBPE(spec)
 
@@ -292,6 +292,7 @@ def encode_decode(documents: DataFrame, path: str, id_col: str = "doc_id", text_
     def run(batches):
         import pyarrow as pa
 
+        alone(tokenizer)
         bpe = tokenizer(sent.value)
         for batch in batches:
             for part in parts(batch, 0, 4 << 20):

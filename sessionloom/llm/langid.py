@@ -16,16 +16,17 @@ letter is that language at score 1. Rows that repeat are predicted each.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import parts, unused, workers_find_package
+from sessionloom.llm.common import alone, parts, unused, workers_find_package
 
 UNDETERMINED = "und"
 BITS = 13
@@ -191,8 +192,7 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _sparse(batches):
     """(r, lang, at, value) of (r, lang, text): where the features aren't 0, and what they are there; null without a letter."""
-    import pyarrow as pa
-
+    alone()
     for batch in batches:
         for part in parts(batch, 2):
             found = [features(t) for t in part.column(2).to_pylist()]
@@ -214,9 +214,12 @@ def _verdict(spark, model: Model):
     workers_find_package(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
-    def verdict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.predict(t) for t in text], columns=["lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def verdict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        alone()
+        for text in texts:
+            found = [sent.value.predict(t) for part in parts(pa.RecordBatch.from_arrays([text], ["text"]), 0) for t in part.column(0).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())], ["lang_pred", "score"])
 
     return verdict.asNondeterministic()
 

@@ -17,14 +17,13 @@ break every run, so only runs of known words are walked, and of these none that
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import cache
 from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from sessionloom.llm.automaton import Automaton
-from sessionloom.llm.common import per_text
+from sessionloom.llm.common import per_text, worker_cache
 from sessionloom.llm.licence_texts import WHOLE
 
 #: Base phrases and their labels.
@@ -274,7 +273,7 @@ class Scanner:
         return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[0] for x in found})), score, found
 
 
-@cache
+@worker_cache
 def _scanner(base: tuple, templates: tuple) -> Scanner:
     return Scanner(dict(base), list(templates))
 
@@ -299,4 +298,4 @@ def scan_licences(
         return [scanner.report(t, forms) for t in texts]
 
     fields = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, end: long, cover: double>>"
-    return per_text(documents, id_col, text_col, run, fields).withColumnRenamed("id", id_col)
+    return per_text(documents, id_col, text_col, run, fields, (_scanner,)).withColumnRenamed("id", id_col)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Held, block_roots, components, keep, per_text, scratch, unused, written
+from sessionloom.llm.common import Held, block_roots, components, keep, per_text, scratch, unused, worker_cache, written
 
 WORD_CACHE = 100_000
 BLOCK, COLUMNS = 384, 4096
@@ -60,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
+@worker_cache
 def _words() -> Held:
     """Word -> 64-bit hash."""
     return Held(lambda word: int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), WORD_CACHE)
@@ -128,11 +128,11 @@ def _signatures(docs: DataFrame, width: int, side: int, rows: int) -> DataFrame:
             out.append((len(s), int(d[0]), int(d[1]), *signature(s, side, rows)))
         return out
 
-    return written(per_text(docs, "id", "text", run, "n_shingles int, h1 long, h2 long, sketch long, a array<long>, b array<long>"), "signatures")
+    return written(per_text(docs, "id", "text", run, "n_shingles int, h1 long, h2 long, sketch long, a array<long>, b array<long>", (_words,)), "signatures")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    return per_text(docs, "id", "text", lambda texts: [(shingle_hashes(t, width).view(np.int64),) for t in texts], "hashes array<long>")
+    return per_text(docs, "id", "text", lambda texts: [(shingle_hashes(t, width).view(np.int64),) for t in texts], "hashes array<long>", (_words,))
 
 
 def _near(threshold: float) -> str:

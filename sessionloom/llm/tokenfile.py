@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.bpe import Cutter, cut_all, laid_out
-from sessionloom.llm.common import arrow_schema, delete_path, fresh_dir, parts, workers_find_package
+from sessionloom.llm.common import alone, arrow_schema, delete_path, fresh_dir, parts, worker_cache, workers_find_package
 
 IDS_A_BLOCK = 400_000
 #: Longer chunks and pieces aren't held, so what a worker holds is bounded in bytes.
@@ -103,7 +103,7 @@ class LibraryTokenizer:
         return self.encode_all(pa.array([text], pa.large_string()))[0].tobytes()
 
 
-@cache
+@worker_cache
 def library(spec: str) -> LibraryTokenizer:
     return LibraryTokenizer(spec)
 
@@ -183,6 +183,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
         import pyarrow as pa
         from pyspark import TaskContext
 
+        alone(library)
         lib = library(sent.value)
         seq, seen = TaskContext.get().partitionId() << 33, np.zeros(0, np.int64)
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from sessionloom.llm import langid, mixing, queries
+from sessionloom.llm import bpe, common, langid, minhash, mixing, queries
 
 
 def lines_kept(docs):
@@ -127,6 +127,20 @@ def test_last_stage_decodes(spark):
         assert (r.ids, r.n_tokens, r.decoded) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
 
 
+def test_workers_drop_what_other_stages_kept(spark):
+    """Python workers outlive a stage; what the last stage's tokenizer holds goes when another stage begins."""
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text", "'en' AS lang").repartition(16)
+    bpe.encode_decode(docs, queries.vocabulary_path()).write.format("noop").mode("overwrite").save()
+    held = common.per_text(docs, "doc_id", "text", lambda texts: [(bpe.tokenizer.cache_info().currsize,)] * len(texts), "n int")
+    assert {r.n for r in held.collect()} == {0}
+    bpe.encode_decode(docs, queries.vocabulary_path()).write.format("noop").mode("overwrite").save()
+    seen = langid.predict(docs, langid.fit(["some words", "quelques mots"], ["en", "fr"]))
+    assert seen.where("lang_pred IS NULL").count() == 0
+    minhash.near_duplicates(docs).count()
+    held = common.per_text(docs, "doc_id", "text", lambda texts: [(minhash._words.cache_info().currsize,)] * len(texts), "n int", (bpe.tokenizer,))
+    assert {r.n for r in held.collect()} == {0}
+
+
 def test_registry():
     names = __spark_entry__.queries()
     assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == list(queries.QUERIES)
