@@ -220,3 +220,21 @@ def test_blended_and_unseen(spark, events):
     e = events((1, 1, 0, 0))
     s = spark.createDataFrame([(1, 1), (1, 2)], "session long, candidates long")
     assert candidates.blended([s, s]).count() == 2 and [r.candidates for r in candidates.unseen(s, e).collect()] == [2]
+
+
+def test_ranks_of_sessions_over_many_batches(spark):
+    """A session that ends in another Arrow batch, infinities, and a plan that doesn't grow with the features."""
+    values = [float("inf"), 3.0, float("-inf"), None, float("nan"), 3.0, -0.0, 0.0]
+    rows = [(s, c, values[(c + (s or 0)) % 8]) for s in (None, 1, 2, 7) for c in range(40 if s == 2 else 8)]
+    df = spark.createDataFrame(rows, "session long, candidates long, x double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {(r.session, r.candidates): r.x_rank for r in features.ranks(df, ["x"], 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    real = lambda v: v is not None and v == v
+    for s, c, v in rows:
+        same = [w for t, _, w in rows if t == s and real(w)]
+        assert got[s, c] == min(20, 1 + (sum(w > v for w in same) if real(v) else len(same))), (s, c, v)
+    wide = df.select("session", "candidates", *[(F.col("x") + k).alias(f"x{k}") for k in range(20)])
+    assert "collect_list" not in features.ranks(wide, [f"x{k}" for k in range(20)])._jdf.queryExecution().optimizedPlan().toString()
