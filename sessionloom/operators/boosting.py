@@ -178,14 +178,16 @@ def _round(model: Boosted, rows: DataFrame, slope: Slope, measure: Measure, tota
     return after
 
 
-def _until_best(model: Boosted, rows: DataFrame, rounds: int, patience: int, **how) -> Boosted:
-    """Rounds until the measure hasn't risen for `patience` of them; the model's best ones stay."""
+def _until_best(model: Boosted, rows: DataFrame, rounds: int | None, patience: int, **how) -> Boosted:
+    """Rounds until the measure hasn't risen for `patience` of them; the model's best ones stay. rounds: at most so many; None leaves it to the measure, or makes `patience` rounds where nothing is held out."""
     best = 0
-    for _ in range(rounds):
+    while rounds is None or len(model.history) < rounds:
         rows = _round(model, rows, **how)
         now = model.history[-1]
         if now != now or best == 0 or not now <= model.history[best - 1]:  # nan: no held-out rows to stop on
             best = len(model.history)
+            if now != now and rounds is None and best >= patience:
+                break
         elif len(model.history) - best >= patience:
             break
     model.trees, model.leaves = model.trees[:best], model.leaves[:best]
@@ -193,11 +195,11 @@ def _until_best(model: Boosted, rows: DataFrame, rounds: int, patience: int, **h
 
 
 def boosted(
-    features: DataFrame, target: str, names: list[str], rounds: int = 100, patience: int = 10, depth: int = 4, rate: float = 0.3, held_share: float = 0.2, ridge: float = 1.0, least: int = 1, seed: int = 42
+    features: DataFrame, target: str, names: list[str], rounds: int | None = None, patience: int = 10, depth: int = 4, rate: float = 0.3, held_share: float = 0.2, ridge: float = 1.0, least: int = 1, seed: int = 42
 ) -> Boosted:
     """Logistic boosting on (session, candidates, target, names): a part of the sessions is held out, and after each round the AUC on it decides.
 
-    Training stops when it hasn't risen for `patience` rounds, and the rounds up to the best are kept. Each round fits a tree to the residuals and sets its leaves to
+    Training stops when it hasn't risen for `patience` rounds (or after `rounds`, if given), and the rounds up to the best are kept. Each round fits a tree to the residuals and sets its leaves to
     a Newton step, sum of residuals over sum of p (1 - p); margins are a table, written once a round.
     """
     with scratch():
@@ -208,7 +210,7 @@ def boosted(
 
 
 def ranked(
-    features: DataFrame, target: str, names: list[str], k: int = 20, rounds: int = 100, patience: int = 10, depth: int = 4, rate: float = 0.3, held_share: float = 0.2, ridge: float = 1.0, least: int = 1, seed: int = 42
+    features: DataFrame, target: str, names: list[str], k: int = 20, rounds: int | None = None, patience: int = 10, depth: int = 4, rate: float = 0.3, held_share: float = 0.2, ridge: float = 1.0, least: int = 1, seed: int = 42
 ) -> Boosted:
     """Boosting for the recall among each session's best k, which is also what decides when to stop; `history` has it for the held-out sessions.
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom import catalog
 from sessionloom.operators import boosting
 
 
@@ -166,3 +167,22 @@ def test_rounds_are_made_on_distinct_rows(spark, table):
     few = boosting.boosted(codes, "gt", NAMES, rounds=1, depth=3, least=900)  # rows, not distinct ones
     sizes = few.trees[0].transform(boosting._laid_out(codes, "gt", NAMES, 0.2, 42).where("NOT held_out").withColumn("margin", F.lit(0.0))).groupBy("leaf").agg(F.sum("n").alias("n")).collect()
     assert len(sizes) > 1 and min(r.n for r in sizes) >= 900
+
+
+@pytest.mark.parametrize("name", ["boosted_rounds"])
+def test_queries_train_until_the_measure_rises_no_more(spark, sf, monkeypatch, name):
+    """A measure that rises for 40 rounds gets them all, and ten more; one that is never there doesn't keep the training going."""
+
+    def fake(values):
+        def one(model, rows, **how):
+            model.trees.append(None), model.leaves.append([]), model.history.append(values(len(model.history)))
+            return rows
+
+        return one
+
+    monkeypatch.setattr(boosting, "_round", fake(lambda k: min(k, 39) / 100))
+    assert catalog.QUERIES[name](spark, sf).count() == 50
+    model = boosting._until_best(boosting.Boosted([], 0.0), None, 20, 10)
+    assert len(model.history) == len(model.trees) == 20  # a number that is asked for holds
+    monkeypatch.setattr(boosting, "_round", fake(lambda k: float("nan")))
+    assert len(boosting._until_best(boosting.Boosted([], 0.0), None, None, 10).trees) == 10
