@@ -169,7 +169,7 @@ def test_rounds_are_made_on_distinct_rows(spark, table):
     assert len(sizes) > 1 and min(r.n for r in sizes) >= 900
 
 
-@pytest.mark.parametrize("name", ["boosted_rounds"])
+@pytest.mark.parametrize("name", ["boosted_rounds", "ranked_rounds"])
 def test_queries_train_until_the_measure_rises_no_more(spark, sf, monkeypatch, name):
     """A measure that rises for 40 rounds gets them all, and ten more; one that is never there doesn't keep the training going."""
 
