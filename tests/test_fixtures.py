@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,44 @@ def test_ranks_of_sessions_over_many_batches(spark):
         assert got[s, c] == min(20, 1 + (sum(w > v for w in same) if real(v) else len(same))), (s, c, v)
     wide = df.select("session", "candidates", *[(F.col("x") + k).alias(f"x{k}") for k in range(20)])
     assert "collect_list" not in features.ranks(wide, [f"x{k}" for k in range(20)])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_widened_is_its_operators_in_parts(spark, monkeypatch):
+    """Over many small parts, with a session without items, items without vectors or edges, and a vector that isn't finite; no row by pair and item is aggregated or ranked by a plan of its own."""
+    monkeypatch.setattr(features, "WIDENED_A_PART", 4)
+    rng = np.random.default_rng(8)
+    rows = [(s, int(rng.integers(0, 9)), 1_704_067_200 + 60 * k, int(rng.integers(0, 3)), 100 * s + k) for s in range(12) for k in range(1 + s % 6)]
+    e = spark.createDataFrame(rows, "session long, aid long, ts long, type int, eid long")
+    pairs = spark.createDataFrame([(s, c) for s in (*range(12), 99) for c in range(s % 5 or 10)], "session long, candidates long")
+    unit = features.unit_vectors(spark.createDataFrame([(a, [float(x) for x in rng.random(4)]) for a in range(7)], "aid long, vec array<double>"))
+    odd = unit.where("aid <> 2").unionByName(spark.createDataFrame([(2, [float("nan")] * 4)], "aid long, vec array<double>"))
+    sets = {"u": (unit, False), "u_buys": (odd, True)}
+    mats = spark.createDataFrame([(m, x, y, int(rng.integers(1, 5)) * 10**9, 1) for m in ("p", "q") for x in range(9) for y in range(8) if rng.random() < 0.5], "matrix string, aid_x long, aid_y long, wgt_e9 long, rank int")
+    own, items = features.held(features.with_weights(pairs, features.session_weights(e)).drop("w_time")), features.held(features.session_items(e))
+    ranked = ["w_recsys", "u_seq_max", "u_last_0", "u_buys_lastday_mean", "matrix_q_mean"]
+    table = features.widened(own, items, sets, mats, ["p", "q"], ranked)
+    assert table.columns == [*own.columns, *features.wide_names(["u", "u_buys"], ["p", "q"]), *[f"{c}_rank" for c in ranked]] and len(table.columns) == 6 + 2 * 27 + 2 * 18 + 5
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan and "_mean" not in plan.split("FlatMapCoGroupsInArrow", 1)[1].split("\n", 1)[1]
+    got = {(r.session, r.candidates): r.asDict() for r in table.collect()}
+    assert len(got) == pairs.count()
+    parts = [(features.covisitation_features(pairs, e, mats.where(F.col("matrix") == m), features.session_weights(e), f"matrix_{m}"), {}) for m in "pq"]
+    for name, (vectors, buys) in sets.items():
+        last, w = sessions.last_items(e, types=(1, 2) if buys else (0, 1, 2)), features.session_weights(e, no_click=buys)
+        parts.append((features.last_item_similarity(pairs, last, vectors, name=name), {}))
+        parts.append((features.factor_features(pairs, e, vectors, w, name), {f"{name}_{w}_{a}": f"{name}_{w.removeprefix('w_')}_{a}" for w in features.EVENT_WEIGHTS for a in ("mean", "sum", "max")}))
+        parts.append((features.sequence_features(pairs, e, vectors, name), {f"{name}_{x}": f"{name}_seq_{x}" for x in ("max", "mean", "count", "wgt_1", "wgt_2", "last", "type")}))
+    for part, names in parts:
+        found = part.collect()
+        assert len(found) == len(got)
+        for r in found:
+            for c in set(part.columns) - {"session", "candidates"}:
+                assert got[r.session, r.candidates][names.get(c, c)] == pytest.approx(r[c], abs=1e-9), (c, r)
+    for (s, _), r in got.items():
+        for c in ranked:
+            assert r[f"{c}_rank"] == 1 + sum(x[c] > r[c] for (t, _), x in got.items() if t == s), c
+    odd_ids = own.where("session = 5 AND candidates < 4").unionByName(own.where("session = 7 AND candidates < 2").withColumn("session", F.lit(None).cast("long")))
+    nothing = features.session_items(e.where("session = 5").withColumn("aid", F.lit(None).cast("long")))
+    for r in features.widened(odd_ids, nothing, sets, mats, ["p", "q"], ranked).collect():  # null ids meet nothing, and are a session of their own
+        assert r.matrix_p_sum == r.u_recsys_sum == 0.0 and r.u_last_0 == (0.0 if r.session else -1.0) and r.u_seq_max_rank == 1 and r.w_recsys_rank <= 4
+    assert features.widened(own.limit(0), items, sets, mats, ["p", "q"], ranked).count() == 0
