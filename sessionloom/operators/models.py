@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.expr import arithmetic_hash
-from sessionloom.functions.hold import held
+from sessionloom.functions.hold import fresh_dir, held
 from sessionloom.functions.stretches import spread
 
 
@@ -33,12 +33,23 @@ def dense_ids(rows: DataFrame, col: str) -> DataFrame:
     return ranged.withColumn("part", part).join(first, "part").select(col, (F.col("before") + place).cast("int").alias("dense"))
 
 
+#: Session-item pairs of a block of sessions, and of a block of items, to which each session's factors are sent once a round.
+USERS_A_BLOCK, ITEMS_A_BLOCK = 100_000, 3_000_000
+
+
 def item_factors(events: DataFrame, rank: int = 64, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """(aid, vec) by implicit-feedback factorisation of session x item counts. Ids of any size."""
-    users, items = held(dense_ids(events, "session"), "users"), held(dense_ids(events, "aid"), "items")
-    n = events.groupBy("session", "aid").agg(F.count("*").cast("float").alias("n"))
+    """(aid, vec) by implicit-feedback factorisation of session x item counts. Ids of any size.
+
+    A round sends the factors of all sessions to the items. Item factors are checkpointed after each, so that what it sent is deleted instead of staying for ten; blocks grow in number with the pairs.
+    """
+    spark = events.sparkSession
+    n = held(events.where("session IS NOT NULL AND aid IS NOT NULL").groupBy("session", "aid").agg(F.count("*").cast("float").alias("n")), "counts")
+    users, items, size = held(dense_ids(n, "session"), "users"), held(dense_ids(n, "aid"), "items"), n.count()
     n = n.join(users.withColumnRenamed("dense", "u"), "session").join(items.withColumnRenamed("dense", "i"), "aid").select("u", "i", "n")
-    als = ALS(rank=rank, maxIter=rounds, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="n", seed=seed)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(fresh_dir(spark, "factors"))
+    blocks = {"numUserBlocks": max(10, -(-size // USERS_A_BLOCK)), "numItemBlocks": max(10, -(-size // ITEMS_A_BLOCK))}
+    als = ALS(rank=rank, maxIter=rounds, implicitPrefs=True, userCol="u", itemCol="i", ratingCol="n", seed=seed, checkpointInterval=1, **blocks)
     found = als.fit(n).itemFactors
     return found.join(items, found["id"] == items["dense"]).select("aid", F.col("features").alias("vec"))
 

@@ -141,6 +141,25 @@ def test_factors_of_large_ids(spark):
     assert {r.aid for r in got} == {a * 10**11 for a in range(9)} and all(len(r.vec) == 3 for r in got)
 
 
+def test_factors_keep_one_round_on_disk(spark, monkeypatch):
+    """Item factors are checkpointed after each round, whose shuffled factors then go; blocks grow with the pairs, and don't change what is learnt."""
+    rows = [(s, a, 1, 0, s * 100 + a) for s in range(60) for a in range(12) if (s % 2 == a % 2) or (s + a) % 11 == 0]
+    e = spark.createDataFrame([*rows, (None, 1, 1, 0, -1), (1, None, 1, 0, -2)], "session long, aid long, ts long, type int, eid long")
+    seen, als = [], models.ALS
+    monkeypatch.setattr(models, "ALS", lambda **how: seen.append(how) or als(**how))
+    vectors = [{r.aid: np.array(r.vec) for r in models.item_factors(e, rank=4, rounds=8).collect()}]
+    monkeypatch.setattr(models, "USERS_A_BLOCK", 20)
+    monkeypatch.setattr(models, "ITEMS_A_BLOCK", 30)
+    vectors.append({r.aid: np.array(r.vec) for r in models.item_factors(e, rank=4, rounds=8).collect()})
+    n = len(rows)
+    assert [(h["checkpointInterval"], h["numUserBlocks"], h["numItemBlocks"]) for h in seen] == [(1, 10, 10), (1, -(-n // 20), -(-n // 30))] and n > 300
+    assert spark.sparkContext.getCheckpointDir()
+    for found in vectors:
+        unit = {a: v / np.linalg.norm(v) for a, v in found.items()}
+        alike = [[unit[a] @ unit[b] for a in unit for b in unit if a < b and (a % 2 == b % 2) is same] for same in (True, False)]
+        assert set(found) == set(range(12)) and min(alike[0]) > max(alike[1])
+
+
 def test_search_and_early_stop(spark):
     rng = np.random.default_rng(1)
     x = rng.random((600, 2))
